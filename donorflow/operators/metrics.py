@@ -351,10 +351,10 @@ def resample_counts(counts: DataFrame, replicates: int, seed: int, by: Sequence[
     drawn = frame.mapInPandas(draw, schema)
     if not stratified:
         return drawn
-    sizes = counts.groupBy(*by).agg(F.sum("pos").alias("__P"), F.sum("neg").alias("__N"))
+    sizes = counts.groupBy(*by).agg(F.sum("pos").alias("__allpos"), F.sum("neg").alias("__allneg"))
     got = drawn.groupBy(*by, "replicate").agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__n"))
     scale = join_groups(got, sizes, by).select(
-        *by, "replicate", F.try_divide(F.col("__P"), F.col("__p")).alias("__sp"), F.try_divide(F.col("__N"), F.col("__n")).alias("__sn")
+        *by, "replicate", F.try_divide(F.col("__allpos"), F.col("__p")).alias("__sp"), F.try_divide(F.col("__allneg"), F.col("__n")).alias("__sn")
     )
     scaled = drawn.join(scale, [*by, "replicate"])
     return scaled.withColumns({"pos": F.col("pos") * F.col("__sp"), "neg": F.col("neg") * F.col("__sn")}).drop("__sp", "__sn")
@@ -494,4 +494,5 @@ def evaluation_summary(
 def prediction_table(predictions: DataFrame, seed: int = 1, identifiers: Sequence[str] = ("donor", "don_id", "id")) -> DataFrame:
     """Predictions without identifiers, in an order that a seeded hash of them decides."""
     present = [c for c in identifiers if c in predictions.columns]
-    return predictions.orderBy(F.xxhash64(F.lit(seed), *present)).drop(*present)
+    shuffled = predictions.orderBy(F.xxhash64(F.lit(seed), *present))
+    return shuffled.select(*[f"`{c}`" for c in predictions.columns if c not in present])

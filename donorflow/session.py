@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,3 +48,9 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """
     found = df.limit(rows + 1).count()
     return F.broadcast(df) if found <= rows else df
+
+
+def workspace(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared checkpoint folder (a local one only where none is set)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    return f"{base.rstrip('/')}/donorflow-{name}-{uuid.uuid4().hex}"

@@ -107,7 +107,7 @@ def result_sink(tables: Mapping[str, Mapping[str, DataFrame]], folder: str) -> d
     paths = {}
     for kind, frames in tables.items():
         union = union_results(frames)
-        union = union.drop("donor", "don_id", "id")
+        union = union.select(*[f"`{c}`" for c in union.columns if c not in ("donor", "don_id", "id")])
         paths[kind] = f"{folder}/{kind}"
         union.write.mode("overwrite").csv(paths[kind], header=True)
     return paths
