@@ -1 +1,193 @@
-"""Pending."""
+"""Evaluation of scores."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from donorflow.catalog.bindings import GSWEEP, SCORES, SWEEP, query, r6
+from donorflow.functions.metadata import COST_CONSTANTS
+from donorflow.operators import metrics
+
+F1 = "2.0 * tp / (2 * tp + fp + (npos - tp))"
+YOUDEN = "tp / npos + (nneg - fp) / nneg"
+
+
+def sweep_of(t):
+    return metrics.threshold_sweep(t.scores())
+
+
+def grouped(t):
+    return metrics.threshold_sweep(t.scores(), "tied", "label", ["grp"])
+
+
+@query("threshold_sweep", f"WITH {GSWEEP} SELECT grp, threshold, tp, fp, npos - tp AS fn, nneg - fp AS tn FROM sweep")
+def _(t):
+    return grouped(t).select("grp", "threshold", "tp", "fp", "fn", "tn")
+
+
+def _cut(goal, name, extra=""):
+    return f"""WITH {SWEEP}, g AS (SELECT *, {goal} AS goal FROM sweep), top AS (SELECT * FROM g WHERE goal = (SELECT max(goal) FROM g))
+SELECT round(median(threshold), 6) AS threshold, round(max(goal), 6) AS {name}{extra} FROM top"""
+
+
+@query("optimal_f1_cut", _cut(F1, "f1", ", round(arg_max(tp / npos, threshold), 6) AS sensitivity, round(arg_max((nneg - fp) / nneg, threshold), 6) AS specificity"))
+def _(t):
+    c = metrics.optimal_f1_cut(sweep_of(t))
+    return c.select(*[r6(n).alias(n) for n in ("threshold", "f1", "sensitivity", "specificity")])
+
+
+@query("optimal_youden_cut", f"""WITH {SCORES}, cells AS (SELECT predicted_value AS threshold, CAST(sum(label) AS BIGINT) AS pos, CAST(sum(1 - label) AS BIGINT) AS neg FROM scores GROUP BY predicted_value),
+sweep AS (SELECT threshold, CAST(sum(pos) OVER (ORDER BY threshold) AS BIGINT) AS tp, CAST(sum(neg) OVER (ORDER BY threshold) AS BIGINT) AS fp, CAST(sum(pos) OVER () AS BIGINT) AS npos, CAST(sum(neg) OVER () AS BIGINT) AS nneg FROM cells),
+g AS (SELECT *, {YOUDEN} AS goal FROM sweep)
+SELECT round(median(threshold), 6) AS threshold, round(max(goal), 6) AS sum_sens_spec FROM g WHERE goal = (SELECT max(goal) FROM g)""")
+def _(t):
+    s = metrics.threshold_sweep(t.scores(), "predicted_value", "label", (), "<=")
+    c = metrics.optimal_youden_cut(s)
+    return c.select(r6("threshold").alias("threshold"), r6("sum_sens_spec").alias("sum_sens_spec"))
+
+
+@query("apply_threshold", f"WITH {SCORES} SELECT id, CASE WHEN score >= 0.35 THEN 1 ELSE 0 END AS hit, 0.35 AS f1_threshold FROM scores")
+def _(t):
+    return metrics.apply_threshold(t.scores(), "score", 0.35, "hit").select("id", "hit", "f1_threshold")
+
+
+@query("confusion_matrix", f"""WITH {SCORES} SELECT o AS observed, p AS predicted, (SELECT count(*) FROM scores WHERE label = o AND predicted = p) AS n FROM (VALUES (0), (1)) AS a(o), (VALUES (0), (1)) AS b(p)""")
+def _(t):
+    return metrics.confusion_matrix(t.scores(), "label", "predicted")
+
+
+@query("tpr_fpr", f"""WITH {SCORES} SELECT grp, round(count(*) FILTER (score >= 0.35 AND label = 1) / count(*) FILTER (label = 1), 6) AS "TPR", round(count(*) FILTER (score >= 0.35 AND label = 0) / count(*) FILTER (label = 0), 6) AS "FPR" FROM scores GROUP BY grp""")
+def _(t):
+    return metrics.tpr_fpr(t.scores(), "score", "label", 0.35, ["grp"]).select("grp", r6("TPR").alias("TPR"), r6("FPR").alias("FPR"))
+
+
+@query("rates_from_labels", f"""WITH {SCORES} SELECT round(count(*) FILTER (predicted = 1 AND label = 1) / count(*) FILTER (label = 1), 6) AS "TPR", round(count(*) FILTER (predicted = 1 AND label = 0) / count(*) FILTER (label = 0), 6) AS "FPR" FROM scores""")
+def _(t):
+    s = t.scores()
+    r = metrics.rates_from_labels([s.filter("grp = 'F'"), s.filter("grp <> 'F'")], "label", "predicted")
+    return r.select(r6("TPR").alias("TPR"), r6("FPR").alias("FPR"))
+
+
+@query("roc_curve", f"WITH {SWEEP} SELECT threshold, round(fp / nneg, 6) AS fpr, round(tp / npos, 6) AS tpr FROM sweep")
+def _(t):
+    return metrics.roc_curve(sweep_of(t)).select("threshold", r6("fpr").alias("fpr"), r6("tpr").alias("tpr"))
+
+
+@query("auroc", f"WITH {GSWEEP} SELECT grp, round(sum(neg * (tp - 0.5 * pos)) / max(npos) / max(nneg), 6) AS auroc FROM sweep GROUP BY grp")
+def _(t):
+    return metrics.auroc(grouped(t), ["grp"]).select("grp", r6("auroc").alias("auroc"))
+
+
+@query("auroc_ci", f"""WITH {SWEEP}, p AS (SELECT *, (nneg - fp + 0.5 * neg) / nneg AS below, (tp - 0.5 * pos) / npos AS above FROM sweep),
+s AS (SELECT max(npos) AS np, max(nneg) AS nn, sum(pos * below) AS x1, sum(pos * below * below) AS x2, sum(neg * above) AS y1, sum(neg * above * above) AS y2 FROM p),
+v AS (SELECT x1 / np AS a, sqrt((x2 - x1 * x1 / np) / (np - 1) / np + (y2 - y1 * y1 / nn) / (nn - 1) / nn) AS se FROM s)
+SELECT round(a - 1.959963984540054 * se, 6) AS low, round(a, 6) AS value, round(a + 1.959963984540054 * se, 6) AS high FROM v""")
+def _(t):
+    return metrics.auroc_ci(sweep_of(t)).select(*[r6(n).alias(n) for n in ("low", "value", "high")])
+
+
+@query("pr_curve", f"WITH {SWEEP} SELECT threshold, round(tp / npos, 6) AS recall, round(tp / (tp + fp), 6) AS precision, round(npos / (npos + nneg), 6) AS baseline FROM sweep")
+def _(t):
+    return metrics.pr_curve(sweep_of(t)).select("threshold", *[r6(n).alias(n) for n in ("recall", "precision", "baseline")])
+
+
+@query("aupr", f"""WITH {SWEEP}, x AS (SELECT pos, npos, tp - pos AS t0, CAST(fp - neg + tp - pos AS DOUBLE) AS s0, 1 + neg / nullif(pos, 0) AS h FROM sweep)
+SELECT round(sum(CASE WHEN pos = 0 THEN 0 WHEN s0 = 0 THEN pos / h ELSE pos / h + (t0 - s0 / h) / h * ln((s0 + h * pos) / s0) END) / max(npos), 6) AS aupr FROM x""")
+def _(t):
+    return metrics.aupr(sweep_of(t)).select(r6("aupr").alias("aupr"))
+
+
+@query("f1_score", f"""WITH {SCORES} SELECT grp, round(2.0 * count(*) FILTER (score >= 0.35 AND label = 1) / (count(*) FILTER (score >= 0.35) + count(*) FILTER (label = 1)), 6) AS f1 FROM scores GROUP BY grp""")
+def _(t):
+    return metrics.f1_score(t.scores(), "score", "label", 0.35, ["grp"]).select("grp", r6("f1").alias("f1"))
+
+
+@query("mae_rmse", f"""WITH {SCORES}, e AS (SELECT grp, avg(abs(original_value - predicted_value)) AS m, sqrt(avg(pow(original_value - predicted_value, 2))) AS r FROM scores GROUP BY grp)
+SELECT grp, round(m, 6) AS mae, round(r, 6) AS rmse, round(m * 0.06204, 6) AS mae_mmol, round(r * 0.06204, 6) AS rmse_mmol FROM e""")
+def _(t):
+    m = metrics.mae_rmse(t.scores(), "original_value", "predicted_value", ["grp"])
+    return m.select("grp", *[r6(n).alias(n) for n in ("mae", "rmse", "mae_mmol", "rmse_mmol")])
+
+
+@query("calibration_bins", f"""WITH {SCORES}, b AS (SELECT grp, CAST(ceil(tied * 10) AS INTEGER) AS bin, avg(label) AS rate, count(*) AS n FROM scores WHERE tied > 0 AND tied <= 1 GROUP BY ALL),
+d AS (SELECT DISTINCT grp, CAST(bin AS INTEGER) AS bin FROM scores, (SELECT unnest(range(1, 11)) AS bin))
+SELECT d.grp, d.bin, round(rate, 6) AS rate, coalesce(n, 0) AS "count" FROM d LEFT JOIN b ON d.grp = b.grp AND d.bin = b.bin""")
+def _(t):
+    return metrics.calibration_bins(t.scores(), "tied", "label", ["grp"]).withColumn("rate", r6("rate"))
+
+
+@query("dummy_classifiers", f"""WITH {SCORES}, p AS (SELECT avg(label) AS p FROM scores)
+SELECT id, round(p, 6) AS prior, CASE WHEN p >= 0.5 THEN 1.0 ELSE 0.0 END AS most_frequent, 1.0 AS deferred FROM scores, p""")
+def _(t):
+    s = t.scores().select("id", "label")
+    for kind in ("prior", "most_frequent", "deferred"):
+        s = metrics.dummy_classifiers(s, kind, "label", name=kind)
+    return s.select("id", r6("prior").alias("prior"), "most_frequent", "deferred")
+
+
+@query("bootstrap_ci")
+def _(t):
+    parts = [metrics.bootstrap_ci(t.scores(), s, by=["grp"], threshold=0.35, replicates=200) for s in ("f1", "aupr")]
+    return parts[0].unionByName(parts[1])
+
+
+@query("evaluation_summary")
+def _(t):
+    s = t.scores().withColumnRenamed("id", "row")
+    return metrics.evaluation_summary(s, 0.35, ["run"], label="label", replicates=100, values=("original_value", "predicted_value"))
+
+
+@query("prediction_table", f"WITH {SCORES} SELECT grp, score, label, predicted FROM scores")
+def _(t):
+    return metrics.prediction_table(t.scores().select("id", "grp", "score", "label", "predicted"), seed=7)
+
+
+GRID = [round(0.02 * i, 2) for i in range(1, 50)]
+_K = COST_CONSTANTS
+
+
+def cost_sql(months, tpr, fpr, sex):
+    """SQL of q, a and E for one sex."""
+    d, factor = _K["d"], {"male": months / 2.0, "female": months / 3.0}
+
+    def extended(who, r, dr):
+        ar = f"(({_K[r]} - {_K[dr]} * {d}) / (1 - {d}))"
+        return f"((1 - {fpr}) * {ar} * (1 - {d}) + {factor[who]} * {fpr} * ({ar} * (1 - {d})) + {factor[who]} * {_K[dr]} * {d})"
+
+    male, female = extended("male", "mr", "mdr"), extended("female", "fr", "fdr")
+    a = f"(CASE {sex} WHEN 'male' THEN {male} + {_K['fr']} WHEN 'female' THEN {_K['mr']} + {female} ELSE {male} + {female} END)"
+    q = f"(CASE {sex} WHEN 'male' THEN {_K['mdr']} * {tpr} WHEN 'female' THEN {_K['fdr']} * {tpr} ELSE {tpr} END)"
+    e = f"({_K['Pm']} * ({a} / (1 + {_K['Fn']} * ({a} - 1)) - 1) - {_K['Pd']} * {d} * {q})"
+    return q, a, e
+
+
+def _grid_sql():
+    q6, a6, e6 = cost_sql(6, "tpr", "fpr", "sex")
+    q12, a12, e12 = cost_sql(12, "tpr", "fpr", "sex")
+    values = ", ".join(f"({g})" for g in GRID)
+    return f"""WITH {SCORES}, g AS (SELECT CAST(probability AS DOUBLE) AS probability FROM (VALUES {values}) AS v(probability)),
+r AS (SELECT run, probability, count(*) FILTER (score >= probability AND label = 1) / count(*) FILTER (label = 1) AS tpr, count(*) FILTER (score >= probability AND label = 0) / count(*) FILTER (label = 0) AS fpr,
+  CASE WHEN run LIKE '%female%' THEN 'female' ELSE 'male' END AS sex FROM scores, g GROUP BY run, probability),
+grid AS (SELECT run, probability, tpr AS TPR_, fpr AS FPR_, {q6} AS q6, {a6} AS a6, {e6} AS E6, {q12} AS q12, {a12} AS a12, {e12} AS E12 FROM r)"""
+
+
+def cost_grid(t):
+    sex = F.get(F.split("run", "-", 3), 1)
+    return metrics.cost_by_threshold(t.scores(), GRID, by=["run"], sex=sex)
+
+
+@query("cost_by_threshold", _grid_sql() + """ SELECT run, probability, round(TPR_, 6) AS "TPR", round(FPR_, 6) AS "FPR", round(q6, 6) AS q6, round(a6, 6) AS a6, round(E6, 6) AS "E6", round(q12, 6) AS q12, round(a12, 6) AS a12, round(E12, 6) AS "E12" FROM grid""")
+def _(t):
+    g = cost_grid(t)
+    return g.select("run", "probability", *[r6(n).alias(n) for n in ("TPR", "FPR", "q6", "a6", "E6", "q12", "a12", "E12")])
+
+
+@query("optimal_cost_threshold", _grid_sql() + """ SELECT run, arg_min(probability, round(E6, 9)) AS threshold6, arg_min(probability, round(E12, 9)) AS threshold12, round(min(E6), 6) AS "E6", round(min(E12), 6) AS "E12" FROM grid GROUP BY run""")
+def _(t):
+    o = metrics.optimal_cost_threshold(cost_grid(t), ["run"])
+    return o.select("run", "threshold6", "threshold12", r6("E6").alias("E6"), r6("E12").alias("E12"))
+
+
+@query("cost_with_ci")
+def _(t):
+    return metrics.cost_with_ci(t.scores().withColumnRenamed("id", "row"), "run", GRID, replicates=100)

@@ -119,10 +119,10 @@ def _(t):
     return joins.frame_merge_common(a, a.withColumn("toxic", 1 - F.col("toxic")), "doc_id")
 
 
-@query("result_diff", f"""WITH {DONATIONS} SELECT donor, donat_phleb, round(avg(Hb), 6) AS value_x, round(max(Hb), 6) AS value_y, round(max(Hb) - avg(Hb), 6) AS diff FROM donations GROUP BY donor, donat_phleb""")
+@query("result_diff", f"""WITH {DONATIONS} SELECT donor, donat_phleb, round(min(Hb), 6) AS value_x, round(max(Hb), 6) AS value_y, round(max(Hb) - min(Hb), 6) AS diff FROM donations GROUP BY donor, donat_phleb""")
 def _(t):
     g = t.donations().groupBy("donor", "donat_phleb")
-    out = joins.result_diff(g.agg(F.avg("Hb").alias("value")), g.agg(F.max("Hb").alias("value")), ["donor", "donat_phleb"])
+    out = joins.result_diff(g.agg(F.min("Hb").alias("value")), g.agg(F.max("Hb").alias("value")), ["donor", "donat_phleb"])
     return out.select("donor", "donat_phleb", *[r6(c).alias(c) for c in ("value_x", "value_y", "diff")])
 
 

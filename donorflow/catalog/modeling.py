@@ -1 +1,253 @@
-"""Pending."""
+"""Scaling, designs, fits and predictions."""
+
+from __future__ import annotations
+
+from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.sql import functions as F
+
+from donorflow.catalog.bindings import DONATIONS, DRAWS, FEATURES, JOINED, query, r6
+
+from donorflow.operators import models, ordered, posterior, sampling, scaling
+from donorflow.operators.scaling import Scale
+from donorflow.plans.driver import model_by_sex_driver
+from donorflow.plans.features import Settings, additional_preprocess, whole_series_features
+
+ORDER = ("dateonly", "don_id")
+VARIABLES = ["previous_Hb", "days_to_previous_fb", "age", "previous_Hb_def", "warm_season", "consecutive_deferrals", "recent_donations", "recent_deferrals"]
+DESIGN = ["days_to_previous_fb", "age", "previous_Hb_def", "warm_season", "recent_donations"]
+
+
+def features(t):
+    return whole_series_features(t.raw_donations(), t.raw_donors(), Settings(), check=False)
+
+
+def known(df):
+    """Rows that have every model variable."""
+    return df.filter(~F.col("first_event"))
+
+
+@query("standardize_2sd", f"""WITH {DONATIONS}, s AS (SELECT avg(Hb) AS m, stddev_samp(Hb) AS s, avg(volume_drawn) AS vm, stddev_samp(volume_drawn) AS vs FROM donations)
+SELECT don_id, round((Hb - m) / (2 * s), 6) AS Hb, round((volume_drawn - vm) / (2 * vs), 6) AS volume_drawn, 0.0 AS fixed FROM donations, s""")
+def _(t):
+    out, _ = scaling.standardize_2sd(t.donations().withColumn("fixed", F.lit(500.0)), ["Hb", "volume_drawn", "fixed"])
+    return out.select("don_id", r6("Hb").alias("Hb"), r6("volume_drawn").alias("volume_drawn"), "fixed")
+
+
+@query("standardize_with_train", f"""WITH {JOINED}, s AS (SELECT avg(Hb) AS m, stddev_samp(Hb) AS s FROM joined WHERE label = 'train') SELECT don_id, round((Hb - m) / (2 * s), 6) AS Hb FROM joined, s WHERE label = 'test'""")
+def _(t):
+    j = t.joined()
+    scale = scaling.column_scale(j.filter("label = 'train'"), ["Hb"])
+    return scaling.standardize_with_train(j.filter("label = 'test'"), scale).select("don_id", r6("Hb").alias("Hb"))
+
+
+@query("denormalize", f"WITH {DONATIONS} SELECT don_id, round(Hb, 6) AS Hb FROM donations")
+def _(t):
+    out, scale = scaling.standardize_2sd(t.donations(), ["Hb"])
+    return scaling.denormalize(out, scale, ["Hb"]).select("don_id", r6("Hb").alias("Hb"))
+
+
+def _scaled_sql(name, factor=2):
+    return f"round(({name} - avg(CASE WHEN split = 'train' THEN {name} END) OVER ()) / ({factor} * stddev_samp(CASE WHEN split = 'train' THEN {name} END) OVER ()), 6)"
+
+
+_SPLIT = "CASE WHEN row_number() OVER (PARTITION BY donor ORDER BY dateonly DESC, don_id DESC) = 1 THEN 'test' ELSE 'train' END AS split"
+_LMM = f"""WITH {FEATURES}, d AS (SELECT *, {_SPLIT}, count(*) OVER (PARTITION BY donor) AS cnt FROM features WHERE NOT first_event), k AS (SELECT * FROM d WHERE cnt >= 2)"""
+
+
+@query("lmm_design", f"""{_LMM} SELECT don_id, split, {_scaled_sql('Hb')} AS y, {_scaled_sql('days_to_previous_fb')} AS days, {_scaled_sql('age')} AS age,
+  CAST(CAST(previous_Hb_def AS INTEGER) AS DOUBLE) AS def, {_scaled_sql('warm_season')} AS warm, {_scaled_sql('recent_donations')} AS recent FROM k""")
+def _(t):
+    d = scaling.lmm_design(features(t), DESIGN)
+    return d.rows.select("don_id", "split", r6("y").alias("y"), r6("days_to_previous_fb").alias("days"), r6("age").alias("age"),
+                         F.col("previous_Hb_def").alias("def"), r6("warm_season").alias("warm"), r6("recent_donations").alias("recent"))
+
+
+@query("dlmm_design", f"""WITH {FEATURES}, d AS (SELECT *, {_SPLIT}, count(*) OVER (PARTITION BY donor) AS cnt, row_number() OVER (PARTITION BY donor ORDER BY dateonly, don_id) AS i FROM features), k AS (SELECT * FROM d WHERE cnt >= 3)
+SELECT don_id, split, i = 1 AS is_first, {_scaled_sql('Hb')} AS y, coalesce({_scaled_sql('days_to_previous_fb')}, 0) AS days, {_scaled_sql('previous_Hb')} AS previous,
+  coalesce(CAST(CAST(previous_Hb_def AS INTEGER) AS DOUBLE), 0) AS def, {_scaled_sql('hour + age')} AS z FROM k""")
+def _(t):
+    f = features(t).withColumn("z", F.col("hour") + F.col("age"))
+    d = scaling.dlmm_design(f, ["days_to_previous_fb", "previous_Hb", "previous_Hb_def"], z_variables=["z", "age"])
+    return d.rows.select("don_id", "split", "is_first", r6("y").alias("y"), r6("days_to_previous_fb").alias("days"), r6("previous_Hb").alias("previous"),
+                         F.col("previous_Hb_def").alias("def"), r6("z").alias("z"))
+
+
+@query("delta_design", f"""WITH {FEATURES}, d AS (SELECT *, {_SPLIT}, count(*) OVER (PARTITION BY donor) AS cnt FROM features), k AS (SELECT * FROM d WHERE cnt >= 2)
+SELECT don_id, split, {_scaled_sql('Hb', 1)} AS y, {_scaled_sql('previous_Hb')} AS "Hb_lag", {_scaled_sql('age')} AS age FROM k""")
+def _(t):
+    d = scaling.delta_design(features(t), ["age", "warm_season"])
+    return d.rows.select("don_id", "split", r6("y").alias("y"), r6("Hb_lag").alias("Hb_lag"), r6("age").alias("age"))
+
+
+@query("legacy_designs", f"""WITH {FEATURES}, d AS (SELECT *, ln(days_to_previous_fb) AS logdays FROM features WHERE NOT first_event AND days_to_previous_fb IS NOT NULL AND previous_Hb_def IS NOT NULL),
+e AS (SELECT *, count(*) OVER (PARTITION BY donor) AS cnt, {_SPLIT} FROM d), k AS (SELECT * FROM e WHERE cnt >= 2)
+SELECT don_id, split, round((Hb - avg(Hb) OVER ()) / (2 * stddev_samp(Hb) OVER ()), 6) AS y, round((logdays - avg(logdays) OVER ()) / (2 * stddev_samp(logdays) OVER ()), 6) AS days, warm_season AS warm FROM k""")
+def _(t):
+    d = scaling.legacy_design(features(t), ["days_to_previous_fb", "warm_season"], hlen=2)
+    return d.rows.select("don_id", "split", r6("y").alias("y"), r6("days_to_previous_fb").alias("days"), F.col("warm_season").alias("warm"))
+
+
+@query("thin_qr", f"""WITH {DONATIONS}, x AS (SELECT don_id, (Hb - 150) / 30 AS a, (volume_drawn - 300) / 170.0 AS b FROM donations),
+g AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, count(*) - 1 AS n FROM x),
+r AS (SELECT sqrt(aa / n) AS r11, ab / n / sqrt(aa / n) AS r12, sqrt(bb / n - pow(ab / n / sqrt(aa / n), 2)) AS r22 FROM g)
+SELECT don_id, round(a / r11, 6) AS q_a, round((b - r12 * a / r11) / r22, 6) AS q_b FROM x, r""")
+def _(t):
+    x = t.donations().select("don_id", ((F.col("Hb") - 150) / 30).alias("a"), ((F.col("volume_drawn") - 300) / 170.0).alias("b"))
+    q, _, _ = scaling.thin_qr(x, ["a", "b"])
+    return q.select("don_id", r6("q_a").alias("q_a"), r6("q_b").alias("q_b"))
+
+
+@query("additional_preprocess", f"""WITH {FEATURES}, x AS (SELECT *, count(*) OVER (PARTITION BY donor) AS cnt, max(dateonly) OVER (PARTITION BY donor) AS last FROM features)
+SELECT don_id, CASE WHEN Hb_deferral THEN 'Deferred' ELSE 'Accepted' END AS "Hb_deferral", age FROM x WHERE cnt > 1 AND dateonly = last""")
+def _(t):
+    return additional_preprocess(features(t), ["don_id", "Hb_deferral", "age"])
+
+
+# classifiers
+
+
+def last_events(t):
+    return additional_preprocess(known(features(t)), ["don_id", "donor", "sex", "label", "Hb", "Hb_deferral", *VARIABLES])
+
+
+def fitted(t, fit):
+    """Train rows fit the model; every other last event gets a score."""
+    rows = last_events(t).persist()
+    model = fit(rows.filter("label = 'train'"))
+    return models.predictions(model, rows.filter("label <> 'train'"), "model", 0.5)
+
+
+@query("logistic_baseline")
+def _(t):
+    return fitted(t, models.logistic_baseline)
+
+
+@query("baseline_lookup")
+def _(t):
+    rows = last_events(t)
+    return models.baseline_lookup(models.logistic_baseline(rows), rows, 0.25)
+
+
+@query("decision_tree")
+def _(t):
+    return fitted(t, lambda train: models.decision_tree(sampling.upsample_minority(train, "Hb_deferral", 1, "don_id"), VARIABLES))
+
+
+@query("random_forest")
+def _(t):
+    return fitted(t, lambda train: models.random_forest(train, VARIABLES, trees=40, depth=6))
+
+
+@query("weighted_forest")
+def _(t):
+    return fitted(t, lambda train: models.weighted_forest(sampling.class_weights(train, "Hb_deferral"), VARIABLES, trees=40, depth=6))
+
+
+@query("svm_rbf")
+def _(t):
+    return fitted(t, lambda train: models.svm_rbf(train, VARIABLES, size=48, iterations=30))
+
+
+@query("grid_search_cv")
+def _(t):
+    table, _ = models.grid_search_cv(last_events(t), VARIABLES, DecisionTreeClassifier(seed=1), {"maxDepth": [2, 4]}, folds=3, repeats=2)
+    return table
+
+
+@query("kfold_fit")
+def _(t):
+    oof = models.kfold_fit(last_events(t), models.logistic_baseline, 3)
+    return oof.select("don_id", "fold", r6("score").alias("score"))
+
+
+@query("model_by_sex_driver")
+def _(t):
+    rows = known(features(t)).persist()
+    names = {"rf": lambda train, v, seed: models.random_forest(train, v, seed=seed, trees=20, depth=5)}
+    return model_by_sex_driver(rows, ["bl", "rf"], "stratified", VARIABLES, classifiers=names)["prediction"]
+
+
+# mixed models
+
+
+@query("mixed_model")
+def _(t):
+    design = scaling.lmm_design(features(t), DESIGN)
+    return posterior.mixed_model(design, iterations=40, warmup=10, seed=1)
+
+
+@query("dynamic_mixed_model")
+def _(t):
+    design = scaling.dlmm_design(features(t), [*DESIGN, "previous_Hb"], z_variables=["age", "warm_season"])
+    return posterior.dynamic_mixed_model(design, iterations=40, warmup=10, seed=1)
+
+
+def simple_rows(t):
+    """Scaled rows with fixed scales, so that the closed forms can be checked."""
+    return t.joined().select("donor", "don_id", "clock", ((F.col("Hb") - 150) / 30).alias("y"), ((F.col("age") - 30) / 10).alias("x1"), (F.col("volume_drawn") / 600).alias("x2"))
+
+
+@query("donor_effect_posterior", f"""WITH {JOINED}, x AS (SELECT don_id, donor, clock, (Hb - 150) / 30 AS y, (age - 30) / 10 AS x1, volume_drawn / 600 AS x2, row_number() OVER (PARTITION BY donor ORDER BY clock, don_id) AS i FROM joined),
+z AS (SELECT *, CASE WHEN i = 1 THEN 0.7 / 1.1 ELSE 1 / 0.9 END AS xs, CASE WHEN i = 1 THEN (y - 0.3 * x1) / 1.1 ELSE (y - 0.2 * x1 + 0.1 * x2) / 0.9 END AS ys FROM x),
+c AS (SELECT don_id, coalesce(sum(xs * xs) OVER w, 0) AS sxx, coalesce(sum(xs * ys) OVER w, 0) AS sxy FROM z WINDOW w AS (PARTITION BY donor ORDER BY clock, don_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT don_id, round(sxy / (sxx + 1 / 0.25), 6) AS effect_mean, round(1 / (sxx + 1 / 0.25), 6) AS effect_var FROM c""")
+def _(t):
+    rows = ordered.attach(simple_rows(t), "donor", ["clock", "don_id"], i=ordered.RunSum(F.lit(1))).withColumn("is_first", F.col("i") == 1)
+    first = {"ups": {"x1": 0.3}, "theta": 0.7, "sigma_eeta": 1.1}
+    out = posterior.donor_effect_posterior(rows, {"x1": 0.2, "x2": -0.1}, 0.5, 0.9, order=("clock", "don_id"), first=first)
+    return out.select("don_id", r6("effect_mean").alias("effect_mean"), r6("effect_var").alias("effect_var"))
+
+
+def last_with_effect(t):
+    rows = simple_rows(t).withColumn("split", F.lit("train"))
+    out = posterior.donor_effect_posterior(rows, {"x1": 0.2, "x2": -0.1}, 0.5, 0.9, order=("clock", "don_id"))
+    return posterior.last_rows(out, "donor", ("clock", "don_id"))
+
+
+def parameter_draws(t, names):
+    """Draws of the given tables under model parameter names."""
+    d = t.draws().filter(F.col("parameter").isin([f"p{i:02d}" for i in range(len(names))]))
+    index = F.substring("parameter", 2, 2).cast("int")
+    name = F.get(F.array(*[F.lit(n) for n in names]), index)
+    return d.select(name.alias("parameter"), "draw", (F.abs("value") + 0.1).alias("value"))
+
+
+@query("posterior_predictive")
+def _(t):
+    draws = parameter_draws(t, ["beta[x1]", "beta[x2]", "sigma_eps"])
+    pred = posterior.posterior_predictive(last_with_effect(t), draws, ["x1", "x2"], n=50)
+    return pred.select("donor", "draw", r6("y").alias("y"))
+
+
+@query("delta_predictive")
+def _(t):
+    rows = last_with_effect(t).select("donor", "x1", "x2", F.col("effect_mean").alias("u"), F.col("y").alias("Hb_lag"))
+    draws = parameter_draws(t, ["beta[x1]", "beta[x2]", "sigma_eps", "delta"])
+    out = posterior.delta_predictive(rows, draws, ["x1", "x2"], -0.4, n=50)
+    return out.select("donor", r6("mean").alias("mean"), "p")
+
+
+@query("deferral_probability", f"WITH {DRAWS} SELECT parameter, round(avg(CASE WHEN value < (131 - 130) / (2 * 25.0) THEN 1.0 ELSE 0.0 END), 6) AS score FROM draws GROUP BY parameter")
+def _(t):
+    out = posterior.deferral_probability(t.draws(), 131, Scale({"Hb": 130.0}, {"Hb": 25.0}), "value", ["parameter"])
+    return out.withColumn("score", r6("score"))
+
+
+@query("prediction_frame", f"""WITH {DRAWS}, a AS (SELECT parameter, 130 + 50 * max(value) AS original_value FROM draws GROUP BY parameter),
+p AS (SELECT d.parameter, max(a.original_value) AS o, avg(value) AS m, stddev_samp(value) AS s, avg(CASE WHEN value * 50 + 130 < 131 THEN 1.0 ELSE 0.0 END) AS score, quantile_cont(value, 0.05) AS q FROM draws d JOIN a ON a.parameter = d.parameter GROUP BY d.parameter)
+SELECT 'mean' AS metric, parameter, round(o, 6) AS original_value, CASE WHEN o < 131 THEN 1 ELSE 0 END AS original_label, round(score, 6) AS score, round(s, 6) AS sds, round(m * 50 + 130, 6) AS predicted_value, CASE WHEN m * 50 + 130 < 131 THEN 1 ELSE 0 END AS predicted_label, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS hit FROM p
+UNION ALL SELECT 'quantile', parameter, round(o, 6), CASE WHEN o < 131 THEN 1 ELSE 0 END, round(score, 6), round(s, 6), round(q * 50 + 130, 6), CASE WHEN q * 50 + 130 < 131 THEN 1 ELSE 0 END, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END FROM p""")
+def _(t):
+    d = t.draws()
+    actual = d.groupBy("parameter").agg((130 + 50 * F.max("value")).alias("original_value"))
+    pred = d.select("parameter", F.col("value").alias("y"))
+    scale = Scale({"Hb": 130.0}, {"Hb": 25.0})
+    parts = [posterior.prediction_frame(pred, actual, 131.0, scale, m, key="parameter").withColumn("metric", F.lit(m)) for m in ("mean", "quantile")]
+    out = parts[0].unionByName(parts[1])
+    return out.select("metric", "parameter", r6("original_value").alias("original_value"), "original_label", r6("score").alias("score"), r6("sds").alias("sds"),
+                      r6("predicted_value").alias("predicted_value"), "predicted_label", F.col("score_predicted_label").alias("hit"))
+
+
+@query("model_list_reshape", f"WITH {DRAWS} SELECT draw, max(value) FILTER (parameter = 'p00') AS p00, max(value) FILTER (parameter = 'p07') AS p07 FROM draws GROUP BY draw")
+def _(t):
+    return posterior.model_list_reshape(t.draws(), ["p00", "p07"])

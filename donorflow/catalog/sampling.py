@@ -1 +1,116 @@
-"""Pending."""
+"""Splits, samples and class balance.
+
+Which subjects a seeded hash picks cannot be written in SQL; how many of each kind can.
+These queries therefore report the sizes of what they return.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from donorflow.catalog.bindings import DONATIONS, DONORS, JOINED, query, r6
+from donorflow.operators import sampling
+
+ORDER = ("clock", "don_id")
+
+
+def donors_of(df, *by):
+    """Subjects per group: a subject counts once."""
+    return df.select(*by, "donor").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("donors"))
+
+
+@query("split_three_way", f"""WITH {DONATIONS}, n AS (SELECT count(DISTINCT donor) AS n FROM donations)
+SELECT 'train' AS label, CAST(floor(0.64::DOUBLE * n) AS BIGINT) AS donors FROM n UNION ALL SELECT 'validate', CAST(floor(0.16::DOUBLE * n) AS BIGINT) FROM n
+UNION ALL SELECT 'test', CAST(n - floor(0.64::DOUBLE * n) - floor(0.16::DOUBLE * n) AS BIGINT) FROM n""")
+def _(t):
+    return donors_of(sampling.split_three_way(t.donations(), "donor", 42), "label")
+
+
+@query("split_mode", f"""WITH {JOINED} SELECT 'initial' AS mode, don_id, CASE label WHEN 'train' THEN 'train' ELSE 'test' END AS split FROM joined WHERE label <> 'test'
+UNION ALL SELECT 'final', don_id, CASE label WHEN 'test' THEN 'test' ELSE 'train' END FROM joined""")
+def _(t):
+    j = t.joined().select("don_id", "label")
+    parts = [sampling.split_mode(j, m).select(F.lit(m).alias("mode"), "don_id", "split") for m in ("initial", "final")]
+    return parts[0].unionByName(parts[1])
+
+
+_STRATA = f"""{DONATIONS}, l AS (SELECT donor, count(*) AS n FROM donations GROUP BY donor),
+q AS (SELECT quantile_cont(n, 0.25) AS a, quantile_cont(n, 0.5) AS b, quantile_cont(n, 0.75) AS c FROM l),
+s AS (SELECT donor, CAST(n > a AS INTEGER) + CAST(n > b AS INTEGER) + CAST(n > c AS INTEGER) AS stratum FROM l, q),
+k AS (SELECT stratum, count(*) AS n FROM s GROUP BY stratum)"""
+
+
+@query("split_two_way", f"WITH {_STRATA} SELECT 'train' AS split, CAST(sum(ceil(0.8::DOUBLE * n)) AS BIGINT) AS donors FROM k UNION ALL SELECT 'test', CAST(sum(n - ceil(0.8::DOUBLE * n)) AS BIGINT) FROM k")
+def _(t):
+    return donors_of(sampling.split_two_way(t.donations(), "donor", 0.8, 3), "split")
+
+
+@query("kfold_by_donor", f"""WITH {_STRATA}, f AS (SELECT stratum, unnest(range(1, n + 1)) AS i FROM k) SELECT CAST((i + stratum) % 4 AS INTEGER) AS fold, count(*) AS donors FROM f GROUP BY ALL""")
+def _(t):
+    return donors_of(sampling.kfold_by_donor(t.donations(), "donor", 4, 5), "fold")
+
+
+@query("sample_donors", f"""WITH {DONORS}, n AS (SELECT count(*) AS n FROM donors) SELECT 'share' AS kind, CAST(floor(0.3::DOUBLE * n) AS BIGINT) AS donors FROM n UNION ALL SELECT 'number', 40 FROM n""")
+def _(t):
+    d, p = t.donations(), t.donors()
+    parts = [sampling.sample_donors(d, p, a, 9, "donor")[1].select(F.lit(k).alias("kind"), "donor") for k, a in (("share", 0.3), ("number", 40))]
+    return donors_of(parts[0].unionByName(parts[1]), "kind")
+
+
+_SEXED = f"""{JOINED}, n AS (SELECT label, sex, count(DISTINCT donor) AS n FROM joined GROUP BY label, sex)"""
+
+
+@query("stratified_sample", f"""WITH {_SEXED} SELECT 'share' AS kind, label, sex, CAST(floor(0.5::DOUBLE * n) AS BIGINT) AS donors FROM n
+UNION ALL SELECT 'number', label, sex, least(n, CASE label WHEN 'train' THEN 38 WHEN 'validate' THEN 9 ELSE 13 END) FROM n""")
+def _(t):
+    j = t.joined().select("donor", "label", "sex")
+    parts = [sampling.stratified_sample(j, True, s, 11).withColumn("kind", F.lit(k)) for k, s in (("share", 0.5), ("number", 60))]
+    return donors_of(parts[0].unionByName(parts[1]), "kind", "label", "sex")
+
+
+def _balance_sql(base, target):
+    ratio = f"({1 - target}::DOUBLE / {target}::DOUBLE)"
+    return f"""e AS (SELECT donor, bool_or(Hb_deferral) AS ever FROM {base} GROUP BY donor), c AS (SELECT count(*) FILTER (ever) AS s, count(*) FILTER (NOT ever) AS n FROM e),
+b AS (SELECT CASE WHEN floor(s * {ratio}) <= n THEN s ELSE floor(n / {ratio}) END AS s, CASE WHEN floor(s * {ratio}) <= n THEN floor(s * {ratio}) ELSE n END AS n FROM c)
+SELECT TRUE AS ever, CAST(s AS BIGINT) AS donors FROM b UNION ALL SELECT FALSE, CAST(n AS BIGINT) FROM b"""
+
+
+def ever_counts(df):
+    return df.groupBy("donor").agg(F.max("Hb_deferral").alias("ever")).groupBy("ever").agg(F.count(F.lit(1)).alias("donors"))
+
+
+@query("balance_classes", f"WITH {JOINED}, {_balance_sql('joined', 0.5)}")
+def _(t):
+    return ever_counts(sampling.balance_classes(t.joined(), 0.5, 13))
+
+
+_TRIM = f"""{JOINED}, x AS (SELECT *, count(*) OVER (PARTITION BY donor) AS cnt, sum(CAST(Hb_deferral AS INTEGER)) OVER (PARTITION BY donor) AS hits, first_value(Hb_deferral) OVER (PARTITION BY donor ORDER BY date, don_id) AS f FROM joined),
+trimmed AS (SELECT * FROM x WHERE cnt > 1 AND NOT (hits = 1 AND f))"""
+
+
+@query("enrich", f"WITH {_TRIM}, {_balance_sql('trimmed', 0.4)}")
+def _(t):
+    return ever_counts(sampling.enrich(t.joined(), 0.4, 17, min_donors=10, order=ORDER))
+
+
+@query("upsample_minority", f"WITH {JOINED}, n AS (SELECT count(*) FILTER (Hb_deferral) AS a, count(*) FILTER (NOT Hb_deferral) AS b FROM joined) SELECT TRUE AS \"Hb_deferral\", greatest(a, b) AS n FROM n UNION ALL SELECT FALSE, greatest(a, b) FROM n")
+def _(t):
+    return sampling.upsample_minority(t.joined(), "Hb_deferral", 19, "don_id").groupBy("Hb_deferral").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("smote", f"""WITH {JOINED}, n AS (SELECT count(*) FILTER (Hb_deferral) AS a, count(*) FILTER (NOT Hb_deferral) AS b FROM joined)
+SELECT TRUE AS "Hb_deferral", FALSE AS synthetic, a AS n FROM n UNION ALL SELECT FALSE, FALSE, b FROM n UNION ALL SELECT TRUE, TRUE, b - a FROM n""")
+def _(t):
+    rows = t.joined().withColumn("low", F.col("Hb_deferral"))
+    out = sampling.smote(rows.select("don_id", "low", "age", "volume_drawn", "acctbal"), ["age", "volume_drawn", "acctbal"], "low", "don_id", seed=23)
+    return out.groupBy(F.col("low").alias("Hb_deferral"), "synthetic").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("class_weights", f"""WITH {JOINED} SELECT don_id, round(1 - count(*) OVER (PARTITION BY Hb_deferral) / count(*) OVER (), 6) AS weight FROM joined""")
+def _(t):
+    return sampling.class_weights(t.joined(), "Hb_deferral").select("don_id", r6("weight").alias("weight"))
+
+
+@query("permute_rows", f"WITH {DONATIONS} SELECT don_id, donor FROM donations")
+def _(t):
+    return sampling.permute_rows(t.donations().select("don_id", "donor"), 29, ["don_id"])

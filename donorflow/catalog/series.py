@@ -151,10 +151,10 @@ def _(t):
     return ordering.nearest_value(t.donations().select("don_id", "Hb"), "Hb", 151.5, "don_id")
 
 
-@query("ordered_levels", f"""WITH {DONATIONS}, x AS (SELECT donor, avg(CASE WHEN donat_phleb = 'K' THEN Hb END) AS a, avg(CASE WHEN donat_phleb = '*' THEN Hb END) AS b FROM donations GROUP BY donor)
+@query("ordered_levels", f"""WITH {DONATIONS}, x AS (SELECT donor, avg(CASE WHEN donat_phleb = 'K' THEN volume_drawn END) AS a, avg(CASE WHEN donat_phleb = '*' THEN volume_drawn END) AS b FROM donations GROUP BY donor)
 SELECT donor, round(a, 6) AS first_mean, round(b, 6) AS second_mean, row_number() OVER (ORDER BY a DESC NULLS LAST, b DESC NULLS LAST, donor) AS level FROM x""")
 def _(t):
-    o = ordering.ordered_levels(t.donations(), "donor", "donat_phleb", "Hb", "K", "*")
+    o = ordering.ordered_levels(t.donations(), "donor", "donat_phleb", "volume_drawn", "K", "*")
     return o.select("donor", r6("first_mean").alias("first_mean"), r6("second_mean").alias("second_mean"), "level")
 
 

@@ -52,7 +52,7 @@ def interval_extension(
     """
     p = {**COST_CONSTANTS, **(p or {})}
     tpr, fpr = _num(tpr), _num(fpr)
-    sex = F.lit(sex) if sex in ("male", "female", "both") else column(sex)
+    sex = F.lit(sex) if isinstance(sex, str) and sex in ("male", "female", "both") else column(sex)
     d = p["d"]
     returning = {"male": p["mr"], "female": p["fr"]}
     deferred = {"male": p["mdr"], "female": p["fdr"]}
@@ -97,6 +97,12 @@ def cost_columns(df: DataFrame, tpr6: Any, fpr6: Any, tpr12: Any, fpr12: Any, se
     return df.withColumns(out)
 
 
+def cost_surface(df: DataFrame, a: str, q: str, form: str = "simplified", rescale: float | None = None) -> DataFrame:
+    """Cost at every (a, q) pair of a grid; q can be shown as a share of the prevalence."""
+    out = df.withColumn("E", economic_cost(q, a, form=form))
+    return out.withColumn(q, F.col(q) / rescale) if rescale else out
+
+
 def cost_gradient(df: DataFrame, arguments: Mapping[str, Any], step: float = 1e-5) -> DataFrame:
     """Central differences of the new cost form in every argument, one column each."""
     base = {k: _num(v) for k, v in arguments.items()}

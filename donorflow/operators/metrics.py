@@ -37,11 +37,13 @@ def score_counts(df: DataFrame, score: str = "score", label: str = "label", by:
     return known.groupBy(*by, F.col(score).alias("threshold")).agg(positive.alias("pos"), negative.alias("neg"))
 
 
-def sweep_counts(counts: DataFrame, by: Sequence[str] = (), direction: str = ">=", chunk_rows: int | None = None) -> DataFrame:
+def sweep_counts(
+    counts: DataFrame, by: Sequence[str] = (), direction: str = ">=", chunk_rows: int | None = None, largest: int | None = None
+) -> DataFrame:
     """tp, fp, tn, fn when everything at least (or at most) the threshold is positive."""
     place = -F.col("threshold") if direction == ">=" else F.col("threshold")
     ordered = counts.withColumn("__place", place)
-    cum = running(ordered, "__place", by, chunk_rows, tp=RunSum("pos"), fp=RunSum("neg"), P=Total("pos"), N=Total("neg"))
+    cum = running(ordered, "__place", by, chunk_rows, largest, tp=RunSum("pos"), fp=RunSum("neg"), P=Total("pos"), N=Total("neg"))
     return cum.withColumns({"fn": F.col("P") - F.col("tp"), "tn": F.col("N") - F.col("fp")}).drop("__place")
 
 
@@ -134,15 +136,23 @@ def roc_curve(sweep: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def _placement(sweep: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Sums from which the area and its variance follow, ties counting one half."""
+def _area_sums() -> list[Column]:
+    """Sums from which the ROC area and its variance follow, ties counting one half."""
     below = (F.col("N") - F.col("fp") + 0.5 * F.col("neg")) / F.col("N")
     above = (F.col("tp") - 0.5 * F.col("pos")) / F.col("P")
-    return sweep.filter((F.col("P") > 0) & (F.col("N") > 0)).groupBy(*by).agg(
+    return [
         F.max("P").alias("P"), F.max("N").alias("N"),
         F.sum(F.col("pos") * below).alias("x1"), F.sum(F.col("pos") * below * below).alias("x2"),
         F.sum(F.col("neg") * above).alias("y1"), F.sum(F.col("neg") * above * above).alias("y2"),
-    )
+    ]
+
+
+def _defined(sweep: DataFrame) -> DataFrame:
+    return sweep.filter((F.col("P") > 0) & (F.col("N") > 0))
+
+
+def _placement(sweep: DataFrame, by: Sequence[str]) -> DataFrame:
+    return _defined(sweep).groupBy(*by).agg(*_area_sums())
 
 
 def auroc(sweep: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -171,8 +181,8 @@ def pr_curve(sweep: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def aupr(sweep: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Area under the precision-recall curve with Davis-Goadrich interpolation.
+def _pr_area() -> Column:
+    """Area of one segment of the precision-recall curve, times the number of positives.
 
     Between two operating points false positives grow linearly with true positives, so
     precision is a ratio of linear functions and its integral has a closed form. The
@@ -184,8 +194,12 @@ def aupr(sweep: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     start = (true0 + false0).cast("double")
     straight = gain / slope
     bend = (true0 - start / slope) / slope * F.log((start + slope * gain) / start)
-    area = F.when(gain <= 0, 0.0).when(start <= 0, straight).otherwise(straight + bend)
-    return sweep.filter((F.col("P") > 0) & (F.col("N") > 0)).groupBy(*by).agg((F.sum(area) / F.max("P")).alias("aupr"))
+    return F.when(gain <= 0, 0.0).when(start <= 0, straight).otherwise(straight + bend)
+
+
+def aupr(sweep: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Area under the precision-recall curve with Davis-Goadrich interpolation."""
+    return _defined(sweep).groupBy(*by).agg((F.sum(_pr_area()) / F.max("P")).alias("aupr"))
 
 
 def f1_score(df: DataFrame, score: str, label: str, threshold: float, by: Sequence[str] = ()) -> DataFrame:
@@ -328,12 +342,8 @@ def resample_cells(cells: DataFrame, groups: Sequence[Sequence[str]], replicates
     return frame.mapInPandas(draw, schema)
 
 
-def resample_counts(counts: DataFrame, replicates: int, seed: int, by: Sequence[str] = (), stratified: bool = True) -> DataFrame:
-    """Poisson weights for every distinct (score, label) count and replicate.
-
-    With ``stratified`` the weights of each class are scaled back to its size, so a
-    replicate keeps the class sizes as a stratified resample does.
-    """
+def resample_counts(counts: DataFrame, replicates: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
+    """Poisson weights for every distinct (score, label) count and replicate."""
     frame = counts.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     frame = frame.withColumns({
         "__kp": F.xxhash64(F.lit("p"), "replicate", "threshold", *by),
@@ -348,23 +358,33 @@ def resample_counts(counts: DataFrame, replicates: int, seed: int, by: Sequence[
                 pdf[name] = poisson_from_uniform(_numbers(seed, pdf[key]), pdf[name].to_numpy(dtype=float))
             yield pdf[[f.name for f in schema.fields]]
 
-    drawn = frame.mapInPandas(draw, schema)
-    if not stratified:
-        return drawn
-    sizes = counts.groupBy(*by).agg(F.sum("pos").alias("__allpos"), F.sum("neg").alias("__allneg"))
-    got = drawn.groupBy(*by, "replicate").agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__n"))
-    scale = join_groups(got, sizes, by).select(
-        *by, "replicate", F.try_divide(F.col("__allpos"), F.col("__p")).alias("__sp"), F.try_divide(F.col("__allneg"), F.col("__n")).alias("__sn")
-    )
-    scaled = drawn.join(scale, [*by, "replicate"])
-    return scaled.withColumns({"pos": F.col("pos") * F.col("__sp"), "neg": F.col("neg") * F.col("__sn")}).drop("__sp", "__sn")
+    return frame.mapInPandas(draw, schema)
 
 
-def curve_areas(counts: DataFrame, by: Sequence[str]) -> DataFrame:
-    """AUPR and AUROC per group from score counts."""
-    sweep = sweep_counts(counts, by)
-    joined = join_groups(aupr(sweep, by), auroc(sweep, by), by)
-    return joined.select(*by, F.col("aupr").alias("AUPR"), F.col("auroc").alias("AUROC"))
+def curve_areas(sweep: DataFrame, by: Sequence[str]) -> DataFrame:
+    """AUPR and AUROC per group in one aggregate."""
+    one = _defined(sweep).groupBy(*by).agg(*_area_sums(), F.sum(_pr_area()).alias("__pr"))
+    return one.select(*by, (F.col("__pr") / F.col("P")).alias("AUPR"), (F.col("x1") / F.col("P")).alias("AUROC"))
+
+
+def resampled_areas(counts: DataFrame, replicates: int, seed: int, by: Sequence[str], stratified: bool) -> DataFrame:
+    """Areas per replicate from Poisson weights of the distinct (score, label) counts.
+
+    With ``stratified`` the weights of each class are scaled back to the class size, as a
+    resample inside each class keeps it.
+    """
+    sizes = counts.groupBy(*by).agg(
+        F.sum("pos").alias("__allpos"), F.sum("neg").alias("__allneg"), F.count(F.lit(1)).alias("__rows")
+    )
+    largest = sizes.agg(F.max("__rows").alias("n")).first()["n"] or 0
+    known = join_groups(counts, sizes.drop("__rows"), by)
+    sweep = sweep_counts(resample_counts(known, replicates, seed, by), [*by, "replicate"], largest=largest)
+    if stratified:
+        up = F.try_divide(F.col("__allpos"), F.col("P"))
+        un = F.try_divide(F.col("__allneg"), F.col("N"))
+        scaled = {c: F.col(c) * up for c in ("pos", "tp", "P")} | {c: F.col(c) * un for c in ("neg", "fp", "N")}
+        sweep = sweep.withColumns(scaled)
+    return curve_areas(sweep, [*by, "replicate"])
 
 
 def bootstrap_ci(
@@ -379,9 +399,8 @@ def bootstrap_ci(
         return intervals(t, cells.select(*by, _f1("tp", "fp", "fn").alias("F1")), ["F1"], by, method)
     name = statistic.upper()
     counts = score_counts(df, score, label, by)
-    drawn = resample_counts(counts, replicates, seed, by)
-    t = curve_areas(drawn, [*by, "replicate"]).select(*by, "replicate", name)
-    return intervals(t, curve_areas(counts, by).select(*by, name), [name], by, method)
+    t = resampled_areas(counts, replicates, seed, by, True).select(*by, "replicate", name)
+    return intervals(t, curve_areas(sweep_counts(counts, by), by).select(*by, name), [name], by, method)
 
 
 def cost_by_threshold(
@@ -461,9 +480,9 @@ def cost_with_ci(
 
     counts = score_counts(df, score, label, by)
     drawn = measures(resample_cells(cells, [names], replicates, seed, by), [identifier, "replicate"])
-    areas = curve_areas(resample_counts(counts, replicates, seed, by, stratified=False), [identifier, "replicate"])
+    areas = resampled_areas(counts, replicates, seed, by, False)
     replicate_table = drawn.join(areas, [identifier, "replicate"], "left")
-    point = measures(cells, by).join(curve_areas(counts, by), identifier, "left")
+    point = measures(cells, by).join(curve_areas(sweep_counts(counts, by), by), identifier, "left")
     cis = intervals(replicate_table, point, COST_MEASURES, by, method)
     long = cis.unpivot([identifier, "variable"], ["value", "low", "high"], "type", "__v")
     cuts = best.unpivot([identifier], ["threshold6", "threshold12"], "variable", "__v").withColumn("type", F.lit("value"))

@@ -333,19 +333,25 @@ def running(
     order: str | Sequence[str],
     by: str | Sequence[str] = (),
     chunk_rows: int | None = None,
+    largest: int | None = None,
     **specs: Any,
 ) -> DataFrame:
     """Running values along one order of the whole table, or of each group in ``by``.
 
-    A table of at most ``chunk_rows`` rows (counted first) uses one window; a larger one
-    is cut, so that no group and no global order ends in a single task.
+    When the largest group has at most ``chunk_rows`` rows (counted first, unless the
+    caller knows a bound and passes ``largest``), one window per group does. Otherwise all
+    groups are cut, so that no group and no global order ends in a single task.
     """
     order, by = _names(order), _names(by)
     limit = chunk_rows or CHUNK_ROWS
-    rows = df.count()
     keys = by or ["__all"]
     frame = df if by else df.withColumn("__all", F.lit(0))
-    if rows <= limit:
+    rows = largest or 0
+    if largest is None or largest > limit:
+        sizes = frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+        found = sizes.agg(F.max("__rows").alias("largest"), F.sum("__rows").alias("rows")).first()
+        largest, rows = found["largest"] or 0, found["rows"] or 0
+    if largest <= limit:
         out = _over_windows(frame, keys, order, specs)
     else:
         out = _over_chunks(frame, keys, order, specs, rows, limit, False)

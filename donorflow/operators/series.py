@@ -125,7 +125,7 @@ def recent_deferrals(df: DataFrame, years: float = 2, flag: str = "Hb_deferral",
 
 
 def lifetime_count(df: DataFrame, donor: str = "donor", name: str = "nb_donat_progesa") -> DataFrame:
-    return attach(df, donor, **{name: Whole(F.count(F.lit(1)).cast("int"))})
+    return attach(df, donor, **{name: Whole(F.count(F.lit(1)))}).withColumn(name, F.col(name).cast("int"))
 
 
 def running_index(df: DataFrame, donor: str = "donor", order: Sequence[str] = ORDER, name: str = "i") -> DataFrame:
