@@ -18,7 +18,8 @@ DESIGN = ["days_to_previous_fb", "age", "previous_Hb_def", "warm_season", "recen
 
 
 def features(t):
-    return whole_series_features(t.raw_donations(), t.raw_donors(), Settings(), check=False)
+    """The feature table, kept for the several passes a design or a fit makes."""
+    return whole_series_features(t.raw_donations(), t.raw_donors(), Settings(), check=False).persist()
 
 
 def known(df):
@@ -79,7 +80,7 @@ def _(t):
     return d.rows.select("don_id", "split", r6("y").alias("y"), r6("Hb_lag").alias("Hb_lag"), r6("age").alias("age"))
 
 
-@query("legacy_designs", f"""WITH {FEATURES}, d AS (SELECT *, ln(days_to_previous_fb) AS logdays FROM features WHERE NOT first_event AND days_to_previous_fb IS NOT NULL AND previous_Hb_def IS NOT NULL),
+@query("legacy_designs", f"""WITH {FEATURES}, d AS (SELECT *, ln(days_to_previous_fb) AS logdays FROM features WHERE NOT first_event AND days_to_previous_fb > 0 AND previous_Hb_def IS NOT NULL),
 e AS (SELECT *, count(*) OVER (PARTITION BY donor) AS cnt, {_SPLIT} FROM d), k AS (SELECT * FROM e WHERE cnt >= 2)
 SELECT don_id, split, round((Hb - avg(Hb) OVER ()) / (2 * stddev_samp(Hb) OVER ()), 6) AS y, round((logdays - avg(logdays) OVER ()) / (2 * stddev_samp(logdays) OVER ()), 6) AS days, warm_season AS warm FROM k""")
 def _(t):

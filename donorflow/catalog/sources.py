@@ -10,8 +10,6 @@ from donorflow.plans.features import Settings, whole_series_features
 from donorflow.session import workspace
 from donorflow.sources import checks, delimited
 
-EMPTY = F.lit("")
-
 
 def text_of(frame, names, header, folder):
     """Write the columns as pipe-delimited lines and return the folder."""

@@ -161,6 +161,8 @@ def legacy_design(
 ) -> Design:
     """The older designs: log interval, types K, * and T, scaled over all rows.
 
+    An interval of zero days has no logarithm; such rows count as unknown and go.
+
     ``holdout`` is ``last`` (last event of each subject) or ``random`` (subjects).
     """
     from donorflow.operators.sampling import split_two_way
