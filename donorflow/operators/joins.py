@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from donorflow.operators.ordered import RunMax, RunSum, Whole, attach
+from donorflow.operators.ordered import RunMax, RunSum, Whole, attach, hot_keys
 from donorflow.session import broadcast_if_small
 
 
@@ -103,7 +104,8 @@ def asof_previous_full_blood(
     """
     number = F.datediff(F.col(day), F.lit("1970-01-01").cast("date"))
     days = df.groupBy(donor, day).agg(F.max(F.when(condition, number)).alias("__hit"))
-    seen = attach(days, donor, [day], __previous=RunMax("__hit", current=False))
+    hot = hot_keys(df, donor)
+    seen = attach(days, donor, [day], hot, __previous=RunMax("__hit", current=False))
     seen = seen.withColumn(name, number - F.col("__previous")).select(donor, day, name)
     return df.join(seen, [donor, day])
 
@@ -121,7 +123,8 @@ def calendar_range_count(
     bound = F.add_months(F.col(day), -months)
     real = days.select(donor, F.col(day).alias("__at"), F.col(day).alias("__x"), F.lit(0).alias("__kind"), "__n")
     ask = days.select(donor, F.col(day).alias("__at"), bound.alias("__x"), F.lit(1).alias("__kind"), (F.col("__n") * 0).alias("__n"))
-    run = attach(real.unionByName(ask), donor, ["__x", "__kind", "__at"], __c=RunSum("__n"))
+    hot = hot_keys(df, donor)
+    run = attach(real.unionByName(ask), donor, ["__x", "__kind", "__at"], replace(hot, rows=2 * hot.rows), __c=RunSum("__n"))
     before = F.max(F.when(F.col("__kind") == 0, F.col("__c") - F.col("__n")))
     upto = F.max(F.when(F.col("__kind") == 1, F.col("__c")))
     counts = run.groupBy(donor, F.col("__at").alias(day)).agg((before - upto).cast("long").alias(name))

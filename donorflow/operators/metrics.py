@@ -417,14 +417,18 @@ def cost_by_threshold(
     reached = F.size(F.filter(values, lambda t: t <= F.col(score)))
     scores = score_counts(df, score, label, by).withColumnRenamed("threshold", score)
     placed = scores.groupBy(*by, reached.alias("reached")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    tps = [F.sum(F.when(F.col("reached") > i, F.col("pos")).otherwise(0)) for i in range(len(grid))]
-    fps = [F.sum(F.when(F.col("reached") > i, F.col("neg")).otherwise(0)) for i in range(len(grid))]
+    # at most one cell per threshold and group from here on
     one = placed.groupBy(*by).agg(
-        F.sum("pos").alias("P"), F.sum("neg").alias("N"),
-        F.array(*[F.struct(F.lit(t).alias("probability"), a.alias("tp"), b.alias("fp")) for t, a, b in zip(grid, tps, fps)]).alias("g"),
+        F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.collect_list(F.struct("reached", "pos", "neg")).alias("cells")
     )
-    table = one.select(*by, "P", "N", F.explode("g").alias("g")).select(
-        *by, "g.probability", F.try_divide(F.col("g.tp"), F.col("P")).alias("TPR"), F.try_divide(F.col("g.fp"), F.col("N")).alias("FPR"),
+    table = one.select(*by, "P", "N", "cells", F.posexplode(values).alias("i", "probability"))
+
+    def at_least(name: str) -> Column:
+        cells = F.filter("cells", lambda c: c["reached"] > F.col("i"))
+        return F.aggregate(cells, F.lit(0).cast("long"), lambda total, c: total + c[name])
+
+    table = table.select(
+        *by, "probability", F.try_divide(at_least("pos"), F.col("P")).alias("TPR"), F.try_divide(at_least("neg"), F.col("N")).alias("FPR")
     )
     return cost_columns(table, "TPR", "FPR", "TPR", "FPR", sex, p)
 

@@ -9,7 +9,9 @@ subjects, and wrong for a subject that owns a third of the table, or for a globa
 * larger keys are cut into chunks of consecutive rows. Windows run inside a chunk, and
   one summary row per chunk carries sums, maxima and the last few rows forward.
 
-The two parts are unioned. Results are the same whichever way a row went.
+The two parts are unioned. Results are the same whichever way a row went. Rows that are cut
+are read several times (cut points, summaries, the rows themselves), so they are written to
+the checkpoint folder first; the plans stay short and a lost executor only rereads them.
 """
 
 from __future__ import annotations
@@ -17,13 +19,15 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from donorflow.session import reliable_checkpoint
+
 CHUNK_ROWS = 1_000_000
 MAX_CHUNKS = 4096
 POINTS_PER_CHUNK = 16
@@ -84,11 +88,25 @@ class SpanSum:
 
 @dataclass(frozen=True)
 class HotKeys:
-    """Keys with more rows than one chunk, and how many rows they hold together."""
+    """Keys with more rows than one chunk, and how many rows they hold together.
+
+    ``only`` says that a frame holds no other rows, so that it need not be split again.
+    """
 
     keys: tuple = ()
     rows: int = 0
-    chunk_rows: int = field(default=CHUNK_ROWS)
+    chunk_rows: int = CHUNK_ROWS
+    only: bool = False
+
+    def test(self, key: str) -> Column:
+        return F.coalesce(F.col(key).isin(list(self.keys)), F.lit(False))
+
+    def split(self, df: DataFrame, key: str) -> list[tuple[DataFrame, HotKeys]]:
+        """The ordinary rows, and (where there are any) the rows of hot keys, written once."""
+        if not self.keys:
+            return [(df, self)]
+        big = reliable_checkpoint(df.filter(self.test(key)))
+        return [(df.filter(~self.test(key)), HotKeys()), (big, replace(self, only=True))]
 
 
 def _names(value: str | Sequence[str]) -> list[str]:
@@ -320,12 +338,13 @@ def attach(
     order = _names(order)
     if hot is None:
         hot = hot_keys(df, key, chunk_rows)
-    if not hot.keys:
-        return _over_windows(df, [key], order, specs)
-    is_hot = F.coalesce(F.col(key).isin(list(hot.keys)), F.lit(False))
-    cold = _over_windows(df.filter(~is_hot), [key], order, specs)
-    big = _over_chunks(df.filter(is_hot), [key], order, specs, hot.rows, hot.chunk_rows, True)
-    return cold.unionByName(big)
+    if hot.only:
+        return _over_chunks(reliable_checkpoint(df), [key], order, specs, hot.rows, hot.chunk_rows, True)
+    parts = hot.split(df, key)
+    out = _over_windows(parts[0][0], [key], order, specs)
+    for big, own in parts[1:]:
+        out = out.unionByName(_over_chunks(big, [key], order, specs, own.rows, own.chunk_rows, True))
+    return out
 
 
 def running(
@@ -354,7 +373,7 @@ def running(
     if largest <= limit:
         out = _over_windows(frame, keys, order, specs)
     else:
-        out = _over_chunks(frame, keys, order, specs, rows, limit, False)
+        out = _over_chunks(reliable_checkpoint(frame), keys, order, specs, rows, limit, False)
     return out if by else out.drop("__all")
 
 

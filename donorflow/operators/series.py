@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from donorflow.functions.expr import column
 from donorflow.functions.metadata import YEAR_SECONDS
 from donorflow.operators.ordered import (
-    HotKeys, Lag, RunMax, RunSum, SpanSum, Total, Whole, attach, row_ranks,
+    HotKeys, Lag, RunMax, RunSum, SpanSum, Total, Whole, attach, hot_keys, row_ranks,
 )
 
 ORDER = ("date", "don_id")
@@ -97,6 +97,7 @@ def consecutive_deferrals(
     Deferrals so far minus deferrals so far at the last accepted row; both only grow, so
     two running values give it without a loop.
     """
+    hot = hot_keys(df, donor) if hot is None else hot
     ones = F.when(F.col(flag), 1).otherwise(0).cast("long")
     counted = attach(df, donor, order, hot, __before=RunSum(ones, current=False))
     accepted = F.when(~F.col(flag), F.col("__before"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,6 +64,7 @@ class Settings:
     southern: bool = False
     restrict: bool = False
     chunk_rows: int | None = None
+    keep_tagged: bool = True  # hold the tagged rows for the two passes that read them
 
 
 def read_events(donations: DataFrame, donors: DataFrame, settings: Settings, check: bool = True) -> DataFrame:
@@ -110,23 +112,37 @@ def _first_failed(*rules_in_order: tuple[int, Column]) -> Column:
     return out
 
 
-def tag_exclusions(events: DataFrame, settings: Settings, hot: HotKeys | None = None) -> DataFrame:
-    """Add ``step`` (first failed rule or NULL), ``first_event`` and ``days_to_previous_fb``."""
-    if hot is None:
-        hot = hot_keys(events, "donor", settings.chunk_rows)
-    row_rules = _first_failed(
+def _row_step() -> Column:
+    """First failed rule among those that look at one row."""
+    return _first_failed(
         (1, rules.differs("date", "dob")),
         (2, rules.known("date", "dob")),
         (3, rules.not_sentinel("date")),
         (4, rules.of_age("age")),
         (5, rules.known("Hb")),
     )
-    rows = events.withColumn("__row_step", row_rules)
+
+
+def window_end(events: DataFrame) -> Column:
+    """Newest day of the table, in seconds.
+
+    The newest day survives the last-try rule, so it is known before any shuffle.
+    """
+    newest = events.filter(_row_step().isNull()).agg(F.max("dateonly").cast("timestamp").alias("end"))
+    return F.unix_timestamp(newest.scalar())
+
+
+def tag_exclusions(
+    events: DataFrame, settings: Settings, hot: HotKeys | None = None, end: Column | None = None
+) -> DataFrame:
+    """Add ``step`` (first failed rule or NULL), ``first_event`` and ``days_to_previous_fb``."""
+    if hot is None:
+        hot = hot_keys(events, "donor", settings.chunk_rows)
+    rows = events.withColumn("__row_step", _row_step())
     alive = F.col("__row_step").isNull()
     in_window = F.lit(True)
     if settings.restrict:
-        # the newest day survives the last-try rule, so it is known before any shuffle
-        end = F.unix_timestamp(rows.filter(alive).agg(F.max("dateonly").cast("timestamp").alias("end")).scalar())
+        end = window_end(events) if end is None else end
         at = F.unix_timestamp(F.col("dateonly").cast("timestamp"))
         in_window = at >= end - 5 * YEAR_SECONDS
     days = attach(
@@ -167,15 +183,21 @@ def exclusion_audit(tagged: DataFrame, donor: str = "donor") -> DataFrame:
     A subject is gone at the last step of its rows, so subjects are counted once by that
     step; the totals before each rule are suffix sums over the dozen rules.
     """
-    spark = tagged.sparkSession
     kept = REASONS[-1][0] + 1
     steps = tagged.select(donor, F.coalesce("step", F.lit(kept)).alias("step"))
-    per_donor = steps.groupBy(donor, "step").agg(F.count(F.lit(1)).alias("n"))
-    rows = per_donor.groupBy("step").agg(F.sum("n").alias("rows"))
-    gone = per_donor.groupBy(donor).agg(F.max("step").alias("step"))
-    gone = gone.groupBy("step").agg(F.count(F.lit(1)).alias("donors"))
-    listed = spark.createDataFrame([*REASONS, (kept, "kept")], "step int, reason string")
-    table = listed.join(rows, "step", "left").join(gone, "step", "left").fillna(0, ["rows", "donors"])
+    numbers = range(1, kept + 1)
+    per_donor = steps.groupBy(donor).agg(
+        F.max("step").alias("gone"), *[F.sum((F.col("step") == i).cast("long")).alias(f"n{i}") for i in numbers]
+    )
+    small = per_donor.groupBy("gone").agg(F.count(F.lit(1)).alias("donors"), *[F.sum(f"n{i}").alias(f"n{i}") for i in numbers])
+    names = dict(REASONS) | {kept: "kept"}
+    per_step = F.explode(F.array(*[
+        F.struct(
+            F.lit(i).alias("step"), F.lit(names[i]).alias("reason"), F.col(f"n{i}").alias("rows"),
+            F.when(F.col("gone") == i, F.col("donors")).otherwise(0).alias("donors"),
+        ) for i in numbers
+    ]))
+    table = small.select(per_step.alias("s")).select("s.*").groupBy("step", "reason").agg(F.sum("rows").alias("rows"), F.sum("donors").alias("donors"))
     # one row per rule: a dozen rows at most
     after = Window.partitionBy(F.lit(0)).orderBy(F.col("step").desc()).rowsBetween(Window.unboundedPreceding, 0)
     table = table.withColumns({"rows_before": F.sum("rows").over(after), "donors_before": F.sum("donors").over(after)})
@@ -185,12 +207,20 @@ def exclusion_audit(tagged: DataFrame, donor: str = "donor") -> DataFrame:
     )
 
 
-def derive_features(tagged: DataFrame, settings: Settings, hot: HotKeys | None = None) -> DataFrame:
+def mean_hour_of(tagged: DataFrame) -> Column:
+    """Mean hour of the kept rows that are not at midnight."""
+    hours = tagged.filter(F.col("step").isNull()).select(expr.hour_numeric("date").alias("hour"))
+    return hours.filter(F.col("hour") != 0).agg(F.avg("hour").alias("hour")).scalar()
+
+
+def derive_features(
+    tagged: DataFrame, settings: Settings, hot: HotKeys | None = None, mean_hour: Column | None = None
+) -> DataFrame:
     """Lags, run lengths and sliding counts of the rows that no rule dropped."""
+    mean_hour = mean_hour_of(tagged) if mean_hour is None else mean_hour
     kept = tagged.filter(F.col("step").isNull()).withColumn("hour", expr.hour_numeric("date"))
     if hot is None:
         hot = hot_keys(kept, "donor", settings.chunk_rows)
-    mean_hour = kept.filter(F.col("hour") != 0).agg(F.avg("hour").alias("hour")).scalar()
     order = ["clock", "don_id"]
     low = F.when(F.col("Hb_deferral"), 1).otherwise(0).cast("long")
     whole = F.when(F.col("donat_phleb") == "K", 1).otherwise(0).cast("long")
@@ -222,18 +252,39 @@ def derive_features(tagged: DataFrame, settings: Settings, hot: HotKeys | None =
     }).select(*FEATURE_COLUMNS, *label)
 
 
+def _tagged_parts(
+    donations: DataFrame, donors: DataFrame, settings: Settings, check: bool
+) -> list[tuple[DataFrame, HotKeys]]:
+    """Tagged rows of ordinary subjects and, apart from them, of hot ones.
+
+    Hot subjects are found on the raw key column alone. The parts stay apart through the
+    whole chain, so that no step has to look for hot rows again.
+    """
+    events = read_events(donations, donors, settings, check)
+    key = "KEY_DONOR" if "KEY_DONOR" in donations.columns else "donor"
+    hot = hot_keys(donations, key, settings.chunk_rows)
+    end = window_end(events) if settings.restrict else None
+    return [(tag_exclusions(part, settings, own, end), own) for part, own in hot.split(events, "donor")]
+
+
 def whole_series_features(
     donations: DataFrame, donors: DataFrame, settings: Settings = Settings(), check: bool = True
 ) -> DataFrame:
     """Raw tables to the feature table."""
-    events = read_events(donations, donors, settings, check)
-    hot = hot_keys(events, "donor", settings.chunk_rows)
-    return derive_features(tag_exclusions(events, settings, hot), settings, hot)
+    parts = _tagged_parts(donations, donors, settings, check)
+    if settings.keep_tagged:
+        # the mean hour and the features both read them
+        parts = [(tagged.filter(F.col("step").isNull()).persist(), own) for tagged, own in parts]
+    mean_hour = mean_hour_of(_stack([tagged for tagged, _ in parts]))
+    return _stack([derive_features(tagged, settings, own, mean_hour) for tagged, own in parts])
 
 
 def audit(donations: DataFrame, donors: DataFrame, settings: Settings = Settings(), check: bool = True) -> DataFrame:
-    events = read_events(donations, donors, settings, check)
-    return exclusion_audit(tag_exclusions(events, settings))
+    return exclusion_audit(_stack([tagged for tagged, _ in _tagged_parts(donations, donors, settings, check)]))
+
+
+def _stack(parts: Sequence[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def additional_preprocess(features: DataFrame, variables: Sequence[str], counts: Sequence[str] = ()) -> DataFrame:

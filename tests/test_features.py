@@ -141,7 +141,7 @@ NAMES = [
 ]
 
 
-@pytest.mark.parametrize("restrict,chunk_rows", [(False, None), (True, None), (False, 6), (True, 6)])
+@pytest.mark.parametrize("restrict,chunk_rows", [(False, None), (True, None), (True, 12)])
 def test_features_and_audit_match_a_plain_loop(spark, restrict, chunk_rows):
     raw = make_raw()
     want, log = loop(*raw, restrict=restrict)
