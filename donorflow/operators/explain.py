@@ -91,18 +91,22 @@ def permutation_importance(
 ) -> DataFrame:
     """Growth of the squared error when one column is shuffled, per variable.
 
-    A shuffle pairs two hash orders of the rows: an exact permutation by one equi-join.
+    Rows are put in a hash order and each variable is taken from the row a fixed number of
+    places further, a different number per variable. That is a permutation without fixed
+    points, and one equi-join on the place serves all variables.
     """
     rows = df.select(key, F.col(label).cast("double").alias("__y"), *[F.col(f).cast("double").alias(f) for f in features])
-    rows = hash_ranks(rows, key, seed).drop("size").persist()
-    tagged = [rows.drop("rank").withColumn("Variable", F.lit(""))]
-    for i, f in enumerate(features):
-        donor = hash_ranks(rows.select(key, F.col(f).alias("__new")), key, seed + 1 + i).select("rank", "__new")
-        shuffled = rows.join(donor, "rank").withColumn(f, F.col("__new"))
-        tagged.append(shuffled.select(key, "__y", *features).withColumn("Variable", F.lit(f)))
-    stacked = tagged[0]
-    for t in tagged[1:]:
-        stacked = stacked.unionByName(t)
-    loss = score(stacked).groupBy("Variable").agg(F.avg(F.pow(F.col("score") - F.col("__y"), 2)).alias("loss"))
-    base = loss.filter(F.col("Variable") == "").select("loss").scalar()
-    return loss.filter(F.col("Variable") != "").select("Variable", (F.col("loss") - base).alias("Importance"))
+    rows = hash_ranks(rows, key, seed).persist()
+    names = F.explode(F.array(*[F.lit(f) for f in features])).alias("Variable")
+    wide = rows.select("*", names)
+    step = 1 + F.pmod(F.xxhash64(F.lit(seed), "Variable"), F.greatest(F.col("size") - 1, F.lit(1)))
+    wide = wide.withColumn("__at", F.pmod(F.col("rank") + step - 1, F.col("size")) + 1)
+    source = rows.select(F.col("rank").alias("__at"), F.struct(*features).alias("__w"))
+    swapped = [F.when(F.col("Variable") == f, F.col(f"__w.{f}")).otherwise(F.col(f)).alias(f) for f in features]
+    shuffled = wide.join(source, "__at").select("Variable", "__y", *swapped)
+    both = shuffled.unionByName(rows.select(F.lit("").alias("Variable"), "__y", *features))
+    error = F.pow(F.col("score") - F.col("__y"), 2)
+    losses = [F.avg(F.when(F.col("Variable") == f, error)).alias(f) for f in features]
+    one = score(both).agg(F.avg(F.when(F.col("Variable") == "", error)).alias("__base"), *losses)
+    long = one.unpivot(["__base"], list(features), "Variable", "loss")
+    return long.select("Variable", (F.col("loss") - F.col("__base")).alias("Importance"))

@@ -161,9 +161,10 @@ def grid_search_cv(
     for r in range(repeats):
         ranked = hash_ranks(frame.select(key).distinct(), key, seed + r)
         data = frame.join(ranked.select(key, (F.col("rank") % folds).cast("int").alias("fold")), key)
-        data = data.select("features", "label_index", "fold")
+        data = data.select("features", "label_index", "fold").persist()
         cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=evaluator, numFolds=folds, foldCol="fold", parallelism=parallelism)
         sums += np.array(cv.fit(data).avgMetrics)
+        data.unpersist()
     rows = [{**{p.name: str(v) for p, v in m.items()}, "auroc": float(s / repeats)} for m, s in zip(maps, sums)]
     best = maps[int(np.argmax(sums))]
     return train.sparkSession.createDataFrame(rows), {p.name: v for p, v in best.items()}

@@ -41,6 +41,12 @@ def _dot(columns: Sequence[str], weights: Sequence[float]) -> Column:
     return sum((F.col(c) * float(w) for c, w in zip(columns, weights)), F.lit(0.0))
 
 
+def _weighted(weights: np.ndarray) -> Column:
+    """Weighted sum of the array column v."""
+    products = F.zip_with(F.col("v"), F.lit([float(w) for w in weights]), lambda a, b: a * b)
+    return F.aggregate(products, F.lit(0.0), lambda total, p: total + p)
+
+
 def mixed_model(
     design: Design, iterations: int = 200, warmup: int = 100, seed: int = 1, dynamic: bool = False,
     chains: int = 1, donor: str = "donor",
@@ -78,8 +84,11 @@ def mixed_model(
         full, first_n = gram(first, [*znames, "y1"])
         y1y1, zy, zz = full[-1, -1], full[:-1, -1], full[:-1, :-1]
         stats = first.join(stats, donor, "left").fillna(0.0)
-    stats = stats.persist()
+    # n, sum y, sums of x [, first y, z], 1: every quantity of a sweep is a weighted sum of these
+    parts = ["n", "sy", *sums, *(["y1", *znames] if dynamic else [])]
+    stats = stats.select(donor, F.array(*[F.col(c) for c in parts], F.lit(1.0)).alias("v")).persist()
     donors = stats.count()
+    place = {name: i for i, name in enumerate([*parts, "one"])}
 
     out = []
     for chain in range(chains):
@@ -87,18 +96,28 @@ def mixed_model(
         beta, sb, se = np.zeros(len(x)), 1.0, 1.0
         ups, theta, sh = np.zeros(len(z)), 1.0, 1.0
         for sweep in range(iterations):
-            precision = F.col("n") / se**2 + 1 / sb**2
-            pull = (F.col("sy") - _dot(sums, beta)) / se**2
+            # weights travel as array literals, so that all sweeps share one compiled plan
+            precision, pull = np.zeros(len(place)), np.zeros(len(place))
+            precision[place["n"]], precision[place["one"]] = 1 / se**2, 1 / sb**2
+            pull[place["sy"]] = 1 / se**2
+            pull[[place[c] for c in sums]] = -beta / se**2
             if dynamic:
-                precision = precision + theta**2 / sh**2
-                pull = pull + theta * (F.col("y1") - _dot(znames, ups)) / sh**2
-            noise = gaussian(seed, F.lit(chain), F.lit(sweep), donor)
+                precision[place["one"]] += theta**2 / sh**2
+                pull[place["y1"]] = theta / sh**2
+                pull[[place[c] for c in znames]] = -theta * ups / sh**2
+            noise = gaussian(seed, F.lit([chain, sweep]), donor)
+            effect = stats.select("v", _weighted(precision).alias("__p"), _weighted(pull).alias("__m"), noise.alias("__e"))
+            effect = effect.select("v", (F.col("__m") / F.col("__p") + F.col("__e") / F.sqrt("__p")).alias("b"))
             b = F.col("b")
-            aggs = [F.sum(b * b).alias("bb"), F.sum(F.col("n") * b * b).alias("nbb"), F.sum(b * F.col("sy")).alias("by")]
-            aggs += [F.sum(b * F.col(s)).alias(f"b{s}") for s in sums]
+
+            def total(name: str) -> Column:
+                return F.sum(b * F.get("v", F.lit(place[name])))
+
+            aggs = [F.sum(b * b).alias("bb"), F.sum(b * b * F.get("v", F.lit(0))).alias("nbb"), total("sy").alias("by")]
+            aggs += [total(s).alias(f"b{s}") for s in sums]
             if dynamic:
-                aggs += [F.sum(b * F.col("y1")).alias("by1")] + [F.sum(b * F.col(c)).alias(f"b{c}") for c in znames]
-            one = stats.withColumn("b", pull / precision + noise / F.sqrt(precision)).agg(*aggs).first()
+                aggs += [total("y1").alias("by1")] + [total(c).alias(f"b{c}") for c in znames]
+            one = effect.agg(*aggs).first()
             bx = np.array([one[f"b{s}"] for s in sums])
             beta = _draw_normal(rng, xx / se**2 + np.eye(len(x)), (xy - bx) / se**2)
             residual = yy - 2 * beta @ xy + beta @ xx @ beta - 2 * (one["by"] - beta @ bx) + one["nbb"]
