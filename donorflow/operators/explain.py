@@ -65,7 +65,7 @@ def shap_long(phi: DataFrame, df: DataFrame, features: Sequence[str], key: str =
     joined = phi.join(values, [key, "Variable"])
     stats = joined.groupBy("Variable").agg(F.avg("value").alias("__m"), F.stddev_samp("value").alias("__s"))
     z = F.try_divide(F.col("value") - F.col("__m"), F.col("__s"))
-    # one row per variable
+    # at most one row per listed feature
     out = joined.join(F.broadcast(stats), "Variable").select(key, "Variable", "attribution", z.alias("value"))
     if seed is not None:
         out = out.orderBy(F.xxhash64(F.lit(seed), key, "Variable"))

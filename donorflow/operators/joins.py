@@ -66,8 +66,8 @@ def attach_donor_variables(df: DataFrame, dim: DataFrame, key: str = "donor") ->
 
 
 def attach_metadata(df: DataFrame, descriptions: DataFrame, on: str = "Variable") -> DataFrame:
-    """Left join of the fixed variable table (tens of rows)."""
-    return df.join(F.broadcast(descriptions), on, "left")
+    """Left join of variable descriptions; Spark broadcasts them when they are small."""
+    return df.join(descriptions, on, "left")
 
 
 def composite_key_join(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from donorflow.functions.cost import cost_columns
 from donorflow.functions.expr import to_mmol
 from donorflow.operators.ordered import RunSum, Total, exact_quantiles, running, uniform
+from donorflow.session import small_table
 
 Z95 = 1.959963984540054  # normal quantile of 0.975
 
@@ -461,6 +462,7 @@ def cost_with_ci(
     sex = F.get(F.split(F.col(identifier), "-", 3), 1)
     grid = cost_by_threshold(df, thresholds, score, label, by, sex, p)
     best = optimal_cost_threshold(grid, by)
+    best = small_table(best)
     known = df.join(best.select(identifier, "threshold6", "threshold12"), identifier)
     at6, at12, at1 = (F.col(score) >= t for t in (F.col("threshold6"), F.col("threshold12"), F.lit(f1_threshold)))
     code = at6.cast("int") * 4 + at12.cast("int") * 2 + at1.cast("int")

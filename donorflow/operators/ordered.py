@@ -365,15 +365,20 @@ def running(
     limit = chunk_rows or CHUNK_ROWS
     keys = by or ["__all"]
     frame = df if by else df.withColumn("__all", F.lit(0))
-    rows = largest or 0
+    rows, held = largest or 0, False
     if largest is None or largest > limit:
+        # counted here and read again below: hold the rows instead of computing them twice
+        frame, held = frame.persist(), True
         sizes = frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
         found = sizes.agg(F.max("__rows").alias("largest"), F.sum("__rows").alias("rows")).first()
         largest, rows = found["largest"] or 0, found["rows"] or 0
     if largest <= limit:
         out = _over_windows(frame, keys, order, specs)
     else:
-        out = _over_chunks(reliable_checkpoint(frame), keys, order, specs, rows, limit, False)
+        written = reliable_checkpoint(frame)
+        if held:
+            frame.unpersist()
+        out = _over_chunks(written, keys, order, specs, rows, limit, False)
     return out if by else out.drop("__all")
 
 

@@ -339,7 +339,7 @@ def effect_size_by_sex(male: DataFrame, female: DataFrame, importance: DataFrame
         F.lit("both").alias("sex"), F.lit("Importance").alias("method"),
     )
     stacked = effects.select("Pretty", "mean", "low", "high", "sex", "method").unionByName(shown)
-    return F.broadcast(variables).join(stacked, "Pretty", "left")
+    return variables.join(stacked, "Pretty", "left")
 
 
 def last_rows(df: DataFrame, donor: str, order: Sequence[str]) -> DataFrame:

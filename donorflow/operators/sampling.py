@@ -7,12 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from donorflow.functions.expr import recode
 from donorflow.functions.metadata import SPLIT_SHARES
 from donorflow.operators import ordered
 from donorflow.operators.ordered import Lag, exact_quantiles, hash_ranks, running, uniform
 from donorflow.operators.series import trim_after_last_deferral
 
 
+MAX_CLASSES = 1000
+
+
 def split_three_way(
     df: DataFrame, key: str, seed: int = 42, shares: Sequence[tuple[str, float]] = SPLIT_SHARES, name: str = "label"
 ) -> DataFrame:
@@ -200,11 +204,15 @@ def smote(
 
 
 def class_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    """Case weight 1 - share of the row's class (one row per class is joined)."""
-    shares = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    weights = shares.select(label, (1 - F.col("__n") / total).alias(name))
-    return df.join(weights, label)
+    """Case weight 1 - share of the row's class.
+
+    The few class sizes become part of the expression, so the rows are not shuffled.
+    """
+    counts = df.groupBy(label).count().limit(MAX_CLASSES + 1).collect()
+    if len(counts) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes in {label}")
+    total = sum(r["count"] for r in counts)
+    return df.withColumn(name, recode(label, {r[0]: 1 - r["count"] / total for r in counts}))
 
 
 def permute_rows(df: DataFrame, seed: int, keys: Sequence[str]) -> DataFrame:

@@ -50,6 +50,17 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if found <= rows else df
 
 
+def small_table(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """A result of at most ``rows`` rows as a broadcast local table; a larger one as it is.
+
+    For one-row-per-model tables that several later joins use: they are computed once.
+    """
+    found = df.limit(rows + 1).collect()
+    if len(found) > rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(found, df.schema))
+
+
 def workspace(spark: SparkSession, name: str) -> str:
     """A new folder under the shared checkpoint folder (a local one only where none is set)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
