@@ -36,6 +36,8 @@ class Tables:
     """Lazy access to the tables of one scale factor."""
 
     def __init__(self, spark: SparkSession, folder: str):
+        # the tables hold zone-less times; reading them as UTC is what the SQL does
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:
@@ -190,7 +192,7 @@ g1 AS (SELECT *, CAST(Hb_deferral AS INTEGER) AS low, CASE WHEN donat_phleb = 'K
 g2 AS (SELECT *, last_value(CASE WHEN NOT Hb_deferral THEN c END IGNORE NULLS) OVER (PARTITION BY donor ORDER BY date, don_id ROWS UNBOUNDED PRECEDING) AS c0 FROM g1),
 features AS (SELECT don_id, donor, Hb, dateonly, clock, lag(Hb_deferral) OVER w AS previous_Hb_def, days_to_previous_fb, donat_phleb, sex, age,
   Hb_deferral, CAST(count(*) OVER (PARTITION BY donor) AS INTEGER) AS nb_donat_progesa, 0 AS nb_donat_outside, first_event,
-  lag(Hb, 1, 0.0) OVER w AS previous_Hb, CAST(year(dateonly) AS INTEGER) AS year, CASE WHEN month(dateonly) BETWEEN 4 AND 9 THEN 1.0 ELSE 0.0 END AS warm_season,
+  lag(Hb, 1, 0.0) OVER w AS previous_Hb, CAST(year(dateonly) AS INTEGER) AS year, CASE WHEN month(dateonly) BETWEEN 4 AND 9 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS warm_season,
   first_value(Hb) OVER w AS Hb_first, CASE WHEN h = 0 THEN (SELECT avg(h) FROM g1 WHERE h <> 0) ELSE h END AS hour,
   CAST(lag(c - coalesce(c0, 0), 1, 0) OVER w AS INTEGER) AS consecutive_deferrals,
   CAST(sum(whole) OVER (PARTITION BY donor ORDER BY clock RANGE BETWEEN 157788000 PRECEDING AND CURRENT ROW) - whole AS INTEGER) AS recent_donations,

@@ -46,7 +46,7 @@ def _(t):
     return c.select(r6("threshold").alias("threshold"), r6("sum_sens_spec").alias("sum_sens_spec"))
 
 
-@query("apply_threshold", f"WITH {SCORES} SELECT id, CASE WHEN score >= 0.35 THEN 1 ELSE 0 END AS hit, 0.35 AS f1_threshold FROM scores")
+@query("apply_threshold", f"WITH {SCORES} SELECT id, CASE WHEN score >= 0.35 THEN 1 ELSE 0 END AS hit, 0.35::DOUBLE AS f1_threshold FROM scores")
 def _(t):
     return metrics.apply_threshold(t.scores(), "score", 0.35, "hit").select("id", "hit", "f1_threshold")
 
@@ -117,7 +117,7 @@ def _(t):
 
 
 @query("dummy_classifiers", f"""WITH {SCORES}, p AS (SELECT avg(label) AS p FROM scores)
-SELECT id, round(p, 6) AS prior, CASE WHEN p >= 0.5 THEN 1.0 ELSE 0.0 END AS most_frequent, 1.0 AS deferred FROM scores, p""")
+SELECT id, round(p, 6) AS prior, CASE WHEN p >= 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS most_frequent, 1.0::DOUBLE AS deferred FROM scores, p""")
 def _(t):
     s = t.scores().select("id", "label")
     for kind in ("prior", "most_frequent", "deferred"):

@@ -156,7 +156,7 @@ def _(t):
     return s.select("a", r6("q").alias("q"), r6("E").alias("E"))
 
 
-@query("cost_gradient", f"""WITH {_POINTS} SELECT a, q, round(-60 * 0.03269718 - 2 * (1 - 0.1066) * 0.03269718 * 0.1, 5) AS d_q, round(2 * (1 - 0.1066) / pow(1 + 0.1066 * (a - 1), 2), 5) AS d_atot,
+@query("cost_gradient", f"""WITH {_POINTS} SELECT a, q, round((-60 * 0.03269718 - 2 * (1 - 0.1066) * 0.03269718 * 0.1)::DOUBLE, 5) AS d_q, round(2 * (1 - 0.1066) / pow(1 + 0.1066 * (a - 1), 2), 5) AS d_atot,
   round(a / (1 + 0.1066 * (a - 1)) - 1 - (1 - 0.1066) * 0.03269718 * q * 0.1, 5) AS "d_Pm", round(-0.03269718 * q, 5) AS "d_Pd" FROM pts""")
 def _(t):
     g = cost.cost_gradient(points(t), {"q": "q", "atot": "a", "Pm": 2.0, "Pd": 60.0, "F": 1.0, "Fn": 0.1066, "rloss": 0.1})

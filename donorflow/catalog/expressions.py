@@ -49,8 +49,8 @@ def _(t):
     return t.joined().select("don_id", expr.age_at_event("dob", "date").alias("age"))
 
 
-@query("date_parts", f"""WITH {ATTEMPTS} SELECT don_id, year(date) AS year, month(date) AS month, day(date) AS day, hour(date) AS hour,
-  (dayofyear(date) - 1) // 7 + 1 AS week FROM attempts""")
+@query("date_parts", f"""WITH {ATTEMPTS} SELECT don_id, year(date)::INTEGER AS year, month(date)::INTEGER AS month, day(date)::INTEGER AS day, hour(date)::INTEGER AS hour,
+  ((dayofyear(date) - 1) // 7 + 1)::INTEGER AS week FROM attempts""")
 def _(t):
     return t.attempts().select("don_id", *[c.alias(n.lower()) for n, c in expr.date_parts("date").items()])
 
@@ -68,8 +68,8 @@ def _(t):
     return rows.select("don_id", r6(F.when(F.col("hour") == 0, mean).otherwise(F.col("hour"))).alias("hour"))
 
 
-@query("warm_season", f"""WITH {DONATIONS} SELECT don_id, CASE WHEN month(date) BETWEEN 4 AND 9 THEN 1.0 ELSE 0.0 END AS north,
-  CASE WHEN month(date) BETWEEN 4 AND 9 THEN 0.0 ELSE 1.0 END AS south FROM donations""")
+@query("warm_season", f"""WITH {DONATIONS} SELECT don_id, CASE WHEN month(date) BETWEEN 4 AND 9 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS north,
+  CASE WHEN month(date) BETWEEN 4 AND 9 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS south FROM donations""")
 def _(t):
     return t.donations().select("don_id", expr.warm_season(F.month("date")).alias("north"), expr.warm_season(F.month("date"), True).alias("south"))
 
@@ -102,7 +102,7 @@ ANSWERS = {
 
 
 @query("ordinal_encode", f"""WITH {DONORS} SELECT donor, CASE WHEN donor % 7 < 6 THEN donor % 7 END AS physical_condition, CASE WHEN donor % 7 < 6 THEN donor % 7 END AS meat_amount,
-  CASE donor % 7 WHEN 4 THEN NULL WHEN 5 THEN 0 WHEN 6 THEN 1 ELSE donor % 7 END AS sleep_quality, CASE WHEN donor % 2 = 0 THEN 0 ELSE 1 END AS smoking_status,
+  CASE donor % 7 WHEN 4 THEN NULL WHEN 5 THEN 0 WHEN 6 THEN 1 ELSE donor % 7 END AS sleep_quality, CASE WHEN donor % 2 = 0 THEN 0::BIGINT ELSE 1::BIGINT END AS smoking_status,
   CASE WHEN donor % 3 = 0 THEN 0 ELSE donor % 40 END AS iron_supplement FROM donors""")
 def _(t):
     key = F.col("donor")

@@ -28,7 +28,7 @@ def known(df):
 
 
 @query("standardize_2sd", f"""WITH {DONATIONS}, s AS (SELECT avg(Hb) AS m, stddev_samp(Hb) AS s, avg(volume_drawn) AS vm, stddev_samp(volume_drawn) AS vs FROM donations)
-SELECT don_id, round((Hb - m) / (2 * s), 6) AS Hb, round((volume_drawn - vm) / (2 * vs), 6) AS volume_drawn, 0.0 AS fixed FROM donations, s""")
+SELECT don_id, round((Hb - m) / (2 * s), 6) AS Hb, round((volume_drawn - vm) / (2 * vs), 6) AS volume_drawn, 0.0::DOUBLE AS fixed FROM donations, s""")
 def _(t):
     out, _ = scaling.standardize_2sd(t.donations().withColumn("fixed", F.lit(500.0)), ["Hb", "volume_drawn", "fixed"])
     return out.select("don_id", r6("Hb").alias("Hb"), r6("volume_drawn").alias("volume_drawn"), "fixed")

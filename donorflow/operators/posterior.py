@@ -54,7 +54,8 @@ def mixed_model(
     """Posterior draws (chain, parameter, draw, value) of a random-intercept model.
 
     y = x beta + b[donor] + eps; with ``dynamic`` the first event of a subject follows
-    y = Z ups + theta b[donor] + eeta. Coefficients have N(0, 1) priors.
+    y = Z ups + theta b[donor] + eeta. Donor constants add C phi to both equations.
+    Coefficients have N(0, 1) priors.
 
     Each subject is reduced once to a few sums, kept in memory. A Gibbs sweep is one
     aggregate over subjects: the effect b is a function of the sums, the parameters and a
@@ -62,13 +63,14 @@ def mixed_model(
     """
     spark = design.rows.sparkSession
     rows = design.rows.filter(F.col("split") == "train")
-    x, z = list(design.variables), []
+    constants, z = [], []
     if design.constants is not None:
-        extra = [c for c in design.constants.columns if c != donor]
+        constants = [c for c in design.constants.columns if c != donor]
         rows = rows.join(design.constants, donor)
-        x = [*x, *extra]
-    later = rows.filter(~F.col("is_first")) if dynamic else rows
+    x = [*design.variables, *constants]
     names = [f"__x{i}" for i in range(len(x))]
+    shared = slice(len(design.variables), len(x))  # coefficients that the first event shares
+    later = rows.filter(~F.col("is_first")) if dynamic else rows
     later = later.select(donor, "y", *[F.col(c).cast("double").alias(n) for c, n in zip(x, names)])
     xx, n_rows = gram(later, [*names, "y"])
     yy, xy, xx = xx[-1, -1], xx[:-1, -1], xx[:-1, :-1]
@@ -76,19 +78,26 @@ def mixed_model(
         F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").alias("sy"), *[F.sum(c).alias(f"s{c}") for c in names]
     )
     sums = [f"s{c}" for c in names]
-    first_n, zz, zy, y1y1 = 0, None, None, 0.0
+    own: list[str] = []  # per-subject values: first y, z, constants
+    cnames = [f"__c{i}" for i in range(len(constants))]
     if dynamic:
         z = [c for c in design.first.columns if c not in (donor, "y")]
         znames = [f"__z{i}" for i in range(len(z))]
-        first = design.first.select(donor, F.col("y").alias("y1"), *[F.col(c).cast("double").alias(n) for c, n in zip(z, znames)])
-        full, first_n = gram(first, [*znames, "y1"])
-        y1y1, zy, zz = full[-1, -1], full[:-1, -1], full[:-1, :-1]
+        first = design.first.join(design.constants, donor) if constants else design.first
+        own = ["y1", *znames, *cnames]
+        first = first.select(donor, *[F.col(c).cast("double").alias(n) for c, n in zip(["y", *z, *constants], own)])
         stats = first.join(stats, donor, "left").fillna(0.0)
-    # n, sum y, sums of x [, first y, z], 1: every quantity of a sweep is a weighted sum of these
-    parts = ["n", "sy", *sums, *(["y1", *znames] if dynamic else [])]
+    elif constants:
+        own = cnames
+        stats = stats.join(design.constants.select(donor, *[F.col(c).cast("double").alias(n) for c, n in zip(constants, own)]), donor)
+    zi, ci = slice(1, 1 + len(z)), slice(len(own) - len(constants), len(own))
+    full, first_n = gram(stats, own) if own else (None, 0)
+    # n, sum y, sums of x [, first y, z, c], 1: every quantity of a sweep is a weighted sum of these
+    parts = ["n", "sy", *sums, *own]
     stats = stats.select(donor, F.array(*[F.col(c) for c in parts], F.lit(1.0)).alias("v")).persist()
     donors = stats.count()
     place = {name: i for i, name in enumerate([*parts, "one"])}
+    at_own = [place[c] for c in own]
 
     out = []
     for chain in range(chains):
@@ -103,8 +112,7 @@ def mixed_model(
             pull[[place[c] for c in sums]] = -beta / se**2
             if dynamic:
                 precision[place["one"]] += theta**2 / sh**2
-                pull[place["y1"]] = theta / sh**2
-                pull[[place[c] for c in znames]] = -theta * ups / sh**2
+                pull[at_own] = theta / sh**2 * np.concatenate([[1.0], -ups, -beta[shared]])
             noise = gaussian(seed, F.lit([chain, sweep]), donor)
             effect = stats.select("v", _weighted(precision).alias("__p"), _weighted(pull).alias("__m"), noise.alias("__e"))
             effect = effect.select("v", (F.col("__m") / F.col("__p") + F.col("__e") / F.sqrt("__p")).alias("b"))
@@ -114,25 +122,42 @@ def mixed_model(
                 return F.sum(b * F.get("v", F.lit(place[name])))
 
             aggs = [F.sum(b * b).alias("bb"), F.sum(b * b * F.get("v", F.lit(0))).alias("nbb"), total("sy").alias("by")]
-            aggs += [total(s).alias(f"b{s}") for s in sums]
-            if dynamic:
-                aggs += [total("y1").alias("by1")] + [total(c).alias(f"b{c}") for c in znames]
+            aggs += [total(c).alias(f"b{c}") for c in [*sums, *own]]
             one = effect.agg(*aggs).first()
-            bx = np.array([one[f"b{s}"] for s in sums])
-            beta = _draw_normal(rng, xx / se**2 + np.eye(len(x)), (xy - bx) / se**2)
+            bb, bx, b_own = one["bb"], np.array([one[f"b{s}"] for s in sums]), np.array([one[f"b{c}"] for c in own])
+            left, right = xx / se**2 + np.eye(len(x)), (xy - bx) / se**2
+            if dynamic and constants:
+                left[shared, shared] += full[ci, ci] / sh**2
+                right[shared] += (full[ci, 0] - full[ci, zi] @ ups - theta * b_own[ci]) / sh**2
+            beta = _draw_normal(rng, left, right)
             residual = yy - 2 * beta @ xy + beta @ xx @ beta - 2 * (one["by"] - beta @ bx) + one["nbb"]
             se = _draw_sd(rng, residual, n_rows)
-            sb = _draw_sd(rng, one["bb"], donors)
+            if constants:
+                # constants and effects trade off; drawing phi again with their sum held mixes well
+                old, cc = beta[shared].copy(), full[ci, ci]
+                held = b_own[ci] + cc @ old
+                left, right = cc / sb**2 + np.eye(len(old)), held / sb**2
+                if dynamic:
+                    left = left + (1 - theta) ** 2 * cc / sh**2
+                    right = right + (1 - theta) * (full[ci, 0] - full[ci, zi] @ ups - theta * held) / sh**2
+                beta[shared] = _draw_normal(rng, left, right)
+                moved = old - beta[shared]
+                bb = bb + 2 * moved @ b_own[ci] + moved @ cc @ moved
+                b_own = b_own + full[:, ci] @ moved
+            sb = _draw_sd(rng, bb, donors)
             if dynamic:
-                bz = np.array([one[f"b{c}"] for c in znames])
-                left = np.block([[zz, bz[:, None]], [bz[None, :], np.array([[one["bb"]]])]])
-                right = np.append(zy, one["by1"])
-                both = _draw_normal(rng, left / sh**2 + np.eye(len(z) + 1), right / sh**2)
+                # the first event without its constants, regressed on z and the effect
+                weights = np.concatenate([[1.0], np.zeros(len(z)), -beta[shared]])
+                moments = full @ weights
+                bz, target = b_own[zi], np.append(moments[zi], b_own @ weights)
+                inner = np.block([[full[zi, zi], bz[:, None]], [bz[None, :], np.array([[bb]])]])
+                both = _draw_normal(rng, inner / sh**2 + np.eye(len(z) + 1), target / sh**2)
                 ups, theta = both[:-1], float(both[-1])
-                sh = _draw_sd(rng, y1y1 - 2 * both @ right + both @ left @ both, first_n)
+                sh = _draw_sd(rng, weights @ moments - 2 * both @ target + both @ inner @ both, first_n)
             if sweep >= warmup:
                 draw = sweep - warmup + 1
-                values = {f"beta[{c}]": v for c, v in zip(x, beta)}
+                kinds = ["beta"] * len(design.variables) + ["phi"] * len(constants)
+                values = {f"{kind}[{c}]": v for kind, c, v in zip(kinds, x, beta)}
                 values |= {"sigma_b": sb, "sigma_eps": se}
                 if dynamic:
                     values |= {f"ups[{c}]": v for c, v in zip(z, ups)} | {"theta": theta, "sigma_eeta": sh}
@@ -194,11 +219,11 @@ def _pick(values: Sequence[float], seed: int, tag: str, *keys: Any) -> Column:
 
 def posterior_predictive(
     last: DataFrame, draws: DataFrame, variables: Sequence[str], n: int = 1000, seed: int = 1, donor: str = "donor",
-    z_variables: Sequence[str] = (),
+    z_variables: Sequence[str] = (), constants: Sequence[str] = (),
 ) -> DataFrame:
     """(donor, draw, y): draws of each subject's last event.
 
-    ``last`` has the predictors, ``effect_mean`` and ``effect_var``. Parameters are drawn
+    ``last`` has the predictors, the constants, ``effect_mean`` and ``effect_var``. Parameters are drawn
     independently from their posterior draws, which every task holds as short arrays.
     """
     parameters = _draw_arrays(draws)
@@ -217,7 +242,7 @@ def posterior_predictive(
             + _pick(parameters["sigma_eeta"], seed, "eeta", *keys) * noise
         )
         y = F.when(F.col("is_first"), opening).otherwise(y)
-    return frame.select(donor, "draw", y.alias("y"))
+    return frame.select(donor, "draw", (y + total("phi", constants)).alias("y"))
 
 
 def delta_predictive(

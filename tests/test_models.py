@@ -113,6 +113,14 @@ def test_dynamic_model_recovers_parameters(panel):
     assert abs(m["theta"] - 0.8) < 0.25 and abs(m["sigma_eeta"] - 0.5) < 0.12
 
 
+def test_constants_are_shared_by_both_equations(panel):
+    c = panel.select("donor").distinct().withColumn("c", F.when(F.col("donor") % 2 == 0, 1.0).otherwise(-1.0))
+    moved = panel.join(c, "donor").withColumn("y", F.col("y") + 0.9 * F.col("c")).drop("c")
+    first = moved.filter("is_first").select("donor", "z", "y")
+    m = means(posterior.dynamic_mixed_model(Design(moved, ["a", "b"], Scale({}, {}), c, first), iterations=40, warmup=15))
+    assert abs(m["phi[c]"] - 0.9) < 0.12 and abs(m["beta[a]"] - 0.7) < 0.06 and abs(m["ups[z]"] - 0.5) < 0.15
+
+
 def test_effect_posterior_matches_the_loop(panel):
     rows = posterior.donor_effect_posterior(panel, {"a": 0.7, "b": -0.3}, 0.6, 0.4, order=("don_id",))
     data = rows.orderBy("don_id").collect()
