@@ -131,6 +131,18 @@ def rates_from_labels(frames: Sequence[DataFrame], label: str, predicted: str) -
     return _rates(pooled.agg(*[c.alias(n) for n, c in _cells(F.col(predicted).cast("int") == 1, label).items()]), ())
 
 
+def score_direction(df: DataFrame, score: str = "score", label: str = "label") -> str:
+    """``>=`` when deferred rows have the larger median score (or an equal one), else ``<=``.
+
+    For callers that do not know which way a score points; pass the result to the sweep.
+    """
+    middle = exact_quantiles(df.withColumn("__y", F.col(label).cast("int")), score, {"median": 0.5}, "__y")
+    found = {r["__y"]: r["median"] for r in middle.filter(F.col("__y").isin(0, 1)).collect()}
+    if len(found) < 2:
+        return ">="
+    return ">=" if found[0] <= found[1] else "<="
+
+
 def roc_curve(sweep: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return sweep.select(
         *by, "threshold", F.try_divide(F.col("fp"), F.col("N")).alias("fpr"), F.try_divide(F.col("tp"), F.col("P")).alias("tpr")

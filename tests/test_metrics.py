@@ -159,3 +159,12 @@ def test_prediction_table_has_no_ids(scored):
     df, _ = scored
     out = metrics.prediction_table(df)
     assert out.columns == ["g", "score", "label"] and rows(out) == rows(df.drop("id"))
+
+
+def test_direction_follows_the_medians(scored):
+    df, _ = scored
+    flipped = df.withColumn("score", 1 - F.col("score"))
+    assert metrics.score_direction(df) == ">=" and metrics.score_direction(flipped) == "<="
+    a = metrics.auroc(metrics.threshold_sweep(df)).first()[0]
+    b = metrics.auroc(metrics.threshold_sweep(flipped, direction="<=")).first()[0]
+    assert abs(a - b) < 1e-12
