@@ -22,11 +22,14 @@ Z95 = 1.959963984540054  # normal quantile of 0.975
 
 
 def join_groups(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Join one-row-per-group tables; without groups both sides have one row per replicate."""
+    """Add the columns of a one-row-per-group table; without groups that is a single row.
+
+    The single row becomes one scalar subquery, not a join.
+    """
     if by:
         return a.join(b, list(by))
-    key = F.lit(0)
-    return a.withColumn("__one", key).join(b.withColumn("__one", key), "__one").drop("__one")
+    row = b.select(F.struct(*[F.col(c) for c in b.columns]).alias("row")).scalar()
+    return a.withColumn("__row", row).select(*a.columns, *[F.col("__row")[c].alias(c) for c in b.columns])
 
 
 def score_counts(df: DataFrame, score: str = "score", label: str = "label", by: Sequence[str] = (), weight: str | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from donorflow.operators.ordered import RunSum, attach, gaussian, row_ranks, uniform
+from donorflow.operators.ordered import RunSum, Total, attach, gaussian, running, uniform
 from donorflow.operators.scaling import Design, Scale, gram, unscaled
 from donorflow.operators.shape import union_results
 
@@ -307,10 +307,11 @@ def posterior_effects(draws: DataFrame, level: float = 0.95, by: Sequence[str] =
     Ranks are exact and distributed; each draw meets the one that many ranks later.
     """
     by = list(by)
-    ranked = row_ranks(draws.select(*by, key, "value"), ["value", key], by, "i", chunk_rows)
-    sizes = draws.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
-    sizes = sizes.withColumn("step", F.ceil(F.lit(level) * F.col("n")))
-    start = ranked.join(sizes.select(*by, "step"), by).select(*by, "i", F.col("value").alias("low"), (F.col("i") + F.col("step")).alias("j"))
+    one = F.lit(1).cast("long")
+    ranked = running(draws.select(*by, key, "value"), ["value", key], by, chunk_rows, i=RunSum(one), n=Total(one))
+    sizes = draws.groupBy(*by).agg(F.avg("value").alias("mean"))
+    step = F.ceil(F.lit(level) * F.col("n"))
+    start = ranked.select(*by, "i", F.col("value").alias("low"), (F.col("i") + step).alias("j"))
     ends = ranked.select(*by, F.col("i").alias("j"), F.col("value").alias("high"))
     spans = start.join(ends, [*by, "j"])
     widths = spans.groupBy(*by, (F.col("high") - F.col("low")).alias("width")).agg(
