@@ -42,12 +42,28 @@ def _ddl(columns: Mapping[str, str]) -> str:
     return ", ".join(f"`{name}` {kind}" for name, kind in columns.items())
 
 
-def scan_donations_positional(spark: SparkSession, path: str) -> DataFrame:
-    """Header-less file of 12 columns named by position; values that do not parse are NULL."""
-    types = {n: _DONATION_TYPES.get(n, "string") for n in POSITIONAL_DONATIONS}
+CORRUPT = "_corrupt_record"
+
+
+def scan_donations_positional(spark: SparkSession, path: str, corrupt: bool = False) -> DataFrame:
+    """Header-less file of 12 columns named by position; values that do not parse are NULL.
+
+    With ``corrupt`` the text of a line that did not fit is kept in ``_corrupt_record``.
+    """
+    types = {n: _DONATION_TYPES.get(n, "string") for n in POSITIONAL_DONATIONS} | ({CORRUPT: "string"} if corrupt else {})
     return spark.read.schema(_ddl(types)).csv(path, sep="|", mode="PERMISSIVE")
 
 
+def malformed_rows(scanned: DataFrame) -> DataFrame:
+    """Number of lines, and of lines that did not fit the schema, of a scan with ``corrupt``.
+
+    Lines are judged by the columns a query reads, so the scan is held with all of them.
+    """
+    scanned = scanned.persist()
+    bad = F.sum(F.col(CORRUPT).isNotNull().cast("long"))
+    return scanned.agg(F.count(F.lit(1)).alias("lines"), F.coalesce(bad, F.lit(0)).alias("malformed"))
+
+
 def scan_donors_positional(spark: SparkSession, path: str) -> DataFrame:
     """Header-less file of 26 columns; sex Man / Woman becomes M / F, anything else NULL."""
     types = {n: _DONOR_TYPES.get(n, "string") for n in POSITIONAL_DONORS}
@@ -61,19 +77,21 @@ def _header(spark: SparkSession, path: str) -> list[str]:
     return line[0][0].split("|") if line else []
 
 
-def _scan_named(spark: SparkSession, path: str, required: Mapping[str, str], optional: Mapping[str, str]) -> DataFrame:
+def _scan_named(
+    spark: SparkSession, path: str, required: Mapping[str, str], optional: Mapping[str, str], corrupt: bool = False
+) -> DataFrame:
     names = _header(spark, path)
     missing = [n for n in required if n not in names]
     if missing:
         raise ValueError(f"missing columns in {path}: {', '.join(missing)}")
     known = {**required, **optional}
-    types = {n: known.get(n, "string") for n in names}
+    types = {n: known.get(n, "string") for n in names} | ({CORRUPT: "string"} if corrupt else {})
     return spark.read.schema(_ddl(types)).csv(path, sep="|", header=True, mode="PERMISSIVE")
 
 
-def scan_donations_named(spark: SparkSession, path: str) -> DataFrame:
+def scan_donations_named(spark: SparkSession, path: str, corrupt: bool = False) -> DataFrame:
     """File with a header; the seven required columns are typed, extra ones stay text."""
-    return _scan_named(spark, path, NAMED_DONATIONS, {})
+    return _scan_named(spark, path, NAMED_DONATIONS, {}, corrupt)
 
 
 def scan_donors_named(spark: SparkSession, path: str, extra_numeric: tuple[str, ...] = ()) -> DataFrame:

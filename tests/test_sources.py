@@ -95,3 +95,11 @@ def test_descriptions(spark):
     table = variable_table(spark)
     assert table.filter("Variable = 'hour'").first().Pretty == "Hour"
     assert len({v for v, *_ in DONATION_VARIABLES}) == len(DONATION_VARIABLES)
+
+
+def test_malformed_lines_are_counted(spark, tmp_path):
+    header = "|".join(delimited.NAMED_DONATIONS)
+    path = write(tmp_path, "lines", [header, "d1|20150704|0915|-|K|500|14.5", "d2|20150704|0915|-|K|many|14.5"])
+    scanned = delimited.scan_donations_named(spark, path, corrupt=True)
+    assert tuple(delimited.malformed_rows(scanned).first()) == (2, 1)
+    assert scanned.filter("KEY_DONOR = 'd2'").first()["DONAT_VOL_DRAWN"] is None
