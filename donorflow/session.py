@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,18 +29,23 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
 
 
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage into the shared checkpoint folder the session names.
-
-    A local folder is used only when the session names none (tests on one machine).
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """Cut lineage into the shared checkpoint folder the session names."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="donorflow-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. A session of one process may go without; a cluster may not."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not re.match(r"local(\[[^]]*\])?$", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="donorflow-")
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after seeing that the table has at most ``rows`` rows.
 
@@ -62,6 +68,5 @@ def small_table(df: DataFrame, rows: int = 10_000) -> DataFrame:
 
 
 def workspace(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared checkpoint folder (a local one only where none is set)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/donorflow-{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/donorflow-{name}-{uuid.uuid4().hex}"
