@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from donorflow.llm import block_knn, host_quality, link_graph, mixing, packing, sharding
+from donorflow.llm import block_knn, host_quality, link_graph, mixing, packing, sharding, suffix_array, suffix_automaton
 
 QUERIES, SQL = {}, {}
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -31,6 +31,16 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def removed_size(spans: str = "removed"):
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda total, x: total + x["stop"] - x["start"])
+
+
+@query("op1_suffix_array")
+def _(spark, sf_dir):
+    cut = suffix_array.remove_repeats(table(spark, sf_dir, "documents"), 100)
+    return cut.select("doc_id", "n_bytes", removed_size().alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op2_shard_shuffle")
 def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -105,6 +115,12 @@ def _(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+@query("op9_suffix_automata")
+def _(spark, sf_dir):
+    cut = suffix_automaton.remove_shared(table(spark, sf_dir, "documents"), 35)
+    return cut.select("doc_id", "n_words", removed_size().alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query("op10_block_neighbours", """
 WITH v AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding]) AND list_bool_or([x <> 0 FOR x IN embedding])),
 p AS (SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),

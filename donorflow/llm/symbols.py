@@ -167,6 +167,7 @@ class Anchors:
     start: np.ndarray  # first symbol of the first window
     count: np.ndarray  # number of window starts
     content: np.ndarray  # hash of all symbols that these windows cover
+    twice: np.ndarray  # the least gram occurs again inside, so that two of the windows may be equal
 
 
 def anchors(values: np.ndarray, begin: np.ndarray, window: int, gram: int) -> Anchors:
@@ -178,9 +179,10 @@ def anchors(values: np.ndarray, begin: np.ndarray, window: int, gram: int) -> An
     most = window - gram + 1
     none = np.zeros(0, np.int64)
     if len(values) < window:
-        return Anchors(none.astype(np.uint64), none, none, none.astype(np.uint64))
+        return Anchors(none.astype(np.uint64), none, none, none.astype(np.uint64), none.astype(bool))
     rolling = Rolling(values)
-    key = sliding_minimum(mix(rolling.grams(gram)), window - gram + 1)
+    grams = mix(rolling.grams(gram))
+    key = sliding_minimum(grams, window - gram + 1)
     valid = np.zeros(len(key) + 1, np.int8)
     lengths = np.diff(begin)
     long = lengths >= window
@@ -199,4 +201,16 @@ def anchors(values: np.ndarray, begin: np.ndarray, window: int, gram: int) -> An
         pieces = -(-count // most)
         number = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         at, count = np.repeat(at, pieces) + number * most, np.minimum(np.repeat(count, pieces) - number * most, most)
-    return Anchors(key[at], at, count, rolling.of(at, at + count - 1 + window))
+    return Anchors(key[at], at, count, rolling.of(at, at + count - 1 + window), _occurs_again(grams, key[at], at, count + window - gram))
+
+
+def _occurs_again(grams: np.ndarray, key: np.ndarray, at: np.ndarray, size: np.ndarray, step: int = 16_384) -> np.ndarray:
+    """Whether `key` is among grams[at:at + size] more than once."""
+    out = np.zeros(len(at), bool)
+    for i in range(0, len(at), step):
+        many = size[i : i + step]
+        ends = np.cumsum(many)
+        place = np.repeat(at[i : i + step] - (ends - many), many) + np.arange(ends[-1])
+        same = np.flatnonzero(grams[place] == np.repeat(key[i : i + step], many))
+        out[i : i + step] = np.diff(np.searchsorted(same, np.append(0, ends))) > 1
+    return out
