@@ -14,28 +14,34 @@ from donorflow.llm import symbols
 
 WINDOW = 2048
 OPEN_TOKENS = 8 << 20
-CACHE = 300_000
+CACHE = 2_000_000
+JOIN = 512
 
 
 class Encoder:
-    """Token ids of many texts by a `tokenizers` file, encoding each different piece between plain spaces once.
+    """Token ids of many texts by a byte-level `tokenizers` file, encoding each different piece between plain spaces once.
 
     A cut before a space that stands between two characters that surely are no white space never changes byte-level BPE ids:
-    its pattern starts a new piece there.
+    its pattern starts a new piece there. Known pieces are kept by hash in sorted arrays, for as long as the worker lives.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, number in vocabulary.items():
+            self.bytes_of[number] = len(token)  # a byte-level token has one character for each byte
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids: list[np.ndarray] = []
+        self.names, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
 
-    def cuts(self, texts: symbols.Texts) -> np.ndarray:
-        """Starts of the pieces, among them those of all texts that aren't empty."""
+    @staticmethod
+    def cuts(texts: symbols.Texts) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the pieces, among them those of all texts that aren't empty; and the bytes that surely end a non-space."""
         d, n = texts.data, len(texts.data)
         plain = (d > 0x20) & (d < 0x7F)
         lead = (d >= 0xC3) & (d <= 0xDF)  # of two-byte characters, none of them white space
@@ -45,32 +51,57 @@ class Encoder:
         if n > 2:
             cut[1:-1] = (d[1:-1] == 0x20) & ends[:-2] & (plain | lead)[2:]
         cut[texts.begin[:-1][np.diff(texts.begin) > 0]] = True
-        return np.flatnonzero(cut)
+        return np.flatnonzero(cut), ends
+
+    def learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, joins: np.ndarray, names: np.ndarray) -> None:
+        """Encodes pieces; those that `joins` marks stand safely before one another and are encoded many at a time."""
+        order = np.argsort(~joins, kind="stable")
+        start, end, joins, names = start[order], end[order], joins[order], names[order]
+        size = end - start
+        stops = np.cumsum(size)
+        joined = data[np.repeat(start - (stops - size), size) + np.arange(stops[-1])].tobytes()
+        first = np.flatnonzero(~joins | (np.arange(len(joins)) % JOIN == 0))
+        edges = np.append(stops[first] - size[first], stops[-1]).tolist()
+        found = self.tokenizer.encode_batch_fast([joined[a:b].decode("utf-8", "replace") for a, b in zip(edges, edges[1:], strict=False)], add_special_tokens=False)
+        ids = np.concatenate([np.array(x.ids, np.uint32) for x in found])
+        begin = np.concatenate([[0], np.cumsum(self.bytes_of[ids])])
+        at = np.searchsorted(begin, np.append(0, stops))
+        if begin[-1] != stops[-1] or (begin[at] != np.append(0, stops)).any():
+            raise ValueError("the tokenizer isn't a byte-level one")
+        names = np.concatenate([self.names, names])
+        order = np.argsort(names, kind="stable")
+        self.names = names[order]
+        self.at = np.concatenate([self.at, len(self.flat) + at[:-1]])[order]
+        self.size = np.concatenate([self.size, np.diff(at)])[order]
+        self.flat = np.concatenate([self.flat, ids])
 
     def encode(self, texts: symbols.Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the place of the first id of each text (and the end)."""
-        start = self.cuts(texts)
+        start, ends = self.cuts(texts)
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         end = np.append(start[1:], len(texts.data))
-        hashes = symbols.byte_rolling(texts.data).of(start, end)
-        unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) + len(unique) > CACHE:
+        unique, first, inverse = np.unique(symbols.byte_rolling(texts.data).of(start, end), return_index=True, return_inverse=True)
+        if len(self.names) > CACHE:
             self.clear()
-        names = unique.tolist()
-        new = [i for i, h in enumerate(names) if h not in self.known]
-        raw = texts.data.tobytes()
-        fresh = self.tokenizer.encode_batch_fast([raw[start[first[i]] : end[first[i]]].decode("utf-8", "replace") for i in new], add_special_tokens=False)
-        for i, found in zip(new, fresh, strict=True):
-            self.known[names[i]] = len(self.ids)
-            self.ids.append(np.array(found.ids, np.uint32))
-        mine = [self.ids[self.known[h]] for h in names]
-        sizes = np.array([len(x) for x in mine], np.int64)
-        flat, at = np.concatenate(mine), np.concatenate([[0], np.cumsum(sizes)])
-        many = sizes[inverse]
-        place = np.concatenate([[0], np.cumsum(many)])
-        ids = flat[np.repeat(at[inverse] - place[:-1], many) + np.arange(place[-1])]
-        return ids, place[np.searchsorted(start, texts.begin)]
+        near = np.searchsorted(self.names, unique)
+        new = np.flatnonzero(np.append(self.names, np.uint64(0))[near] != unique) if len(self.names) else np.arange(len(unique))
+        if len(new):
+            a, b = start[first[new]], end[first[new]]
+            self.learn(texts.data, a, b, (texts.data[a] == 0x20) & ends[b - 1], unique[new])
+            near = np.searchsorted(self.names, unique)
+        at, size = self.at[near][inverse], self.size[near][inverse]
+        place = np.concatenate([[0], np.cumsum(size)])
+        return self.flat[np.repeat(at - place[:-1], size) + np.arange(place[-1])], place[np.searchsorted(start, texts.begin)]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 class Packer:
@@ -119,32 +150,21 @@ class Packer:
 
     def close(self) -> None:
         """Fills the open windows up, fullest first, with pieces cut from the emptiest; one window at most stays short."""
-        rest = [(h, p) for h in range(self.window) for p in self.open[h]]
-        givers = [piece for _, pieces in rest for piece in reversed(pieces)]  # cut from the front
-        total, current, fill = sum(h for h, _ in rest), [], 0
-        kept: list[list] = []
-        left = total
-        while rest and rest[-1][0] + 0 <= left and sum(1 for _ in kept) < total // self.window:
-            kept.append(rest.pop()[1])
-            left -= self.window
-        givers = [piece for _, pieces in rest for piece in pieces]
-        at = 0
-        for current in [*kept, []]:
-            fill = sum(len(x[3]) for x in current)
-            while at < len(givers) and (fill < self.window or not kept):
-                if fill == self.window:
-                    self.emit(current)
-                    current, fill = [], 0
-                doc, total_ids, start, ids = givers[at]
+        rest = [pieces for level in self.open for pieces in level]  # by fill level
+        filled = sum(len(x[3]) for pieces in rest for x in pieces) // self.window
+        kept = rest[len(rest) - filled :][::-1]
+        givers = [piece for pieces in rest[: len(rest) - filled] for piece in pieces]
+        for pieces in [*kept, []]:
+            fill = sum(len(x[3]) for x in pieces)
+            while givers and fill < self.window:
+                doc, total, start, ids = givers.pop()
                 take = min(len(ids), self.window - fill)
-                current.append((doc, total_ids, start, ids[:take]))
+                pieces.append((doc, total, start, ids[:take]))
                 fill += take
-                if take == len(ids):
-                    at += 1
-                else:
-                    givers[at] = (doc, total_ids, start + take, ids[take:])
-            if current:
-                self.emit(current)
+                if take < len(ids):
+                    givers.append((doc, total, start + take, ids[take:]))
+            if pieces:
+                self.emit(pieces)
         self.open = [[] for _ in range(self.window)]
         self.count[:] = 0
         self.held = 0
@@ -167,7 +187,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 1,
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         packer = Packer(window, TaskContext.get().partitionId() << 40)
         for block in symbols.blocks(batches):
             ids, place = encoder.encode(symbols.as_texts(block.column("text")))
