@@ -128,3 +128,21 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10""")
 def _(spark, sf_dir):
     return block_knn.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op3_disclosure")
+def _(spark, sf_dir):
+    from donorflow.llm import pii
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.sanitise(docs)
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    every = F.array_sort(F.concat("base_spans", "term_spans"))
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(pii.span_text(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"), pii.span_text(every).alias("spans"))
+
+
+@query("op5_jaccard_join")
+def _(spark, sf_dir):
+    from donorflow.llm import jaccard_join
+
+    return jaccard_join.link_similar(table(spark, sf_dir, "documents"), words=3, percent=90)
