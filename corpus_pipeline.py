@@ -1,11 +1,52 @@
-"""From raw documents to packed token windows."""
+"""From raw documents to packed token windows. The driver writes each stage's rows and reads them as the next one's documents."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from donorflow.llm import host_quality, jaccard_join, mixing, packing, pii
+from donorflow.llm.registry import tokenizer_path
+from donorflow.llm.repeats import written
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass their own rules and whose source passes."""
+    return host_quality.judge(docs).filter("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar ones: five-word shingles, similarity of 0.8 or more."""
+    stays = jaccard_join.link_similar(docs).filter("stays").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    text_hash = F.xxhash64("text").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+    rows = docs.withColumn("_h", text_hash).join(stays, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
+    return rows.dropDuplicates(["doc_id", "_h"]).select(*docs.columns)
+
+
+def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without personal data and the terms that disclose it."""
+    cleaned = pii.sanitise(docs).select(*docs.columns, "sanitised")
+    return cleaned.withColumn("text", F.col("sanitised")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's rate says."""
+    return mixing.repeat_rows(mixing.mix_sources(docs)).select(*docs.columns)
+
+
+def packed_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token windows; `ids` holds little-endian 32-bit integers."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality rules", quality_rules), ("near duplicates", near_duplicates), ("private data", private_data), ("mixing", mixing_weights), ("packing", packed_windows),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

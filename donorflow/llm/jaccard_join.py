@@ -254,10 +254,11 @@ def whole_sets(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 
 def link_similar(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id", tile: int = TILE) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) of every document.
+    """(doc_id, n_shingles, component_id, n_links, text_hash, stays) of every document.
 
     Two documents link when 100 * intersection >= percent * union of their sets of `words`-word shingles, exactly.
-    component_id is the smallest doc_id that links lead to, n_links the number of documents linked with this one. Texts with
+    component_id is the smallest doc_id that links lead to, n_links the number of documents linked with this one; `stays` is
+    true for one document of each component, the smallest by doc_id and then text_hash (of `identified`). Texts with
     fewer words have one shingle, those without words or null link with nothing and are their own component. Null ids come
     before all others. Rows equal in id and text are one document, given again for each row; rows that share an id only are
     different documents. No rows: no rows. Other columns are not read.
@@ -275,9 +276,13 @@ def link_similar(docs: DataFrame, words: int = 5, percent: int = 80, text: str =
     joined = components(linked.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     counts = linked.filter("links is not null").groupBy(F.col("node").alias("class")).agg(F.sum("links").alias("links"))
     labelled = members.join(joined.withColumnRenamed("node", "class"), "class", "left").join(counts, "class", "left")
-    labelled = labelled.select("class", F.col("one.k").alias("least"), "weight", F.coalesce("label", "class").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
+    labelled = labelled.select("class", F.col("one").alias("least"), "weight", F.coalesce("label", "class").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
     lowest = labelled.groupBy("label").agg(F.min("least").alias("component"))
     labelled = labelled.join(lowest, "label").select("class", "component", (F.col("links") + F.col("weight") - 1).alias("n_links"))
     out = found.join(labelled, (found["class"] == labelled["class"]) & (found["size"] > 0), "left")
-    component = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.nullif(F.col("component"), F.lit(NO_ID)))
-    return out.select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    alone = F.col("component").isNull()
+    component = F.when(alone, F.col("doc_id").cast("long")).otherwise(F.nullif(F.col("component.k"), F.lit(NO_ID)))
+    return out.select(
+        "doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.col("h").alias("text_hash"), (alone | ((F.col("component.k") == F.col("k")) & (F.col("component.h") == F.col("h")))).alias("stays"),
+    )

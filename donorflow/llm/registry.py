@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from donorflow.llm import block_knn, host_quality, link_graph, mixing, packing, sharding, suffix_array, suffix_automaton
+from donorflow.llm import block_knn, host_quality, jaccard_join, link_graph, mixing, packing, pii, sharding, suffix_array, suffix_automaton
 
 QUERIES, SQL = {}, {}
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -50,6 +50,15 @@ def _(spark, sf_dir):
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op3_disclosure")
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.sanitise(docs)
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    every = F.array_sort(F.concat("base_spans", "term_spans"))
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(pii.span_text(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"), pii.span_text(every).alias("spans"))
+
+
 @query("op4_host_quality", r"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, string_split(text, chr(10)) AS parts FROM d),
@@ -73,6 +82,11 @@ def _(spark, sf_dir):
     return host_quality.judge(docs).select("doc_id", *host_quality.FEATURES, "base_failed", "kept")
 
 
+@query("op5_jaccard_join")
+def _(spark, sf_dir):
+    return jaccard_join.link_similar(table(spark, sf_dir, "documents"), words=3, percent=90).drop("text_hash", "stays")
+
+
 @query("op6_sum_of_squares_packing")
 def _(spark, sf_dir):
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -128,21 +142,3 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10""")
 def _(spark, sf_dir):
     return block_knn.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
-
-
-@query("op3_disclosure")
-def _(spark, sf_dir):
-    from donorflow.llm import pii
-
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = pii.sanitise(docs)
-    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    every = F.array_sort(F.concat("base_spans", "term_spans"))
-    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(pii.span_text(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"), pii.span_text(every).alias("spans"))
-
-
-@query("op5_jaccard_join")
-def _(spark, sf_dir):
-    from donorflow.llm import jaccard_join
-
-    return jaccard_join.link_similar(table(spark, sf_dir, "documents"), words=3, percent=90)
