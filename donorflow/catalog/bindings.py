@@ -45,11 +45,11 @@ class Tables:
 
     def donations(self) -> DataFrame:
         o = self.table("orders")
+        minutes = F.when(F.col("o_orderkey") % 5 == 0, 0).otherwise(F.col("o_orderkey") * 7 % 1440)  # a fifth at midnight
+        clock = F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) + 60 * minutes
         return o.select(
             F.col("o_custkey").alias("donor"), F.col("o_orderkey").alias("don_id"),
-            F.col("o_orderdate").cast("timestamp").alias("date"),
-            F.col("o_orderdate").cast("date").alias("dateonly"),
-            F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("clock"),
+            F.timestamp_seconds(clock).alias("date"), F.col("o_orderdate").cast("date").alias("dateonly"), clock.alias("clock"),
             F.when(F.col("o_orderpriority") < "4", "-").otherwise("X").alias("status"),
             expr.recode("o_orderstatus", {"F": "K", "O": "*"}, "H").alias("donat_phleb"),
             (F.col("o_orderkey") % 600).cast("int").alias("volume_drawn"),
@@ -85,7 +85,7 @@ class Tables:
         return d.select(
             F.col("don_id").alias("KEY_DONAT_INDEX_DON"), F.col("donor").alias("KEY_DONOR"),
             F.date_format("date", "yyyyMMdd").alias("KEY_DONAT_INDEX_DATE"),
-            F.lit(None).cast("string").alias("DONAT_PHLEB_START"), F.col("status").alias("DONAT_STATUS"),
+            F.date_format("date", "HHmm").alias("DONAT_PHLEB_START"), F.col("status").alias("DONAT_STATUS"),
             F.col("donat_phleb").alias("KEY_DONAT_PHLEB"), F.col("volume_drawn").alias("DONAT_VOL_DRAWN"),
             F.col("Hb").alias("DONAT_RESULT_CODE"),
         )
@@ -128,8 +128,8 @@ class Tables:
 
 
 DONATIONS = """donations AS (
-  SELECT o_custkey AS donor, o_orderkey AS don_id, o_orderdate AS date, CAST(o_orderdate AS DATE) AS dateonly,
-    CAST(epoch(o_orderdate) AS BIGINT) AS clock,
+  SELECT o_custkey AS donor, o_orderkey AS don_id, o_orderdate + to_minutes(CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE o_orderkey * 7 % 1440 END) AS date,
+    CAST(o_orderdate AS DATE) AS dateonly, CAST(epoch(o_orderdate + to_minutes(CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE o_orderkey * 7 % 1440 END)) AS BIGINT) AS clock,
     CASE WHEN o_orderpriority < '4' THEN '-' ELSE 'X' END AS status,
     CASE o_orderstatus WHEN 'F' THEN 'K' WHEN 'O' THEN '*' ELSE 'H' END AS donat_phleb,
     CAST(o_orderkey % 600 AS INTEGER) AS volume_drawn, 100 + o_totalprice / 5000 AS Hb

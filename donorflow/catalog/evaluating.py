@@ -147,17 +147,17 @@ _K = COST_CONSTANTS
 
 
 def cost_sql(months, tpr, fpr, sex):
-    """SQL of q, a and E for one sex."""
-    d, factor = _K["d"], {"male": months / 2.0, "female": months / 3.0}
-
-    def extended(who, r, dr):
-        ar = f"(({_K[r]} - {_K[dr]} * {d}) / (1 - {d}))"
-        return f"((1 - {fpr}) * {ar} * (1 - {d}) + {factor[who]} * {fpr} * ({ar} * (1 - {d})) + {factor[who]} * {_K[dr]} * {d})"
-
-    male, female = extended("male", "mr", "mdr"), extended("female", "fr", "fdr")
-    a = f"(CASE {sex} WHEN 'male' THEN {male} + {_K['fr']} WHEN 'female' THEN {_K['mr']} + {female} ELSE {male} + {female} END)"
-    q = f"(CASE {sex} WHEN 'male' THEN {_K['mdr']} * {tpr} WHEN 'female' THEN {_K['fdr']} * {tpr} ELSE {tpr} END)"
-    e = f"({_K['Pm']} * ({a} / (1 + {_K['Fn']} * ({a} - 1)) - 1) - {_K['Pd']} * {d} * {q})"
+    """SQL of q, a and E: shares of the four cells (sex, outcome), each with its chance of the longer interval."""
+    d = _K["d"]
+    cells = ", ".join(
+        f"('{who}', {share!r}::DOUBLE, {months / regular!r}::DOUBLE, {low})"
+        for who, regular, r, m in (("male", 2, "mr", "mdr"), ("female", 3, "fr", "fdr"))
+        for low, share in ((True, _K[m] * d), (False, _K[r] - _K[m] * d))
+    )
+    chance = f"CASE WHEN {sex} NOT IN (who, 'both') THEN 0 WHEN low THEN 1 ELSE {fpr} END"
+    a = f"(SELECT sum(share) + sum(share * (longer - 1) * ({chance})) FROM (VALUES {cells}) AS cell(who, share, longer, low))"
+    q = f"({tpr} * (SELECT sum(share) FILTER ({sex} IN (who, 'both')) FROM (VALUES ('male', {_K['mdr']!r}::DOUBLE), ('female', {_K['fdr']!r}::DOUBLE)) AS part(who, share)))"
+    e = f"({_K['Pm']} * ({a} / ({_K['Fn']} * {a} + 1 - {_K['Fn']}) - 1) - {_K['Pd'] * d!r}::DOUBLE * {q})"
     return q, a, e
 
 

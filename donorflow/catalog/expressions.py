@@ -95,9 +95,9 @@ def _(t):
 
 
 ANSWERS = {
-    "physical_condition": "very_bad rather_bad satisfactory rather_good good excellent other".split(),
-    "meat_amount": "never less_than_once_weekly 1.3_week 4.6_week daily several_daily other".split(),
-    "sleep_quality": "never rarely mostly always_or_almost other never rarely".split(),
+    "physical_condition": ["very_bad", "rather_bad", "satisfactory", "rather_good", "good", "excellent", "other"],
+    "meat_amount": ["never", "less_than_once_weekly", "1.3_week", "4.6_week", "daily", "several_daily", "other"],
+    "sleep_quality": ["never", "rarely", "mostly", "always_or_almost", "other", "never", "rarely"],
 }
 
 

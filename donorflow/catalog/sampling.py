@@ -90,7 +90,7 @@ trimmed AS (SELECT * FROM x WHERE cnt > 1 AND NOT (hits = 1 AND f))"""
 
 @query("enrich", f"WITH {_TRIM}, {_balance_sql('trimmed', 0.4)}")
 def _(t):
-    return ever_counts(sampling.enrich(t.joined(), 0.4, 17, min_donors=10, order=ORDER))
+    return ever_counts(sampling.enrich(t.joined(), 0.4, 17, order=ORDER))
 
 
 @query("upsample_minority", f"WITH {JOINED}, n AS (SELECT count(*) FILTER (Hb_deferral) AS a, count(*) FILTER (NOT Hb_deferral) AS b FROM joined) SELECT TRUE AS \"Hb_deferral\", greatest(a, b) AS n FROM n UNION ALL SELECT FALSE, greatest(a, b) FROM n")

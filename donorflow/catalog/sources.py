@@ -47,7 +47,7 @@ def _(t):
 
 
 @query("scan_donations_named", f"""WITH {DONATIONS}
-SELECT CAST(donor AS VARCHAR) AS donor, strftime(date, '%Y%m%d') AS day, CAST(NULL AS VARCHAR) AS start, status, donat_phleb, volume_drawn AS volume, round(Hb, 6) AS hb FROM donations""")
+SELECT CAST(donor AS VARCHAR) AS donor, strftime(date, '%Y%m%d') AS day, strftime(date, '%H%M') AS start, status, donat_phleb, volume_drawn AS volume, round(Hb, 6) AS hb FROM donations""")
 def _(t):
     folder = text_of(t.raw_donations(), list(delimited.NAMED_DONATIONS), True, workspace(t.spark, "scan"))
     s = delimited.scan_donations_named(t.spark, folder)

@@ -47,44 +47,24 @@ def interval_extension(
 ) -> dict[str, Column]:
     """Avoided deferrals q, mean interval factor a and cost E for a new interval.
 
-    Each sex contributes its accepted donors (extended only when predicted deferred) and
-    its deferred donors (always extended). A model for one sex leaves the other as it is.
+    A sex with share r of the donations and share m of the deferrals d has r - m d accepted ones. The new interval is f
+    times the regular one: deferred donors always get it, accepted ones when they are predicted deferred. Without a model
+    for a sex, its donors keep factor 1.
     """
     p = {**COST_CONSTANTS, **(p or {})}
     tpr, fpr = _num(tpr), _num(fpr)
     sex = F.lit(sex) if isinstance(sex, str) and sex in ("male", "female", "both") else column(sex)
-    d = p["d"]
-    returning = {"male": p["mr"], "female": p["fr"]}
-    deferred = {"male": p["mdr"], "female": p["fdr"]}
-
-    def extended(who: str) -> Column:
-        factor = months / REGULAR_MONTHS[who]
-        accepted = (returning[who] - deferred[who] * d) / (1 - d)
-        kept = (1 - fpr) * accepted * (1 - d)
-        wrongly = factor * fpr * (accepted * (1 - d))
-        return kept + wrongly + factor * deferred[who] * d
-
-    def part(who: str, other: str) -> Column:
-        return F.when(sex == other, F.lit(returning[who])).otherwise(extended(who))
-
-    a = part("male", "female") + part("female", "male")
-    q = (
-        F.when(sex == "male", p["mdr"] * tpr).when(sex == "female", p["fdr"] * tpr).when(sex == "both", tpr)
-    )
-    e = economic_cost(q, a, p["Pm"], p["Pd"], 1.0, p["Fn"], p["rloss"], d)
-    return {"q": q, "a": a, "E": e}
-
-
-def shared_model_extension(tpr: Any, fpr: Any, months: float, p: Mapping[str, float] | None = None) -> dict[str, Column]:
-    """The earlier formula with one model for both sexes (kept for published figures)."""
-    p = {**COST_CONSTANTS, **(p or {})}
-    tpr, fpr = _num(tpr), _num(fpr)
-    d, male, female = p["d"], months / REGULAR_MONTHS["male"], months / REGULAR_MONTHS["female"]
-    q = d * tpr
-    wrong = fpr * (1 - d)
-    a = (1 - fpr) * (1 - d) + (male * p["mr"] + female * p["fr"]) * wrong + (male * p["mdr"] + female * p["fdr"]) * d
-    gain = p["Pm"] * (a / (1 + p["Fn"] * (a - 1)) - 1 - q * p["rloss"])
-    return {"q": q, "a": a, "E": gain - p["Pd"] * q}
+    shares = {"male": (p["mr"], p["mdr"]), "female": (p["fr"], p["fdr"])}
+    a = F.lit(0.0)
+    for who, (r, m) in shares.items():
+        f, low = months / REGULAR_MONTHS[who], m * p["d"]
+        mean = (r - low) * (1 + (f - 1) * fpr) + f * low
+        a = a + F.when(sex.isin(who, "both"), mean).when(sex.isNotNull(), F.lit(r))
+    found = F.when(sex == "both", F.lit(1.0))
+    for who, (_, m) in shares.items():
+        found = found.when(sex == who, F.lit(m))
+    q = found * tpr
+    return {"q": q, "a": a, "E": economic_cost(q, a, p["Pm"], p["Pd"], 1.0, p["Fn"], p["rloss"], p["d"])}
 
 
 def cost_columns(df: DataFrame, tpr6: Any, fpr6: Any, tpr12: Any, fpr12: Any, sex: Any,

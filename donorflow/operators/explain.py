@@ -11,6 +11,7 @@ from donorflow.functions.expr import prettify_variables
 from donorflow.operators.joins import attach_metadata
 from donorflow.operators.ordered import hash_ranks, uniform
 from donorflow.operators.shape import melt
+from donorflow.session import reliable_checkpoint
 
 Score = Callable[[DataFrame], DataFrame]
 
@@ -23,27 +24,28 @@ def shap_linear_exact(df: DataFrame, coefficients: dict[str, float], key: str =
     return df.select(key, *phi).unpivot([key], names, "Variable", "attribution")
 
 
-def sample_rows(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
-    """``n`` rows by hash rank with a number 1..n (the whole table when it is smaller)."""
-    ranked = hash_ranks(df, key, seed)
-    return ranked.filter(F.col("rank") <= n).drop("size").withColumnRenamed("rank", "row")
+def sample_rows(df: DataFrame, n: int | None, seed: int, key: str) -> DataFrame:
+    """All rows with a number 1.. by hash rank, or the first ``n`` of them."""
+    ranked = hash_ranks(df, key, seed).drop("size").withColumnRenamed("rank", "row")
+    return ranked if n is None else ranked.filter(F.col("row") <= n)
 
 
 def shap_sampling(
-    score: Score, df: DataFrame, features: Sequence[str], key: str = "id", n: int = 1000, nsim: int = 100, seed: int = 1
+    score: Score, df: DataFrame, features: Sequence[str], key: str = "id", n: int | None = None, nsim: int = 100, seed: int = 1
 ) -> DataFrame:
-    """Monte-Carlo Shapley values (key, Variable, attribution) of at most ``n`` rows.
+    """Monte-Carlo Shapley values (key, Variable, attribution) of all rows, or of ``n`` of them.
 
     For each row, simulation and variable, a random other row fills the variables that a
     random order places later. The same row with and without the variable itself goes
     through the model; the mean difference is the attribution.
     """
-    rows = sample_rows(df.select(key, *[F.col(f).cast("double").alias(f) for f in features]), n, seed, key).persist()
-    found = rows.count()  # at most n
+    rows = sample_rows(df.select(key, *[F.col(f).cast("double").alias(f) for f in features]), n, seed, key)
+    rows = reliable_checkpoint(rows)
+    found = rows.count()
     sims = rows.withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(nsim))))
     other = (F.floor(uniform(seed, F.lit("other"), key, "sim") * found) + 1).cast("long")
     reference = rows.select(F.col("row").alias("other"), F.struct(*features).alias("__w"))
-    sims = sims.withColumn("other", other).join(F.broadcast(reference), "other")
+    sims = sims.withColumn("other", other).join(reference, "other")
     sims = sims.withColumn("Variable", F.explode(F.array(*[F.lit(f) for f in features])))
     turn = {f: uniform(seed, F.lit("turn"), key, "sim", F.lit(f)) for f in features}
     mine = uniform(seed, F.lit("turn"), key, "sim", "Variable")

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from donorflow.operators.ordered import RunMax, RunSum, Whole, attach, hot_keys
-from donorflow.session import broadcast_if_small
 
 
 def common_donor_reduce(donations: DataFrame, donors: DataFrame, key: str = "donor") -> tuple[DataFrame, DataFrame]:
@@ -61,8 +60,8 @@ def donor_specific_extract(donors: DataFrame, features: DataFrame, first_only: b
 
 
 def attach_donor_variables(df: DataFrame, dim: DataFrame, key: str = "donor") -> DataFrame:
-    """Inner join of subject-level columns; broadcast only when the table is small."""
-    return df.join(broadcast_if_small(dim), key)
+    """Inner join of subject-level columns; Spark broadcasts them when they are small."""
+    return df.join(dim, key)
 
 
 def attach_metadata(df: DataFrame, descriptions: DataFrame, on: str = "Variable") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from donorflow.functions.cost import cost_columns
 from donorflow.functions.expr import to_mmol
 from donorflow.operators.ordered import RunSum, Total, exact_quantiles, running, uniform
-from donorflow.session import small_table
+from donorflow.session import reliable_checkpoint
 
 Z95 = 1.959963984540054  # normal quantile of 0.975
 
@@ -477,7 +477,7 @@ def cost_with_ci(
     sex = F.get(F.split(F.col(identifier), "-", 3), 1)
     grid = cost_by_threshold(df, thresholds, score, label, by, sex, p)
     best = optimal_cost_threshold(grid, by)
-    best = small_table(best)
+    best = reliable_checkpoint(best)  # several joins below read it
     known = df.join(best.select(identifier, "threshold6", "threshold12"), identifier)
     at6, at12, at1 = (F.col(score) >= t for t in (F.col("threshold6"), F.col("threshold12"), F.lit(f1_threshold)))
     code = at6.cast("int") * 4 + at12.cast("int") * 2 + at1.cast("int")
@@ -534,5 +534,7 @@ def evaluation_summary(
 def prediction_table(predictions: DataFrame, seed: int = 1, identifiers: Sequence[str] = ("donor", "don_id", "id")) -> DataFrame:
     """Predictions without identifiers, in an order that a seeded hash of them decides."""
     present = [c for c in identifiers if c in predictions.columns]
+    if not present:
+        raise ValueError(f"one of {', '.join(identifiers)} must identify the rows to permute")
     shuffled = predictions.orderBy(F.xxhash64(F.lit(seed), *present))
     return shuffled.select(*[f"`{c}`" for c in predictions.columns if c not in present])

@@ -31,6 +31,7 @@ from donorflow.session import reliable_checkpoint
 CHUNK_ROWS = 1_000_000
 MAX_CHUNKS = 4096
 POINTS_PER_CHUNK = 16
+PIECE_BITS = 16
 
 
 @dataclass(frozen=True)
@@ -398,7 +399,7 @@ def hash_ranks(
     """
     by = _names(by)
     frame = keys.withColumn("__hash", F.xxhash64(F.lit(seed), F.col(key)))
-    frame = frame.withColumn("__piece", F.shiftright("__hash", 54))
+    frame = frame.withColumn("__piece", F.shiftright("__hash", 64 - PIECE_BITS))
     strata = by or ["__all"]
     if not by:
         frame = frame.withColumn("__all", F.lit(0))

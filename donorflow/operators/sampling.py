@@ -7,15 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from donorflow.functions.expr import recode
 from donorflow.functions.metadata import SPLIT_SHARES
 from donorflow.operators import ordered
 from donorflow.operators.ordered import Lag, exact_quantiles, hash_ranks, running, uniform
 from donorflow.operators.series import trim_after_last_deferral
 
 
-MAX_CLASSES = 1000
-
 
 def split_three_way(
     df: DataFrame, key: str, seed: int = 42, shares: Sequence[tuple[str, float]] = SPLIT_SHARES, name: str = "label"
@@ -117,12 +114,10 @@ def balance_classes(df: DataFrame, target: float, seed: int, key: str = "donor",
 
 
 def enrich(
-    df: DataFrame, target: float, seed: int, min_donors: int = 1000, key: str = "donor", flag: str = "Hb_deferral",
+    df: DataFrame, target: float, seed: int, key: str = "donor", flag: str = "Hb_deferral",
     order: Sequence[str] = ("date", "don_id"),
 ) -> DataFrame:
-    """Trim series after the last deferral, then balance; small tables are left alone."""
-    if df.select(key).distinct().limit(min_donors).count() < min_donors:
-        return df
+    """Trim series after the last deferral, then balance."""
     return balance_classes(trim_after_last_deferral(df, key, flag, order), target, seed, key, flag)
 
 
@@ -206,13 +201,12 @@ def smote(
 def class_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
     """Case weight 1 - share of the row's class.
 
-    The few class sizes become part of the expression, so the rows are not shuffled.
+    Class sizes are counted before the shuffle and joined; Spark broadcasts them when they are small.
     """
-    counts = df.groupBy(label).count().limit(MAX_CLASSES + 1).collect()
-    if len(counts) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes in {label}")
-    total = sum(r["count"] for r in counts)
-    return df.withColumn(name, recode(label, {r[0]: 1 - r["count"] / total for r in counts}))
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
+    total = df.agg(F.count(F.lit(1)).alias("__all")).scalar()
+    counts = counts.select(F.col(label).alias("__label"), (1 - F.col("__n") / total).alias(name))
+    return df.join(counts, F.col(label).eqNullSafe(F.col("__label"))).select(*df.columns, name)
 
 
 def permute_rows(df: DataFrame, seed: int, keys: Sequence[str]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Session defaults, reliable checkpoints and size-checked broadcasts."""
+"""Session defaults, reliable checkpoints and the shared folder."""
 
 from __future__ import annotations
 
@@ -7,9 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-BROADCAST_ROWS = 100_000
 
 
 def build_session(master: str | None = None, **conf: str) -> SparkSession:
@@ -46,27 +43,6 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="donorflow-")
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after seeing that the table has at most ``rows`` rows.
-
-    The probe stops after ``rows + 1`` rows; a larger table is returned unhinted, so the
-    join stays a shuffled one.
-    """
-    found = df.limit(rows + 1).count()
-    return F.broadcast(df) if found <= rows else df
-
-
-def small_table(df: DataFrame, rows: int = 10_000) -> DataFrame:
-    """A result of at most ``rows`` rows as a broadcast local table; a larger one as it is.
-
-    For one-row-per-model tables that several later joins use: they are computed once.
-    """
-    found = df.limit(rows + 1).collect()
-    if len(found) > rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(found, df.schema))
-
-
 def workspace(spark: SparkSession, name: str) -> str:
     """A new folder in the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/donorflow-{name}-{uuid.uuid4().hex}"

@@ -86,7 +86,8 @@ def _scan_named(
         raise ValueError(f"missing columns in {path}: {', '.join(missing)}")
     known = {**required, **optional}
     types = {n: known.get(n, "string") for n in names} | ({CORRUPT: "string"} if corrupt else {})
-    return spark.read.schema(_ddl(types)).csv(path, sep="|", header=True, mode="PERMISSIVE")
+    # without enforceSchema, a file of the folder whose header has another order or name is an error, never a swapped column
+    return spark.read.schema(_ddl(types)).csv(path, sep="|", header=True, mode="PERMISSIVE", enforceSchema=False)
 
 
 def scan_donations_named(spark: SparkSession, path: str, corrupt: bool = False) -> DataFrame:

@@ -103,3 +103,21 @@ def test_malformed_lines_are_counted(spark, tmp_path):
     scanned = delimited.scan_donations_named(spark, path, corrupt=True)
     assert tuple(delimited.malformed_rows(scanned).first()) == (2, 1)
     assert scanned.filter("KEY_DONOR = 'd2'").first()["DONAT_VOL_DRAWN"] is None
+
+
+def test_swapped_header_is_an_error(spark, tmp_path):
+    """A folder whose second file has its first two columns exchanged must not mix up their values."""
+    names = list(delimited.NAMED_DONATIONS)
+    folder = tmp_path / "both"
+    folder.mkdir()
+    (folder / "a").write_text("|".join(names) + "\n" + "|".join(["1"] * len(names)) + "\n")
+    (folder / "b").write_text("|".join([names[1], names[0], *names[2:]]) + "\n" + "|".join(["2"] * len(names)) + "\n")
+    with pytest.raises(Exception, match="(?i)header|schema"):
+        delimited.scan_donations_named(spark, str(folder)).collect()
+
+
+def test_unidentified_predictions_are_refused(spark):
+    from donorflow.operators import metrics
+
+    with pytest.raises(ValueError, match="identify"):
+        metrics.prediction_table(spark.createDataFrame([(0.5, 1)], "score double, label int"))
