@@ -2,29 +2,50 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from donorflow.llm.common import checkpointed
 
 
+def local_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges within one task as stars: (least node, other node) of each of their components."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        before = label.copy()
+        least = np.minimum(label[a], label[b])
+        for x in (a, b, before[a], before[b]):
+            np.minimum.at(label, x, least)
+        label = label[label]
+        if (label == before).all():
+            far = label != np.arange(len(nodes))
+            return nodes[label[far]], nodes[far]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of edges (a, b): label is the smallest node that links lead to.
 
-    Each round takes the least label of all neighbours, then the label of that label, so chains halve. Rounds end when no
-    label falls. Labels are minimised before each shuffle, so a node with most links is no hot spot; every round is
-    written to the checkpoint folder and only the number of changes reaches the driver.
+    Each round offers the least label of a node's neighbours to the node and to the node's own label, then takes the label
+    of the label, so trees hook onto trees and chains halve: rounds grow with the logarithm of the nodes. They end when no
+    label falls. Minima are taken before each shuffle, so a node with most links is no hot spot; every round is written to
+    the checkpoint folder, and only the number of changes reaches the driver.
     """
     both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).filter("a != b").distinct())
     labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
-    while not labels.isEmpty():
+    changed = labels.count()
+    while changed:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        fresh = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        known = labels.join(near, labels["node"] == near["a"]).select("node", "label", "near")
+        offers = F.explode(F.array(
+            F.struct(F.col("node"), F.least("label", "near").alias("to"), F.col("label").alias("was")),
+            F.struct(F.col("label").alias("node"), F.least("label", "near").alias("to"), F.lit(None).cast("long").alias("was")),
+        )).alias("o")
+        fresh = known.select(offers).groupBy(F.col("o.node").alias("node")).agg(F.min("o.to").alias("label"), F.max("o.was").alias("was"))
         jump = fresh.select(F.col("node").alias("through"), F.col("label").alias("far"))
-        moved = fresh.join(jump, fresh["label"] == jump["through"], "left").select("node", "was", F.least("label", F.coalesce("far", "label")).alias("label"))
-        moved = checkpointed(moved)
+        moved = checkpointed(fresh.join(jump, fresh["label"] == jump["through"]).select("node", "was", F.col("far").alias("label")))
         changed = moved.filter("label != was").count()
         labels = moved.select("node", "label")
-        if not changed:
-            break
     return labels

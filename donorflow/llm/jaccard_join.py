@@ -4,7 +4,7 @@
 2. A set can only reach similarity t with another of nearly its size if they share one of its rarest few n-grams (all but
    t of it). These columns of the incidence matrix are shuffled, split by size bands; each column names candidates with one
    row a document (a star, not all pairs), and chained stars make blocks of documents outside which no link can exist.
-3. Only documents in blocks bring their whole sets. A block is cut into tiles of bounded numbers of documents; each tile
+3. Only documents in blocks bring their whole sets. Large blocks are cut by size bands, and into tiles of bounded numbers of n-grams; each tile
    multiplies its sparse incidence rows, dropping pairs by bounds from their sizes, and returns exact link counts and a
    spanning forest.
 
@@ -23,11 +23,12 @@ from pyspark.sql import functions as F
 
 from donorflow.llm import symbols
 from donorflow.llm.common import checkpointed
-from donorflow.llm.components import components
+from donorflow.llm.components import components, local_stars
 from donorflow.llm.repeats import NO_ID, _lists, identified, written
 
 COUNTERS, CHUNK = 1 << 22, 1 << 16
-TILE = 4096
+PRODUCT = 500_000  # incidences multiplied at a time
+TILE = 2_000_000  # n-grams in the sets of one side of a tile
 
 
 @lru_cache
@@ -39,6 +40,11 @@ def band_edges(percent: int) -> np.ndarray:
     return np.array(edges)
 
 
+def bands(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """The band of each size: linked sets lie in one band or in neighbouring ones."""
+    return np.searchsorted(band_edges(percent), sizes, side="right")
+
+
 def shingle_sets(texts: symbols.Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text, and the place of each text's first (and the end).
 
@@ -65,8 +71,8 @@ def class_of(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
     return symbols.mix(sums[first[1:]] - sums[first[:-1]] + np.diff(first).astype(np.uint64)).view(np.int64)
 
 
-def surveyed(rows: DataFrame, k: int) -> DataFrame:
-    """(doc_id, k, h, class, size) of each document; and in rows of their own (chunk, counts), the task's n-gram counters."""
+def surveyed(rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, k, h, class, size, band) of each document; and in rows of their own (chunk, counts), the task's n-gram counters."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,15 +82,16 @@ def surveyed(rows: DataFrame, k: int) -> DataFrame:
             np.add.at(counts, (sets & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
             n = block.num_rows
             yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), block.column("k"), block.column("h"), pa.array(class_of(sets, first)), pa.array(np.diff(first)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int32()))], names=names)
+                [block.column("doc_id"), block.column("k"), block.column("h"), pa.array(class_of(sets, first)), pa.array(np.diff(first)), pa.array(bands(np.diff(first), percent)),
+                 pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int32()))], names=names)
         if counts.any():
             for j in range(COUNTERS // CHUNK):
-                empty = [pa.nulls(1, t) for t in (kinds[0], pa.int64(), pa.int32(), pa.int64(), pa.int64())]
+                empty = [pa.nulls(1, t) for t in (kinds[0], pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())]
                 yield pa.RecordBatch.from_arrays([*empty, pa.array([j], pa.int32()), pa.array([counts[j * CHUNK : (j + 1) * CHUNK]], pa.list_(pa.int32()))], names=names)
 
-    names = ["doc_id", "k", "h", "class", "size", "chunk", "counts"]
+    names = ["doc_id", "k", "h", "class", "size", "band", "chunk", "counts"]
     kinds = [{"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]]
-    return rows.mapInArrow(work, f"doc_id {kind}, k long, h int, class long, size long, chunk int, counts array<int>")
+    return rows.mapInArrow(work, f"doc_id {kind}, k long, h int, class long, size long, band long, chunk int, counts array<int>")
 
 
 def ranks(survey: DataFrame) -> np.ndarray:
@@ -107,12 +114,11 @@ def ranks(survey: DataFrame) -> np.ndarray:
 
 
 def stars(rows: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """(a, b): classes that share one of the rarest n-grams of both and have a near size, tied to the least class of each column."""
+    """(a, b): classes that share one of the rarest n-grams of both and have a near size, tied in stars by each task."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shared = rows.sparkSession.sparkContext.broadcast(levels)
 
     def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = band_edges(percent)
         for block in symbols.blocks(batches):
             sets, first = shingle_sets(symbols.as_texts(block.column("text")), k)
             size = np.diff(first)
@@ -122,7 +128,7 @@ def stars(rows: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFram
             place = np.arange(len(sets)) - first[owner]
             used = order[place < (size + (-percent * size) // 100 + 1)[owner]]
             owner, grams = owner[used], sets[used]
-            band = (np.searchsorted(edges, size, side="right"))[owner].astype(np.uint64)
+            band = bands(size, percent)[owner].astype(np.uint64)
             key = np.concatenate([symbols.mix(grams ^ symbols.mix(band + np.uint64(d))) for d in (0, 1)])
             node = np.tile(class_of(sets, first)[owner], 2)
             fresh = _distinct(key, node)
@@ -141,8 +147,8 @@ def stars(rows: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFram
         fresh = np.ones(len(key), bool)
         fresh[1:] = key[1:] != key[:-1]
         least = node[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-        pairs = np.unique(np.stack([least, node], 1)[least != node], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        root, other = local_stars(least[least != node], node[least != node])
+        yield pa.RecordBatch.from_arrays([pa.array(root), pa.array(other)], names=["a", "b"])
 
     sent = rows.select("text").mapInArrow(columns, "p int, key array<long>, node array<long>")
     return sent.repartition(parts, "p").mapInArrow(tie, "a long, b long").distinct()
@@ -155,24 +161,36 @@ def _distinct(key: np.ndarray, node: np.ndarray) -> np.ndarray:
     return order[fresh]
 
 
-def tile_links(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+def _row_sums(marked: np.ndarray, column: np.ndarray, first: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """How many marked columns each of some rows has: the product of these rows with one vector."""
+    many = first[rows + 1] - first[rows]
+    ends = np.cumsum(many)
+    place = np.repeat(first[rows] - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)
+    hit = np.concatenate([[0], np.cumsum(marked[column[place]])])
+    return hit[ends] - hit[ends - many]
+
+
+def tile_links(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray, home: np.ndarray, percent: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """(weighted links of each set, a spanning forest of the links) in one tile.
 
     side: 0 and 1 for the two blocks of documents of a tile between blocks, where only pairs across count; all 2 in a tile of
-    one block. Rows of the incidence are ordered from the tile's rarest n-gram; a product of the first columns names
+    one block. home: of the block's own size band; pairs of two others are told elsewhere. Rows of the incidence are ordered from the tile's rarest n-gram; a product of the first columns names
     candidates, whose sizes must allow the similarity, and the full product of the survivors gives exact overlaps.
     """
     size = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets)
-    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
-    rarest = np.argsort(count, kind="stable")
-    number = np.empty(len(count), np.int64)
-    number[rarest] = np.arange(len(count))
-    row = np.repeat(np.arange(len(sets)), size)
-    order = np.lexsort((number[column], row))
-    column = number[column][order]
-    first = np.concatenate([[0], np.cumsum(size)])
-    reach = size + (-percent * size) // 100 + 1
+    names = np.unique(flat)
+    column = np.searchsorted(names, flat).astype(np.int32)
+    count = np.bincount(column)
+    number = np.empty(len(count), np.int32)
+    number[np.argsort(count, kind="stable")] = np.arange(len(count), dtype=np.int32)
+    cells = (np.repeat(np.arange(len(sets)), size) << 32) + number[column]
+    cells = np.sort(cells[count[column] > 1])  # an n-gram of one document has no part in any product
+    column = (cells & 0xFFFFFFFF).astype(np.int32)
+    first = np.searchsorted(cells >> 32, np.arange(len(sets) + 1))
+    inside = np.diff(first)
+    reach = np.maximum(size + (-percent * size) // 100 + 1 - (size - inside), 0)  # lone n-grams come first
+    del flat, names, cells
     holders: dict[int, list[int]] = {}
     links, forest, root = np.zeros(len(sets), np.int64), [], np.arange(len(sets))
     marked = np.zeros(len(count), bool)
@@ -186,16 +204,13 @@ def tile_links(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray, per
         if not near:
             continue
         other = np.fromiter(near, np.int64, len(near))
-        other = other[(100 * size[other] >= percent * size[i]) & ((side[other] != side[i]) | (side[i] == 2))]
+        other = other[(100 * size[other] >= percent * size[i]) & ((side[other] != side[i]) | (side[i] == 2)) & (home[other] | home[i])]
         if not len(other):
             continue
         marked[mine] = True
-        many = size[other]
-        ends = np.cumsum(many)
-        hit = np.concatenate([[0], np.cumsum(marked[column[np.repeat(first[other] - (ends - many), many) + np.arange(ends[-1])]])])
-        overlap = hit[ends] - hit[ends - many]
+        overlap = np.concatenate([_row_sums(marked, column, first, part) for part in np.array_split(other, 1 + inside[other].sum() // PRODUCT)])
         marked[mine] = False
-        other = other[100 * overlap >= percent * (many + size[i] - overlap)]
+        other = other[100 * overlap >= percent * (size[other] + size[i] - overlap)]
         links[i] += weight[other].sum()
         links[other] += weight[i]
         for r in np.unique(root[other]).tolist():
@@ -208,49 +223,52 @@ def tile_links(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray, per
 def multiplied(found: DataFrame, percent: int) -> DataFrame:
     """(node, links, other): link counts of classes (other null), and forest edges (links null). found: (block, tiles, ...)."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
+    def product(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if len(held) < 2:
             return
-        table = pa.Table.from_batches(got).sort_by([("block", "ascending"), ("tile", "ascending"), ("class", "ascending")]).combine_chunks()
-        block, tile, node, weight, side = (table.column(n).to_numpy() for n in ("block", "tile", "class", "weight", "side"))
-        fresh = np.ones(len(node), bool)  # a document that occurs again brings its set again
-        fresh[1:] = (block[1:] != block[:-1]) | (tile[1:] != tile[:-1]) | (node[1:] != node[:-1])
-        rows = np.flatnonzero(fresh)
-        turn = np.flatnonzero(np.append(True, (block[rows][1:] != block[rows][:-1]) | (tile[rows][1:] != tile[rows][:-1]))).tolist()
-        lists = table.column("set").combine_chunks() if table.column("set").num_chunks != 1 else table.column("set").chunk(0)
-        for a, b in zip(turn, [*turn[1:], len(rows)], strict=True):
-            at = rows[a:b]
-            if len(at) < 2:
-                continue
-            links, forest = tile_links([lists[int(i)].values.to_numpy() for i in at], weight[at], side[at], percent)
-            some = np.flatnonzero(links)
-            if len(some):
-                yield pa.RecordBatch.from_arrays([pa.array(node[at[some]]), pa.array(links[some]), pa.nulls(len(some), pa.int64())], names=["node", "links", "other"])
-                left, right = (np.array(x) for x in zip(*forest, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(node[at[left]]), pa.nulls(len(left), pa.int64()), pa.array(node[at[right]])], names=["node", "links", "other"])
+        node, weight, side, home = (np.array(x) for x in list(zip(*held, strict=True))[:4])
+        links, forest = tile_links([x[4] for x in held], weight, side, home, percent)
+        some = np.flatnonzero(links)
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(links[some]), pa.nulls(len(some), pa.int64())], names=["node", "links", "other"])
+            left, right = local_stars(*(node[list(x)] for x in zip(*forest, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(left), pa.nulls(len(left), pa.int64()), pa.array(right)], names=["node", "links", "other"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []  # rows come sorted, so one tile at a time is held
+        for batch in batches:
+            block, tile, node, weight, side = (batch.column(n).to_numpy() for n in ("block", "tile", "class", "weight", "side"))
+            home = batch.column("home").to_numpy(zero_copy_only=False)
+            lists = batch.column("set")
+            for i in range(batch.num_rows):
+                if (block[i], tile[i]) != at:
+                    yield from product(held)
+                    at, held = (block[i], tile[i]), []
+                if not held or held[-1][0] != node[i]:  # a document that occurs again brings its set again
+                    held.append((node[i], weight[i], side[i], home[i], lists[i].values.to_numpy()))
+        yield from product(held)
 
     parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return found.repartition(parts, "block", "tile").mapInArrow(work, "node long, links long, other long")
+    return found.repartition(parts, "block", "tile").sortWithinPartitions("block", "tile", "class").mapInArrow(work, "node long, links long, other long")
 
 
 def whole_sets(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """wanted (k, h, class, block, blocks, weight) with each document's set, once for each tile of its block."""
+    """wanted (k, h, class, block, blocks, weight, home) with each document's set, once for each tile of its block."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in symbols.blocks(batches):
             sets, first = shingle_sets(symbols.as_texts(block.column("text")), k)
             lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(sets.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*[block.column(n) for n in ("class", "block", "blocks", "weight")], lists], names=["class", "block", "blocks", "weight", "set"])
+            yield pa.RecordBatch.from_arrays([*[block.column(n) for n in ("class", "block", "blocks", "weight", "home")], lists], names=["class", "block", "blocks", "weight", "home", "set"])
 
-    found = rows.join(wanted, ["k", "h"]).select("text", "class", "block", "blocks", "weight")
-    found = found.mapInArrow(work, "class long, block long, blocks int, weight long, `set` array<long>")
+    found = rows.join(wanted, ["k", "h"]).select("text", "class", "block", "blocks", "weight", "home")
+    found = found.mapInArrow(work, "class long, block long, blocks int, weight long, home boolean, `set` array<long>")
     own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     tiled = found.select("*", own.alias("own"), other)
     tile = F.least("own", "other").cast("long") * F.col("blocks") + F.greatest("own", "other")
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    return tiled.select("block", tile.alias("tile"), "class", "weight", side.cast("int").alias("side"), "set")
+    return tiled.select("block", tile.alias("tile"), "class", "weight", "home", side.cast("int").alias("side"), "set")
 
 
 def link_similar(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id", tile: int = TILE) -> DataFrame:
@@ -264,14 +282,20 @@ def link_similar(docs: DataFrame, words: int = 5, percent: int = 80, text: str =
     different documents. No rows: no rows. Other columns are not read.
     """
     rows = identified(docs, text, key)
-    survey = written(surveyed(rows, words), "survey")
-    found = survey.filter("chunk is null").select("doc_id", "k", "h", "class", "size")
+    survey = written(surveyed(rows, words, percent), "survey")
+    found = survey.filter("chunk is null").select("doc_id", "k", "h", "class", "size", "band")
     candidates = components(checkpointed(stars(rows, words, percent, ranks(survey))))
-    members = found.filter("size > 0").select("k", "h", "class").distinct().groupBy("class").agg(F.min(F.struct("k", "h")).alias("one"), F.count(F.lit(1)).alias("weight"))
+    members = found.filter("size > 0").select("k", "h", "class", "size", "band").distinct().groupBy("class").agg(F.min(F.struct("k", "h")).alias("one"), F.count(F.lit(1)).alias("weight"), F.first("size").alias("size"), F.first("band").alias("band"))
     members = checkpointed(members)
-    sizes = candidates.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("blocks"))
-    wanted = members.join(candidates.withColumnRenamed("node", "class"), "class").join(sizes, "label")
-    wanted = wanted.select(F.col("one.k").alias("k"), F.col("one.h").alias("h"), "class", F.col("label").alias("block"), "blocks", "weight")
+    wanted = members.join(candidates.withColumnRenamed("node", "class"), "class")
+    wanted = checkpointed(wanted.select(F.col("one.k").alias("k"), F.col("one.h").alias("h"), "class", "weight", "size", "label", "band"))
+    whole = wanted.groupBy("label").agg((F.sum("size") <= tile).alias("whole"))  # fits one tile: its bands stay together
+    home = F.explode(F.when(F.col("whole"), F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))).alias("home")
+    wanted = wanted.join(whole, "label").select("*", home)
+    level = F.when(F.col("whole"), 0).when(F.col("home"), F.col("band")).otherwise(F.col("band") + 1)
+    wanted = checkpointed(wanted.withColumn("block", F.xxhash64("label", level.cast("long"))))
+    sizes = wanted.groupBy("block").agg(F.ceil(F.sum("size") / tile).cast("int").alias("blocks"), F.count(F.lit(1)).alias("all"), F.count(F.when(F.col("home"), 1)).alias("homes"))
+    wanted = wanted.join(sizes.filter("homes > 0 and all > 1"), "block").select("k", "h", "class", "block", "blocks", "weight", "home")
     linked = checkpointed(multiplied(whole_sets(rows, wanted, words), percent))
     joined = components(linked.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     counts = linked.filter("links is not null").groupBy(F.col("node").alias("class")).agg(F.sum("links").alias("links"))

@@ -125,7 +125,7 @@ def brute_links(docs, k, percent):
     return {i: (len(sets[i]), top(i), degree[i]) for i in sets}
 
 
-@pytest.mark.parametrize("k,percent,tile", [(3, 90, 4096), (5, 80, 4096), (3, 90, 3), (2, 60, 5)])
+@pytest.mark.parametrize("k,percent,tile", [(3, 90, 10**6), (5, 80, 10**6), (3, 90, 300), (2, 60, 400)])
 def test_jaccard_join(spark, k, percent, tile):
     docs = corpus(7, count=140)
     got = jaccard_join.link_similar(frame(spark, docs + docs[:3], True), k, percent, tile=tile).collect()
