@@ -1,9 +1,11 @@
 """Exact Jaccard self-join of shingle sets by blocked sparse products of the document by n-gram incidence.
 
 1. Counts of n-grams over the whole corpus, in a fixed number of hashed counters, give every n-gram a rank: rare ones first.
-2. A set can only reach similarity t with another of nearly its size if they share one of its rarest few n-grams (all but
-   t of it). These columns of the incidence matrix are shuffled, split by size bands; each column names candidates with one
-   row a document (a star, not all pairs), and chained stars make blocks of documents outside which no link can exist.
+2. Sets of a size band that link differ in at most d n-grams, with d from the band's sizes. So the columns of the incidence
+   matrix are dealt by hash into d + 1 parts and a few more, c: linked sets agree in more than c whole parts. Each set leaves
+   out the c parts whose rarest n-gram is the most frequent, by one order of parts for all sets, so the best part that two
+   linked sets agree in is left out by neither. Equal parts name candidates with one row a document (a star, not all
+   pairs), and chained stars make blocks of documents outside which no link can exist.
 3. Only documents in blocks bring their whole sets. Large blocks are cut by size bands, and into tiles of bounded numbers of n-grams; each tile
    multiplies its sparse incidence rows, dropping pairs by bounds from their sizes, and returns exact link counts and a
    spanning forest.
@@ -113,28 +115,51 @@ def ranks(survey: DataFrame) -> np.ndarray:
     return out
 
 
+def part_keys(sets: np.ndarray, first: np.ndarray, level: np.ndarray, group: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, owner) of the parts that each set shows in its group, which holds the bands group - 1 and group.
+
+    level: of each n-gram, low for rare ones. Where no two different sets can link, nothing is shown.
+    """
+    largest = band_edges(percent)[group] - 1
+    differ = (100 - percent) * 2 * largest // (100 + percent)
+    spare = np.where(differ > 0, differ // 4 + 2, 0)
+    many = np.where((differ > 0) & (np.diff(first) > 0), differ + 1 + spare, 0)
+    begin = np.cumsum(many) - many
+    owner = np.repeat(np.arange(len(many)), np.diff(first))
+    dealt = many[owner] > 0
+    owner, grams, level = owner[dealt], sets[dealt], level[dealt]
+    mixed = symbols.mix(grams ^ np.uint64(0x9E3779B97F4A7C15))
+    cell = begin[owner] + (mixed % many[owner].astype(np.uint64)).astype(np.int64)
+    order = np.argsort(cell, kind="stable")
+    at = np.searchsorted(cell[order], np.arange(many.sum() + 1))
+    count = np.diff(at)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(symbols.mix(mixed)[order], dtype=np.uint64)])
+    rarest = np.full(len(count), 256)
+    full = np.flatnonzero(count)
+    if len(full):
+        rarest[full] = np.minimum.reduceat(level[order], at[full])
+    owner = np.repeat(np.arange(len(many)), many)
+    part = np.arange(len(owner)) - begin[owner]
+    content = symbols.mix(sums[at[1:]] - sums[at[:-1]] + count.astype(np.uint64))
+    key = symbols.mix(content ^ symbols.mix((group[owner].astype(np.uint64) << np.uint64(44)) + part.astype(np.uint64)))
+    order = np.lexsort((part, count, -rarest, owner))  # each set's weakest parts first, so places in it are places in their order
+    shown = order[part >= spare[owner]]
+    return key[shown], owner[shown]
+
+
 def stars(rows: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """(a, b): classes that share one of the rarest n-grams of both and have a near size, tied in stars by each task."""
+    """(a, b): classes of near size that show an equal part, tied in stars by each task."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shared = rows.sparkSession.sparkContext.broadcast(levels)
 
     def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in symbols.blocks(batches):
             sets, first = shingle_sets(symbols.as_texts(block.column("text")), k)
-            size = np.diff(first)
-            owner = np.repeat(np.arange(len(size)), size)
             level = shared.value[(sets & np.uint64(COUNTERS - 1)).astype(np.int64)]
-            order = np.lexsort((sets, level, owner))
-            place = np.arange(len(sets)) - first[owner]
-            used = order[place < (size + (-percent * size) // 100 + 1)[owner]]
-            owner, grams = owner[used], sets[used]
-            band = bands(size, percent)[owner].astype(np.uint64)
-            key = np.concatenate([symbols.mix(grams ^ symbols.mix(band + np.uint64(d))) for d in (0, 1)])
-            node = np.tile(class_of(sets, first)[owner], 2)
-            fresh = _distinct(key, node)
-            key, node = key[fresh], node[fresh]
+            both = [part_keys(sets, first, level, bands(np.diff(first), percent) + d, percent) for d in (0, 1)]
+            key, owner = (np.concatenate(x) for x in zip(*both, strict=True))
             if len(key):
-                yield _lists((key % np.uint64(parts)).astype(np.int64), parts, {"key": key.view(np.int64), "node": node})
+                yield _lists((key % np.uint64(parts)).astype(np.int64), parts, {"key": key.view(np.int64), "node": class_of(sets, first)[owner]})
 
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -154,13 +179,6 @@ def stars(rows: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFram
     return sent.repartition(parts, "p").mapInArrow(tie, "a long, b long").distinct()
 
 
-def _distinct(key: np.ndarray, node: np.ndarray) -> np.ndarray:
-    order = np.lexsort((node, key))
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = (key[order][1:] != key[order][:-1]) | (node[order][1:] != node[order][:-1])
-    return order[fresh]
-
-
 def _row_sums(marked: np.ndarray, column: np.ndarray, first: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """How many marked columns each of some rows has: the product of these rows with one vector."""
     many = first[rows + 1] - first[rows]

@@ -4,6 +4,7 @@ import re
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,6 +144,29 @@ def test_jaccard_join_at_the_limit(spark):
     assert got == {0: 0, 1: 0, 2: 2}
 
 
+@pytest.mark.parametrize("percent", [50, 80, 90, 95])
+def test_linked_sets_show_an_equal_part(percent):
+    r, linked = np.random.default_rng(percent), 0
+    for _ in range(300):
+        one = np.unique(r.integers(0, 1 << 63, int(r.integers(1, 400))).astype(np.uint64))
+        kept = one[int(r.integers(0, len(one) * (100 - percent) // 100 + 1)) :]
+        more = int(r.integers(0, max(0, 100 * len(kept) // percent - len(one)) + 1))
+        other = np.unique(np.concatenate([kept, r.integers(0, 1 << 63, more).astype(np.uint64)]))
+        both = len(np.intersect1d(one, other))
+        union = len(one) + len(other) - both
+        if both == union or 100 * both < percent * union:
+            continue
+        linked += 1
+        sets, first = np.concatenate([one, other]), np.array([0, len(one), len(one) + len(other)])
+        level, shown = (sets % np.uint64(7)).astype(np.uint8), (set(), set())
+        for d in (0, 1):
+            key, owner = jaccard_join.part_keys(sets, first, level, jaccard_join.bands(np.diff(first), percent) + d, percent)
+            for o in (0, 1):
+                shown[o].update(key[owner == o].tolist())
+        assert shown[0] & shown[1]
+    assert linked > 50
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
