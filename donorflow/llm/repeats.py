@@ -7,6 +7,9 @@ Consecutive windows with one key form a segment. Three shuffles follow:
    each block of texts, so a passage in a third of all documents comes to a reducer once a block.
 2. Segments whose key other segments with different content have, too: their symbols are fetched and meet by key.
 3. The settled spans return to their documents.
+
+Around a line that many texts share, every text brings its own content under one key. Keys with more than HEAVY contents
+don't meet as a whole: their windows are counted by their own hashes, and only two holders of each repeated window meet.
 """
 
 from __future__ import annotations
@@ -86,11 +89,16 @@ def _lists(part: np.ndarray, parts: int, columns: dict[str, np.ndarray]) -> pa.R
 
 _ITEMS = {"key": np.int64, "content": np.int64, "k": np.int64, "h": np.int32, "start": np.int32, "count": np.int32}
 SPAN_KEY = 0  # a span travels as an item with this `content`; `key` is free
-MANY, TWICE = 1 << 16, 1 << 17  # seen more than once in its block of texts; windows inside may be equal
+HOT_KEY = 1  # tells that a block has sent this key's segments apart, by their contents
+MANY, TWICE, HOT = 1 << 16, 1 << 17, 1 << 18  # seen more than once in its block of texts; windows inside may be equal; sent apart
+HEAVY = 1024  # contents of a key that may meet in one group
+BLOCK_CONTENTS = 16  # contents of a key that a block of texts sends to the key's own task
+GROUP_BYTES = 16 << 20  # symbols of whole keys that are solved at once
 
 
 def segments(rows: DataFrame, spec: Windows, parts: int) -> DataFrame:
-    """Lists of segments for each part. `count` may hold the flags MANY and TWICE. content 0: a settled span, its end in `count`."""
+    """Lists of segments for each part. `count` may hold the flags MANY, TWICE and HOT. content 0: a settled span, its end in `count`; 1: a key whose segments are HOT in some block."""
+    apart = BLOCK_CONTENTS
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in symbols.blocks(batches):
@@ -107,7 +115,7 @@ def segments(rows: DataFrame, spec: Windows, parts: int) -> DataFrame:
             rank = np.empty(len(by), np.int64)
             rank[by] = np.cumsum(fresh) - 1
             place = (rank[doc] << 32) + start
-            content = np.where(a.content == SPAN_KEY, 1, a.content)
+            content = np.where(a.content <= HOT_KEY, 2, a.content)
             order = np.lexsort((place, symbols.mix(a.key ^ symbols.mix(content))))
             lead = np.ones(len(order), bool)
             lead[1:] = (a.key[order][1:] != a.key[order][:-1]) | (content[order][1:] != content[order][:-1])
@@ -119,6 +127,16 @@ def segments(rows: DataFrame, spec: Windows, parts: int) -> DataFrame:
             count = a.count[first]
             sent = {"key": a.key[first].view(np.int64), "content": content[first].view(np.int64), "k": k[doc[first]], "h": h[doc[first]], "start": start[first], "count": count | many * MANY | a.twice[first] * TWICE}
             part = (a.key[first] % np.uint64(parts)).astype(np.int64)
+            names, number, contents = np.unique(a.key[first], return_inverse=True, return_counts=True)
+            hot = contents[number] > apart
+            if hot.any():
+                sent["count"] = sent["count"] | hot * HOT
+                part[hot] = (symbols.mix(a.key[first][hot] ^ symbols.mix(content[first][hot])) % np.uint64(parts)).astype(np.int64)
+                told = names[contents > apart]
+                none = np.zeros(len(told), np.int64)
+                marks = {"key": told.view(np.int64), "content": none + HOT_KEY, "k": none, "h": none, "start": none, "count": none}
+                sent = {c: np.concatenate([sent[c], marks[c].astype(sent[c].dtype)]) for c in sent}
+                part = np.concatenate([part, (told % np.uint64(parts)).astype(np.int64)])
             if len(again):
                 owner, left, right = merged(doc[again], start[again], start[again] + a.count[again] - 1 + spec.window)
                 spans = {"key": np.zeros(len(owner)), "content": np.full(len(owner), SPAN_KEY), "k": k[owner], "h": h[owner], "start": left, "count": right}
@@ -131,7 +149,8 @@ def segments(rows: DataFrame, spec: Windows, parts: int) -> DataFrame:
 
 
 def settled(sent: DataFrame, spec: Windows) -> DataFrame:
-    """(key, k, h, start, stop): spans that equal segments settle (key null), and segments that may share windows: their key has other contents, too, or they repeat inside."""
+    """(key, heavy, k, h, start, stop): spans that equal segments settle (key null), and segments that may share windows: their key has other contents, too, or they repeat inside. heavy: the key has too many contents to meet in one group."""
+    most = HEAVY
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -140,13 +159,16 @@ def settled(sent: DataFrame, spec: Windows) -> DataFrame:
         table = pa.Table.from_batches(got)
         c = {name: table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False) for name in _ITEMS}
         is_span = c["content"] == SPAN_KEY
-        out = [(c["k"][is_span], c["h"][is_span], c["start"][is_span], c["count"][is_span], None)]
-        c = {name: x[~is_span] for name, x in c.items()}
+        out = [(c["k"][is_span], c["h"][is_span], c["start"][is_span], c["count"][is_span], None, None)]
+        is_mark = c["content"] == HOT_KEY
+        hot_keys = np.unique(c["key"][is_mark])
+        c = {name: x[~is_span & ~is_mark] for name, x in c.items()}
         order = np.lexsort((c["start"], c["h"], c["k"], c["content"], c["key"]))
         c = {name: x[order] for name, x in c.items()}
         n = len(order)
         if n:
             flags, size = c["count"], c["count"] & (MANY - 1)
+            hot = (flags & HOT > 0) | np.isin(c["key"], hot_keys)
             new_key, lead, other = np.ones(n, bool), np.ones(n, bool), np.zeros(n, bool)
             new_key[1:] = c["key"][1:] != c["key"][:-1]
             lead[1:] = new_key[1:] | (c["content"][1:] != c["content"][:-1])
@@ -156,21 +178,25 @@ def settled(sent: DataFrame, spec: Windows) -> DataFrame:
             if not spec.keep_first:
                 other = (np.bincount(group[other | (flags & MANY > 0)], minlength=len(at)) > 0)[group]
             stop = c["start"] + size - 1 + spec.window
-            out.append((c["k"][other], c["h"][other], c["start"][other], stop[other], None))
+            out.append((c["k"][other], c["h"][other], c["start"][other], stop[other], None, None))
             contents = np.bincount((np.cumsum(new_key) - 1)[lead])
-            rivals = at[np.repeat(contents > 1, contents) | (flags[at] & TWICE > 0)]
-            out.append((c["k"][rivals], c["h"][rivals], c["start"][rivals], stop[rivals], c["key"][rivals]))
-        for k, h, start, stop, key in out:
+            # a key that is hot in one block only has its segments in several tasks; the mark makes all of them heavy
+            hot = np.logical_or.reduceat(hot, at)
+            chosen = np.repeat(contents > 1, contents) | (flags[at] & TWICE > 0) | hot
+            heavy, rivals = (np.repeat(contents > most, contents) | hot)[chosen], at[chosen]
+            out.append((c["k"][rivals], c["h"][rivals], c["start"][rivals], stop[rivals], c["key"][rivals], heavy))
+        for k, h, start, stop, key, heavy in out:
             if len(k):
                 keys = pa.array(key) if key is not None else pa.nulls(len(k), pa.int64())
-                yield pa.RecordBatch.from_arrays([keys, pa.array(k), pa.array(h), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], names=["key", "k", "h", "start", "stop"])
+                heavies = pa.array(heavy) if heavy is not None else pa.nulls(len(k), pa.bool_())
+                yield pa.RecordBatch.from_arrays([keys, heavies, pa.array(k), pa.array(h), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], names=["key", "heavy", "k", "h", "start", "stop"])
 
-    return sent.mapInArrow(work, f"key long, {SPAN}")
+    return sent.mapInArrow(work, f"key long, heavy boolean, {SPAN}")
 
 
 def fetched(rows: DataFrame, wanted: DataFrame, spec: Windows) -> DataFrame:
-    """(key, k, h, start, symbols) of the wanted segments."""
-    asked = wanted.groupBy("k", "h").agg(F.collect_list(F.struct("key", "start", "stop")).alias("asked"))
+    """(key, heavy, k, h, start, symbols) of the wanted segments."""
+    asked = wanted.groupBy("k", "h").agg(F.collect_list(F.struct("key", "start", "stop", "heavy")).alias("asked"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in symbols.blocks(batches):
@@ -185,30 +211,99 @@ def fetched(rows: DataFrame, wanted: DataFrame, spec: Windows) -> DataFrame:
             offsets = np.concatenate([[0], ends * taken.itemsize]).astype(np.int32)
             payload = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(taken.tobytes())])
             k, h = block.column("k").to_numpy()[owner], block.column("h").to_numpy()[owner]
-            yield pa.RecordBatch.from_arrays([flat.field(0), pa.array(k), pa.array(h), pa.array(start.astype(np.int32)), payload], names=["key", "k", "h", "start", "symbols"])
+            yield pa.RecordBatch.from_arrays([flat.field(0), flat.field(3), pa.array(k), pa.array(h), pa.array(start.astype(np.int32)), payload], names=["key", "heavy", "k", "h", "start", "symbols"])
 
-    return rows.join(asked, ["k", "h"]).select("k", "h", "text", "asked").mapInArrow(work, "key long, k long, h int, start int, symbols binary")
+    return rows.join(asked, ["k", "h"]).select("k", "h", "text", "asked").mapInArrow(work, "key long, heavy boolean, k long, h int, start int, symbols binary")
 
 
 Solver = Callable[[pa.Table], pa.Table]
 
 
+def solved(held: DataFrame, parts: int, solve: Solver, columns: str) -> DataFrame:
+    """Spans of `columns` from segments that meet by key; a task solves some whole keys at a time."""
+    most = GROUP_BYTES
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, weight, last = [], 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column("key").to_numpy()
+            if weight >= most:  # the open key may go on in this batch
+                turn = 0 if keys[0] != last else int(np.append(np.flatnonzero(keys != last), len(keys))[0])
+                if turn < len(keys):
+                    yield from solve(pa.Table.from_batches([*got, batch.slice(0, turn)])).combine_chunks().to_batches()
+                    got, weight, batch = [], 0, batch.slice(turn)
+            got.append(batch)
+            weight += batch.nbytes
+            last = keys[-1]
+        if got:
+            yield from solve(pa.Table.from_batches(got)).combine_chunks().to_batches()
+
+    return held.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(work, columns)
+
+
+def hashed_windows(heavy: DataFrame, spec: Windows) -> DataFrame:
+    """(key, name, k, h, start, at) of each window of some segments: its hash, its place, and where its segment starts."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            texts = symbols.as_texts(b.column("symbols").cast(pa.large_binary()))
+            values, begin = (texts.data.view(np.uint64), texts.begin // 8) if spec.words else (texts.data, texts.begin)
+            counts = np.diff(begin) - spec.window + 1
+            ends = np.cumsum(counts)
+            owner = np.repeat(np.arange(len(counts)), counts)
+            inside = np.arange(ends[-1]) - np.repeat(ends - counts, counts)
+            place = begin[owner] + inside
+            name = symbols.Rolling(spec.spread(values)).of(place, place + spec.window).view(np.int64)
+            c = {n: b.column(n).to_numpy()[owner] for n in ("key", "k", "h", "start")}
+            made = [c["key"], name, c["k"], c["h"], (c["start"] + inside).astype(np.int32), c["start"]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["key", "name", "k", "h", "start", "at"])
+
+    return heavy.mapInArrow(work, "key long, name long, k long, h int, start int, at int")
+
+
+def heavy_spans(heavy: DataFrame, spec: Windows, parts: int, solve: Solver, columns: str) -> DataFrame:
+    """Spans (k, h, start, stop) of the windows of heavy keys that occur again.
+
+    Windows are counted before the shuffle. The first and the last holder of each window that has two go through `solve` in
+    a group of their own; what it finds holds for the other holders, which have the same hash.
+    """
+    windows = written(hashed_windows(heavy, spec), "windows")
+    place = F.struct("k", "h", "start", "at")
+    again = windows.groupBy("key", "name").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a != b")
+    again = written(again, "again")
+    width = 8 if spec.words else 1
+    pairs = again.select(F.xxhash64("key", "name").alias("group"), F.explode(F.array("a", "b")).alias("w")).select("group", "w.*")
+    held = heavy.select("k", "h", F.col("start").alias("at"), "symbols").distinct()
+    cut = F.expr(f"substring(symbols, (start - at) * {width} + 1, {spec.window * width})")
+    pairs = pairs.join(held, ["k", "h", "at"]).select(F.col("group").alias("key"), "k", "h", "start", cut.alias("symbols"))
+    found = solved(pairs, parts, solve, columns).select(F.struct("k", "h", "start").alias("found")).distinct()
+    last = F.struct("b.k", "b.h", "b.start")
+    sure = again.join(found, last == F.col("found"), "left_semi").select("key", "name", "a")
+    spans = windows.join(sure, ["key", "name"])
+    if spec.keep_first:
+        spans = spans.filter(F.struct("k", "h", "start", "at") != F.col("a"))
+    return spans.select("k", "h", "start", (F.col("start") + spec.window).cast("int").alias("stop"))
+
+
 def repeated_spans(rows: DataFrame, spec: Windows, solve: Solver, columns: str) -> DataFrame:
     """Spans (k, h, start, stop, ...) to remove. rows: of identified(). solve: from the segments of some keys to spans of `columns`."""
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = segments(rows, spec, parts).repartition(parts, "p")
     first = written(settled(sent, spec), "segments")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if got:
-            found = solve(pa.Table.from_batches(got))
-            yield from found.combine_chunks().to_batches()
-
-    rivals = fetched(rows, first.filter("key is not null"), spec).repartition(parts, "key")
-    second = rivals.mapInArrow(work, columns)
-    return first.filter("key is null").drop("key").unionByName(second, allowMissingColumns=True)
+    rivals = fetched(rows, first.filter("key is not null"), spec)
+    any_heavy = not first.filter("heavy").isEmpty()
+    if any_heavy:
+        rivals = written(rivals, "rivals")  # read twice, but texts are shuffled once
+    spans = first.filter("key is null").drop("key", "heavy")
+    spans = spans.unionByName(solved(rivals.filter("not heavy").drop("heavy"), parts, solve, columns), allowMissingColumns=True)
+    if any_heavy:
+        spans = spans.unionByName(heavy_spans(rivals.filter("heavy").drop("heavy"), spec, parts, solve, columns), allowMissingColumns=True)
+    return spans
 
 
 def without_spans(rows: DataFrame, spans: DataFrame, columns: str, cut: Callable[[symbols.Texts, np.ndarray, np.ndarray, np.ndarray], list[pa.Array]]) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from donorflow.llm import host_quality, jaccard_join, mixing, packing, pii, suffix_array, suffix_automaton
+from donorflow.llm import host_quality, jaccard_join, mixing, packing, pii, repeats, suffix_array, suffix_automaton
 from donorflow.llm.registry import tokenizer_path
 
 WORD = "[^\x20\x09-\x0D]+"
@@ -93,6 +93,54 @@ def test_suffix_automata(spark, least):
     assert got == want
 
 
+def brute_words(docs, least):
+    counts, words = Counter(), {i: re.findall(WORD, text or "") for i, text, _ in docs}
+    for w in words.values():
+        counts.update(tuple(w[s : s + least]) for s in range(len(w) - least + 1))
+    out = {}
+    for i, w in words.items():
+        keep = [True] * len(w)
+        for s in range(len(w) - least + 1):
+            if counts[tuple(w[s : s + least])] > 1:
+                keep[s : s + least] = [False] * least
+        out[i] = " ".join(x for x, k in zip(w, keep) if k)
+    return out
+
+
+def shared_lines(count=240):
+    """Each text has a passage and a line of 20 words that all share, with words of its own around them, or two texts' words."""
+    line, passage = " ".join(f"line{i}" for i in range(20)), " ".join(f"pass{i}" for i in range(60))
+    own = lambda i, n: " ".join(f"o{i}x{j}" for j in range(n))
+    docs = [(i, f"{own(i, 30)} {line} {own(i + 10**6, 30)} {passage} {own(i + 2 * 10**6, 30)}", "s") for i in range(count)]
+    return [*docs, *((count + i, f"q{i} {own(i, 30)} {line} {own(i + 10**6, 12)} z{i}", "s") for i in range(9)), (3, docs[3][1], "s")]
+
+
+@pytest.mark.parametrize("heavy,apart", [(20, 10**6), (10**6, 3), (3, 2)])
+def test_no_group_of_a_key_grows_with_the_texts(spark, monkeypatch, heavy, apart):
+    monkeypatch.setattr(repeats, "HEAVY", heavy, raising=False)
+    monkeypatch.setattr(repeats, "BLOCK_CONTENTS", apart, raising=False)
+    for docs in (shared_lines(), corpus(5)):
+        most = max(20, min(heavy, 5 * 3 * apart))
+
+        def checked(inner, least):
+            def solve(t):
+                sizes = np.unique(t.column("key").to_numpy(), return_counts=True)[1]
+                assert sizes.max() <= most, "a group grows"
+                return inner(t, least)
+
+            return solve
+
+        unique = {d[0]: d for d in docs}
+        rows = repeats.identified(frame(spark, docs), "text", "doc_id")
+        for inner, words, columns in ((suffix_automaton.solve, True, repeats.SPAN), (suffix_array.solve, False, f"{repeats.SPAN}, first_k long, first_start int")):
+            spec = repeats.Windows(35 if words else 100, 8 if words else 24, words, not words)
+            repeats.repeated_spans(rows, spec, checked(inner, spec.window), columns).collect()
+        got = {r.doc_id: r.kept for r in suffix_automaton.remove_shared(frame(spark, docs, True), 35).collect()}
+        assert got == brute_words(unique.values(), 35)
+        got = {r.doc_id: bytes(r.kept) for r in suffix_array.remove_repeats(frame(spark, docs, True), 100).collect()}
+        assert got == brute_bytes(unique.values(), 100)
+
+
 def test_repeated_rows_and_ids(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(1, text, "a"), (1, text, "a"), (2, "other", "a"), (None, text + " x", "a")]
