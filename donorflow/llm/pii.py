@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from donorflow.llm.common import WORD, checkpointed, packed, unpacked
+from donorflow.llm.common import WORD, checkpointed, packed, small, unpacked
 
 # Kinds in the order of ties. The patterns equal the plain ones in what they match; possessive repeats and look-behinds only
 # keep them from trying the same characters again, so that long texts without a match take linear time.
@@ -18,6 +18,7 @@ PATTERNS = {
 MARKS = {"email": "@", "ip": ".", "phone": "+"}  # a text without its mark can't match
 KINDS = list(PATTERNS)
 SPAN = "array<struct<start:int,ord:int,kind:string,stop:int>>"
+COVERED = "\ue000base-5d1c27f94be83a06\ue000"  # stands for a base span while words are cut; no text holds it
 SEPARATORS = r"[\x20\x09-\x0D]+"
 
 
@@ -91,52 +92,67 @@ def base_spans(text: str = "text") -> Column:
     return F.array_sort(F.concat(*spans))
 
 
-def _around(kind: str, gaps: Column, reach: int):
-    """From a match and its number to its entity and the words near it; null for an invalid match."""
+def _as_span(kind: str, number: int):
+    return lambda x: F.struct(x["p"]["start"].alias("start"), F.lit(number).alias("ord"), F.lit(kind).alias("kind"), x["p"]["stop"].alias("stop"))
 
-    def around(m: Column, i: Column) -> Column:
-        before, after = F.split(gaps[i], SEPARATORS, -1), F.split(gaps[i + 1], SEPARATORS, -1)
-        words = F.concat(F.slice(before, -F.least(F.size(before), F.lit(reach)), F.lit(reach)), F.slice(after, 1, reach))
-        terms = F.array_distinct(F.filter(words, lambda w: (w != "") & ~w.rlike("[0-9@]")))
-        return F.when(_valid(kind, m), F.struct(_entity(kind, m).alias("entity"), terms.alias("terms")))
 
-    return around
+def entities() -> Column:
+    """The distinct values of the valid matches. Reads the columns of with_matches."""
+    values = []
+    for kind in KINDS:
+        valid = F.filter(F.col(f"m_{kind}"), lambda m: _valid(kind, m))
+        values.append(F.transform(valid, lambda m: _entity(kind, m)))
+    return F.array_distinct(F.concat(*values))
 
 
-def _as_span(kind: str, number: int):
-    return lambda x: F.struct(x["p"]["start"].alias("start"), F.lit(number).alias("ord"), F.lit(kind).alias("kind"), x["p"]["stop"].alias("stop"))
+def words_of(text: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(F.coalesce(text, F.lit("")), SEPARATORS, -1), lambda w: w != ""))
 
 
-def contexts(rows: DataFrame, reach: int, text: str = "text") -> DataFrame:
-    """(row columns, entity, term): the distinct words within `reach` words of each valid match; no digits or @ in them."""
-    near = []
-    for kind in KINDS:
-        matches = F.col(f"m_{kind}")
-        around = _around(kind, F.split(F.col(text), PATTERNS[kind], -1), reach)
-        near.append(F.when(F.size(matches) > 0, F.transform(matches, around)).otherwise(F.array()).cast("array<struct<entity:string,terms:array<string>>>"))
-    own = [c for c in rows.columns if c != text and not c.startswith("m_")]
-    found = rows.select(*own, F.explode(F.concat(*near)).alias("c")).filter("c is not null")
-    return found.select(*own, F.col("c.entity").alias("entity"), F.explode("c.terms").alias("term")).distinct()
+def contexts(hits: DataFrame) -> DataFrame:
+    """(did, th, entities, words, covered) of texts with `base_spans`: distinct words that stand free of these, and the other words."""
+    found = hits.filter(F.size("base_spans") > 0)
+    free = F.filter(words_of(redacted("text", F.col("base_spans"), COVERED)), lambda w: ~F.contains(w, F.lit(COVERED)))
+    found = found.select("did", "th", "text", entities().alias("entities"), free.alias("words"))
+    return found.select("did", "th", "entities", "words", F.array_except(words_of(F.col("text")), F.col("words")).alias("covered"))
+
+
+def term_counts(rows: DataFrame, near: DataFrame) -> DataFrame:
+    """(term, with_term): documents that hold the term free of base spans."""
+    again = checkpointed(rows.groupBy("did").count().filter("count > 1").select("did"))
+    few = again.count()
+    every = rows.select("did", "th", words_of(F.col("text")).alias("w"), F.lit(1).alias("n"))
+    every = every.unionByName(near.select("did", "th", F.col("covered").alias("w"), F.lit(-1).alias("n")))
+    lone = every.join(small(again, few), "did", "left_anti") if few else every
+    counts = lone.select(F.explode("w").alias("term"), "n").groupBy("term").agg(F.sum("n").alias("with_term"))
+    if few:  # rows of one document count once
+        rest = every.join(small(again, few), "did").select("did", "th", F.explode("w").alias("term"), "n").distinct()
+        rest = rest.groupBy("did", "th", "term").agg(F.sum("n").alias("n")).filter("n > 0").select("did", "term").distinct()
+        counts = counts.unionByName(rest.groupBy("term").agg(F.count(F.lit(1)).alias("with_term")))
+        counts = counts.groupBy("term").agg(F.sum("with_term").alias("with_term"))
+    return counts
 
 
 def disclosing_terms(rows: DataFrame, near: DataFrame, documents: int, support: int, generalise: float, remove: float) -> DataFrame:
-    """(entity, term, removed): terms that reveal an entity. rows: (text) of all documents; near: contexts with `id` and `th`.
+    """(entity, term, removed): terms that reveal an entity. rows: (did, th, text) of all documents; near: of contexts().
 
     A term's disclosure is the share of the entity's information that it carries, PMI(term; entity) / IC(entity), over
-    documents of the whole corpus. Pairs seen in fewer than `support` different texts are no evidence.
+    documents of the whole corpus. Pairs seen in fewer than `support` different texts are no evidence, so only entities in
+    as many texts meet the words of their texts.
     """
-    pairs = near.groupBy("entity", "term").agg(F.countDistinct("id").alias("both"), F.countDistinct("th").alias("texts")).filter(F.col("texts") >= support)
-    pairs = checkpointed(pairs)
+    held = near.select("did", "th", F.explode("entities").alias("entity"))
+    known = held.groupBy("entity").agg(F.countDistinct("did").alias("with_entity"), F.countDistinct("th").alias("texts")).filter(F.col("texts") >= support)
+    known = checkpointed(known.drop("texts"))
+    met = near.select("did", "th", "words", F.explode("entities").alias("entity")).join(small(known, known.count()), "entity")
+    pairs = met.select("did", "th", "entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.countDistinct("did").alias("both"), F.countDistinct("th").alias("texts"))
+    pairs = checkpointed(pairs.filter(F.col("texts") >= support))
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(True).alias("removed"))
-    entities = near.groupBy("entity").agg(F.countDistinct("id").alias("with_entity"))
-    words = rows.select(F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), SEPARATORS, -1))).alias("term"))
-    counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
-    known = pairs.join(entities, "entity").join(counts, "term")
+    weighed = pairs.join(known, "entity").join(term_counts(rows, near), "term")
     ic = F.log2(F.lit(float(documents)) / F.col("with_entity"))
     pmi = F.log2(F.lit(float(documents)) * F.col("both") / (F.col("with_term").cast("double") * F.col("with_entity")))
     share = F.when(ic > 0, pmi / ic).otherwise(0.0)
-    return known.select("entity", "term", share.alias("share")).filter(F.col("share") >= generalise).select("entity", "term", (F.col("share") >= remove).alias("removed"))
+    return weighed.select("entity", "term", share.alias("share")).filter(F.col("share") >= generalise).select("entity", "term", (F.col("share") >= remove).alias("removed"))
 
 
 def term_spans(text: str, terms: str, kind: str) -> Column:
@@ -149,11 +165,12 @@ def term_spans(text: str, terms: str, kind: str) -> Column:
     return F.when(F.size(terms) > 0, spans).otherwise(F.array()).cast(SPAN)
 
 
-def redacted(text: str, spans: str) -> Column:
-    """The text with each span replaced by its kind in brackets, removed terms by nothing; of overlapping spans the first names the kind."""
+def redacted(text: str, spans: Column | str, instead: str | None = None) -> Column:
+    """The text with each span replaced by its kind in brackets, removed terms by nothing, or each by `instead`; of overlapping spans the first names the kind."""
 
     def step(state: Column, s: Column) -> Column:
         mark = F.when(s["kind"] == "removed", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        mark = mark if instead is None else F.lit(instead)
         fresh = F.concat(state["out"], F.substr(F.col(text), state["at"] + 1, s["start"] - state["at"]), mark)
         return F.struct(F.greatest(state["at"], s["stop"]).alias("at"), F.when(s["start"] >= state["at"], fresh).otherwise(state["out"]).alias("out"))
 
@@ -166,25 +183,30 @@ def span_text(spans: Column) -> Column:
 
 
 def sanitise(
-    docs: DataFrame, text: str = "text", key: str = "doc_id", reach: int = 10, support: int = 3, generalise: float = 0.8, remove: float = 0.95,
+    docs: DataFrame, text: str = "text", key: str = "doc_id", support: int = 3, generalise: float = 0.8, remove: float = 0.95,
 ) -> DataFrame:
     """Every input row with `base_spans`, `term_spans` (start, ord, kind, stop; in characters) and `sanitised`, the text without them.
 
-    Base spans are emails, addresses, cards and phone numbers. Around them, words within `reach` words that occur with the
-    same value in at least `support` different texts are weighed by the co-occurrence of the whole corpus; those that carry
-    at least `generalise` of a value's information become a general mark, those that carry `remove` of it go.
+    Base spans are emails, addresses, cards and phone numbers. Words anywhere in the same texts, free of base spans, that occur
+    with the same value in at least `support` different texts are weighed by the co-occurrence of the whole corpus; those that
+    carry at least `generalise` of a value's information become a general mark, those that carry `remove` of it go, in every
+    text that holds the value.
 
     Null texts stay null and have no spans; repeated rows are treated alike, and count as one document if their ids are
-    equal; no rows: no rows. Input columns of our names are replaced. Only texts with a match meet the terms by a shuffle;
-    pairs of value and term number at most 2 * reach for each match.
+    equal (a null id: if their texts are); no rows: no rows. Input columns of our names are replaced. Only texts with a match
+    meet the terms by a shuffle; pairs number the distinct words of a text for each value in it that `support` texts hold.
     """
     rows = packed(docs, text=F.col(text), id=F.col(key)).withColumn("th", F.xxhash64("text"))
-    documents = rows.count()
-    light = with_matches(rows.select("id", "th", "text"))
-    near = checkpointed(contexts(light.filter(any_match()), reach))
-    terms = disclosing_terms(rows.select("text"), near, documents, support, generalise, remove)
-    mine = near.join(terms, ["entity", "term"]).groupBy("th").agg(
-        F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("gone"), F.collect_set(F.when(~F.col("removed"), F.col("term"))).alias("general"))
+    rows = rows.withColumn("did", F.when(F.col("id").isNull(), F.col("th")).otherwise(F.xxhash64("id")))
+    documents = rows.agg(F.countDistinct("did")).first()[0]
+    light = with_matches(rows.select("did", "th", "text"))
+    near = checkpointed(contexts(light.filter(any_match()).withColumn("base_spans", base_spans())))
+    terms = disclosing_terms(rows.select("did", "th", "text"), near, documents, support, generalise, remove)
+    terms = checkpointed(terms.groupBy("entity").agg(
+        F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("gone"), F.collect_set(F.when(~F.col("removed"), F.col("term"))).alias("general")))
+    mine = near.select("th", "words", F.explode("entities").alias("entity")).join(small(terms, terms.count()), "entity")
+    mine = mine.select("th", *[F.array_intersect("words", c).alias(c) for c in ("gone", "general")]).groupBy("th").agg(
+        *[F.array_distinct(F.flatten(F.collect_set(c))).alias(c) for c in ("gone", "general")])
     matched = with_matches(rows)
     none = F.array().cast(SPAN)
     plain = matched.filter(~any_match()).select("row", none.alias("base_spans"), none.alias("term_spans"), F.col("text").alias("sanitised"))

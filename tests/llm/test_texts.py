@@ -253,6 +253,17 @@ def test_disclosing_terms(spark):
     assert got[150].sanitised == docs[58][1] and not got[150].term_spans
 
 
+def test_disclosing_terms_far_off_and_with_digits(spark):
+    far = " ".join(["the", "time"] * 15)
+    mails = "x@y.example and z@y.example"
+    docs = [(i, f"agent007 Zaphod {far} {mails} {far} boss@corp.example number{i}", "s") for i in range(5)]
+    docs += [(100 + i, f"the time and {i}", "s") for i in range(200)] + [(400, f"boss@corp.example {far} Zaphod x1", "s")] * 3
+    got = {r.doc_id: r for r in pii.sanitise(frame(spark, docs)).collect()}
+    assert got[3].sanitised == f"  {far} [EMAIL] and [EMAIL] {far} [EMAIL] number3"
+    assert got[400].sanitised == f"[EMAIL] {far}  x1"
+    assert not got[110].term_spans
+
+
 def brute_quality(text):
     words = re.findall(WORD, text or "")
     grams = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
