@@ -36,13 +36,14 @@ def link_edges(pages: DataFrame, host: Column, html: str = "html") -> DataFrame:
     return found.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 30, least: float = 1e-6) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = None, least: float = 1e-6) -> DataFrame:
     """(host, trust, distrust) of every host that is a seed or is reached.
 
     seeds: (host, trusted, blocked), the shares of each host in both restarts. Trust is a PageRank that restarts at trusted
     hosts and follows links; distrust restarts at blocked hosts and runs against links. Mass without a way on returns to the
-    seeds. Rounds stop when neither score moves by more than `least` in all. Every round is written to the checkpoint
-    folder; only three sums reach the driver. Partial sums precede each shuffle, so a host with most links is no hot spot.
+    seeds. Rounds go on until no host's score moves by more than `least` of itself, so that the furthest host reached counts
+    like the nearest; damping ends them, or `rounds` if given. Moves below 1e-300 don't count, as doubles end there. Every
+    round is written to the checkpoint folder; only three numbers reach the driver. Partial sums precede each shuffle, so a host with most links is no hot spot.
     """
     out = edges.groupBy("source").agg(F.sum("n").alias("all_out"))
     into = edges.groupBy("target").agg(F.sum("n").alias("all_in"))
@@ -51,7 +52,10 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     nodes = seeds.join(ways, "host", "full").na.fill(0)
     scores = checkpointed(nodes.select("host", "trusted", "blocked", "leads", "led", F.col("trusted").alias("trust"), F.col("blocked").alias("distrust")))
     linked = not weighted.isEmpty()
-    for _ in range(rounds if linked else 0):
+    share = lambda new, was: F.when(F.abs(F.col(new) - F.col(was)) > 1e-300, F.abs(F.col(new) - F.col(was)) / F.greatest(new, was)).otherwise(0.0)
+    done = 0
+    while linked and (rounds is None or done < rounds):
+        done += 1
         lost = scores.agg(F.sum(F.when(F.col("leads") == 0, F.col("trust")).otherwise(0.0)), F.sum(F.when(F.col("led") == 0, F.col("distrust")).otherwise(0.0))).first()
         held = scores.select(F.col("host"), "trust", "distrust")
         sent = weighted.join(held.select(F.col("host").alias("source"), "trust"), "source").select(F.col("target").alias("host"), (F.col("trust") * F.col("ahead")).alias("t"), F.lit(0.0).alias("d"))
@@ -63,7 +67,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
             (F.lit(1 - damping) * F.col("blocked") + F.lit(damping) * (F.coalesce("d", F.lit(0.0)) + F.lit(lost[1] or 0.0) * F.col("blocked"))).alias("distrust"),
         )
         scores = checkpointed(fresh)
-        moved = scores.agg(F.sum(F.abs(F.col("trust") - F.col("was_t")) + F.abs(F.col("distrust") - F.col("was_d")))).first()[0] or 0.0
+        moved = scores.agg(F.max(F.greatest(share("trust", "was_t"), share("distrust", "was_d")))).first()[0] or 0.0
         if moved <= least:
             break
     return scores.select("host", "trust", "distrust")

@@ -68,6 +68,13 @@ def test_propagation_against_dense_iteration(spark):
         assert row.trust == pytest.approx(t[i], abs=1e-4) and row.distrust == pytest.approx(b[i], abs=1e-4)
 
 
+def test_distrust_reaches_the_end_of_a_long_chain(spark):
+    pages = [(i, f"x://h{i}.org/", f'<a href="x://h{i - 1}.org/">' if i else None) for i in range(36)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: (r.verdict, r.distrust) for r in link_graph.judge_urls(df, [("block", "h0.org", "/")]).collect()}
+    assert got == {i: ("block", 1.0) for i in range(36)}
+
+
 def test_urls(spark):
     link = lambda *urls: "".join(f'<a href="{u}">x</a>' for u in urls)
     pages = [
