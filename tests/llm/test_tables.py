@@ -69,9 +69,14 @@ def test_propagation_against_dense_iteration(spark):
 
 
 def test_distrust_reaches_the_end_of_a_long_chain(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # some hundred small rounds
     pages = [(i, f"x://h{i}.org/", f'<a href="x://h{i - 1}.org/">' if i else None) for i in range(36)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    got = {r.page_id: (r.verdict, r.distrust) for r in link_graph.judge_urls(df, [("block", "h0.org", "/")]).collect()}
+    try:
+        got = {r.page_id: (r.verdict, r.distrust) for r in link_graph.judge_urls(df.coalesce(1), [("block", "h0.org", "/")]).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got == {i: ("block", 1.0) for i in range(36)}
 
 
