@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +14,7 @@ from donorflow.session import reliable_checkpoint
 
 WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 100_000
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -55,5 +58,15 @@ def in_order(df: DataFrame, *order: Column) -> DataFrame:
     return ranged.withColumn("place", (offset + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("_id")
 
 
-def map_batches(df: DataFrame, schema: str, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    return df.mapInArrow(work, schema)
+def tidy(work: Batches) -> Batches:
+    """`work` for mapInArrow; at a task's end the worker, which Spark uses again, gives freed memory back to the system."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+    return run

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from donorflow.llm import block_knn, host_quality, jaccard_join, link_graph, mixing, packing, pii, sharding, suffix_array, suffix_automaton
+from donorflow.llm import block_knn, host_quality, jaccard_join, link_graph, mixing, packing, periodic_runs, pii, sharding, suffix_array, suffix_automaton
 
 QUERIES, SQL = {}, {}
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -142,3 +142,12 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10""")
 def _(spark, sf_dir):
     return block_knn.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op13_periodic_runs")
+def _(spark, sf_dir):
+    found = periodic_runs.find_runs(table(spark, sf_dir, "documents"), prepare=periodic_runs.looped).withColumn("best", periodic_runs.steepest())
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("kept").cast("binary"), 256).alias("collapsed_sha256"))

@@ -136,7 +136,7 @@ def test_query_equals_sql(spark, folder, name):
 
 
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))
 
 
 def test_pipeline(spark, folder):
