@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from donorflow.llm import block_knn, host_quality, jaccard_join, link_graph, mixing, packing, periodic_runs, pii, sharding, suffix_array, suffix_automaton
+from donorflow.llm import block_knn, host_quality, jaccard_join, link_graph, mixing, packing, periodic_runs, pii, prefix_trie, sharding, suffix_array, suffix_automaton
 
 QUERIES, SQL = {}, {}
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -144,6 +144,27 @@ def _(spark, sf_dir):
     return block_knn.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+_CRC32 = "xor(list_reduce(list_prepend(4294967295::BIGINT, [ord(x)::BIGINT FOR x IN string_split({0}, '')]), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"
+
+
+@query("op12_prefix_trie", f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {_CRC32.format('conv_id::VARCHAR')} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 AND pos <= h UNION ALL SELECT c.conv_id, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h),
+k AS (SELECT conv_id, row_number() OVER w AS depth, length(text) AS size, md5(string_agg(md5(length(role) || ':' || role || text), ',') OVER w) AS key FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT conv_id, 0 AS depth, 0 AS size, '' AS key, NULL AS parent FROM c UNION ALL SELECT conv_id, depth, size, key, lag(key, 1, '') OVER (PARTITION BY conv_id ORDER BY depth) FROM k),
+l AS (SELECT conv_id, arg_max(key, depth) AS key FROM p GROUP BY conv_id),
+e AS (SELECT key, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM l GROUP BY key),
+n AS (SELECT key, min(conv_id) AS conv_id, any_value(depth) AS depth, any_value(parent) AS parent, any_value(size) AS size, count(*) AS n FROM p GROUP BY key),
+kids AS (SELECT parent AS key, count(*) AS m FROM n WHERE parent IS NOT NULL GROUP BY parent),
+pairs AS (SELECT DISTINCT a.key AS up, b.key FROM p a JOIN p b ON a.conv_id = b.conv_id AND a.depth <= b.depth),
+s AS (SELECT up, sum((n - 1) * size)::BIGINT AS saved, count(*) FILTER (m IS NULL) AS leaves FROM pairs JOIN n USING (key) LEFT JOIN kids USING (key) GROUP BY up)
+SELECT n.conv_id, n.depth, o.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(m, 0) AS n_children, leaves AS n_leaves, saved AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM n JOIN s ON s.up = n.key LEFT JOIN kids USING (key) LEFT JOIN n o ON o.key = n.parent LEFT JOIN e ON e.key = n.key""")
+def _(spark, sf_dir):
+    return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.sequences(table(spark, sf_dir, "conversations"))))
+
+
 @query("op13_periodic_runs")
 def _(spark, sf_dir):
     found = periodic_runs.find_runs(table(spark, sf_dir, "documents"), prepare=periodic_runs.looped).withColumn("best", periodic_runs.steepest())
