@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from donorflow.llm import block_knn, host_quality, jaccard_join, link_graph, mixing, packing, periodic_runs, pii, prefix_trie, sharding, suffix_array, suffix_automaton
+from donorflow.llm import block_knn, host_quality, jaccard_join, link_graph, mixing, packing, periodic_runs, pii, prefix_trie, sharding, suffix_array, suffix_automaton, toxicity
 
 QUERIES, SQL = {}, {}
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -144,6 +144,13 @@ def _(spark, sf_dir):
     return block_knn.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+@query("op11_toxic_lexicon")
+def _(spark, sf_dir):
+    remainder = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % 5
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return toxicity.judge(docs, labels, learn_from=remainder != 0).select("doc_id", (remainder == 0).alias("held_out"), "score", "predicted")
+
+
 _CRC32 = "xor(list_reduce(list_prepend(4294967295::BIGINT, [ord(x)::BIGINT FOR x IN string_split({0}, '')]), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"
 
 
