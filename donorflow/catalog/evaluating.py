@@ -125,16 +125,113 @@ def _(t):
     return s.select("id", r6("prior").alias("prior"), "most_frequent", "deferred")
 
 
-@query("bootstrap_ci")
-def _(t):
-    parts = [metrics.bootstrap_ci(t.scores(), s, by=["grp"], threshold=0.35, replicates=200) for s in ("f1", "aupr")]
-    return parts[0].unionByName(parts[1])
+REPLICATES = 2000
+_W = "4294967295"
+
+
+def _mixed(rows, out, start):
+    """Rows of a query and the mixing function of 32-bit words, as in operators/resampling.py, of one expression."""
+    steps = [start, "xor(x, x >> 16)", "(x * 2146121005::UBIGINT) & 4294967295", "xor(x, x >> 15)", "(x * 2221713035::UBIGINT) & 4294967295", "xor(x, x >> 16)"]
+    for i, step in enumerate(steps):
+        keep = "*" if i == 0 else "* EXCLUDE (x)"
+        rows = f"(SELECT {keep}, CAST({step} AS UBIGINT) AS {out if i == len(steps) - 1 else 'x'} FROM {rows})"
+    return rows
+
+
+def _uniform(rows, out, stream):
+    """Rows with salt and place (both UBIGINT, place below 2^32) and the replicate r, and a number in (0, 1)."""
+    a, b, c, d, e = (f"{out}_{n}" for n in "abcde")
+    rows = _mixed(rows, a, f"(salt + {stream} * 2654435769) & {_W}")
+    rows = _mixed(_mixed(rows, b, f"xor(place, {a})"), b + "2", b)
+    rows = _mixed(_mixed(rows, c, f"(place + {a} + 1013904242) & {_W}"), c + "2", c)
+    spread = f"(SELECT *, CAST(unnest(range(1, {REPLICATES + 1})) AS UBIGINT) AS r FROM {rows})" if stream < 2 else rows
+    rows = _mixed(_mixed(spread, d, f"({c}2 + ((r * 2654435769::UBIGINT) & {_W})) & {_W}"), e, f"xor({b}2, {d})")
+    return f"(SELECT * EXCLUDE ({a}, {b}, {b}2, {c}, {c}2, {d}, {e}), ({e} + 0.5::DOUBLE) / 4294967296 AS {out} FROM {rows})"
+
+
+def _table(name, rows, ratio):
+    """Cumulative chances of the values least .. most for each key of rows (key, least, most, ...), each with the chance of smaller ones."""
+    return f"""{name}0 AS (SELECT *, CAST(unnest(range(least, most + 1)) AS BIGINT) AS k FROM {rows}),
+{name}1 AS (SELECT *, sum(CASE WHEN k = least THEN 0 ELSE ln({ratio}) END) OVER (PARTITION BY key ORDER BY k) AS lg FROM {name}0),
+{name}2 AS (SELECT *, exp(lg - max(lg) OVER (PARTITION BY key)) AS w FROM {name}1),
+{name} AS (SELECT key, k, coalesce(sum(w) OVER (PARTITION BY key ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(w) OVER (PARTITION BY key) AS low FROM {name}2)"""
+
+
+def _salt(group):
+    return f"CAST(('0x' || substr(md5('1|' || {group}), 1, 8)) AS UBIGINT)"
+
+
+def _weights(group):
+    """wt: Poisson weights of every distinct score of a group in every replicate, with the sums up to it from the largest score."""
+    drawn = _uniform(_uniform("placed", "up", 1), "un", 2)
+    return f"""counted AS (SELECT {group} AS g, score AS threshold, CAST(sum(label) AS BIGINT) AS pos, CAST(sum(1 - label) AS BIGINT) AS neg FROM scores GROUP BY ALL),
+placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY g ORDER BY threshold DESC) - 1 AS UBIGINT) AS place, {_salt('g')} AS salt FROM counted),
+means AS (SELECT DISTINCT c AS key, greatest(0, c - CAST(ceil(12 * sqrt(c)) AS BIGINT) - 20) AS least, c + CAST(ceil(12 * sqrt(c)) AS BIGINT) + 20 AS most FROM (SELECT pos AS c FROM counted UNION ALL SELECT neg FROM counted) WHERE c > 0),
+{_table('poisson', 'means', 'key / k')},
+drawn AS (SELECT * FROM {drawn}),
+wt0 AS (SELECT d.g, d.r, d.threshold, d.place, d.pos AS pos0, d.neg AS neg0, coalesce(a.k, 0) AS pos, coalesce(b.k, 0) AS neg FROM drawn d ASOF LEFT JOIN poisson a ON d.pos = a.key AND d.up >= a.low ASOF LEFT JOIN poisson b ON d.neg = b.key AND d.un >= b.low),
+wt AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY g, r) AS np, sum(neg) OVER (PARTITION BY g, r) AS nn,
+ sum(pos0) OVER (PARTITION BY g, r) AS np0, sum(neg0) OVER (PARTITION BY g, r) AS nn0 FROM wt0 WINDOW w AS (PARTITION BY g, r ORDER BY place ROWS UNBOUNDED PRECEDING))"""
 
 
-@query("evaluation_summary")
+def _areas(name, rows, keys):
+    """Areas of sweeps: rows have pos, neg, tp, fp, np and nn as DOUBLE."""
+    return f"""{name}_x AS (SELECT *, tp - pos AS t0, tp - pos + fp - neg AS s0, 1 + neg / nullif(pos, 0) AS h FROM {rows}),
+{name} AS (SELECT {keys}, sum(CASE WHEN pos = 0 THEN 0 WHEN s0 <= 0 THEN pos / h ELSE pos / h + (t0 - s0 / h) / h * ln((s0 + h * pos) / s0) END) / max(np) AS aupr,
+ sum(pos * (nn - fp + 0.5 * neg)) / max(np) / max(nn) AS auroc FROM {name}_x GROUP BY {keys})"""
+
+
+def _scaled(stratified):
+    if not stratified:
+        return "SELECT g, r, CAST(pos AS DOUBLE) AS pos, CAST(neg AS DOUBLE) AS neg, CAST(tp AS DOUBLE) AS tp, CAST(fp AS DOUBLE) AS fp, CAST(np AS DOUBLE) AS np, CAST(nn AS DOUBLE) AS nn FROM wt"
+    return "SELECT g, r, pos * np0 / np AS pos, neg * nn0 / nn AS neg, tp * np0 / np AS tp, fp * nn0 / nn AS fp, CAST(np0 AS DOUBLE) AS np, CAST(nn0 AS DOUBLE) AS nn FROM wt"
+
+
+POINT = """point0 AS (SELECT g, CAST(pos AS DOUBLE) AS pos, CAST(neg AS DOUBLE) AS neg, CAST(sum(pos) OVER w AS DOUBLE) AS tp, CAST(sum(neg) OVER w AS DOUBLE) AS fp,
+ CAST(sum(pos) OVER (PARTITION BY g) AS DOUBLE) AS np, CAST(sum(neg) OVER (PARTITION BY g) AS DOUBLE) AS nn FROM counted WINDOW w AS (PARTITION BY g ORDER BY threshold DESC)),
+""" + _areas("point", "point0", "g")
+
+
+def _binomials(group, cut):
+    """f1: F1 of every replicate that keeps both class sizes, and f1v: its value."""
+    drawn = _uniform("(SELECT *, CAST(i AS UBIGINT) AS place FROM pairs)", "u", 0)
+    return f"""four AS (SELECT {group} AS g, {_salt(group)} AS salt, count(*) FILTER (score >= {cut} AND label = 1) AS tp, count(*) FILTER (score < {cut} AND label = 1) AS fn,
+ count(*) FILTER (score >= {cut} AND label = 0) AS fp, count(*) FILTER (score < {cut} AND label = 0) AS tn FROM scores GROUP BY ALL),
+pairs AS (SELECT g, salt, 0 AS i, tp + fn AS n, tp AS s FROM four UNION ALL SELECT g, salt, 1, fp + tn, fp FROM four),
+spans AS (SELECT DISTINCT g || '|' || i AS key, n, s, greatest(0, s - reach) AS least, least(n, s + reach) AS most FROM (SELECT *, CAST(ceil(12 * sqrt(s * (n - s) / n)) AS BIGINT) + 20 AS reach FROM pairs)),
+{_table('binomial', 'spans', '(n - k + 1) / k * (s / (n - s))')},
+cell AS (SELECT d.g, d.r, d.i, d.n, b.k FROM {drawn} d ASOF JOIN binomial b ON d.g || '|' || d.i = b.key AND d.u >= b.low),
+f1 AS (SELECT g, r, 2.0::DOUBLE * max(k) FILTER (i = 0) / (max(k) FILTER (i = 0) + max(k) FILTER (i = 1) + max(n) FILTER (i = 0)) AS v FROM cell GROUP BY g, r),
+f1v AS (SELECT g, 2.0::DOUBLE * tp / (2 * tp + fp + fn) AS v FROM four)"""
+
+
+def _bounds(value, mean, sd):
+    return f"round(2 * {value} - {mean} - 1.959963984540054 * {sd}, 6) AS low, round(2 * {value} - {mean} + 1.959963984540054 * {sd}, 6) AS high"
+
+
+@query("bootstrap_ci", f"""WITH {SCORES}, {_weights('grp')}, {_areas('rep', f'({_scaled(True)})', 'g, r')}, {POINT}, {_binomials('grp', 0.35)}
+SELECT g AS grp, 'AUPR' AS variable, round(max(p.aupr), 6) AS "value", {_bounds('max(p.aupr)', 'avg(rep.aupr)', 'stddev_samp(rep.aupr)')} FROM rep JOIN point p USING (g) GROUP BY g
+UNION ALL SELECT g, 'F1', round(max(f1v.v), 6), {_bounds('max(f1v.v)', 'avg(f1.v)', 'stddev_samp(f1.v)')} FROM f1 JOIN f1v USING (g) GROUP BY g""")
+def _(t):
+    parts = [metrics.bootstrap_ci(t.scores(), s, by=["grp"], threshold=0.35, replicates=REPLICATES) for s in ("f1", "aupr")]
+    return parts[0].unionByName(parts[1]).select("grp", "variable", *[r6(n).alias(n) for n in ("value", "low", "high")])
+
+
+@query("evaluation_summary", f"""WITH {SCORES}, {_weights('run')}, {_areas('rep', f'({_scaled(True)})', 'g, r')}, {POINT}, {_binomials('run', 0.35)},
+p AS (SELECT *, (nn - fp + 0.5 * neg) / nn AS below, (tp - 0.5 * pos) / np AS above FROM point0),
+s AS (SELECT g, max(np) AS np, max(nn) AS nn, sum(pos * below) AS x1, sum(pos * below * below) AS x2, sum(neg * above) AS y1, sum(neg * above * above) AS y2 FROM p GROUP BY g),
+roc AS (SELECT g, x1 / np AS v, sqrt((x2 - x1 * x1 / np) / (np - 1) / np + (y2 - y1 * y1 / nn) / (nn - 1) / nn) AS se FROM s),
+pr AS (SELECT g, round(max(p.aupr), 6) AS "value", {_bounds('max(p.aupr)', 'avg(rep.aupr)', 'stddev_samp(rep.aupr)')} FROM rep JOIN point p USING (g) GROUP BY g),
+f AS (SELECT g, round(max(f1v.v), 6) AS "value", {_bounds('max(f1v.v)', 'avg(f1.v)', 'stddev_samp(f1.v)')} FROM f1 JOIN f1v USING (g) GROUP BY g),
+e AS (SELECT run AS g, avg(abs(original_value - predicted_value)) AS m, sqrt(avg(pow(original_value - predicted_value, 2))) AS q FROM scores GROUP BY run)
+SELECT g AS run, round(roc.v, 6) AS "AUROC value", round(greatest(v - 1.959963984540054 * se, 0), 6) AS "AUROC low", round(least(v + 1.959963984540054 * se, 1), 6) AS "AUROC high",
+ pr.value AS "AUPR value", pr.low AS "AUPR low", pr.high AS "AUPR high", f.value AS "F1 value", f.low AS "F1 low", f.high AS "F1 high",
+ round(m, 6) AS "MAE (g / L)", round(q, 6) AS "RMSE (g / L)", round(m * 0.06204, 6) AS "MAE (mmol / L)", round(q * 0.06204, 6) AS "RMSE (mmol / L)"
+FROM roc JOIN pr USING (g) JOIN f USING (g) JOIN e USING (g)""")
 def _(t):
     s = t.scores().withColumnRenamed("id", "row")
-    return metrics.evaluation_summary(s, 0.35, ["run"], label="label", replicates=100, values=("original_value", "predicted_value"))
+    found = metrics.evaluation_summary(s, 0.35, ["run"], label="label", replicates=REPLICATES, values=("original_value", "predicted_value"))
+    return found.select("run", *[F.round(F.col(f"`{c}`"), 6).alias(c) for c in found.columns if c != "run"])
 
 
 @query("prediction_table", f"WITH {SCORES} SELECT grp, score, label, predicted FROM scores")
@@ -188,6 +285,35 @@ def _(t):
     return o.select("run", "threshold6", "threshold12", r6("E6").alias("E6"), r6("E12").alias("E12"))
 
 
-@query("cost_with_ci")
+def _cost_ci_sql():
+    """Both thresholds, the value of each measure and its bounds, from the same weights as the areas."""
+    names = metrics.COST_MEASURES
+    sex = "CASE WHEN g LIKE '%female%' THEN 'female' ELSE 'male' END"
+
+    def measures(name, rows, keys):
+        rates = ", ".join(f"CAST({side}_{n} AS DOUBLE) / {of} AS {rate}{n}" for n in ("6", "12") for side, of, rate in (("tp", "np", "tpr"), ("fp", "nn", "fpr")))
+        parts = [cost_sql(m, f"tpr{m}", f"fpr{m}", "sex") for m in (6, 12)]
+        costs = ", ".join(f"{x} AS {n}{m}" for m, found in zip((6, 12), parts, strict=True) for n, x in zip("qae", found, strict=True))
+        return f"""{name}_r AS (SELECT {keys}, {sex} AS sex, {rates}, 2.0::DOUBLE * tp_1 / (tp_1 + fp_1 + np) AS f1, aupr, auroc FROM {rows}),
+{name} AS (SELECT *, {costs} FROM {name}_r)"""
+
+    cuts = (("6", "threshold6"), ("12", "threshold12"), ("1", "0.5"))
+    sums = ", ".join(f"sum({c}) FILTER (threshold >= {t}) AS {side}_{n}" for n, t in cuts for side, c in (("tp", "pos"), ("fp", "neg")))
+    joined = "{0} JOIN best ON best.run = {0}.g"
+    rows = " UNION ALL ".join(
+        f"""SELECT g AS "run", '{n}' AS variable, round(max(p.{n}), 6) AS v, round(2 * max(p.{n}) - avg(d.{n}) - 1.959963984540054 * stddev_samp(d.{n}), 6) AS lo,
+ round(2 * max(p.{n}) - avg(d.{n}) + 1.959963984540054 * stddev_samp(d.{n}), 6) AS hi FROM d JOIN p USING (g) GROUP BY g""" for n in names)
+    return f"""{_grid_sql()}, best AS (SELECT run, arg_min(probability, round(E6, 9)) AS threshold6, arg_min(probability, round(E12, 9)) AS threshold12 FROM grid GROUP BY run),
+{_weights('run')}, {_areas('area', f'({_scaled(False)})', 'g, r')}, {POINT},
+drep AS (SELECT g, r, {sums}, max(np) AS np, max(nn) AS nn, any_value(aupr) AS aupr, any_value(auroc) AS auroc FROM (SELECT wt.*, aupr, auroc, threshold6, threshold12 FROM wt JOIN area USING (g, r) JOIN best ON best.run = g) GROUP BY g, r),
+prep AS (SELECT g, {sums}, sum(pos) AS np, sum(neg) AS nn, any_value(aupr) AS aupr, any_value(auroc) AS auroc FROM (SELECT counted.*, aupr, auroc, threshold6, threshold12 FROM counted JOIN point USING (g) JOIN best ON best.run = g) GROUP BY g),
+{measures('d', 'drep', 'g, r')}, {measures('p', 'prep', 'g')},
+m AS ({rows})
+SELECT run, variable, 'value' AS type, v AS "value" FROM m UNION ALL SELECT run, variable, 'low', lo FROM m UNION ALL SELECT run, variable, 'high', hi FROM m
+UNION ALL SELECT run, 'threshold6', 'value', threshold6 FROM best UNION ALL SELECT run, 'threshold12', 'value', threshold12 FROM best"""
+
+
+@query("cost_with_ci", _cost_ci_sql())
 def _(t):
-    return metrics.cost_with_ci(t.scores().withColumnRenamed("id", "row"), "run", GRID, replicates=100)
+    found = metrics.cost_with_ci(t.scores().withColumnRenamed("id", "row"), "run", GRID, replicates=REPLICATES)
+    return found.withColumn("value", r6("value"))

@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import replace
-
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from donorflow.operators.ordered import RunMax, RunSum, Whole, attach, hot_keys
+from donorflow.operators.ordered import HotKeys, RunMax, RunSum, Whole, attach, hot_keys
 
 
 def common_donor_reduce(donations: DataFrame, donors: DataFrame, key: str = "donor") -> tuple[DataFrame, DataFrame]:
@@ -114,20 +112,34 @@ def calendar_range_count(
 ) -> DataFrame:
     """Flagged events in (day - months, day), both ends open, by calendar months.
 
-    The lower bound moves irregularly (end of month), so each day asks for the flagged
-    total up to its own bound: one extra row per day, one running sum, no pairs.
+    Three frames of one window: everything from the bound on, less the day itself and the
+    bound itself; one exchange and one sort. Hot subjects go by ``_between_borders``.
     """
-    hits = F.sum(F.when(F.col(flag), 1).otherwise(0))
-    days = df.groupBy(donor, day).agg(hits.alias("__n"))
+    hit = F.sum(F.when(F.col(flag), 1).otherwise(0))
+    back = f"INTERVAL {months} MONTH PRECEDING"
+
+    def frame(low: str, high: str) -> Column:
+        return F.expr(f"sum(CASE WHEN `{flag}` THEN 1 ELSE 0 END) OVER (PARTITION BY `{donor}` ORDER BY `{day}` RANGE BETWEEN {low} AND {high})")
+
+    parts = hot_keys(df, donor).split(df, donor)
+    number = F.coalesce(frame(back, "CURRENT ROW"), F.lit(0)) - frame("CURRENT ROW", "CURRENT ROW") - F.coalesce(frame(back, back), F.lit(0))
+    out = parts[0][0].withColumn(name, F.when(F.col(day).isNotNull(), number).cast("long")).filter(F.col(donor).isNotNull() & F.col(day).isNotNull())
+    for big, own in parts[1:]:
+        out = out.unionByName(_between_borders(big, own, hit, donor, day, months, name))
+    return out
+
+
+def _between_borders(big: DataFrame, hot: HotKeys, hits: Column, donor: str, day: str, months: int, name: str) -> DataFrame:
+    """The same for subjects that are cut: each day asks for the flagged total up to its own bound with one row more."""
+    days = big.groupBy(donor, day).agg(hits.alias("__n"))
     bound = F.add_months(F.col(day), -months)
     real = days.select(donor, F.col(day).alias("__at"), F.col(day).alias("__x"), F.lit(0).alias("__kind"), "__n")
     ask = days.select(donor, F.col(day).alias("__at"), bound.alias("__x"), F.lit(1).alias("__kind"), (F.col("__n") * 0).alias("__n"))
-    hot = hot_keys(df, donor)
-    run = attach(real.unionByName(ask), donor, ["__x", "__kind", "__at"], replace(hot, rows=2 * hot.rows), __c=RunSum("__n"))
+    run = attach(real.unionByName(ask), donor, ["__x", "__kind", "__at"], hot, __c=RunSum("__n"))
     before = F.max(F.when(F.col("__kind") == 0, F.col("__c") - F.col("__n")))
     upto = F.max(F.when(F.col("__kind") == 1, F.col("__c")))
     counts = run.groupBy(donor, F.col("__at").alias(day)).agg((before - upto).cast("long").alias(name))
-    return df.join(counts, [donor, day])
+    return big.join(counts, [donor, day])
 
 
 def last_ferritin_before_last(df: DataFrame, ref: str, donor: str = "donor", day: str = "dateonly") -> DataFrame:

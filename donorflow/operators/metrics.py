@@ -8,14 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from donorflow.functions.cost import cost_columns
 from donorflow.functions.expr import to_mmol
 from donorflow.operators.ordered import RunSum, Total, exact_quantiles, running, uniform
+from donorflow.operators.resampling import resampled_areas, resampled_cells
 from donorflow.session import reliable_checkpoint
 
 Z95 = 1.959963984540054  # normal quantile of 0.975
@@ -42,12 +41,12 @@ def score_counts(df: DataFrame, score: str = "score", label: str = "label", by:
 
 
 def sweep_counts(
-    counts: DataFrame, by: Sequence[str] = (), direction: str = ">=", chunk_rows: int | None = None, largest: int | None = None
+    counts: DataFrame, by: Sequence[str] = (), direction: str = ">=", chunk_rows: int | None = None
 ) -> DataFrame:
     """tp, fp, tn, fn when everything at least (or at most) the threshold is positive."""
     place = -F.col("threshold") if direction == ">=" else F.col("threshold")
     ordered = counts.withColumn("__place", place)
-    cum = running(ordered, "__place", by, chunk_rows, largest, tp=RunSum("pos"), fp=RunSum("neg"), P=Total("pos"), N=Total("neg"))
+    cum = running(ordered, "__place", by, chunk_rows, tp=RunSum("pos"), fp=RunSum("neg"), P=Total("pos"), N=Total("neg"))
     return cum.withColumns({"fn": F.col("P") - F.col("tp"), "tn": F.col("N") - F.col("fp")}).drop("__place")
 
 
@@ -297,124 +296,24 @@ def intervals(replicates: DataFrame, full: DataFrame, names: Sequence[str], by:
     return joined.select(*by, "variable", "value", F.when(ok, low).alias("low"), F.when(ok, high).alias("high"))
 
 
-def _numbers(seed: int, keys: pd.DataFrame) -> np.ndarray:
-    """Uniform numbers from a mixed 64-bit key (splitmix finalizer), vectorized."""
-    x = keys.to_numpy(dtype=np.int64).view(np.uint64) + np.uint64(seed)
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    x = x ^ (x >> np.uint64(31))
-    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
-
-
-def poisson_from_uniform(u: np.ndarray, mean: np.ndarray) -> np.ndarray:
-    """Poisson quantiles; above a mean of 200 the rounded normal is used."""
-    out = np.zeros(len(u))
-    small = mean <= 200
-    if small.any():
-        m, v = mean[small], u[small]
-        term = np.exp(-m)
-        cum, k, count = term.copy(), 0, np.zeros(len(m))
-        limit = int(m.max() + 12 * np.sqrt(m.max()) + 20)
-        while k < limit and (cum < v).any():
-            more = cum < v
-            count[more] += 1
-            k += 1
-            term = term * m / k
-            cum = cum + term
-        out[small] = count
-    if (~small).any():
-        v = u[~small]
-        z = np.sqrt(-2 * np.log(v)) * np.cos(2 * np.pi * ((v * 2.0**26) % 1.0))
-        out[~small] = np.maximum(0, np.rint(mean[~small] + np.sqrt(mean[~small]) * z))
-    return out
-
-
-def resample_cells(cells: DataFrame, groups: Sequence[Sequence[str]], replicates: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
-    """Bootstrap counts of a few cells: multinomial inside each group of cells.
-
-    Resampling n rows that fall into four cells gives a multinomial of the counts, so a
-    replicate needs four numbers, not n rows. One row per (by, replicate).
-    """
-    names = [c for g in groups for c in g]
-    frame = cells.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    frame = frame.withColumn("__seed", F.xxhash64(F.lit(seed), "replicate", *by))
-    schema = frame.select(*by, "replicate", *[F.col(n).cast("double").alias(n) for n in names]).schema
-
-    def draw(batches):
-        for pdf in batches:
-            out = pdf[[*by, "replicate"]].copy()
-            values = {n: np.zeros(len(pdf)) for n in names}
-            for i, row in enumerate(pdf.to_dict("records")):
-                rng = np.random.default_rng(int(row["__seed"]) & 0x7FFFFFFFFFFFFFFF)
-                for g in groups:
-                    counts = np.array([row[c] for c in g], dtype=float)
-                    n = int(counts.sum())
-                    drawn = rng.multinomial(n, counts / n) if n else counts
-                    for c, v in zip(g, drawn):
-                        values[c][i] = v
-            yield out.assign(**values)[[f.name for f in schema.fields]]
-
-    return frame.mapInPandas(draw, schema)
-
-
-def resample_counts(counts: DataFrame, replicates: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
-    """Poisson weights for every distinct (score, label) count and replicate."""
-    frame = counts.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    frame = frame.withColumns({
-        "__kp": F.xxhash64(F.lit("p"), "replicate", "threshold", *by),
-        "__kn": F.xxhash64(F.lit("n"), "replicate", "threshold", *by),
-        "pos": F.col("pos").cast("double"), "neg": F.col("neg").cast("double"),
-    })
-    schema = frame.drop("__kp", "__kn").schema
-
-    def draw(batches):
-        for pdf in batches:
-            for name, key in (("pos", "__kp"), ("neg", "__kn")):
-                pdf[name] = poisson_from_uniform(_numbers(seed, pdf[key]), pdf[name].to_numpy(dtype=float))
-            yield pdf[[f.name for f in schema.fields]]
-
-    return frame.mapInPandas(draw, schema)
-
-
 def curve_areas(sweep: DataFrame, by: Sequence[str]) -> DataFrame:
     """AUPR and AUROC per group in one aggregate."""
     one = _defined(sweep).groupBy(*by).agg(*_area_sums(), F.sum(_pr_area()).alias("__pr"))
     return one.select(*by, (F.col("__pr") / F.col("P")).alias("AUPR"), (F.col("x1") / F.col("P")).alias("AUROC"))
 
 
-def resampled_areas(counts: DataFrame, replicates: int, seed: int, by: Sequence[str], stratified: bool) -> DataFrame:
-    """Areas per replicate from Poisson weights of the distinct (score, label) counts.
-
-    With ``stratified`` the weights of each class are scaled back to the class size, as a
-    resample inside each class keeps it.
-    """
-    sizes = counts.groupBy(*by).agg(
-        F.sum("pos").alias("__allpos"), F.sum("neg").alias("__allneg"), F.count(F.lit(1)).alias("__rows")
-    )
-    largest = sizes.agg(F.max("__rows").alias("n")).first()["n"] or 0
-    known = join_groups(counts, sizes.drop("__rows"), by)
-    sweep = sweep_counts(resample_counts(known, replicates, seed, by), [*by, "replicate"], largest=largest)
-    if stratified:
-        up = F.try_divide(F.col("__allpos"), F.col("P"))
-        un = F.try_divide(F.col("__allneg"), F.col("N"))
-        scaled = {c: F.col(c) * up for c in ("pos", "tp", "P")} | {c: F.col(c) * un for c in ("neg", "fp", "N")}
-        sweep = sweep.withColumns(scaled)
-    return curve_areas(sweep, [*by, "replicate"])
-
-
 def bootstrap_ci(
     df: DataFrame, statistic: str, score: str = "score", label: str = "label", by: Sequence[str] = (),
     threshold: float = 0.5, replicates: int = 2000, method: str = "norm", seed: int = 1,
 ) -> DataFrame:
-    """Interval for ``f1``, ``aupr`` or ``auroc``, stratified by label."""
+    """Interval for ``f1``, ``aupr`` or ``auroc``, stratified by label; see ``resampling`` for the replicates."""
     if statistic == "f1":
         cells = cells_at(df, score, label, threshold, by)
-        drawn = resample_cells(cells, [("tp", "fn"), ("fp", "tn")], replicates, seed, by)
+        drawn = resampled_cells(cells, [("tp", "fn"), ("fp", "tn")], replicates, seed, by)
         t = drawn.select(*by, "replicate", _f1("tp", "fp", "fn").alias("F1"))
         return intervals(t, cells.select(*by, _f1("tp", "fp", "fn").alias("F1")), ["F1"], by, method)
     name = statistic.upper()
-    counts = score_counts(df, score, label, by)
+    counts = reliable_checkpoint(score_counts(df, score, label, by))
     t = resampled_areas(counts, replicates, seed, by, True).select(*by, "replicate", name)
     return intervals(t, curve_areas(sweep_counts(counts, by), by).select(*by, name), [name], by, method)
 
@@ -469,41 +368,30 @@ def cost_with_ci(
 ) -> DataFrame:
     """Long table (Id, variable, type, value): two thresholds, thirteen measures, bounds.
 
-    ``identifier`` holds data-sex-model names. Rates at the two chosen thresholds and at
-    the F1 threshold depend on how many rows fall between the three cuts, so replicates
-    resample those few cells; the areas resample counts per distinct score.
+    ``identifier`` holds data-sex-model names. Rates at the two chosen thresholds and at the
+    F1 threshold and the areas of a replicate come from the same weights: rows are drawn from
+    all rows of a name, so class sizes vary.
     """
     by = [identifier]
     sex = F.get(F.split(F.col(identifier), "-", 3), 1)
-    grid = cost_by_threshold(df, thresholds, score, label, by, sex, p)
-    best = optimal_cost_threshold(grid, by)
+    best = optimal_cost_threshold(cost_by_threshold(df, thresholds, score, label, by, sex, p), by)
     best = reliable_checkpoint(best)  # several joins below read it
-    known = df.join(best.select(identifier, "threshold6", "threshold12"), identifier)
-    at6, at12, at1 = (F.col(score) >= t for t in (F.col("threshold6"), F.col("threshold12"), F.lit(f1_threshold)))
-    code = at6.cast("int") * 4 + at12.cast("int") * 2 + at1.cast("int")
-    hit = F.col(label).cast("int")
-    names = [f"c{h}{i}" for h in (0, 1) for i in range(8)]
-    cells = known.groupBy(identifier).agg(*[
-        F.sum(((hit == h) & (code == i)).cast("long")).alias(f"c{h}{i}") for h in (0, 1) for i in range(8)
-    ])
+    counts = score_counts(df, score, label, by).join(best.select(identifier, "threshold6", "threshold12"), identifier)
+    counts = reliable_checkpoint(counts)
+    cuts = {"6": F.col("threshold") >= F.col("threshold6"), "12": F.col("threshold") >= F.col("threshold12"), "1": F.col("threshold") >= F.lit(f1_threshold)}
 
-    def measures(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
-        def total(h: int, bit: int) -> Column:
-            return sum((F.col(f"c{h}{i}") for i in range(8) if i & bit), F.lit(0.0))
-        P = sum((F.col(f"c1{i}") for i in range(8)), F.lit(0.0))
-        N = sum((F.col(f"c0{i}") for i in range(8)), F.lit(0.0))
+    def measures(frame: DataFrame, *keep: str) -> DataFrame:
         wide = frame.select(
-            *keys, F.try_divide(total(1, 4), P).alias("TPR6"), F.try_divide(total(0, 4), N).alias("FPR6"),
-            F.try_divide(total(1, 2), P).alias("TPR12"), F.try_divide(total(0, 2), N).alias("FPR12"),
-            F.try_divide(2.0 * total(1, 1), total(1, 1) + total(0, 1) + P).alias("F1"),
+            *keep, *[F.try_divide(F.col(f"{side}_{n}"), F.col(of)).alias(f"{rate}{n}") for n in ("6", "12") for side, of, rate in (("tp", "P", "TPR"), ("fp", "N", "FPR"))],
+            F.try_divide(2.0 * F.col("tp_1"), F.col("tp_1") + F.col("fp_1") + F.col("P")).alias("F1"),
         )
         return cost_columns(wide, "TPR6", "FPR6", "TPR12", "FPR12", sex, p)
 
-    counts = score_counts(df, score, label, by)
-    drawn = measures(resample_cells(cells, [names], replicates, seed, by), [identifier, "replicate"])
-    areas = resampled_areas(counts, replicates, seed, by, False)
-    replicate_table = drawn.join(areas, [identifier, "replicate"], "left")
-    point = measures(cells, by).join(curve_areas(sweep_counts(counts, by), by), identifier, "left")
+    replicate_table = measures(resampled_areas(counts, replicates, seed, by, False, cuts), identifier, "replicate", "AUPR", "AUROC")
+    whole = counts.groupBy(identifier).agg(
+        F.sum("pos").alias("P"), F.sum("neg").alias("N"),
+        *[F.sum(F.when(c, F.col(of)).otherwise(0)).alias(f"{side}_{n}") for n, c in cuts.items() for side, of in (("tp", "pos"), ("fp", "neg"))])
+    point = measures(whole, identifier).join(curve_areas(sweep_counts(counts.select(identifier, "threshold", "pos", "neg"), by), by), identifier, "left")
     cis = intervals(replicate_table, point, COST_MEASURES, by, method)
     long = cis.unpivot([identifier, "variable"], ["value", "low", "high"], "type", "__v")
     cuts = best.unpivot([identifier], ["threshold6", "threshold12"], "variable", "__v").withColumn("type", F.lit("value"))

@@ -2,35 +2,36 @@
 
 A plain window puts all rows of one key into one task. That is right for ordinary
 subjects, and wrong for a subject that owns a third of the table, or for a global order.
-``attach`` therefore looks at the number of rows per key once (a map-side combined count):
 
-* keys with at most ``chunk_rows`` rows go through ordinary windows, all of which share a
-  single exchange on the key;
-* larger keys are cut into chunks of consecutive rows. Windows run inside a chunk, and
-  one summary row per chunk carries sums, maxima and the last few rows forward.
-
-The two parts are unioned. Results are the same whichever way a row went. Rows that are cut
-are read several times (cut points, summaries, the rows themselves), so they are written to
-the checkpoint folder first; the plans stay short and a lost executor only rereads them.
+* ``in_chunks`` sorts rows over range partitions, as many as the counted rows ask for, and
+  names each row's chunk and its place there. A global order (``running``) always takes
+  this way: windows run inside a chunk, and one summary row per chunk carries sums, maxima
+  and the last few rows forward.
+* ``attach`` looks at the number of rows per key once (a map-side combined count). Keys
+  with at most ``HOT_ROWS`` rows go through ordinary windows, all of which share a single
+  exchange on the key; the rows of larger keys take the way of a global order. The larger
+  keys stay a table: they meet the rows by a join, never as literals.
+
+Results are the same whichever way a row went. Chunks are held in the checkpoint folder, so
+plans stay short and a lost executor only rereads them.
 """
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from donorflow.session import reliable_checkpoint
 
-CHUNK_ROWS = 1_000_000
-MAX_CHUNKS = 4096
-POINTS_PER_CHUNK = 16
+HOT_ROWS = 1_000_000
+CHUNK_ROWS = 100_000
+PLACE_BITS = 33  # of monotonically_increasing_id; the partition's number stands above
 PIECE_BITS = 16
 
 
@@ -89,25 +90,24 @@ class SpanSum:
 
 @dataclass(frozen=True)
 class HotKeys:
-    """Keys with more rows than one chunk, and how many rows they hold together.
+    """Keys with more than ``limit`` rows, as a table of one column (None: there are none).
 
     ``only`` says that a frame holds no other rows, so that it need not be split again.
     """
 
-    keys: tuple = ()
+    keys: DataFrame | None = None
     rows: int = 0
-    chunk_rows: int = CHUNK_ROWS
+    limit: int = HOT_ROWS
     only: bool = False
 
-    def test(self, key: str) -> Column:
-        return F.coalesce(F.col(key).isin(list(self.keys)), F.lit(False))
-
     def split(self, df: DataFrame, key: str) -> list[tuple[DataFrame, HotKeys]]:
         """The ordinary rows, and (where there are any) the rows of hot keys, written once."""
-        if not self.keys:
+        if self.keys is None:
             return [(df, self)]
-        big = reliable_checkpoint(df.filter(self.test(key)))
-        return [(df.filter(~self.test(key)), HotKeys()), (big, replace(self, only=True))]
+        keys = self.keys.select(F.col(self.keys.columns[0]).alias("__hot"))
+        hot = F.col(key) == F.col("__hot")
+        big = reliable_checkpoint(df.join(keys, hot, "left_semi"))
+        return [(df.join(keys, hot, "left_anti"), HotKeys()), (big, replace(self, only=True))]
 
 
 def _names(value: str | Sequence[str]) -> list[str]:
@@ -118,57 +118,30 @@ def _column(value: Any) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def hot_keys(df: DataFrame, key: str, chunk_rows: int | None = None) -> HotKeys:
-    """Keys with more than ``chunk_rows`` rows; there are at most rows / chunk_rows."""
-    limit = chunk_rows or CHUNK_ROWS
-    counts = (
-        df.filter(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.count(F.lit(1)).alias("__rows"))
-        .filter(F.col("__rows") > limit)
-    )
-    found = counts.collect()
-    return HotKeys(tuple(r[0] for r in found), sum(r["__rows"] for r in found), limit)
+def hot_keys(df: DataFrame, key: str, limit: int | None = None) -> HotKeys:
+    """Keys with more than ``limit`` rows; only their number and that of their rows reach the driver."""
+    limit = limit or HOT_ROWS
+    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__rows"))
+    seen = Observation()
+    found = counts.filter(F.col("__rows") > limit).observe(seen, F.count(F.lit(1)).alias("keys"), F.coalesce(F.sum("__rows"), F.lit(0)).alias("rows"))
+    held = reliable_checkpoint(found.select(key))
+    return HotKeys(held if seen.get["keys"] else None, seen.get["rows"], limit)
 
 
-def cut_points(df: DataFrame, order: Sequence[str], rows: int, chunk_rows: int) -> list[list]:
-    """Boundaries that split ``order`` into chunks of about ``chunk_rows`` rows.
+def in_chunks(df: DataFrame, order: str | Sequence[str], by: str | Sequence[str] = (), chunk_rows: int | None = None) -> DataFrame:
+    """Rows sorted by ``by`` and ``order`` in range partitions of about ``chunk_rows`` rows.
 
-    Rows are picked by a hash of the order columns, so the boundaries depend on the data
-    only. At most about MAX_CHUNKS * POINTS_PER_CHUNK points come to the driver.
+    Adds ``__chunk``, which rises along the order, and ``__step``, the row's place in its chunk.
+    The number of partitions follows the rows, which are counted while they are written.
     """
-    chunks = min(MAX_CHUNKS, math.ceil(rows / chunk_rows))
-    if chunks <= 1:
-        return []
-    share = min(1.0, chunks * POINTS_PER_CHUNK / rows)
-    picked = df.select(*order)
-    if share < 1.0:
-        mask = (1 << 31) - 1
-        picked = picked.filter(F.xxhash64(*order).bitwiseAND(F.lit(mask)) < int(share * mask))
-    points = [list(r) for r in picked.distinct().orderBy(*order).collect()]
-    step = max(1, len(points) // chunks)
-    return points[step::step]
-
-
-def _chunk_number(df: DataFrame, order: Sequence[str], cuts: list[list]) -> Column:
-    """How many boundaries lie at or below the row: two short scans of literal arrays."""
-    if not cuts:
-        return F.lit(0)
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    shape = "struct<" + ",".join(f"o{i}:{types[o]}" for i, o in enumerate(order)) + ">"
-    row = F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)])
-
-    def literal(points: Any, kind: str) -> Column:
-        return F.from_json(F.lit(json.dumps(points, default=str)), kind)
-
-    dicts = [{f"o{i}": v for i, v in enumerate(p)} for p in cuts]
-    width = max(1, int(math.sqrt(len(dicts))))
-    blocks = [dicts[i : i + width] for i in range(0, len(dicts), width)]
-    heads = literal([b[0] for b in blocks], f"array<{shape}>")
-    block = F.size(F.filter(heads, lambda c: c <= row))
-    members = F.get(literal(blocks, f"array<array<{shape}>>"), block - 1)
-    inside = F.size(F.filter(members, lambda c: c <= row))
-    return F.when(block == 0, 0).otherwise((block - 1) * width + inside)
+    order, by = _names(order), _names(by)
+    seen = Observation()
+    held = reliable_checkpoint(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    parts = max(1, math.ceil(seen.get["rows"] / (chunk_rows or CHUNK_ROWS)))
+    ranged = held.repartitionByRange(parts, *by, *order).sortWithinPartitions(*by, *order)
+    ranged = reliable_checkpoint(ranged.withColumn("__id", F.monotonically_increasing_id()))
+    place = F.col("__id").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    return ranged.withColumns({"__chunk": F.shiftright("__id", PLACE_BITS), "__step": place}).drop("__id")
 
 
 def _over_windows(df: DataFrame, key: list[str], order: list[str], specs: dict) -> DataFrame:
@@ -199,35 +172,27 @@ def _over_windows(df: DataFrame, key: list[str], order: list[str], specs: dict)
     return df.withColumns(finer) if finer else df
 
 
-def _over_chunks(
-    df: DataFrame, key: list[str], order: list[str], specs: dict, rows: int, chunk_rows: int, few: bool
-) -> DataFrame:
+def _over_chunks(df: DataFrame, key: list[str], order: list[str], specs: dict, chunk_rows: int | None) -> DataFrame:
     keep = df.columns
     wholes = {n: s for n, s in specs.items() if isinstance(s, Whole)}
     spans = {n: s for n, s in specs.items() if isinstance(s, SpanSum)}
     runs = {n: s for n, s in specs.items() if n not in wholes and n not in spans}
-    out = df
-    if runs:
-        out = _runs_over_chunks(out, key, order, runs, rows, chunk_rows)
+    out = _runs_over_chunks(df, key, order, runs, chunk_rows) if runs else df
     for extra in sorted({s.extra for s in wholes.values()}):
         keys = [*key, *extra]
         group = df.groupBy(*keys).agg(*[s.agg.alias(n) for n, s in wholes.items() if s.extra == extra])
-        out = out.join(F.broadcast(group) if few and not extra else group, keys)
+        out = out.join(group, keys)
     for name, spec in spans.items():
-        out = out.join(_span_over_chunks(df, key, name, spec, rows, chunk_rows), [*key, spec.clock])
+        out = out.join(_span_over_chunks(df, key, name, spec, chunk_rows), [*key, spec.clock])
     return out.select(*keep, *specs)
 
 
-def _runs_over_chunks(
-    df: DataFrame, key: list[str], order: list[str], specs: dict, rows: int, chunk_rows: int
-) -> DataFrame:
+def _runs_over_chunks(df: DataFrame, key: list[str], order: list[str], specs: dict, chunk_rows: int | None) -> DataFrame:
     keep = df.columns
-    cuts = cut_points(df, order, rows, chunk_rows)
-    base = df.withColumns({f"__v_{n}": _column(s.value) for n, s in specs.items()})
-    base = base.withColumn("__chunk", _chunk_number(df, order, cuts))
+    base = in_chunks(df.withColumns({f"__v_{n}": _column(s.value) for n, s in specs.items()}), order, key, chunk_rows)
     keys = [*key, "__chunk"]
     part = Window.partitionBy(*keys)
-    inside = part.orderBy(*order)
+    inside = part.orderBy("__step")
     first = Window.unboundedPreceding
     lags = {n: s for n, s in specs.items() if isinstance(s, Lag)}
     depth = max([s.n for s in lags.values()], default=0)
@@ -301,9 +266,7 @@ def _runs_over_chunks(
     return joined.withColumns(final).select(*keep, *specs)
 
 
-def _span_over_chunks(
-    df: DataFrame, key: list[str], name: str, spec: SpanSum, rows: int, chunk_rows: int
-) -> DataFrame:
+def _span_over_chunks(df: DataFrame, key: list[str], name: str, spec: SpanSum, chunk_rows: int | None) -> DataFrame:
     """Sum up to the clock minus the sum strictly before (clock - span).
 
     Peers collapse first; each distinct clock then asks for its own lower bound with one
@@ -315,9 +278,7 @@ def _span_over_chunks(
     ask = ticks.select(
         *key, at.alias("__at"), (at - spec.span).alias("__x"), F.lit(0).alias("__kind"), (F.col("__v") * 0).alias("__v")
     )
-    run = _runs_over_chunks(
-        real.unionByName(ask), key, ["__x", "__kind"], {"__c": RunSum("__v")}, 2 * rows, chunk_rows
-    )
+    run = _runs_over_chunks(real.unionByName(ask), key, ["__x", "__kind"], {"__c": RunSum("__v")}, chunk_rows)
     upto = F.max(F.when(F.col("__kind") == 1, F.col("__c")))
     below = F.max(F.when(F.col("__kind") == 0, F.col("__c")))
     return run.groupBy(*key, F.col("__at").alias(spec.clock)).agg((upto - below).alias(name))
@@ -334,52 +295,34 @@ def attach(
     """Add one column per spec, computed over the rows of ``key`` in ``order``.
 
     ``order`` must be total inside a key (end it with a unique column). Pass ``hot`` to
-    reuse one detection for several calls; keys must not be NULL to be cut.
+    reuse one detection for several calls; NULL keys are never cut. ``chunk_rows`` is the
+    number of rows from which a key counts as hot, and of a chunk.
     """
     order = _names(order)
     if hot is None:
         hot = hot_keys(df, key, chunk_rows)
+    size = min(hot.limit, CHUNK_ROWS)
     if hot.only:
-        return _over_chunks(reliable_checkpoint(df), [key], order, specs, hot.rows, hot.chunk_rows, True)
+        return _over_chunks(reliable_checkpoint(df), [key], order, specs, size)
     parts = hot.split(df, key)
     out = _over_windows(parts[0][0], [key], order, specs)
-    for big, own in parts[1:]:
-        out = out.unionByName(_over_chunks(big, [key], order, specs, own.rows, own.chunk_rows, True))
+    for big, _ in parts[1:]:
+        out = out.unionByName(_over_chunks(big, [key], order, specs, size))
     return out
 
 
 def running(
-    df: DataFrame,
-    order: str | Sequence[str],
-    by: str | Sequence[str] = (),
-    chunk_rows: int | None = None,
-    largest: int | None = None,
-    **specs: Any,
+    df: DataFrame, order: str | Sequence[str], by: str | Sequence[str] = (), chunk_rows: int | None = None, **specs: Any,
 ) -> DataFrame:
     """Running values along one order of the whole table, or of each group in ``by``.
 
-    When the largest group has at most ``chunk_rows`` rows (counted first, unless the
-    caller knows a bound and passes ``largest``), one window per group does. Otherwise all
-    groups are cut, so that no group and no global order ends in a single task.
+    No group and no global order ends in a single task: see ``in_chunks``.
     """
     order, by = _names(order), _names(by)
-    limit = chunk_rows or CHUNK_ROWS
-    keys = by or ["__all"]
     frame = df if by else df.withColumn("__all", F.lit(0))
-    rows, held = largest or 0, False
-    if largest is None or largest > limit:
-        # counted here and read again below: hold the rows instead of computing them twice
-        frame, held = frame.persist(), True
-        sizes = frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-        found = sizes.agg(F.max("__rows").alias("largest"), F.sum("__rows").alias("rows")).first()
-        largest, rows = found["largest"] or 0, found["rows"] or 0
-    if largest <= limit:
-        out = _over_windows(frame, keys, order, specs)
-    else:
-        written = reliable_checkpoint(frame)
-        if held:
-            frame.unpersist()
-        out = _over_chunks(written, keys, order, specs, rows, limit, False)
+    if any(isinstance(s, (Whole, SpanSum)) for s in specs.values()):
+        frame = reliable_checkpoint(frame)  # read once more for each of them
+    out = _over_chunks(frame, by or ["__all"], order, specs, chunk_rows)
     return out if by else out.drop("__all")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from donorflow.functions import cost
 from donorflow.functions.metadata import COST_CONSTANTS
-from donorflow.operators import metrics
+from donorflow.operators import metrics, resampling
 
 
 @pytest.fixture(scope="module")
@@ -111,10 +111,47 @@ def test_bootstrap_width_is_close_to_delong(scored):
 
 
 def test_poisson_weights():
-    rng = np.random.default_rng(0)
-    for mean in (0.7, 12.0, 150.0, 900.0):
-        x = metrics.poisson_from_uniform(rng.random(40_000), np.full(40_000, mean))
+    for mean in (1, 12, 150, 900, 1_000_000):
+        x = resampling.weights(np.full(20, mean), np.arange(20) + (1 << 33), 77, 1, 2000)
         assert abs(x.mean() / mean - 1) < 0.02 and abs(x.var() / mean - 1) < 0.05
+        assert abs(np.corrcoef(x[:, :1999].ravel(), x[:, 1:].ravel())[0, 1]) < 0.02 and abs(np.corrcoef(x[:-1].ravel(), x[1:].ravel())[0, 1]) < 0.02
+    assert (resampling.weights(np.array([0, 3]), np.array([4, 5]), 1, 1, 50)[0] == 0).all()
+    least, chance = resampling.poisson_table(1)
+    assert least == 0 and abs(chance[0] - np.exp(-1)) < 1e-15 and abs(chance[2] - 2.5 * np.exp(-1)) < 1e-15
+    least, chance = resampling.binomial_table(4, 1)
+    assert least == 0 and np.allclose(chance[:2], [0.75**4, 0.75**4 + 0.75**3])
+
+
+@pytest.mark.parametrize("stratified,chunk", [(True, 7), (False, 1000)])
+def test_replicates_equal_a_plain_sweep(scored, stratified, chunk):
+    """Vectors carried over chunks give what sorting the weighted scores of each replicate gives."""
+    df, _ = scored
+    counts = metrics.score_counts(df, by=["g"]).collect()
+    found = resampling.resampled_areas(df.sparkSession.createDataFrame(counts), 40, 3, ["g"], stratified, {"cut": F.col("threshold") >= 0.5}, chunk)
+    got = {(r.g, r.replicate): r for r in found.collect()}
+    for g in {r.g for r in counts}:
+        own = sorted((r for r in counts if r.g == g), key=lambda r: -r.threshold)
+        salt = df.sparkSession.createDataFrame([(g,)], "g string").select(resampling.salt_of(3, ["g"])).first()[0]
+        pos, neg = (resampling.weights(np.array([r[c] for r in own]), np.arange(len(own)), salt, i, 40) for i, c in ((1, "pos"), (2, "neg")))
+        for k in range(40):
+            r = got[g, k + 1]
+            p, n = pos[:, k], neg[:, k]
+            inside = np.array([x.threshold >= 0.5 for x in own])
+            assert (r.P, r.N, r.tp_cut, r.fp_cut) == (p.sum(), n.sum(), p[inside].sum(), n[inside].sum())
+            wins = sum(a * (n[i + 1 :].sum() + n[i] / 2) for i, a in enumerate(p))
+            assert abs(r.AUROC - wins / p.sum() / n.sum()) < 1e-12
+            if stratified:
+                p, n = p * sum(x.pos for x in own) / p.sum(), n * sum(x.neg for x in own) / n.sum()
+            pr = resampling.area_pieces(p, n, np.cumsum(p), np.cumsum(n)).sum() / p.sum()
+            assert abs(r.AUPR - pr) < 1e-12
+
+
+def test_two_thousand_replicates_of_different_scores(spark):
+    """Twenty thousand different scores: vectors only, in bounded pieces."""
+    df = spark.range(20_000).select((F.col("id") / 20_000).alias("score"), (F.col("id") % 3 == 0).cast("int").alias("label"))
+    r = metrics.bootstrap_ci(df, "auroc", replicates=2000).first()
+    exact = metrics.auroc_ci(metrics.threshold_sweep(df)).first()
+    assert abs((r.high - r.low) / (exact.high - exact.low) - 1) < 0.06
 
 
 def test_published_cost_of_a_forest(spark):

@@ -47,11 +47,18 @@ def test_global_order_equals_window(events):
     )
 
 
-def test_cut_points_split_evenly(events):
-    cuts = ordered.cut_points(events, ["clock", "don_id"], 1500, 100)
-    assert 10 <= len(cuts) <= 16
-    sizes = events.groupBy(ordered._chunk_number(events, ["clock", "don_id"], cuts).alias("c")).count().toPandas()["count"]
-    assert sizes.max() < 400 and sizes.sum() == 1500
+def test_chunks_follow_the_rows(events):
+    cut = ordered.in_chunks(events, ["clock", "don_id"], chunk_rows=100).cache()
+    sizes = cut.groupBy("__chunk").agg(F.count("*").alias("n"), F.min("__step").alias("low"), F.max("__step").alias("high"), F.min("clock").alias("a"), F.max("clock").alias("b")).orderBy("__chunk").collect()
+    assert sum(r.n for r in sizes) == 1500 and 10 <= len(sizes) <= 15 and max(r.n for r in sizes) < 400
+    assert all(r.low == 0 and r.high == r.n - 1 for r in sizes) and all(x.b <= y.a for x, y in zip(sizes, sizes[1:]))
+
+
+def test_many_hot_keys_stay_a_table(events):
+    hot = ordered.hot_keys(events, "donor", 3)
+    assert hot.keys.count() > 50
+    plan = hot.split(events, "donor")[0][0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "INSET" not in plan and " IN (" not in plan
 
 
 def test_quantiles_are_type_seven(events):
