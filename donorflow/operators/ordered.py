@@ -32,7 +32,7 @@ from donorflow.session import reliable_checkpoint
 HOT_ROWS = 1_000_000
 CHUNK_ROWS = 100_000
 PLACE_BITS = 33  # of monotonically_increasing_id; the partition's number stands above
-PIECE_BITS = 16
+PIECE_DIGITS = 4
 
 
 @dataclass(frozen=True)
@@ -337,12 +337,13 @@ def hash_ranks(
 ) -> DataFrame:
     """Rank the rows of each stratum by a seeded hash of ``key``: an exact shuffle of them.
 
-    The hash is uniform, so its leading bits already cut every stratum into equal chunks.
+    The order is that of the MD5 of seed and key, which other engines have too. It is uniform,
+    so its leading digits already cut every stratum into equal chunks.
     ``key`` must be unique in ``keys``. Adds ``rank`` (1..n) and ``size`` (n).
     """
     by = _names(by)
-    frame = keys.withColumn("__hash", F.xxhash64(F.lit(seed), F.col(key)))
-    frame = frame.withColumn("__piece", F.shiftright("__hash", 64 - PIECE_BITS))
+    frame = keys.withColumn("__hash", digest(seed, key))
+    frame = frame.withColumn("__piece", F.conv(F.substring("__hash", 1, PIECE_DIGITS), 16, 10).cast("int"))
     strata = by or ["__all"]
     if not by:
         frame = frame.withColumn("__all", F.lit(0))
@@ -360,10 +361,15 @@ def hash_ranks(
     return ranked.withColumn(rank, F.col("__inside") + F.col("__before")).select(*keys.columns, rank, size)
 
 
+def digest(seed: Any, *parts: Any) -> Column:
+    """MD5 of the seed and the given columns as text, joined by a bar; NULL is an empty text."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(_column(p).cast("string"), F.lit("")) for p in parts]))
+
+
 def uniform(seed: Any, *parts: Any) -> Column:
-    """A number in (0, 1) from a seeded hash of the given columns."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *[_column(p) for p in parts]), 11)
-    return (bits.cast("double") + 0.5) / float(1 << 53)
+    """A number in (0, 1) from 52 bits of a seeded hash of the given columns."""
+    bits = F.conv(F.substring(digest(seed, *parts), 1, 13), 16, 10)
+    return (bits.cast("double") + 0.5) / float(1 << 52)
 
 
 def gaussian(seed: Any, *parts: Any) -> Column:

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from donorflow.functions.metadata import SPLIT_SHARES
-from donorflow.operators import ordered
-from donorflow.operators.ordered import Lag, exact_quantiles, hash_ranks, running, uniform
+from donorflow.operators.neighbors import nearest_neighbors
+from donorflow.operators.ordered import exact_quantiles, hash_ranks, uniform
 from donorflow.operators.series import trim_after_last_deferral
 
 
@@ -137,65 +137,31 @@ def upsample_minority(df: DataFrame, label: str, seed: int, key: str) -> DataFra
     return df.filter(F.col(label) != F.lit(small)).unionByName(repeated)
 
 
-def nearest_neighbors(
-    df: DataFrame, features: Sequence[str], key: str, k: int, seed: int, directions: int = 6, reach: int | None = None
-) -> DataFrame:
-    """(key, neighbor, distance, place): near rows, found along random directions.
-
-    Rows are ordered along a few seeded directions and meet the rows just before and after
-    them. A dense region or a mass of copies costs no more than any other place: there are
-    no buckets and no pairs inside a group. The neighbors are approximate.
-    """
-    reach = reach or k
-    rows = df.select(key, F.struct(*[F.col(f).cast("double").alias(f) for f in features]).alias("__x"))
-    pairs = None
-    for d in range(directions):
-        weights = [ordered.gaussian(seed, F.lit(d), F.lit(f)) for f in features]
-        place = sum((F.col(f"__x.{f}") * w for f, w in zip(features, weights)), F.lit(0.0))
-        me = F.struct(F.col(key).alias("key"), F.col("__x").alias("x"))
-        lags = {f"__n{i}": Lag(me, i) for i in range(1, reach + 1)}
-        near = running(rows.withColumn("__place", place), ["__place", key], **lags)
-        before = near.select(key, "__x", F.explode(F.array(*lags)).alias("__other")).filter(F.col("__other").isNotNull())
-        both = before.select(key, "__x", F.col("__other.key").alias("neighbor"), F.col("__other.x").alias("__y")).unionByName(
-            before.select(F.col("__other.key").alias(key), F.col("__other.x").alias("__x"), F.col(key).alias("neighbor"), F.col("__x").alias("__y"))
-        )
-        pairs = both if pairs is None else pairs.unionByName(both)
-    distance = F.sqrt(sum((F.pow(F.col(f"__x.{f}") - F.col(f"__y.{f}"), 2) for f in features), F.lit(0.0)))
-    # every row has at most 2 * reach * directions candidates
-    found = pairs.withColumn("distance", distance).groupBy(key).agg(
-        F.first("__x").alias("__x"), F.collect_set(F.struct("distance", "neighbor", "__y")).alias("__all")
-    )
-    best = found.select(key, "__x", F.posexplode(F.slice(F.sort_array("__all"), 1, k)).alias("place", "__c"))
-    return best.select(key, "__x", F.col("__c.neighbor").alias("neighbor"), F.col("__c.__y").alias("__y"),
-                       F.col("__c.distance").alias("distance"), (F.col("place") + 1).alias("place"))
-
-
 def smote(
-    df: DataFrame, features: Sequence[str], label: str, key: str, k: int = 5, seed: int = 1
+    df: DataFrame, features: Sequence[str], label: str, key: str, k: int = 5, seed: int = 1, near: DataFrame | None = None
 ) -> DataFrame:
     """Synthetic minority rows until both classes are equal in size.
 
-    Returns label, features and a flag. Each minority row gives floor or ceil of the
-    wanted copies; a copy lies at a random place between the row and one of its neighbors.
+    Returns label, features and a flag. Each minority row with all features gives floor or ceil
+    of the wanted copies; a copy lies at a random place between the row and one of its k nearest
+    ones, which are exact (``near``: those of ``nearest_neighbors``, if they are known already).
     """
     counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
     small = min(counts, key=lambda c: (counts[c], str(c)))
-    need = max(counts.values()) - counts[small]
-    times, rest = divmod(need, counts[small])
-    minority = df.filter(F.col(label) == F.lit(small))
-    near = nearest_neighbors(minority, features, key, k, seed).groupBy(key).agg(
-        F.first("__x").alias("__x"), F.sort_array(F.collect_list(F.struct("place", "__y"))).alias("__near")
-    )
-    ranked = hash_ranks(minority.select(key), key, seed).join(near, key)
-    copies = F.lit(times) + F.when(F.col("rank") <= rest, 1).otherwise(0)
-    made = ranked.filter(copies > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), copies)))
-    which = F.floor(uniform(seed, F.lit("which"), key, "__copy") * F.size("__near")).cast("int")
-    share = uniform(seed, F.lit("share"), key, "__copy")
-    made = made.withColumns({"__y": F.get("__near", which)["__y"], "__u": share})
-    mixed = [(F.col(f"__x.{f}") + F.col("__u") * (F.col(f"__y.{f}") - F.col(f"__x.{f}"))).alias(f) for f in features]
-    synthetic = made.select(F.lit(small).alias(label), *mixed, F.lit(True).alias("synthetic"))
+    if near is None:
+        near = nearest_neighbors(df.filter(F.col(label) == F.lit(small)), features, key, k)
+    ready = near.filter(F.size("near") > 0)
+    base = ready.count()
     real = df.select(label, *[F.col(f).cast("double").alias(f) for f in features], F.lit(False).alias("synthetic"))
-    return real.unionByName(synthetic)
+    if not base:
+        return real
+    times, rest = divmod(max(counts.values()) - counts[small], base)
+    copies = F.lit(times) + F.when(F.col("rank") <= rest, 1).otherwise(0)
+    made = hash_ranks(ready, "key", seed).filter(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+    which = F.floor(uniform(seed, F.lit("which"), "key", "copy") * F.size("near")).cast("int")
+    made = made.withColumns({"y": F.get("near", which)["y"], "u": uniform(seed, F.lit("share"), "key", "copy")})
+    mixed = [(F.col("x")[i] + F.col("u") * (F.col("y")[i] - F.col("x")[i])).alias(f) for i, f in enumerate(features)]
+    return real.unionByName(made.select(F.lit(small).alias(label), *mixed, F.lit(True).alias("synthetic")))
 
 
 def class_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,12 +84,26 @@ def test_smote_points_lie_between_minority_rows(spark, tables):
     assert made[0] >= box[0] and made[1] <= box[1] and made[2] >= box[2] and made[3] <= box[3]
 
 
-def test_neighbors_survive_a_mass_of_copies(spark):
-    copies = spark.range(400).select("id", F.lit(1.0).alias("x"), F.lit(2.0).alias("y"))
-    others = spark.range(400, 500).select("id", (F.col("id") % 17).cast("double").alias("x"), (F.col("id") % 5).cast("double").alias("y"))
-    near = sampling.nearest_neighbors(copies.unionByName(others), ["x", "y"], "id", 5, 1)
-    per = near.groupBy("id").agg(F.count("*").alias("n"), F.max((F.col("neighbor") == F.col("id")).cast("int")).alias("self"))
-    assert per.count() == 500 and per.agg(F.min("n"), F.max("self")).first()[:] == (5, 0)
+@pytest.mark.parametrize("axes,count,cell", [(3, 1500, 60), (8, 800, 100), (1, 4, 512)])
+def test_neighbors_equal_all_pairs(spark, axes, count, cell):
+    """Recall is one, with a fifth of all rows equal, ties, an edge far away, and rows that lack a value."""
+    rng = np.random.default_rng(axes)
+    x = np.round(rng.normal(size=(count, axes)) * rng.choice([1, 10], size=(count, 1)), 1)
+    x[: count // 5] = x[0]
+    x[-3:, 0] = 1000
+    names = [f"f{i}" for i in range(axes)]
+    odd = [(count, *[None] * axes), (count + 1, *[float("nan")] * axes)]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)] + odd, "id long, " + ", ".join(f"{n} double" for n in names))
+    got = {r.key: [(n.d, n.key) for n in r.near] for r in sampling.nearest_neighbors(df, names, "id", 5, cell).collect()}
+    assert len(got) == count
+    for i in range(count):
+        d = np.zeros(count)
+        for j in range(axes):
+            d += (x[i, j] - x[:, j]) * (x[i, j] - x[:, j])
+        d = np.sqrt(d)
+        d[i] = np.inf
+        best = np.lexsort((np.arange(count), d))[: min(5, count - 1)]
+        assert got[i] == [(float(d[q]), int(q)) for q in best]
 
 
 def test_folds_keep_subjects_together(spark, tables):
