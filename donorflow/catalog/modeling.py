@@ -213,18 +213,42 @@ def parameter_draws(t, names):
     return d.select(name.alias("parameter"), "draw", (F.abs("value") + 0.1).alias("value"))
 
 
-@query("posterior_predictive")
+def _gauss(key, tag):
+    return f"(sqrt(-2 * ln({_unit('radius|' + tag, key)})) * cos(2 * pi() * {_unit('angle|' + tag, key)}))"
+
+
+def _unit(tag, key):
+    return f"((CAST('0x' || substr(md5('1|{tag}|' || {key} || '|' || draw), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496)"
+
+
+def _drawn_sql(names, tags):
+    """nr: draws numbered by value in their parameter; picked: the last rows with 1000 choices of each parameter."""
+    cases = " ".join(f"WHEN 'p{i:02d}' THEN '{n}'" for i, n in enumerate(names))
+    joins = " ".join(f"JOIN nr n{i} ON n{i}.parameter = '{n}' AND n{i}.i = k{i}" for i, n in enumerate(names))
+    picks = ", ".join(f"1 + CAST(floor({_unit(tags[i], 'donor')} * (SELECT count(*) FROM nr WHERE parameter = '{n}')) AS BIGINT) AS k{i}" for i, n in enumerate(names))
+    values = ", ".join(f"n{i}.value AS v{i}" for i in range(len(names)))
+    return f"""{JOINED}, {DRAWS}, x AS (SELECT don_id, donor, clock, (Hb - 150) / 30 AS y, (age - 30) / 10 AS x1, volume_drawn / 600 AS x2 FROM joined),
+c AS (SELECT *, coalesce(sum(1 / 0.9 / 0.9) OVER w, 0) AS sxx, coalesce(sum((y - 0.2 * x1 + 0.1 * x2) / 0.9 / 0.9) OVER w, 0) AS sxy FROM x WINDOW w AS (PARTITION BY donor ORDER BY clock, don_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+last_rows AS (SELECT donor, y, x1, x2, sxy / (sxx + 4) AS m, 1 / (sxx + 4) AS v FROM c QUALIFY row_number() OVER (PARTITION BY donor ORDER BY clock DESC, don_id DESC) = 1),
+nr AS (SELECT CASE parameter {cases} END AS parameter, abs(value) + 0.1 AS value, row_number() OVER (PARTITION BY parameter ORDER BY abs(value)) AS i FROM draws WHERE parameter < 'p{len(names):02d}'),
+many AS (SELECT *, unnest(range(1, 1001)) AS draw FROM last_rows), chosen AS (SELECT *, {picks} FROM many),
+picked AS (SELECT c.*, {values} FROM chosen c {joins})"""
+
+
+_PP, _DP = ["beta[x1]", "beta[x2]", "sigma_eps"], ["beta[x1]", "beta[x2]", "sigma_eps", "delta"]
+
+
+@query("posterior_predictive", f"WITH {_drawn_sql(_PP, ['betax1', 'betax2', 'eps'])} SELECT donor, CAST(draw AS INTEGER) AS draw, round(x1 * v0 + x2 * v1 + m + sqrt(v) * {_gauss('donor', 'effect')} + v2 * {_gauss('donor', 'noise')}, 6) AS y FROM picked")
 def _(t):
-    draws = parameter_draws(t, ["beta[x1]", "beta[x2]", "sigma_eps"])
-    pred = posterior.posterior_predictive(last_with_effect(t), draws, ["x1", "x2"], n=50)
+    pred = posterior.posterior_predictive(last_with_effect(t), parameter_draws(t, _PP), ["x1", "x2"])
     return pred.select("donor", "draw", r6("y").alias("y"))
 
 
-@query("delta_predictive")
+@query("delta_predictive", f"""WITH {_drawn_sql(_DP, ['x1', 'x2', 'eps', 'delta'])}, z AS (SELECT donor, (x1 * v0 + x2 * v1 + m) * (1 - v3) + v3 * y + v2 * {_gauss('donor', 'noise')} AS z FROM picked)
+SELECT donor, round(avg(z), 6) AS mean, avg(CASE WHEN z < -0.4 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS p FROM z GROUP BY donor""")
 def _(t):
     rows = last_with_effect(t).select("donor", "x1", "x2", F.col("effect_mean").alias("u"), F.col("y").alias("Hb_lag"))
-    draws = parameter_draws(t, ["beta[x1]", "beta[x2]", "sigma_eps", "delta"])
-    out = posterior.delta_predictive(rows, draws, ["x1", "x2"], -0.4, n=50)
+    out = posterior.delta_predictive(rows, parameter_draws(t, _DP), ["x1", "x2"], -0.4)
     return out.select("donor", r6("mean").alias("mean"), "p")
 
 
@@ -234,13 +258,13 @@ def _(t):
     return out.withColumn("score", r6("score"))
 
 
-@query("prediction_frame", f"""WITH {DRAWS}, a AS (SELECT parameter, 130 + 50 * max(value) AS original_value FROM draws GROUP BY parameter),
+@query("prediction_frame", f"""WITH {DRAWS}, a AS (SELECT parameter, 130 + 50 * arg_min(value, draw) AS original_value FROM draws GROUP BY parameter),
 p AS (SELECT d.parameter, max(a.original_value) AS o, avg(value) AS m, stddev_samp(value) AS s, avg(CASE WHEN value * 50 + 130 < 131 THEN 1.0 ELSE 0.0 END) AS score, quantile_cont(value, 0.05) AS q FROM draws d JOIN a ON a.parameter = d.parameter GROUP BY d.parameter)
 SELECT 'mean' AS metric, parameter, round(o, 6) AS original_value, CASE WHEN o < 131 THEN 1 ELSE 0 END AS original_label, round(score, 6) AS score, round(s, 6) AS sds, round(m * 50 + 130, 6) AS predicted_value, CASE WHEN m * 50 + 130 < 131 THEN 1 ELSE 0 END AS predicted_label, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS hit FROM p
 UNION ALL SELECT 'quantile', parameter, round(o, 6), CASE WHEN o < 131 THEN 1 ELSE 0 END, round(score, 6), round(s, 6), round(q * 50 + 130, 6), CASE WHEN q * 50 + 130 < 131 THEN 1 ELSE 0 END, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END FROM p""")
 def _(t):
     d = t.draws()
-    actual = d.groupBy("parameter").agg((130 + 50 * F.max("value")).alias("original_value"))
+    actual = d.groupBy("parameter").agg((130 + 50 * F.min_by("value", "draw")).alias("original_value"))
     pred = d.select("parameter", F.col("value").alias("y"))
     scale = Scale({"Hb": 130.0}, {"Hb": 25.0})
     parts = [posterior.prediction_frame(pred, actual, 131.0, scale, m, key="parameter").withColumn("metric", F.lit(m)) for m in ("mean", "quantile")]

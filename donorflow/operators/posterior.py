@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Mapping, Sequence
 from typing import Any
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from donorflow.operators.ordered import RunSum, Total, attach, gaussian, running, uniform
 from donorflow.operators.scaling import Design, Scale, gram, unscaled
 from donorflow.operators.shape import union_results
+from donorflow.session import reliable_checkpoint
 
 SHAPE = RATE = 0.01  # inverse gamma prior on every standard deviation
 
@@ -200,21 +200,24 @@ def donor_effect_posterior(
     return seen.withColumns({"effect_mean": variance * F.col("__sxy"), "effect_var": variance}).drop("__xx", "__xy", "__sxx", "__sxy")
 
 
-def _draw_arrays(draws: DataFrame, limit: int = 2_000_000) -> dict[str, list[float]]:
-    """Draws per parameter on the driver, after checking that they are few."""
-    found = draws.limit(limit + 1).count()
-    if found > limit:
-        raise ValueError(f"more than {limit} posterior draws")
-    out: dict[str, list[float]] = {}
-    for r in draws.select("parameter", "value").orderBy("parameter", "value").collect():
-        out.setdefault(r["parameter"], []).append(r["value"])
-    return out
+def _with_draws(frame: DataFrame, draws: DataFrame, wanted: Mapping[str, tuple[str, str]], seed: int, keys: Sequence[str]) -> DataFrame:
+    """Adds a random draw of each wanted parameter: column name to (parameter, tag of the choice).
 
-
-def _pick(values: Sequence[float], seed: int, tag: str, *keys: Any) -> Column:
-    """A random element of a fixed list, chosen by a seeded hash."""
-    array = F.from_json(F.lit(json.dumps(list(values))), "array<double>")
-    return F.get(array, F.floor(uniform(seed, F.lit(tag), *keys) * len(values)).cast("int"))
+    Draws are numbered by value within their parameter. Each row chooses a number by a seeded
+    hash and meets the draw of that number in an equi-join, so neither the draws nor their
+    number is bounded, and Spark broadcasts them where they are small.
+    """
+    ranked = reliable_checkpoint(running(draws.select("parameter", "value"), ["value"], ["parameter"], number=RunSum(F.lit(1).cast("long"))))
+    parameters = sorted({p for p, _ in wanted.values()})
+    sizes = ranked.agg(F.struct(*[F.count(F.when(F.col("parameter") == p, 1)).alias(f"n{i}") for i, p in enumerate(parameters)]).alias("n")).scalar()
+    frame = frame.withColumn("__sizes", sizes)
+    for name, (parameter, tag) in wanted.items():
+        size = F.col("__sizes")[f"n{parameters.index(parameter)}"]
+        chosen = F.floor(uniform(seed, F.lit(tag), *keys) * size) + 1
+        frame = frame.withColumn("__chosen", F.when(size > 0, chosen).otherwise(F.raise_error(F.lit(f"no draws of {parameter}"))))
+        one = ranked.filter(F.col("parameter") == parameter).select(F.col("number").alias("__number"), F.col("value").alias(name))
+        frame = frame.join(one, F.col("__chosen") == F.col("__number")).drop("__chosen", "__number")
+    return frame.drop("__sizes")
 
 
 def posterior_predictive(
@@ -224,25 +227,24 @@ def posterior_predictive(
     """(donor, draw, y): draws of each subject's last event.
 
     ``last`` has the predictors, the constants, ``effect_mean`` and ``effect_var``. Parameters are drawn
-    independently from their posterior draws, which every task holds as short arrays.
+    independently from their posterior draws, a table of (parameter, value).
     """
-    parameters = _draw_arrays(draws)
-    frame = last.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n))))
     keys = (donor, "draw")
+    groups = {"beta": variables, "ups": z_variables, "phi": constants}
+    wanted = {f"__{g}_{v}": (f"{g}[{v}]", f"{g}{v}") for g, names in groups.items() for v in names} | {"__eps": ("sigma_eps", "eps")}
+    if z_variables:
+        wanted |= {"__theta": ("theta", "theta"), "__eeta": ("sigma_eeta", "eeta")}
+    frame = _with_draws(last.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n)))), draws, wanted, seed, keys)
 
-    def total(prefix: str, names: Sequence[str]) -> Column:
-        return sum((F.col(v) * _pick(parameters[f"{prefix}[{v}]"], seed, f"{prefix}{v}", *keys) for v in names), F.lit(0.0))
+    def total(group: str) -> Column:
+        return sum((F.col(v) * F.col(f"__{group}_{v}") for v in groups[group]), F.lit(0.0))
 
     effect = F.col("effect_mean") + F.sqrt("effect_var") * gaussian(seed, F.lit("effect"), *keys)
     noise = gaussian(seed, F.lit("noise"), *keys)
-    y = total("beta", variables) + effect + _pick(parameters["sigma_eps"], seed, "eps", *keys) * noise
+    y = total("beta") + effect + F.col("__eps") * noise
     if z_variables:
-        opening = (
-            total("ups", z_variables) + _pick(parameters["theta"], seed, "theta", *keys) * effect
-            + _pick(parameters["sigma_eeta"], seed, "eeta", *keys) * noise
-        )
-        y = F.when(F.col("is_first"), opening).otherwise(y)
-    return frame.select(donor, "draw", (y + total("phi", constants)).alias("y"))
+        y = F.when(F.col("is_first"), total("ups") + F.col("__theta") * effect + F.col("__eeta") * noise).otherwise(y)
+    return frame.select(donor, "draw", (y + total("phi")).alias("y"))
 
 
 def delta_predictive(
@@ -253,13 +255,12 @@ def delta_predictive(
 
     Returns the mean and the share of draws below the (scaled) cutoff per row.
     """
-    parameters = _draw_arrays(draws)
-    frame = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n))))
     keys = (key, "draw")
-    fit = sum((F.col(v) * _pick(parameters[f"beta[{v}]"], seed, v, *keys) for v in variables), F.col(effect))
-    delta = _pick(parameters["delta"], seed, "delta", *keys)
-    noise = _pick(parameters["sigma_eps"], seed, "eps", *keys) * gaussian(seed, F.lit("noise"), *keys)
-    drawn = frame.withColumn("__y", fit * (1 - delta) + delta * F.col("Hb_lag") + noise)
+    wanted = {f"__beta_{v}": (f"beta[{v}]", v) for v in variables} | {"__delta": ("delta", "delta"), "__eps": ("sigma_eps", "eps")}
+    frame = _with_draws(rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n)))), draws, wanted, seed, keys)
+    fit = sum((F.col(v) * F.col(f"__beta_{v}") for v in variables), F.col(effect))
+    noise = F.col("__eps") * gaussian(seed, F.lit("noise"), *keys)
+    drawn = frame.withColumn("__y", fit * (1 - F.col("__delta")) + F.col("__delta") * F.col("Hb_lag") + noise)
     return drawn.groupBy(key).agg(F.avg("__y").alias("mean"), F.avg((F.col("__y") < cutoff).cast("double")).alias("p"))
 
 
@@ -279,18 +280,24 @@ def prediction_frame(
 ) -> DataFrame:
     """Point prediction, spread, score and labels per subject.
 
-    ``actual`` has ``original_value`` and the columns the cutoff needs. The draws of one
-    subject are as many as were asked for, so the 5 percent quantile is bounded.
+    ``actual`` has ``original_value`` and the columns the cutoff needs. The quantile (5 percent,
+    type 7) comes from the places of a subject's draws in their order, two of which are kept.
     """
     cutoff = cutoff if isinstance(cutoff, Column) else F.lit(float(cutoff))
     mean, sd = scale.means[name], scale.sds[name]
     original = unscaled("y", mean, sd, scale.factor)
     drawn = pred.join(actual.select(key, cutoff.alias("cutoff"), "original_value"), key)
-    middle = F.avg("y") if metric == "mean" else F.percentile("y", 0.05)
     out = drawn.groupBy(key).agg(
-        F.first("original_value").alias("original_value"), F.first("cutoff").alias("cutoff"), middle.alias("__m"),
-        F.stddev_samp("y").alias("sds"), F.avg((original < F.col("cutoff")).cast("double")).alias("score"),
+        F.first("original_value").alias("original_value"), F.first("cutoff").alias("cutoff"), F.avg("y").alias("__m"),
+        F.stddev_samp("y").alias("sds"), F.avg((original < F.col("cutoff")).cast("double")).alias("score"), F.count("y").alias("__n"),
     )
+    if metric != "mean":
+        places = pred.filter(F.col("y").isNotNull()).select(key, "y", F.row_number().over(Window.partitionBy(key).orderBy("y")).alias("__i"))
+        spot = (F.col("__n") - 1) * 0.05
+        low = F.floor(spot) + 1
+        at = places.join(out.select(key, "__n"), key).filter(F.col("__i").between(low, low + 1))
+        ends = at.groupBy(key).agg(F.min("y").alias("__low"), F.max("y").alias("__high"), F.first(spot - F.floor(spot)).alias("__part"))
+        out = out.join(ends, key, "left").withColumn("__m", F.col("__low") + (F.col("__high") - F.col("__low")) * F.col("__part"))
     value = unscaled("__m", mean, sd, scale.factor)
     return out.select(
         key, "original_value", (F.col("original_value") < F.col("cutoff")).cast("int").alias("original_label"), "score", "sds",
