@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from donorflow.llm import symbols
-from donorflow.llm.common import checkpointed, packed, small, unpacked
+from donorflow.llm.common import checkpointed, packed, small, tidy, unpacked
 
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -80,7 +80,7 @@ def measure(rows: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[block.column(c) for c in keep], *[pa.array(x.astype(np.int64)) for x in found]], names=[*keep, *FEATURES])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
-    return rows.mapInArrow(work, f"{kinds}{', ' * bool(keep)}{', '.join(f'{f} long' for f in FEATURES)}")
+    return rows.mapInArrow(tidy(work), f"{kinds}{', ' * bool(keep)}{', '.join(f'{f} long' for f in FEATURES)}")
 
 
 def base_failed():

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from donorflow.llm import symbols
-from donorflow.llm.common import checkpointed
+from donorflow.llm.common import checkpointed, tidy
 from donorflow.llm.components import components, local_stars
 from donorflow.llm.repeats import NO_ID, _lists, identified, written
 
@@ -93,7 +93,7 @@ def surveyed(rows: DataFrame, k: int, percent: int) -> DataFrame:
 
     names = ["doc_id", "k", "h", "class", "size", "band", "chunk", "counts"]
     kinds = [{"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]]
-    return rows.mapInArrow(work, f"doc_id {kind}, k long, h int, class long, size long, band long, chunk int, counts array<int>")
+    return rows.mapInArrow(tidy(work), f"doc_id {kind}, k long, h int, class long, size long, band long, chunk int, counts array<int>")
 
 
 def ranks(survey: DataFrame) -> np.ndarray:
@@ -110,7 +110,7 @@ def ranks(survey: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([level.tobytes()])], names=["chunk", "levels"])
 
     out = np.zeros(COUNTERS, np.uint8)
-    for chunk, levels in counted.repartition(COUNTERS // CHUNK, "chunk").mapInArrow(work, "chunk int, levels binary").collect():
+    for chunk, levels in counted.repartition(COUNTERS // CHUNK, "chunk").mapInArrow(tidy(work), "chunk int, levels binary").collect():
         out[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(levels, np.uint8)
     return out
 
@@ -175,8 +175,8 @@ def stars(rows: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFram
         root, other = local_stars(least[least != node], node[least != node])
         yield pa.RecordBatch.from_arrays([pa.array(root), pa.array(other)], names=["a", "b"])
 
-    sent = rows.select("text").mapInArrow(columns, "p int, key array<long>, node array<long>")
-    return sent.repartition(parts, "p").mapInArrow(tie, "a long, b long").distinct()
+    sent = rows.select("text").mapInArrow(tidy(columns), "p int, key array<long>, node array<long>")
+    return sent.repartition(parts, "p").mapInArrow(tidy(tie), "a long, b long").distinct()
 
 
 def _row_sums(marked: np.ndarray, column: np.ndarray, first: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -267,7 +267,7 @@ def multiplied(found: DataFrame, percent: int) -> DataFrame:
         yield from product(held)
 
     parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return found.repartition(parts, "block", "tile").sortWithinPartitions("block", "tile", "class").mapInArrow(work, "node long, links long, other long")
+    return found.repartition(parts, "block", "tile").sortWithinPartitions("block", "tile", "class").mapInArrow(tidy(work), "node long, links long, other long")
 
 
 def whole_sets(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -280,7 +280,7 @@ def whole_sets(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[block.column(n) for n in ("class", "block", "blocks", "weight", "home")], lists], names=["class", "block", "blocks", "weight", "home", "set"])
 
     found = rows.join(wanted, ["k", "h"]).select("text", "class", "block", "blocks", "weight", "home")
-    found = found.mapInArrow(work, "class long, block long, blocks int, weight long, home boolean, `set` array<long>")
+    found = found.mapInArrow(tidy(work), "class long, block long, blocks int, weight long, home boolean, `set` array<long>")
     own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     tiled = found.select("*", own.alias("own"), other)

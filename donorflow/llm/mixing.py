@@ -61,6 +61,6 @@ def mix_sources(
 
 
 def repeat_rows(mixed: DataFrame, copies: str = "copies") -> DataFrame:
-    """Each row as often as `copies` says."""
-    again = F.explode(F.array_repeat(F.lit(True), F.col(copies).cast("int"))).alias("_again")
-    return mixed.select("*", again).drop("_again")
+    """Each row as often as `copies` says. Null or no copies: the row goes. Other columns pass through, whatever their names."""
+    again = packed(mixed, times=F.explode(F.array_repeat(F.lit(True), F.col(copies).cast("int"))))
+    return again.select("row.*")

@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from donorflow.llm import symbols
+from donorflow.llm.common import tidy
 
 WINDOW = 2048
 OPEN_TOKENS = 8 << 20
-CACHE = 2_000_000
+CACHE_BYTES = 24 << 20
+BLOCK_BYTES = 1 << 20
 JOIN = 512
 
 
@@ -22,7 +24,7 @@ class Encoder:
     """Token ids of many texts by a byte-level `tokenizers` file, encoding each different piece between plain spaces once.
 
     A cut before a space that stands between two characters that surely are no white space never changes byte-level BPE ids:
-    its pattern starts a new piece there. Known pieces are kept by hash in sorted arrays, for as long as the worker lives.
+    its pattern starts a new piece there. Known pieces are kept by hash in sorted arrays of at most CACHE_BYTES and a block's own, until the task ends.
     """
 
     def __init__(self, path: str):
@@ -82,7 +84,7 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         end = np.append(start[1:], len(texts.data))
         unique, first, inverse = np.unique(symbols.byte_rolling(texts.data).of(start, end), return_index=True, return_inverse=True)
-        if len(self.names) > CACHE:
+        if sum(x.nbytes for x in (self.names, self.at, self.size, self.flat)) > CACHE_BYTES:
             self.clear()
         near = np.searchsorted(self.names, unique)
         new = np.flatnonzero(np.append(self.names, np.uint64(0))[near] != unique) if len(self.names) else np.arange(len(unique))
@@ -189,7 +191,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 1,
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = encoder_of(tokenizer)
         packer = Packer(window, TaskContext.get().partitionId() << 40)
-        for block in symbols.blocks(batches):
+        for block in symbols.blocks(batches, size=BLOCK_BYTES):
             ids, place = encoder.encode(symbols.as_texts(block.column("text")))
             for i, doc in enumerate(block.column("doc_id").to_pylist()):
                 packer.add(doc, np.append(ids[place[i] : place[i + 1]], np.uint32(end_id)))
@@ -198,6 +200,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 1,
             if packer.done:
                 yield rows(packer)
         packer.close()
+        encoder.clear()
         if packer.done:
             yield rows(packer)
 
@@ -213,4 +216,4 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 1,
     rows_in = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     name = rows_in.schema["doc_id"].dataType.simpleString()
     kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]
-    return rows_in.mapInArrow(work, f"doc_id {name}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return rows_in.mapInArrow(tidy(work), f"doc_id {name}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
