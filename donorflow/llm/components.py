@@ -28,24 +28,17 @@ def local_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of edges (a, b): label is the smallest node that links lead to.
 
-    Each round offers the least label of a node's neighbours to the node and to the node's own label, then takes the label
-    of the label, so trees hook onto trees and chains halve: rounds grow with the logarithm of the nodes. They end when no
-    label falls. Minima are taken before each shuffle, so a node with most links is no hot spot; every round is written to
-    the checkpoint folder, and only the number of changes reaches the driver.
+    Each round every node moves to its least neighbour, and once more to where that one moves; edges follow their ends, and
+    those that have become loops or equal ones go. So what is left shrinks from round to round, and the smallest node of a
+    component, which never moves, is the last. Minima are taken before each shuffle, so a node with most links is no hot
+    spot; every round is written to the checkpoint folder, and only the number of edges reaches the driver.
     """
-    both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).filter("a != b").distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
-    changed = labels.count()
-    while changed:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        known = labels.join(near, labels["node"] == near["a"]).select("node", "label", "near")
-        offers = F.explode(F.array(
-            F.struct(F.col("node"), F.least("label", "near").alias("to"), F.col("label").alias("was")),
-            F.struct(F.col("label").alias("node"), F.least("label", "near").alias("to"), F.lit(None).cast("long").alias("was")),
-        )).alias("o")
-        fresh = known.select(offers).groupBy(F.col("o.node").alias("node")).agg(F.min("o.to").alias("label"), F.max("o.was").alias("was"))
-        jump = fresh.select(F.col("node").alias("through"), F.col("label").alias("far"))
-        moved = checkpointed(fresh.join(jump, fresh["label"] == jump["through"]).select("node", "was", F.col("far").alias("label")))
-        changed = moved.filter("label != was").count()
-        labels = moved.select("node", "label")
+    left = checkpointed(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).filter("a != b").distinct())
+    labels = left.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()
+    while left.count():
+        first = checkpointed(left.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")))
+        moves = checkpointed(first.join(first.select(F.col("a").alias("by"), F.col("to").alias("least")), F.col("to") == F.col("by")).select(F.col("a").alias("was"), "least"))
+        labels = checkpointed(labels.join(moves, labels["label"] == moves["was"], "left").select("node", F.coalesce("least", "label").alias("label")))
+        ends = left.join(moves, left["a"] == moves["was"]).select(F.col("least").alias("a"), "b").filter("a != b").distinct()
+        left = checkpointed(ends.join(moves, ends["b"] == moves["was"]).select("a", F.col("least").alias("b")).filter("a != b").distinct())
     return labels
