@@ -131,7 +131,7 @@ def _(t):
 
 @query("decision_tree")
 def _(t):
-    return fitted(t, lambda train: models.decision_tree(sampling.upsample_minority(train, "Hb_deferral", 1, "don_id"), VARIABLES))
+    return fitted(t, lambda train: models.pruned_tree(train, VARIABLES)[0])
 
 
 @query("random_forest")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 from typing import Any
 
 import numpy as np
@@ -12,16 +13,18 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from donorflow.operators import pruning
 from donorflow.operators.joins import attach_metadata
 from donorflow.operators.ordered import hash_ranks
 from donorflow.operators.ordering import nearest_value
 from donorflow.operators.sampling import kfold_by_donor
 from donorflow.operators.scaling import Scale, column_scale, scaled
 from donorflow.operators.shape import axis, union_results
+from donorflow.session import reliable_checkpoint
 
 LABEL = "Hb_deferral"
 
@@ -88,6 +91,82 @@ def decision_tree(train: DataFrame, features: Sequence[str], label: str = LABEL,
     return _fit_pipeline(numeric_label(train, label), features, DecisionTreeClassifier(labelCol="label_index", seed=seed, **options))
 
 
+COMPLEXITIES = tuple(np.linspace(0.0001, 0.04, 10))
+
+
+def folded_balance(df: DataFrame, label: str, key: str, row: str, folds: int, seed: int) -> tuple[DataFrame, dict[tuple[int, float], int]]:
+    """Rows with ``fold`` (by subject) and their place among those of their fold and class; and the size of each such cell."""
+    ranked = hash_ranks(df.select(key).distinct(), key, seed)
+    placed = df.join(ranked.select(key, (F.col("rank") % folds).cast("int").alias("fold")), key)
+    placed = reliable_checkpoint(hash_ranks(placed, row, seed, ["fold", label], rank="place", size="of"))
+    sizes = {(r["fold"], r[label]): r["n"] for r in placed.groupBy("fold", label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    return placed.drop("of"), sizes
+
+
+def balanced_without(placed: DataFrame, sizes: Mapping[tuple[int, float], int], fold: int, label: str) -> DataFrame:
+    """Training rows of a fold, the smaller class repeated until both are equal in number.
+
+    Copies are made after the folds, so no row and no copy of it is on both sides. Each row of
+    the smaller class comes floor(N / P) times, and the first N mod P of them once more.
+    """
+    train = placed.filter(F.col("fold") != fold)
+    totals: dict[float, int] = {}
+    for (f, c), n in sizes.items():
+        totals[c] = totals.get(c, 0) + (n if f != fold else 0)
+    if len(totals) < 2 or not all(totals.values()):
+        return train
+    small = min(totals, key=lambda c: (totals[c], c))
+    times, rest = divmod(max(totals.values()), totals[small])
+    before, upto = F.lit(0), 0
+    for f in sorted({f for f, _ in sizes} - {fold}):
+        before = F.when(F.col("fold") == f, F.lit(upto)).otherwise(before)
+        upto += sizes.get((f, small), 0)
+    copies = F.when(F.col(label) == small, F.lit(times) + (before + F.col("place") <= rest).cast("int")).otherwise(1)
+    return train.withColumn("__copy", F.explode(F.sequence(F.lit(1), copies))).drop("__copy")
+
+
+def pruned_tree(
+    train: DataFrame, features: Sequence[str], label: str = LABEL, key: str = "donor", row: str = "don_id",
+    values: Sequence[float] = COMPLEXITIES, folds: int = 4, repeats: int = 5, seed: int = 1, depth: int = 6,
+) -> tuple[Classifier, list[dict[str, float]]]:
+    """A gini tree whose complexity is chosen by repeated cross-validation on AUROC; (model, table of complexities).
+
+    Training rows are balanced by copies inside each fold. Each fit gives the scores of all
+    complexities from its leaf counts (see ``pruning``); of equal areas the simplest tree wins.
+    """
+    values = sorted(float(v) for v in values)
+    frame = numeric_label(train, label).filter(F.col("label_index").isNotNull())
+    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
+    data = assembler.transform(_numbers(frame, features)).select(key, row, "features", "label_index")
+    estimator = DecisionTreeClassifier(labelCol="label_index", seed=seed, maxDepth=depth, impurity="gini", leafCol="leaf")
+
+    def scores(rows: DataFrame) -> tuple[Any, Any, np.ndarray]:
+        model = estimator.fit(rows)
+        root = pruning.branches(model)
+        return model, root, pruning.pruned_scores(root, pruning.counted(root, model.transform(rows)), values)
+
+    areas = []
+    for r in range(repeats):
+        placed, sizes = folded_balance(data, "label_index", key, row, folds, seed + r)
+        for fold in range(folds):
+            model, root, table = scores(balanced_without(placed, sizes, fold, "label_index"))
+            held = pruning.counted(root, model.transform(placed.filter(F.col("fold") == fold)))
+            counts = np.array([held[i] for i in range(len(held))])
+            areas.append([pruning.ranked_area(t, counts[:, 1], counts[:, 0]) for t in table])
+    mean = np.nanmean(np.array(areas), axis=0)
+    best = max(i for i, m in enumerate(mean) if m >= np.nanmax(mean) - 1e-12)
+    placed, sizes = folded_balance(data, "label_index", key, row, 1, seed)
+    model, root, table = scores(balanced_without(placed, sizes, -1, "label_index"))
+    shares = F.array(*[F.lit(float(x)) for x in table[best]])  # one number a leaf
+
+    def score(df: DataFrame) -> DataFrame:
+        keep = [c for c in df.columns if c != "score"]
+        out = model.transform(assembler.transform(_numbers(df, features)))
+        return out.withColumn("score", F.get(shares, F.col("leaf").cast("int"))).select(*keep, "score")
+
+    return Classifier(model, features, score), [{"complexity": v, "auroc": float(m), "chosen": float(i == best)} for i, (v, m) in enumerate(zip(values, mean, strict=True))]
+
+
 def random_forest(
     train: DataFrame, features: Sequence[str], label: str = LABEL, seed: int = 1, trees: int = 500, mtry: int | str = "sqrt",
     min_node: int = 1, split_rule: str = "gini", weight: str | None = None, depth: int = 10, bins: int = 32,
@@ -143,29 +222,33 @@ def svm_rbf(
 
 def grid_search_cv(
     train: DataFrame, features: Sequence[str], estimator: Any, grid: Mapping[str, Sequence[Any]], label: str = LABEL,
-    key: str = "donor", folds: int = 10, repeats: int = 10, seed: int = 1, parallelism: int = 4,
+    key: str = "donor", folds: int = 10, repeats: int = 10, seed: int = 1, parallelism: int = 4, row: str = "don_id",
 ) -> tuple[DataFrame, dict[str, Any]]:
     """Repeated cross-validation on AUROC over a parameter grid, folds by subject.
 
-    Returns (table of parameters and mean AUROC, best parameters).
+    Inside each fold the training rows of the smaller class are repeated until both classes
+    are equal; the rows that are scored stay as they are. Returns (table of parameters and
+    mean AUROC, best parameters).
     """
-    frame = VectorAssembler(inputCols=list(features), outputCol="features").transform(_numbers(numeric_label(train, label), features))
+    frame = numeric_label(train, label).filter(F.col("label_index").isNotNull())
+    data = VectorAssembler(inputCols=list(features), outputCol="features").transform(_numbers(frame, features))
+    data = data.select(key, row, "features", "label_index")
     builder = ParamGridBuilder()
     for name, values in grid.items():
         builder = builder.addGrid(estimator.getParam(name), list(values))
     maps = builder.build()
     estimator.setLabelCol("label_index")
-    raw = "rawPrediction"
-    evaluator = BinaryClassificationEvaluator(labelCol="label_index", rawPredictionCol=raw, metricName="areaUnderROC")
+    evaluator = BinaryClassificationEvaluator(labelCol="label_index", rawPredictionCol="rawPrediction", metricName="areaUnderROC")
     sums = np.zeros(len(maps))
     for r in range(repeats):
-        ranked = hash_ranks(frame.select(key).distinct(), key, seed + r)
-        data = frame.join(ranked.select(key, (F.col("rank") % folds).cast("int").alias("fold")), key)
-        data = data.select("features", "label_index", "fold").persist()
-        cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=evaluator, numFolds=folds, foldCol="fold", parallelism=parallelism)
-        sums += np.array(cv.fit(data).avgMetrics)
-        data.unpersist()
-    rows = [{**{p.name: str(v) for p, v in m.items()}, "auroc": float(s / repeats)} for m, s in zip(maps, sums)]
+        placed, sizes = folded_balance(data, "label_index", key, row, folds, seed + r)
+        for fold in range(folds):
+            rows = balanced_without(placed, sizes, fold, "label_index").select("features", "label_index").persist()
+            held = placed.filter(F.col("fold") == fold)
+            with ThreadPool(parallelism) as pool:
+                sums += np.array(pool.map(lambda m: evaluator.evaluate(estimator.copy(m).fit(rows).transform(held)), maps))
+            rows.unpersist()
+    rows = [{**{p.name: str(v) for p, v in m.items()}, "auroc": float(s / repeats / folds)} for m, s in zip(maps, sums)]
     best = maps[int(np.argmax(sums))]
     return train.sparkSession.createDataFrame(rows), {p.name: v for p, v in best.items()}
 
