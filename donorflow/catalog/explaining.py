@@ -10,6 +10,7 @@ from donorflow.catalog.modeling import VARIABLES, last_events
 from donorflow.functions import cost
 from donorflow.functions.metadata import variable_table
 from donorflow.operators import explain, models, posterior, shape
+from donorflow.session import reliable_checkpoint
 
 
 COEF = {"Hb": -0.05, "volume_drawn": 0.002}
@@ -40,16 +41,16 @@ def _(t):
 
 @query("shap_sampling")
 def _(t):
-    rows = last_events(t).persist()
+    rows = reliable_checkpoint(last_events(t))
     numeric = rows.withColumns({c: F.col(c).cast("double") for c in VARIABLES})
-    model = models.random_forest(rows, VARIABLES, trees=20, depth=4)
-    return explain.shap_sampling(model.predict, numeric, VARIABLES, "don_id", nsim=10)
+    model = models.random_forest(rows, VARIABLES, trees=100, depth=4)
+    return explain.shap_sampling(model.predict, numeric, VARIABLES, "don_id")
 
 
 @query("permutation_importance")
 def _(t):
-    rows = models.numeric_label(last_events(t)).persist()
-    model = models.random_forest(rows, VARIABLES, trees=20, depth=4)
+    rows = reliable_checkpoint(models.numeric_label(last_events(t)))
+    model = models.random_forest(rows, VARIABLES, trees=100, depth=4)
     return explain.permutation_importance(model.predict, rows, VARIABLES, "label_index", "don_id")
 
 

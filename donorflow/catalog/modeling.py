@@ -11,6 +11,7 @@ from donorflow.operators import models, ordered, posterior, sampling, scaling
 from donorflow.operators.scaling import Scale
 from donorflow.plans.driver import model_by_sex_driver
 from donorflow.plans.features import Settings, additional_preprocess, whole_series_features
+from donorflow.session import reliable_checkpoint
 
 ORDER = ("dateonly", "don_id")
 VARIABLES = ["previous_Hb", "days_to_previous_fb", "age", "previous_Hb_def", "warm_season", "consecutive_deferrals", "recent_donations", "recent_deferrals"]
@@ -18,8 +19,8 @@ DESIGN = ["days_to_previous_fb", "age", "previous_Hb_def", "warm_season", "recen
 
 
 def features(t):
-    """The feature table, kept for the several passes a design or a fit makes."""
-    return whole_series_features(t.raw_donations(), t.raw_donors(), Settings(), check=False).persist()
+    """The feature table, written for the several passes a design or a fit makes."""
+    return reliable_checkpoint(whole_series_features(t.raw_donations(), t.raw_donors(), Settings(), check=False))
 
 
 def known(df):
@@ -113,7 +114,7 @@ def last_events(t):
 
 def fitted(t, fit):
     """Train rows fit the model; every other last event gets a score."""
-    rows = last_events(t).persist()
+    rows = reliable_checkpoint(last_events(t))
     model = fit(rows.filter("label = 'train'"))
     return models.predictions(model, rows.filter("label <> 'train'"), "model", 0.5)
 
@@ -136,34 +137,34 @@ def _(t):
 
 @query("random_forest")
 def _(t):
-    return fitted(t, lambda train: models.random_forest(train, VARIABLES, trees=40, depth=6))
+    return fitted(t, lambda train: models.random_forest(train, VARIABLES, depth=6))
 
 
 @query("weighted_forest")
 def _(t):
-    return fitted(t, lambda train: models.weighted_forest(sampling.class_weights(train, "Hb_deferral"), VARIABLES, trees=40, depth=6))
+    return fitted(t, lambda train: models.weighted_forest(sampling.class_weights(train, "Hb_deferral"), VARIABLES, depth=6))
 
 
 @query("svm_rbf")
 def _(t):
-    return fitted(t, lambda train: models.svm_rbf(train, VARIABLES, size=48, iterations=30))
+    return fitted(t, lambda train: models.svm_rbf(train, VARIABLES))
 
 
 @query("grid_search_cv")
 def _(t):
-    table, _ = models.grid_search_cv(last_events(t), VARIABLES, DecisionTreeClassifier(seed=1), {"maxDepth": [2, 4]}, folds=3, repeats=2)
+    table, _ = models.grid_search_cv(last_events(t), VARIABLES, DecisionTreeClassifier(seed=1), {"maxDepth": [2, 4]})
     return table
 
 
 @query("kfold_fit")
 def _(t):
-    oof = models.kfold_fit(last_events(t), models.logistic_baseline, 3)
+    oof = models.kfold_fit(last_events(t), models.logistic_baseline)
     return oof.select("don_id", "fold", r6("score").alias("score"))
 
 
 @query("model_by_sex_driver")
 def _(t):
-    rows = known(features(t)).persist()
+    rows = known(features(t))
     names = {"rf": lambda train, v, seed: models.random_forest(train, v, seed=seed, trees=20, depth=5)}
     return model_by_sex_driver(rows, ["bl", "rf"], "stratified", VARIABLES, classifiers=names)["prediction"]
 

@@ -98,7 +98,7 @@ def permutation_importance(
     points, and one equi-join on the place serves all variables.
     """
     rows = df.select(key, F.col(label).cast("double").alias("__y"), *[F.col(f).cast("double").alias(f) for f in features])
-    rows = hash_ranks(rows, key, seed).persist()
+    rows = reliable_checkpoint(hash_ranks(rows, key, seed))
     names = F.explode(F.array(*[F.lit(f) for f in features])).alias("Variable")
     wide = rows.select("*", names)
     step = 1 + F.pmod(F.xxhash64(F.lit(seed), "Variable"), F.greatest(F.col("size") - 1, F.lit(1)))

@@ -257,7 +257,7 @@ def kfold_fit(
     df: DataFrame, fit: Callable[[DataFrame], Classifier], k: int = 4, seed: int = 1, key: str = "donor",
 ) -> DataFrame:
     """Out-of-fold predictions: one Spark fit per fold of subjects, stacked."""
-    folded = kfold_by_donor(df, key, k, seed).persist()
+    folded = reliable_checkpoint(kfold_by_donor(df, key, k, seed))
     parts = {}
     for fold in range(k):
         model = fit(folded.filter(F.col("fold") != fold))

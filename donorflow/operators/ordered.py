@@ -24,7 +24,7 @@ from dataclasses import dataclass, replace
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from donorflow.session import reliable_checkpoint
@@ -122,22 +122,20 @@ def hot_keys(df: DataFrame, key: str, limit: int | None = None) -> HotKeys:
     """Keys with more than ``limit`` rows; only their number and that of their rows reach the driver."""
     limit = limit or HOT_ROWS
     counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__rows"))
-    seen = Observation()
-    found = counts.filter(F.col("__rows") > limit).observe(seen, F.count(F.lit(1)).alias("keys"), F.coalesce(F.sum("__rows"), F.lit(0)).alias("rows"))
-    held = reliable_checkpoint(found.select(key))
-    return HotKeys(held if seen.get["keys"] else None, seen.get["rows"], limit)
+    held = reliable_checkpoint(counts.filter(F.col("__rows") > limit))
+    rows = held.agg(F.sum("__rows")).first()[0]
+    return HotKeys(held.select(key) if rows else None, rows or 0, limit)
 
 
 def in_chunks(df: DataFrame, order: str | Sequence[str], by: str | Sequence[str] = (), chunk_rows: int | None = None) -> DataFrame:
     """Rows sorted by ``by`` and ``order`` in range partitions of about ``chunk_rows`` rows.
 
     Adds ``__chunk``, which rises along the order, and ``__step``, the row's place in its chunk.
-    The number of partitions follows the rows, which are counted while they are written.
+    The number of partitions follows the rows, which are counted once they are written.
     """
     order, by = _names(order), _names(by)
-    seen = Observation()
-    held = reliable_checkpoint(df.observe(seen, F.count(F.lit(1)).alias("rows")))
-    parts = max(1, math.ceil(seen.get["rows"] / (chunk_rows or CHUNK_ROWS)))
+    held = reliable_checkpoint(df)
+    parts = max(1, math.ceil(held.count() / (chunk_rows or CHUNK_ROWS)))
     ranged = held.repartitionByRange(parts, *by, *order).sortWithinPartitions(*by, *order)
     ranged = reliable_checkpoint(ranged.withColumn("__id", F.monotonically_increasing_id()))
     place = F.col("__id").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))

@@ -18,6 +18,7 @@ from donorflow.functions import expr
 from donorflow.functions.metadata import YEAR_SECONDS
 from donorflow.operators import joins, rules, series
 from donorflow.operators.ordered import HotKeys, Lag, RunMax, RunSum, SpanSum, Whole, attach, hot_keys
+from donorflow.session import reliable_checkpoint
 
 # Raw column names and the names used from here on.
 DONATION_NAMES = {
@@ -274,7 +275,7 @@ def whole_series_features(
     parts = _tagged_parts(donations, donors, settings, check)
     if settings.keep_tagged:
         # the mean hour and the features both read them
-        parts = [(tagged.filter(F.col("step").isNull()).persist(), own) for tagged, own in parts]
+        parts = [(reliable_checkpoint(tagged.filter(F.col("step").isNull())), own) for tagged, own in parts]
     mean_hour = mean_hour_of(_stack([tagged for tagged, _ in parts]))
     return _stack([derive_features(tagged, settings, own, mean_hour) for tagged, own in parts])
 

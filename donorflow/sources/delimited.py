@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from donorflow.session import reliable_checkpoint
+
 # Column names of the two file formats, by position.
 POSITIONAL_DONATIONS = [
     "KEY_DONAT_INDEX_DON", "KEY_DONOR", "KEY_DONAT_COLLECT", "KEY_DONAT_INDEX_DATE", "DONAT_PHLEB_START",
@@ -59,7 +61,7 @@ def malformed_rows(scanned: DataFrame) -> DataFrame:
 
     Lines are judged by the columns a query reads, so the scan is held with all of them.
     """
-    scanned = scanned.persist()
+    scanned = reliable_checkpoint(scanned)
     bad = F.sum(F.col(CORRUPT).isNotNull().cast("long"))
     return scanned.agg(F.count(F.lit(1)).alias("lines"), F.coalesce(bad, F.lit(0)).alias("malformed"))
 
