@@ -8,15 +8,16 @@ Consecutive windows with one key form a segment. Three shuffles follow:
 2. Segments whose key other segments with different content have, too: their symbols are fetched and meet by key.
 3. The settled spans return to their documents.
 
-Around a line that many texts share, every text brings its own content under one key. Keys with more than HEAVY contents
-don't meet as a whole: their windows are counted by their own hashes, and only two holders of each repeated window meet.
+Around a line that many texts share, every text brings its own content under one key. Segments of keys with more than HEAVY
+contents don't meet as a whole: one of each content is cut again by a longer gram, and its pieces go the same way.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from donorflow.llm import symbols
+from donorflow.llm.common import tidy
 from donorflow.session import shared_folder
 
 NO_ID = -(1 << 63)
@@ -46,6 +48,11 @@ class Windows:
         found = symbols.words(texts)
         return symbols.byte_rolling(texts.data).of(found.start, found.end), found.first
 
+    def held(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same of pieces that hold their symbols as bytes."""
+        texts = symbols.as_texts(column.cast(pa.large_binary()))
+        return (texts.data.view(np.uint64), texts.begin // 8) if self.words else (texts.data, texts.begin)
+
     def spread(self, values: np.ndarray) -> np.ndarray:
         return values if self.words else symbols.BYTE_VALUES[values]
 
@@ -87,7 +94,7 @@ def _lists(part: np.ndarray, parts: int, columns: dict[str, np.ndarray]) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *lists], names=["p", *columns])
 
 
-_ITEMS = {"key": np.int64, "content": np.int64, "k": np.int64, "h": np.int32, "start": np.int32, "count": np.int32}
+_ITEMS = {"key": np.int64, "content": np.int64, "k": np.int64, "h": np.int32, "start": np.int32, "count": np.int32, "at": np.int32}
 SPAN_KEY = 0  # a span travels as an item with this `content`; `key` is free
 HOT_KEY = 1  # tells that a block has sent this key's segments apart, by their contents
 MANY, TWICE, HOT = 1 << 16, 1 << 17, 1 << 18  # seen more than once in its block of texts; windows inside may be equal; sent apart
@@ -97,18 +104,28 @@ GROUP_BYTES = 16 << 20  # symbols of whole keys that are solved at once
 
 
 def segments(rows: DataFrame, spec: Windows, parts: int) -> DataFrame:
-    """Lists of segments for each part. `count` may hold the flags MANY, TWICE and HOT. content 0: a settled span, its end in `count`; 1: a key whose segments are HOT in some block."""
+    """Lists of segments for each part, from whole texts (k, h, text), or from pieces of texts (k, h, start, symbols).
+
+    `count` may hold the flags MANY, TWICE and HOT; `at` is where the piece starts. content 0: a settled span, its end in
+    `count`; 1: a key whose segments are HOT in some block.
+    """
     apart = BLOCK_CONTENTS
+    whole = "text" in rows.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in symbols.blocks(batches):
-            values, begin = spec.read(symbols.as_texts(block.column("text")))
+        for block in symbols.blocks(batches, "text" if whole else "symbols"):
+            if whole:
+                values, begin = spec.read(symbols.as_texts(block.column("text")))
+                base = np.zeros(block.num_rows, np.int64)
+            else:
+                values, begin = spec.held(block.column("symbols"))
+                base = block.column("start").to_numpy().astype(np.int64)
             a = symbols.anchors(spec.spread(values), begin, spec.window, spec.gram)
             if not len(a.key):
                 continue
             k, h = block.column("k").to_numpy(), block.column("h").to_numpy()
             doc = np.searchsorted(begin, a.start, side="right") - 1
-            start = a.start - begin[doc]
+            start = a.start - begin[doc] + base[doc]
             by = np.lexsort((h, k))
             fresh = np.ones(len(by), bool)
             fresh[1:] = (k[by][1:] != k[by][:-1]) | (h[by][1:] != h[by][:-1])
@@ -125,7 +142,7 @@ def segments(rows: DataFrame, spec: Windows, parts: int) -> DataFrame:
             again = order[other]
             many = np.bincount(group[other], minlength=len(first)) > 0
             count = a.count[first]
-            sent = {"key": a.key[first].view(np.int64), "content": content[first].view(np.int64), "k": k[doc[first]], "h": h[doc[first]], "start": start[first], "count": count | many * MANY | a.twice[first] * TWICE}
+            sent = {"key": a.key[first].view(np.int64), "content": content[first].view(np.int64), "k": k[doc[first]], "h": h[doc[first]], "start": start[first], "count": count | many * MANY | a.twice[first] * TWICE, "at": base[doc[first]]}
             part = (a.key[first] % np.uint64(parts)).astype(np.int64)
             names, number, contents = np.unique(a.key[first], return_inverse=True, return_counts=True)
             hot = contents[number] > apart
@@ -134,22 +151,22 @@ def segments(rows: DataFrame, spec: Windows, parts: int) -> DataFrame:
                 part[hot] = (symbols.mix(a.key[first][hot] ^ symbols.mix(content[first][hot])) % np.uint64(parts)).astype(np.int64)
                 told = names[contents > apart]
                 none = np.zeros(len(told), np.int64)
-                marks = {"key": told.view(np.int64), "content": none + HOT_KEY, "k": none, "h": none, "start": none, "count": none}
+                marks = {"key": told.view(np.int64), "content": none + HOT_KEY, "k": none, "h": none, "start": none, "count": none, "at": none}
                 sent = {c: np.concatenate([sent[c], marks[c].astype(sent[c].dtype)]) for c in sent}
                 part = np.concatenate([part, (told % np.uint64(parts)).astype(np.int64)])
             if len(again):
                 owner, left, right = merged(doc[again], start[again], start[again] + a.count[again] - 1 + spec.window)
-                spans = {"key": np.zeros(len(owner)), "content": np.full(len(owner), SPAN_KEY), "k": k[owner], "h": h[owner], "start": left, "count": right}
+                spans = {"key": np.zeros(len(owner)), "content": np.full(len(owner), SPAN_KEY), "k": k[owner], "h": h[owner], "start": left, "count": right, "at": np.zeros(len(owner))}
                 sent = {c: np.concatenate([sent[c], spans[c].astype(sent[c].dtype)]) for c in sent}
                 part = np.concatenate([part, (symbols.mix(k[owner]) % np.uint64(parts)).astype(np.int64)])
             yield _lists(part, parts, {c: sent[c].astype(t) for c, t in _ITEMS.items()})
 
     kinds = ", ".join(f"`{c}` array<{'long' if t is np.int64 else 'int'}>" for c, t in _ITEMS.items())
-    return rows.select("k", "h", "text").mapInArrow(work, f"p int, {kinds}")
+    return rows.select("k", "h", *(["text"] if whole else ["start", "symbols"])).mapInArrow(tidy(work), f"p int, {kinds}")
 
 
 def settled(sent: DataFrame, spec: Windows) -> DataFrame:
-    """(key, heavy, k, h, start, stop): spans that equal segments settle (key null), and segments that may share windows: their key has other contents, too, or they repeat inside. heavy: the key has too many contents to meet in one group."""
+    """(key, heavy, at, k, h, start, stop): spans that equal segments settle (key null), and segments that may share windows: their key has other contents, too, or they repeat inside. heavy: the key has too many contents to meet in one group."""
     most = HEAVY
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +176,7 @@ def settled(sent: DataFrame, spec: Windows) -> DataFrame:
         table = pa.Table.from_batches(got)
         c = {name: table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False) for name in _ITEMS}
         is_span = c["content"] == SPAN_KEY
-        out = [(c["k"][is_span], c["h"][is_span], c["start"][is_span], c["count"][is_span], None, None)]
+        out = [(c["k"][is_span], c["h"][is_span], c["start"][is_span], c["count"][is_span], None, None, None)]
         is_mark = c["content"] == HOT_KEY
         hot_keys = np.unique(c["key"][is_mark])
         c = {name: x[~is_span & ~is_mark] for name, x in c.items()}
@@ -178,20 +195,21 @@ def settled(sent: DataFrame, spec: Windows) -> DataFrame:
             if not spec.keep_first:
                 other = (np.bincount(group[other | (flags & MANY > 0)], minlength=len(at)) > 0)[group]
             stop = c["start"] + size - 1 + spec.window
-            out.append((c["k"][other], c["h"][other], c["start"][other], stop[other], None, None))
+            out.append((c["k"][other], c["h"][other], c["start"][other], stop[other], None, None, None))
             contents = np.bincount((np.cumsum(new_key) - 1)[lead])
             # a key that is hot in one block only has its segments in several tasks; the mark makes all of them heavy
             hot = np.logical_or.reduceat(hot, at)
             chosen = np.repeat(contents > 1, contents) | (flags[at] & TWICE > 0) | hot
             heavy, rivals = (np.repeat(contents > most, contents) | hot)[chosen], at[chosen]
-            out.append((c["k"][rivals], c["h"][rivals], c["start"][rivals], stop[rivals], c["key"][rivals], heavy))
-        for k, h, start, stop, key, heavy in out:
+            out.append((c["k"][rivals], c["h"][rivals], c["start"][rivals], stop[rivals], c["key"][rivals], heavy, c["at"][rivals]))
+        for k, h, start, stop, key, heavy, at in out:
             if len(k):
                 keys = pa.array(key) if key is not None else pa.nulls(len(k), pa.int64())
                 heavies = pa.array(heavy) if heavy is not None else pa.nulls(len(k), pa.bool_())
-                yield pa.RecordBatch.from_arrays([keys, heavies, pa.array(k), pa.array(h), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], names=["key", "heavy", "k", "h", "start", "stop"])
+                places = pa.array(at) if at is not None else pa.nulls(len(k), pa.int32())
+                yield pa.RecordBatch.from_arrays([keys, heavies, places, pa.array(k), pa.array(h), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], names=["key", "heavy", "at", "k", "h", "start", "stop"])
 
-    return sent.mapInArrow(work, f"key long, heavy boolean, {SPAN}")
+    return sent.mapInArrow(tidy(work), f"key long, heavy boolean, at int, {SPAN}")
 
 
 def fetched(rows: DataFrame, wanted: DataFrame, spec: Windows) -> DataFrame:
@@ -213,7 +231,7 @@ def fetched(rows: DataFrame, wanted: DataFrame, spec: Windows) -> DataFrame:
             k, h = block.column("k").to_numpy()[owner], block.column("h").to_numpy()[owner]
             yield pa.RecordBatch.from_arrays([flat.field(0), flat.field(3), pa.array(k), pa.array(h), pa.array(start.astype(np.int32)), payload], names=["key", "heavy", "k", "h", "start", "symbols"])
 
-    return rows.join(asked, ["k", "h"]).select("k", "h", "text", "asked").mapInArrow(work, "key long, heavy boolean, k long, h int, start int, symbols binary")
+    return rows.join(asked, ["k", "h"]).select("k", "h", "text", "asked").mapInArrow(tidy(work), "key long, heavy boolean, k long, h int, start int, symbols binary")
 
 
 Solver = Callable[[pa.Table], pa.Table]
@@ -240,70 +258,40 @@ def solved(held: DataFrame, parts: int, solve: Solver, columns: str) -> DataFram
         if got:
             yield from solve(pa.Table.from_batches(got)).combine_chunks().to_batches()
 
-    return held.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(work, columns)
-
+    return held.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(tidy(work), columns)
 
-def hashed_windows(heavy: DataFrame, spec: Windows) -> DataFrame:
-    """(key, name, k, h, start, at) of each window of some segments: its hash, its place, and where its segment starts."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            texts = symbols.as_texts(b.column("symbols").cast(pa.large_binary()))
-            values, begin = (texts.data.view(np.uint64), texts.begin // 8) if spec.words else (texts.data, texts.begin)
-            counts = np.diff(begin) - spec.window + 1
-            ends = np.cumsum(counts)
-            owner = np.repeat(np.arange(len(counts)), counts)
-            inside = np.arange(ends[-1]) - np.repeat(ends - counts, counts)
-            place = begin[owner] + inside
-            name = symbols.Rolling(spec.spread(values)).of(place, place + spec.window).view(np.int64)
-            c = {n: b.column(n).to_numpy()[owner] for n in ("key", "k", "h", "start")}
-            made = [c["key"], name, c["k"], c["h"], (c["start"] + inside).astype(np.int32), c["start"]]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["key", "name", "k", "h", "start", "at"])
-
-    return heavy.mapInArrow(work, "key long, name long, k long, h int, start int, at int")
-
-
-def heavy_spans(heavy: DataFrame, spec: Windows, parts: int, solve: Solver, columns: str) -> DataFrame:
-    """Spans (k, h, start, stop) of the windows of heavy keys that occur again.
-
-    Windows are counted before the shuffle. The first and the last holder of each window that has two go through `solve` in
-    a group of their own; what it finds holds for the other holders, which have the same hash.
-    """
-    windows = written(hashed_windows(heavy, spec), "windows")
-    place = F.struct("k", "h", "start", "at")
-    again = windows.groupBy("key", "name").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a != b")
-    again = written(again, "again")
+def pieces_of(held: DataFrame, wanted: DataFrame, spec: Windows) -> DataFrame:
+    """(key, heavy, k, h, start, symbols) of wanted segments, out of the pieces (k, h, start, symbols) they lie in."""
     width = 8 if spec.words else 1
-    pairs = again.select(F.xxhash64("key", "name").alias("group"), F.explode(F.array("a", "b")).alias("w")).select("group", "w.*")
-    held = heavy.select("k", "h", F.col("start").alias("at"), "symbols").distinct()
-    cut = F.expr(f"substring(symbols, (start - at) * {width} + 1, {spec.window * width})")
-    pairs = pairs.join(held, ["k", "h", "at"]).select(F.col("group").alias("key"), "k", "h", "start", cut.alias("symbols"))
-    found = solved(pairs, parts, solve, columns).select(F.struct("k", "h", "start").alias("found")).distinct()
-    last = F.struct("b.k", "b.h", "b.start")
-    sure = again.join(found, last == F.col("found"), "left_semi").select("key", "name", "a")
-    spans = windows.join(sure, ["key", "name"])
-    if spec.keep_first:
-        spans = spans.filter(F.struct("k", "h", "start", "at") != F.col("a"))
-    return spans.select("k", "h", "start", (F.col("start") + spec.window).cast("int").alias("stop"))
+    whole = held.dropDuplicates(["k", "h", "start"]).withColumnRenamed("start", "at")
+    cut = F.expr(f"substring(symbols, (start - at) * {width} + 1, (stop - start) * {width})")
+    return wanted.join(whole, ["k", "h", "at"]).select("key", "heavy", "k", "h", "start", cut.alias("symbols"))
 
 
 def repeated_spans(rows: DataFrame, spec: Windows, solve: Solver, columns: str) -> DataFrame:
-    """Spans (k, h, start, stop, ...) to remove. rows: of identified(). solve: from the segments of some keys to spans of `columns`."""
+    """Spans (k, h, start, stop, ...) to remove. rows: of identified(). solve: from the segments of some keys to spans of `columns`.
+
+    Segments of keys with too many contents to meet are cut once more, by a longer gram, which tells apart what lies beside a
+    common line: their pieces go the same way. The last gram is the window itself, whose keys have one content each.
+    """
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = segments(rows, spec, parts).repartition(parts, "p")
-    first = written(settled(sent, spec), "segments")
-    rivals = fetched(rows, first.filter("key is not null"), spec)
-    any_heavy = not first.filter("heavy").isEmpty()
-    if any_heavy:
-        rivals = written(rivals, "rivals")  # read twice, but texts are shuffled once
-    spans = first.filter("key is null").drop("key", "heavy")
-    spans = spans.unionByName(solved(rivals.filter("not heavy").drop("heavy"), parts, solve, columns), allowMissingColumns=True)
-    if any_heavy:
-        spans = spans.unionByName(heavy_spans(rivals.filter("heavy").drop("heavy"), spec, parts, solve, columns), allowMissingColumns=True)
-    return spans
+    source, out = rows, []
+    for gram in sorted({spec.gram, min(4 * spec.gram, spec.window), spec.window}):
+        level = replace(spec, gram=gram)
+        first = written(settled(segments(source, level, parts).repartition(parts, "p"), level), "segments")
+        out.append(first.filter("key is null").drop("key", "heavy", "at"))
+        wanted = first.filter("key is not null")
+        rivals = fetched(rows, wanted, spec) if source is rows else pieces_of(source, wanted, spec)
+        any_heavy = not first.filter("heavy").isEmpty()
+        if any_heavy:
+            rivals = written(rivals, "rivals")  # read twice, but texts are shuffled once
+        out.append(solved(rivals.filter("not heavy").drop("heavy"), parts, solve, columns))
+        if not any_heavy:
+            break
+        source = rivals.filter("heavy").select("k", "h", "start", "symbols")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out)
 
 
 def without_spans(rows: DataFrame, spans: DataFrame, columns: str, cut: Callable[[symbols.Texts, np.ndarray, np.ndarray, np.ndarray], list[pa.Array]]) -> DataFrame:
@@ -322,7 +310,7 @@ def without_spans(rows: DataFrame, spans: DataFrame, columns: str, cut: Callable
             names = ["doc_id", *[x.split()[0] for x in columns.split(", ")]]
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), *made], names=names)
 
-    return rows.join(held, ["k", "h"], "left").select("doc_id", "text", "spans").mapInArrow(work, f"doc_id {kind}, {columns}")
+    return rows.join(held, ["k", "h"], "left").select("doc_id", "text", "spans").mapInArrow(tidy(work), f"doc_id {kind}, {columns}")
 
 
 def kept_mask(size: int, begin: np.ndarray, owner: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
