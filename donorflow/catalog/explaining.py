@@ -32,11 +32,17 @@ def _(t):
     return long.select("Variable", r6("attribution").alias("attribution"), r6("value").alias("value"))
 
 
-@query("shap_summary", f"""WITH {_SHAP} SELECT v AS "Variable", CASE v WHEN 'Hb' THEN 'Hemoglobin' END AS "Pretty", round(avg(abs(a)), 6) AS attribution FROM long GROUP BY v""")
+@query("shap_summary", f"""WITH {_SHAP}, flat AS (SELECT 'day' AS v, 0.0::DOUBLE AS a, NULL::DOUBLE AS z FROM donations), every AS (SELECT * FROM long UNION ALL SELECT * FROM flat)
+SELECT 'mean' AS kind, v AS "Variable", CASE v WHEN 'Hb' THEN 'Hemoglobin' END AS "Pretty", round(avg(abs(a)), 6) AS attribution, NULL::DOUBLE AS value FROM every GROUP BY v
+UNION ALL SELECT 'point', v, NULL, round(a, 6), CASE WHEN abs(z) <= 1.5 THEN round(z, 6) END FROM long""")
 def _(t):
+    """Means of all variables, and the points to show: a variable without effect has none, far values are NULL."""
     d = t.donations()
     long = explain.shap_long(explain.shap_linear_exact(d, COEF, "don_id"), d, list(COEF), "don_id")
-    return explain.shap_summary(long, variable_table(t.spark)).withColumn("attribution", r6("attribution"))
+    long = long.unionByName(d.select(F.lit("day").alias("Variable"), F.lit(0.0).alias("attribution"), F.lit(None).cast("double").alias("value")))
+    means = explain.shap_summary(long, variable_table(t.spark)).select(F.lit("mean").alias("kind"), "Variable", "Pretty", r6("attribution").alias("attribution"))
+    points = explain.shap_points(long, 1.5).select(F.lit("point").alias("kind"), "Variable", r6("attribution").alias("attribution"), r6("value").alias("value"))
+    return means.unionByName(points, allowMissingColumns=True)
 
 
 @query("shap_sampling")
@@ -153,12 +159,13 @@ def _(t):
 SELECT a, round(q / 0.032, 6) AS q, round({_cost('a', 'CAST(q AS DOUBLE)', 'simplified')}, 6) AS "E" FROM a, q""")
 def _(t):
     axis = t.scores().select((1 + F.round("score", 2)).alias("a")).distinct()
-    s = cost.cost_surface(shape.expand_rows(axis, {"q": [0.0, 0.25, 0.5, 0.75, 1.0]}), "a", "q", rescale=0.032)
+    s = cost.cost_surface(shape.grid_expand(axis, {"q": [0.0, 0.25, 0.5, 0.75, 1.0]}), "a", "q", rescale=0.032)
     return s.select("a", r6("q").alias("q"), r6("E").alias("E"))
 
 
-@query("cost_gradient", f"""WITH {_POINTS} SELECT a, q, round((-60 * 0.03269718 - 2 * (1 - 0.1066) * 0.03269718 * 0.1)::DOUBLE, 5) AS d_q, round(2 * (1 - 0.1066) / pow(1 + 0.1066 * (a - 1), 2), 5) AS d_atot,
-  round(a / (1 + 0.1066 * (a - 1)) - 1 - (1 - 0.1066) * 0.03269718 * q * 0.1, 5) AS "d_Pm", round(-0.03269718 * q, 5) AS "d_Pd" FROM pts""")
+@query("cost_gradient", f"""WITH {_POINTS}, x AS (SELECT a, q, a - 1 AS loss, 1 + 0.1066 * (a - 1) AS slow, 0.03269718::DOUBLE AS d FROM pts)
+SELECT a, q, round(-60 * d - 2 * (1 - 0.1066) * d * loss, 5) AS d_q, round(2 * (1 - 0.1066) / pow(slow, 2), 5) AS d_atot, round(a / slow - 1 - (1 - 0.1066) * d * q * loss, 5) AS "d_Pm", round(-d * q, 5) AS "d_Pd",
+ round(2 * a * 0.1066 * (a - 1) / pow(slow, 2), 5) AS "d_F", round(2 * (d * q * loss - a * (a - 1) / pow(slow, 2)), 5) AS "d_Fn", round(-2 * (1 - 0.1066) * d * q, 5) AS d_rloss FROM x""")
 def _(t):
-    g = cost.cost_gradient(points(t), {"q": "q", "atot": "a", "Pm": 2.0, "Pd": 60.0, "F": 1.0, "Fn": 0.1066, "rloss": 0.1})
-    return g.select("a", "q", *[r6(c, 5).alias(c) for c in ("d_q", "d_atot", "d_Pm", "d_Pd")])
+    g = cost.cost_gradient(points(t).withColumn("loss", F.col("a") - 1), {"q": "q", "atot": "a", "Pm": 2.0, "Pd": 60.0, "F": 1.0, "Fn": 0.1066, "rloss": "loss"})
+    return g.select("a", "q", *[r6(c, 5).alias(c) for c in ("d_q", "d_atot", "d_Pm", "d_Pd", "d_F", "d_Fn", "d_rloss")])

@@ -158,8 +158,10 @@ def _(t):
 
 @query("kfold_fit")
 def _(t):
-    oof = models.kfold_fit(last_events(t), models.logistic_baseline)
-    return oof.select("don_id", "fold", r6("score").alias("score"))
+    """Scores out of fold, and beside them the errors averaged over the folds."""
+    oof = reliable_checkpoint(models.numeric_label(models.kfold_fit(last_events(t), models.logistic_baseline)))
+    errors = models.fold_errors(oof, "label_index", "score")
+    return oof.select("don_id", "fold", r6("score").alias("score"), *[r6(errors.select(c).scalar()).alias(c) for c in ("mae", "rmse")])
 
 
 @query("model_by_sex_driver")

@@ -57,7 +57,7 @@ def _(t):
 @query("grid_expand", """SELECT c_custkey, mtry, node FROM customer, (VALUES (2), (3), (5)) AS a(mtry), (VALUES (1), (5), (10), (20)) AS b(node)""")
 def _(t):
     grid = {"mtry": [2, 3, 5], "node": [1, 5, 10, 20]}
-    return shape.expand_rows(t.table("customer").select("c_custkey"), grid)
+    return shape.grid_expand(t.table("customer").select("c_custkey"), grid)
 
 
 @query("multi_source_bind", f"""WITH {DONATIONS} SELECT 'k' AS run, don_id, Hb FROM donations WHERE donat_phleb = 'K' UNION ALL SELECT 'h', don_id, Hb FROM donations WHERE donat_phleb = 'H'""")

@@ -55,9 +55,6 @@ def parse_day(value: Any, pattern: str = "yyyyMMdd") -> Column:
     return F.try_to_timestamp(column(value).cast("string"), F.lit(pattern)).cast("date")
 
 
-def epoch_seconds(ts: Any) -> Column:
-    return F.unix_timestamp(column(ts).cast("timestamp"))
-
 
 def age_at_event(dob: Any, ts: Any) -> Column:
     """Completed calendar years; a Feb-29 birthday is not reached on Feb-28."""

@@ -155,12 +155,6 @@ def frame_diff(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
     return joined.select(by, *[(~F.col(c).eqNullSafe(F.col(f"__{c}"))).alias(c) for c in shared])
 
 
-def one_sided_fields(a: DataFrame, b: DataFrame) -> dict[str, list[str]]:
-    return {
-        "first": [c for c in a.columns if c not in b.columns],
-        "second": [c for c in b.columns if c not in a.columns],
-    }
-
 
 def frame_merge_common(a: DataFrame, b: DataFrame, by: str, keys: DataFrame | None = None) -> DataFrame:
     """Join on ``by``; a shared column appears once when equal everywhere, else as .x and .y.

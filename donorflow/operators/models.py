@@ -288,13 +288,6 @@ def predictions(model: Classifier, df: DataFrame, name: str, threshold: float, k
     )
 
 
-def variable_importance(model: Classifier, descriptions: DataFrame) -> DataFrame:
-    """Impurity importances of a tree model with display names, largest first."""
-    values = model.model.stages[-1].featureImportances.toArray()
-    spark = descriptions.sparkSession
-    table = spark.createDataFrame([(f, float(v)) for f, v in zip(model.features, values)], "Variable string, Importance double")
-    return attach_metadata(table, descriptions)
-
 
 def save_model(model: Classifier, folder: str, name: str, sex: str) -> str:
     """Store a pipeline as {folder}/{name}-{sex}; it holds no rows of the training data."""

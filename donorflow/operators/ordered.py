@@ -402,7 +402,3 @@ def exact_quantiles(
         lo, hi, part = F.col(f"__lo_{name}"), F.col(f"__hi_{name}"), F.col(f"__fr_{name}")
         result.append((lo + (hi - lo) * part).alias(name))
     return ranked.groupBy(*by).agg(*picks).select(*by, *result)
-
-
-def any_of(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

@@ -214,7 +214,3 @@ def thin_qr(df: DataFrame, columns: Sequence[str], prefix: str = "q_") -> tuple[
         for j, c in enumerate(columns)
     }
     return df.withColumns(q), r, inverse
-
-
-def scale_table(scale: Scale) -> Mapping[str, tuple[float, float]]:
-    return {c: (scale.means[c], scale.sds[c]) for c in scale.means}

@@ -76,13 +76,8 @@ def axis(spark: SparkSession, name: str, start: float, stop: float, steps: int)
     return spark.range(steps).select((F.lit(float(start)) + F.col("id") * float(width)).alias(name))
 
 
-def expand_rows(df: DataFrame, axes: Mapping[str, Sequence]) -> DataFrame:
+def grid_expand(df: DataFrame, axes: Mapping[str, Sequence]) -> DataFrame:
     """Every row once per combination of the axis values (one exploded array per axis)."""
     for name, values in axes.items():
         df = df.select("*", F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
     return df
-
-
-def grid_expand(spark: SparkSession, axes: Mapping[str, Sequence]) -> DataFrame:
-    """All combinations of the axis values."""
-    return expand_rows(spark.range(1), axes).drop("id")
