@@ -9,9 +9,11 @@ from donorflow.catalog.bindings import DONATIONS, DRAWS, FEATURES, JOINED, query
 
 from donorflow.operators import models, ordered, posterior, sampling, scaling
 from donorflow.operators.scaling import Scale
-from donorflow.plans.driver import model_by_sex_driver
+from donorflow.plans.driver import DrawnModel, fit_models, result_tables
 from donorflow.plans.features import Settings, additional_preprocess, whole_series_features
-from donorflow.session import reliable_checkpoint
+from donorflow.operators.shape import union_results
+from donorflow.session import reliable_checkpoint, workspace
+from donorflow.sources.delimited import load_results, result_sink
 
 ORDER = ("dateonly", "don_id")
 VARIABLES = ["previous_Hb", "days_to_previous_fb", "age", "previous_Hb_def", "warm_season", "consecutive_deferrals", "recent_donations", "recent_deferrals"]
@@ -166,9 +168,18 @@ def _(t):
 
 @query("model_by_sex_driver")
 def _(t):
+    """A whole run for both sexes: all nine result tables, written together and read back, counted by kind and model."""
     rows = known(features(t))
-    names = {"rf": lambda train, v, seed: models.random_forest(train, v, seed=seed, trees=20, depth=5)}
-    return model_by_sex_driver(rows, ["bl", "rf"], "stratified", VARIABLES, classifiers=names)["prediction"]
+    draws = parameter_draws(t, ["beta[previous_Hb]", "beta[age]", "sigma_eps"])
+    names = {
+        "rf": lambda train, v, seed: models.random_forest(train, v, seed=seed, trees=100, depth=5),
+        "lmm": lambda train, v, seed: DrawnModel(draws, ["previous_Hb", "age"], 60.0, seed=seed),
+    }
+    done = fit_models(rows, ["bl", "rf", "lmm"], "stratified", VARIABLES, classifiers=names)
+    folder = workspace(t.spark, "run")
+    result_sink(result_tables(done, VARIABLES), folder)
+    counts = {kind: df.groupBy(F.col("Id").alias("model")).agg(F.count(F.lit(1)).alias("rows")) for kind, df in load_results(t.spark, folder).items()}
+    return union_results(counts, "kind").select("kind", "model", "rows")
 
 
 # mixed models

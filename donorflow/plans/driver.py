@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from donorflow.operators import describe, metrics, models
+from donorflow.operators import describe, explain, metrics, models, posterior
 from donorflow.operators.sampling import split_mode
 from donorflow.operators.shape import union_results
 from donorflow.plans.features import additional_preprocess
+from donorflow.session import reliable_checkpoint
 
 SEXES = {"pooled": ["both"], "stratified": ["male", "female"], "male": ["male"], "female": ["female"]}
 
@@ -26,30 +29,101 @@ CLASSIFIERS: dict[str, Fit] = {
 }
 
 
-def model_by_sex_driver(
-    features: DataFrame, names: Sequence[str], sexes: str, variables: Sequence[str], mode: str = "initial", seed: int = 42,
-    classifiers: Mapping[str, Fit] | None = None, upsample: Callable[[DataFrame], DataFrame] | None = None,
-) -> dict[str, DataFrame]:
-    """Predictions and table sizes of every model and sex, tagged ``Id = model-sex``.
+class DrawnModel:
+    """A mixed model that comes as a table of posterior draws (parameter, draw, value) beside fitted models.
 
-    Features are lazy and shared; each fit filters them. The threshold is the one with
-    the best F1 on the training rows.
+    ``score`` is the share of predictive draws below the scaled cutoff. Rows may bring the mean
+    and variance of their subject's effect; without them only the fixed part is known.
     """
+
+    def __init__(self, draws: DataFrame, variables: Sequence[str], cutoff: float, n: int = 1000, seed: int = 1, key: str = "donor"):
+        self.draws, self.features, self.cutoff, self.n, self.seed, self.key = draws, list(variables), cutoff, n, seed, key
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        known = df.withColumns({c: F.lit(0.0) for c in ("effect_mean", "effect_var") if c not in df.columns})
+        last = known.select(self.key, "effect_mean", "effect_var", *[F.col(v).cast("double").alias(v) for v in self.features])
+        drawn = posterior.posterior_predictive(last, self.draws, self.features, self.n, self.seed, self.key)
+        scores = posterior.deferral_probability(drawn, self.cutoff, by=[self.key])
+        return df.drop("score").join(scores, self.key, "left")
+
+
+@dataclass
+class Fitted:
+    """One model of a run on one sex, what it was fitted on and judged on, and how long the fit took."""
+
+    name: str
+    sex: str
+    model: Any
+    train: DataFrame
+    test: DataFrame
+    series: DataFrame
+    threshold: float
+    seconds: float
+
+    @property
+    def identifier(self) -> str:
+        return f"{self.name}-{self.sex}"
+
+
+def fit_models(
+    features: DataFrame, names: Sequence[str], sexes: str, variables: Sequence[str], mode: str = "initial", seed: int = 42,
+    classifiers: Mapping[str, Fit] | None = None, upsample: Callable[[DataFrame], DataFrame] | None = None,
+) -> list[Fitted]:
+    """Every chosen model for both sexes, one sex or each. The threshold is the one with the best F1 on the training rows."""
     available = {**CLASSIFIERS, **(classifiers or {})}
-    keep = list(dict.fromkeys(["donor", "sex", "label", "Hb", "Hb_deferral", *variables]))
-    last = split_mode(additional_preprocess(features, keep), mode)
-    predictions: dict[str, DataFrame] = {}
-    sizes: dict[str, DataFrame] = {}
+    keep = list(dict.fromkeys(["don_id", "donor", "sex", "label", "Hb", "Hb_deferral", *variables]))
+    last = reliable_checkpoint(split_mode(additional_preprocess(features, [c for c in keep if c in features.columns]), mode))
+    out = []
     for sex in SEXES[sexes]:
         rows = last if sex == "both" else last.filter(F.col("sex") == sex)
         series = features if sex == "both" else features.filter(F.col("sex") == sex)
         train, test = rows.filter(F.col("split") == "train"), rows.filter(F.col("split") == "test")
         fitted_on = upsample(train) if upsample else train
         for name in names:
+            begun = time.monotonic()
             model = available[name](fitted_on, variables, seed)
             sweep = metrics.threshold_sweep(models.numeric_label(model.predict(train)), "score", "label_index")
             best: Any = metrics.optimal_f1_cut(sweep).first()
-            identifier = f"{name}-{sex}"
-            predictions[identifier] = models.predictions(model, test, name, best["threshold"])
-            sizes[identifier] = describe.data_counts(series, ["label"])
-    return {"prediction": union_results(predictions), "sizes": union_results(sizes)}
+            out.append(Fitted(name, sex, model, train, test, series, best["threshold"], time.monotonic() - begun))
+    return out
+
+
+def model_by_sex_driver(
+    features: DataFrame, names: Sequence[str], sexes: str, variables: Sequence[str], mode: str = "initial", seed: int = 42,
+    classifiers: Mapping[str, Fit] | None = None, upsample: Callable[[DataFrame], DataFrame] | None = None,
+) -> dict[str, DataFrame]:
+    """Predictions and table sizes of every model and sex, tagged ``Id = model-sex``."""
+    done = fit_models(features, names, sexes, variables, mode, seed, classifiers, upsample)
+    return {
+        "prediction": union_results({f.identifier: models.predictions(f.model, f.test, f.name, f.threshold) for f in done}),
+        "sizes": union_results({f.identifier: describe.data_counts(f.series, ["label"]) for f in done}),
+    }
+
+
+def result_tables(done: Sequence[Fitted], variables: Sequence[str], replicates: int = 2000, nsim: int = 100, seed: int = 42) -> dict[str, dict[str, DataFrame]]:
+    """All nine result tables of a run, {kind: {Id: frame}}, for ``result_sink``.
+
+    Attributions by sampling and importances by permutation are for classifiers; models that
+    come as draws give effect sizes instead.
+    """
+    kinds = ("summary", "prediction", "sizes", "variable_summary", "histogram", "shap-value", "variable-importance", "effect-size", "timing")
+    out: dict[str, dict[str, DataFrame]] = {k: {} for k in kinds}
+    for f in done:
+        spark = f.series.sparkSession
+        predicted = reliable_checkpoint(models.predictions(f.model, f.test, f.name, f.threshold))
+        out["prediction"][f.identifier] = predicted
+        judged = predicted.select(F.lit(f.name).alias("Model"), "original_label", "score")
+        out["summary"][f.identifier] = metrics.evaluation_summary(judged, f.threshold, ["Model"], replicates=replicates, seed=seed)
+        out["sizes"][f.identifier] = describe.data_counts(f.series, ["label"])
+        numeric = f.test.withColumns({v: F.col(v).cast("double") for v in variables})
+        out["variable_summary"][f.identifier] = describe.variable_summary(numeric, list(variables))
+        out["histogram"][f.identifier] = describe.suppressed_histogram(numeric, list(variables))
+        if isinstance(f.model, DrawnModel):
+            out["effect-size"][f.identifier] = posterior.posterior_effects(f.model.draws)
+        else:
+            phi = explain.shap_sampling(f.model.predict, numeric, list(variables), "don_id", nsim=nsim, seed=seed)
+            out["shap-value"][f.identifier] = explain.shap_long(phi, numeric, list(variables), "don_id", seed)
+            rows = models.numeric_label(numeric)
+            out["variable-importance"][f.identifier] = explain.permutation_importance(f.model.predict, rows, list(variables), "label_index", "don_id", seed)
+        out["timing"][f.identifier] = spark.range(1).select(F.lit("fit").alias("stage"), F.lit(float(f.seconds)).alias("seconds"))
+    return out

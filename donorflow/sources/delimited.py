@@ -118,17 +118,33 @@ def load_preprocessed(spark: SparkSession, path: str, sex: str | None = None) ->
     return frame if sex is None else frame.filter(F.col("sex") == sex)
 
 
+MANIFEST = "manifest"
+
+
 def result_sink(tables: Mapping[str, Mapping[str, DataFrame]], folder: str) -> dict[str, str]:
     """Write each kind of result as one CSV table: {kind: {Id: frame}} -> {kind: path}.
 
-    Frames of one kind may differ in columns. Columns that identify a subject never leave.
+    Frames of one kind may differ in columns; a kind without frames is left out. Columns that
+    identify a subject never leave. A manifest of all kinds is written last, so that readers
+    see either a whole run or none.
     """
     from donorflow.operators.shape import union_results
 
-    paths = {}
+    paths, spark = {}, None
     for kind, frames in tables.items():
+        if not frames:
+            continue
         union = union_results(frames)
+        spark = union.sparkSession
         union = union.select(*[f"`{c}`" for c in union.columns if c not in ("donor", "don_id", "id")])
         paths[kind] = f"{folder}/{kind}"
         union.write.mode("overwrite").csv(paths[kind], header=True)
+    if spark is not None:
+        spark.createDataFrame(sorted(paths.items()), "kind string, path string").write.mode("overwrite").csv(f"{folder}/{MANIFEST}", header=True)
     return paths
+
+
+def load_results(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of a finished run by kind; a folder without manifest is an error."""
+    listed = spark.read.csv(f"{folder}/{MANIFEST}", header=True).collect()  # one row a kind
+    return {r["kind"]: spark.read.csv(r["path"], header=True) for r in listed}

@@ -168,3 +168,28 @@ def test_driver_tags_every_model_and_sex(tables):
     out = model_by_sex_driver(features, ["bl"], "stratified", ["previous_Hb", "age"])
     assert {r.Id for r in out["prediction"].select("Id").distinct().collect()} == {"bl-male", "bl-female"}
     assert "donor" not in out["sizes"].columns
+
+
+def test_nine_tables_of_a_run(spark, tables, tmp_path):
+    """Every table of a run is written with all its models, without subjects, and only a finished run can be read."""
+    from donorflow.plans.driver import DrawnModel, fit_models, result_tables
+    from donorflow.plans.features import Settings, whole_series_features
+    from donorflow.sources.delimited import load_results, result_sink
+
+    features = whole_series_features(tables.raw_donations(), tables.raw_donors(), Settings(), check=False).filter("not first_event")
+    draws = spark.createDataFrame([(p, i, 0.1 + 0.01 * i) for p in ("beta[age]", "sigma_eps") for i in range(40)], "parameter string, draw int, value double")
+    names = {"rf": lambda train, v, seed: models.random_forest(train, v, trees=5, depth=3), "lmm": lambda train, v, seed: DrawnModel(draws, ["age"], 5.0, n=50)}
+    done = fit_models(features, ["bl", "rf", "lmm"], "pooled", ["previous_Hb", "age"], classifiers=names)
+    folder = str(tmp_path / "run")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        load_results(spark, folder)
+    result_sink(result_tables(done, ["previous_Hb", "age"], replicates=20, nsim=3), folder)
+    found = load_results(spark, folder)
+    assert len(found) == 9
+    both, fitted, drawn = {"bl-both", "rf-both", "lmm-both"}, {"bl-both", "rf-both"}, {"lmm-both"}
+    want = {k: both for k in ("summary", "prediction", "sizes", "variable_summary", "histogram", "timing")} | {"shap-value": fitted, "variable-importance": fitted, "effect-size": drawn}
+    for kind, df in found.items():
+        assert {r.Id for r in df.select("Id").distinct().collect()} == want[kind], kind
+        assert not {"donor", "don_id", "id"} & set(df.columns)
+    scores = found["prediction"].filter("Id = 'lmm-both'").agg(F.min(F.col("score").cast("double")), F.max(F.col("score").cast("double"))).first()
+    assert 0 <= scores[0] <= scores[1] <= 1 and scores[1] > 0
