@@ -151,3 +151,64 @@ def test_pipeline(spark, folder):
     tokens = corpus_pipeline.run(spark, folder).agg(F.sum("length"), F.count(F.lit(1))).first()
     direct = corpus_pipeline.packed_windows(spark, docs, folder).agg(F.sum("length")).first()
     assert tokens[0] == direct[0] and tokens[1]
+
+
+def test_pipeline_with_odd_rows_against_plain_python(spark, tmp_path):
+    """All five stages on rows with nulls, copies, values and clashing names, beside a plain version of what each has to do."""
+    words = [f"word{i}" for i in range(400)]
+    clean = lambda i, n=80: " ".join(words[(i * 37 + j * j) % 400] for j in range(n))
+    rows = [(i, clean(i), "en", "a" if i % 2 else "b", None) for i in range(30)]
+    rows += [(100, clean(3) + " extra", "en", "a", 1), (101, clean(3), "en", "b", 1), (102, None, "en", None, None), (103, "", None, "a", None), (104, "too short", "en", "a", None)]
+    rows += [(105, "same same same " * 60, "en", "b", None), (106, clean(7, 120) + " write to anna@example.org now", "en", "a", None), (5, clean(5), "en", "a", None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    extra = ("row", "_id", "_h", "sanitised", "copies", "size", "kept", "hash", "times")
+    docs = spark.createDataFrame(rows, schema).withColumns({c: F.lit("mine") for c in extra})
+    stages = dict(corpus_pipeline.STAGES)
+
+    def after(name, df):
+        out = spark.createDataFrame(stages[name](spark, df, "").collect(), df.schema)
+        assert out.columns == df.columns and {tuple(r) for r in out.select(*extra).distinct().collect()} <= {("mine",) * len(extra)}
+        return out
+
+    def failed(text):
+        w = (text or "").split()
+        grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        again = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(3)}
+        return len(w) < 50 or 100 * len(again) > 50 * len(w)
+
+    good = after("quality rules", docs)
+    want = sorted(r[0] for r in rows if not failed(r[1]))
+    assert sorted(r.doc_id for r in good.collect()) == want
+    sets = {}
+    for r in good.collect():
+        w = r.text.split()
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    stay = [i for i in sorted(sets) if not any(j < i and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for j in sets)]
+    single = after("near duplicates", good)
+    assert sorted(r.doc_id for r in single.collect()) == stay and 100 not in stay and 101 not in stay and stay.count(5) == 1
+    safe = after("private data", single)
+    texts = {r.doc_id: r for r in safe.collect()}
+    assert sorted(texts) == stay and "anna@" not in texts[106].text and "[EMAIL]" in texts[106].text and texts[106].n_chars == len(texts[106].text)
+    assert all(texts[r.doc_id].text == r.text for r in single.collect() if r.doc_id != 106)
+    mixed = after("mixing", safe)
+    sizes = {i: len(r.text.split()) for i, r in texts.items()}
+    total = sum(sizes.values())
+    by = {s: sum(sizes[i] for i, r in texts.items() if r.source == s) for s in ("a", "b")}
+    targets = {"a": min(2 * by["a"], 1.5 * total * 5 / 7)}
+    targets["b"] = min(2 * by["b"], 1.5 * total - targets["a"])
+    taken = {i: sum(r.doc_id == i for r in mixed.collect()) for i in stay}
+    for i, n in taken.items():
+        rate = targets[texts[i].source] / by[texts[i].source]
+        assert n in (int(rate + 1e-9), int(rate + 1e-9) + 1)
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(registry.tokenizer_path())
+    pieces = stages["packing"](spark, mixed, "").collect()
+    want = sum(n * (len(tokenizer.encode(texts[i].text, add_special_tokens=False).ids) + 1) for i, n in taken.items())
+    assert sum(r.length for r in pieces) == want
+    docs.select("doc_id", "text", "lang", "source", "n_chars").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    ran = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.doc_tokens) for r in ran if r.start == 0) == sorted((r.doc_id, r.doc_tokens) for r in pieces if r.start == 0)
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").collect() == []
