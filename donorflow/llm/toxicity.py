@@ -28,31 +28,44 @@ from donorflow.llm.common import checkpointed, packed, tidy, uniform, unpacked
 LABELS = 200_000
 ENTRIES = 20_000
 HELD_TERMS = 300_000
-SHORTEST, LONGEST, WHOLE = 3, 8, 24
+SHORTEST, LONGEST, WHOLE = 3, 6, 24
 
 # Letters of other scripts that look like Latin ones, digits and signs used for letters, invisible characters.
-LOOKALIKES = str.maketrans("аеорсухіѕјһԁԛԝкмтвнгαερτυνικηχβωοıɑɡ", "aeopcyxisjhdqwkmtbhraeptuviknxbwoiag")
-STAND_FOR = str.maketrans("01l|!3@4$5+789", "oiiiieaassttbg")
-INVISIBLE = str.maketrans("", "", "­​‌‍⁠﻿")
+LOOKALIKES = ("аеорсухіѕјһԁԛԝкмтвнгαερτυνικηχβωοıɑɡ", "aeopcyxisjhdqwkmtbhraeptuviknxbwoiag")
+STAND_FOR = (b"01l|!3@4$5+789", b"oiiiieaassttbg")
+INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 # Phrases with a word of the kind that insults are made of, but harmless as a whole.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "pathetic fallacy", "stupid question", "scum pond", "sore loser rule")
 
-_SIGN = re.compile(r"(?<![|!@$+])[|!@$+]++(?![^\W_])")
-_OTHER = re.compile(r"[\W_]+")
+_FOREIGN = re.compile(f"[{LOOKALIKES[0]}{INVISIBLE}]")
+_FOREIGN_TABLE = str.maketrans(*LOOKALIKES, INVISIBLE)
+_OUTSIDE = re.compile(r"[^\w\x00-\x7f]+")
+_UNUSUAL = re.compile("[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u0130\u0132-\u024f]")  # no common letter: only then the slower steps run
+_SIGNS = b"|!@$+"
+_SIGN = re.compile(rb"(?<![|!@$+])[|!@$+]++(?![0-9a-z\x80-\xff])")
+_PLAIN = bytes(c if chr(c).isalnum() or c >= 0x80 else 0x20 for c in range(256))
+_TABLE = bytes(dict(zip(*STAND_FOR, strict=True)).get(c, _PLAIN[c]) for c in range(256))
 FEATURES = ["hits", "total", "best", "words"]
 
 
 def fold(text: str) -> str:
     """Words of a text in their folded form, each between spaces."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFKC", text).translate(INVISIBLE).lower().translate(LOOKALIKES)
+    if text.isascii():
+        text = text.lower()
     else:
+        text = text if unicodedata.is_normalized("NFKC", text) else unicodedata.normalize("NFKC", text)
         text = text.lower()
-    return f" {_OTHER.sub(' ', _SIGN.sub(' ', text).translate(STAND_FOR)).strip()} "
+        if _UNUSUAL.search(text):
+            text = text.translate(_FOREIGN_TABLE) if _FOREIGN.search(text) else text
+            text = _OUTSIDE.sub(" ", text)
+    data = text.encode()
+    if len(data.translate(None, _SIGNS)) < len(data):
+        data = _SIGN.sub(b" ", data)
+    return f" {b' '.join(data.translate(_TABLE).split()).decode()} "
 
 
 def beginnings(word: str) -> list[str]:
-    """A word's entries: its beginnings of 3 to 8 letters behind a space, and the whole word between spaces."""
+    """A word's entries: its beginnings of 3 to 6 letters behind a space, and the whole word between spaces."""
     out = [f" {word[:k]}" for k in range(SHORTEST, min(len(word), LONGEST) + 1)]
     return [*out, f" {word} "] if SHORTEST <= len(word) <= WHOLE else out
 
@@ -188,7 +201,8 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
     `learn_from` is a condition on the key; rows elsewhere are never learned from. At most about `most` labelled documents
     take part, chosen by a hash of the key where there are more; they are the only rows that meet a table of this bounded
-    size. The lexicon is bounded as well. Texts are read twice, without a shuffle of texts; scores see the text alone.
+    size. The lexicon is bounded as well. Labelled texts are read twice more, and no text is shuffled or written; scores see
+    the text alone.
 
     Null and empty texts have no words and get the curve's value for none. Several labels of one key count as toxic if one
     is; null labels and null keys are left out, documents without label only get scores. Repeated rows count each. Without
@@ -204,14 +218,14 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         known = known.filter(uniform(11, "of") < most / count)
     known = F.broadcast(known)  # about `most` narrow rows at most
     labelled = rows.select("id", "text").join(known, F.col("id") == F.col("of")).select("text", "toxic")
-    found = checkpointed(measure(rows, learn(labelled, **settings)))
+    lexicon = learn(labelled, **settings)
     if 0 < toxic < count:
-        curve = fit(found.join(known, F.col("id") == F.col("of")))
+        curve = fit(measure(labelled, lexicon))
         score = F.lit(curve[0])
         for c, x in zip(curve[1:], inputs(), strict=True):
             score = score + F.lit(c) * x
         score = 1 / (1 + F.exp(-score))
     else:
         score = F.lit(1.0 if toxic else 0.0)
-    judged = found.withColumn("score", score.cast("double")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    judged = measure(rows, lexicon).withColumn("score", score.cast("double")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
     return unpacked(judged, *FEATURES, "score", "predicted")
