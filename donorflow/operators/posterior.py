@@ -10,7 +10,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from donorflow.operators.ordered import RunSum, Total, attach, gaussian, running, uniform
+from donorflow.operators.numbered import TASK_ROWS, looked_up, numbered, spread
+from donorflow.operators.ordered import RunSum, Total, attach, gaussian, running
 from donorflow.operators.scaling import Design, Scale, gram, unscaled
 from donorflow.operators.shape import union_results
 from donorflow.session import reliable_checkpoint
@@ -200,24 +201,30 @@ def donor_effect_posterior(
     return seen.withColumns({"effect_mean": variance * F.col("__sxy"), "effect_var": variance}).drop("__xx", "__xy", "__sxx", "__sxy")
 
 
-def _with_draws(frame: DataFrame, draws: DataFrame, wanted: Mapping[str, tuple[str, str]], seed: int, keys: Sequence[str]) -> DataFrame:
-    """Adds a random draw of each wanted parameter: column name to (parameter, tag of the choice).
+def _with_draws(
+    rows: DataFrame, draws: DataFrame, wanted: Mapping[str, tuple[str, str]], noises: Mapping[str, str], n: int, seed: int, key: str,
+) -> DataFrame:
+    """Each row ``n`` times (column draw), with a random draw of each wanted parameter and standard normal noises.
 
-    Draws are numbered by value within their parameter. Each row chooses a number by a seeded
-    hash and meets the draw of that number in an equi-join, so neither the draws nor their
-    number is bounded, and Spark broadcasts them where they are small.
+    ``wanted``: column name to (parameter, tag of the choice); ``noises``: column name to tag. Draws are
+    numbered by value within their parameter. A repeated row chooses a number by a seeded hash and
+    meets the draw of that number in an equi-join, so neither the draws nor their number is
+    bounded; draws that are counted to be few are broadcast. Rows are dealt over tasks by the
+    draws they make.
     """
     ranked = reliable_checkpoint(running(draws.select("parameter", "value"), ["value"], ["parameter"], number=RunSum(F.lit(1).cast("long"))))
     parameters = sorted({p for p, _ in wanted.values()})
-    sizes = ranked.agg(F.struct(*[F.count(F.when(F.col("parameter") == p, 1)).alias(f"n{i}") for i, p in enumerate(parameters)]).alias("n")).scalar()
-    frame = frame.withColumn("__sizes", sizes)
-    for name, (parameter, tag) in wanted.items():
-        size = F.col("__sizes")[f"n{parameters.index(parameter)}"]
-        chosen = F.floor(uniform(seed, F.lit(tag), *keys) * size) + 1
-        frame = frame.withColumn("__chosen", F.when(size > 0, chosen).otherwise(F.raise_error(F.lit(f"no draws of {parameter}"))))
+    sizes = ranked.agg(*[F.count(F.when(F.col("parameter") == p, 1)).alias(f"n{i}") for i, p in enumerate(parameters)]).first()
+    rows = reliable_checkpoint(rows)
+    rows = spread(rows, rows.count() * n, TASK_ROWS)
+    places = {f"__of{name}": ([tag], []) for name, (_, tag) in wanted.items()}
+    frame = numbered(rows, key, n, "draw", seed, places, {name: [tag] for name, tag in noises.items()})
+    for name, (parameter, _) in wanted.items():
+        size = sizes[f"n{parameters.index(parameter)}"]
+        frame = frame.withColumn("__chosen", F.floor(F.col(f"__of{name}") * size) + 1 if size else F.raise_error(F.lit(f"no draws of {parameter}")).cast("long"))
         one = ranked.filter(F.col("parameter") == parameter).select(F.col("number").alias("__number"), F.col("value").alias(name))
-        frame = frame.join(one, F.col("__chosen") == F.col("__number")).drop("__chosen", "__number")
-    return frame.drop("__sizes")
+        frame = frame.join(looked_up(one, size), F.col("__chosen") == F.col("__number")).drop("__chosen", "__number")
+    return frame.drop(*places)
 
 
 def posterior_predictive(
@@ -229,18 +236,18 @@ def posterior_predictive(
     ``last`` has the predictors, the constants, ``effect_mean`` and ``effect_var``. Parameters are drawn
     independently from their posterior draws, a table of (parameter, value).
     """
-    keys = (donor, "draw")
     groups = {"beta": variables, "ups": z_variables, "phi": constants}
     wanted = {f"__{g}_{v}": (f"{g}[{v}]", f"{g}{v}") for g, names in groups.items() for v in names} | {"__eps": ("sigma_eps", "eps")}
     if z_variables:
         wanted |= {"__theta": ("theta", "theta"), "__eeta": ("sigma_eeta", "eeta")}
-    frame = _with_draws(last.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n)))), draws, wanted, seed, keys)
+    used = [donor, *[v for names in groups.values() for v in names], "effect_mean", "effect_var", *(["is_first"] if z_variables else [])]
+    frame = _with_draws(last.select(*dict.fromkeys(used)), draws, wanted, {"__effect": "effect", "__noise": "noise"}, n, seed, donor)
 
     def total(group: str) -> Column:
         return sum((F.col(v) * F.col(f"__{group}_{v}") for v in groups[group]), F.lit(0.0))
 
-    effect = F.col("effect_mean") + F.sqrt("effect_var") * gaussian(seed, F.lit("effect"), *keys)
-    noise = gaussian(seed, F.lit("noise"), *keys)
+    effect = F.col("effect_mean") + F.sqrt("effect_var") * F.col("__effect")
+    noise = F.col("__noise")
     y = total("beta") + effect + F.col("__eps") * noise
     if z_variables:
         y = F.when(F.col("is_first"), total("ups") + F.col("__theta") * effect + F.col("__eeta") * noise).otherwise(y)
@@ -255,11 +262,11 @@ def delta_predictive(
 
     Returns the mean and the share of draws below the (scaled) cutoff per row.
     """
-    keys = (key, "draw")
     wanted = {f"__beta_{v}": (f"beta[{v}]", v) for v in variables} | {"__delta": ("delta", "delta"), "__eps": ("sigma_eps", "eps")}
-    frame = _with_draws(rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n)))), draws, wanted, seed, keys)
+    used = rows.select(*dict.fromkeys([key, *variables, effect, "Hb_lag"]))
+    frame = _with_draws(used, draws, wanted, {"__noise": "noise"}, n, seed, key)
     fit = sum((F.col(v) * F.col(f"__beta_{v}") for v in variables), F.col(effect))
-    noise = F.col("__eps") * gaussian(seed, F.lit("noise"), *keys)
+    noise = F.col("__eps") * F.col("__noise")
     drawn = frame.withColumn("__y", fit * (1 - F.col("__delta")) + F.col("__delta") * F.col("Hb_lag") + noise)
     return drawn.groupBy(key).agg(F.avg("__y").alias("mean"), F.avg((F.col("__y") < cutoff).cast("double")).alias("p"))
 
