@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from donorflow.functions.expr import prettify_variables
 from donorflow.operators.joins import attach_metadata
-from donorflow.operators.ordered import hash_ranks, uniform
+from donorflow.operators.numbered import looked_up, numbered, spread
+from donorflow.operators.ordered import hash_ranks
 from donorflow.operators.shape import melt
 from donorflow.session import reliable_checkpoint
 
 Score = Callable[[DataFrame], DataFrame]
+SIMULATIONS = 50_000  # of all rows together, from which their scores are dealt over more tasks
 
 
 def shap_linear_exact(df: DataFrame, coefficients: dict[str, float], key: str = "id") -> DataFrame:
@@ -35,30 +37,30 @@ def shap_sampling(
 ) -> DataFrame:
     """Monte-Carlo Shapley values (key, Variable, attribution) of all rows, or of ``n`` of them.
 
-    For each row, simulation and variable, a random other row fills the variables that a
-    random order places later. The same row with and without the variable itself goes
-    through the model; the mean difference is the attribution.
+    For each row and simulation, variables enter in a random order; a random other row fills those
+    that haven't entered. The row goes through the model once before the first and once after each,
+    and a variable's attribution is the mean change of the score as it enters.
     """
     rows = sample_rows(df.select(key, *[F.col(f).cast("double").alias(f) for f in features]), n, seed, key)
     rows = reliable_checkpoint(rows)
     found = rows.count()
-    sims = rows.withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(nsim))))
-    other = (F.floor(uniform(seed, F.lit("other"), key, "sim") * found) + 1).cast("long")
+    turns = {f"__turn{i}": (["turn"], [f]) for i, f in enumerate(features)}
+    dealt = spread(rows.select(key, *features), found * nsim, SIMULATIONS)
+    sims = numbered(dealt, key, nsim, "sim", seed, {"__other": (["other"], []), **turns})
+    other = (F.floor(F.col("__other") * found) + 1).cast("long")
     reference = rows.select(F.col("row").alias("other"), F.struct(*features).alias("__w"))
-    sims = sims.withColumn("other", other).join(reference, "other")
-    sims = sims.withColumn("Variable", F.explode(F.array(*[F.lit(f) for f in features])))
-    turn = {f: uniform(seed, F.lit("turn"), key, "sim", F.lit(f)) for f in features}
-    mine = uniform(seed, F.lit("turn"), key, "sim", "Variable")
-
-    def hybrid(itself: bool) -> DataFrame:
-        values = []
-        for f in features:
-            own = F.when(F.col("Variable") == f, F.lit(itself)).otherwise(turn[f] < mine)
-            values.append(F.when(own, F.col(f)).otherwise(F.col(f"__w.{f}")).alias(f))
-        return sims.select(key, "sim", "Variable", F.lit(1.0 if itself else -1.0).alias("__sign"), *values)
-
-    scored = score(hybrid(True).unionByName(hybrid(False)))
-    return scored.groupBy(key, "Variable").agg((F.sum(F.col("__sign") * F.col("score")) / nsim).alias("attribution"))
+    sims = sims.withColumn("other", other).join(looked_up(reference, found), "other")
+    places = [sum((F.col(g) <= F.col(t)).cast("int") for g in turns) for t in turns]
+    steps = F.explode(F.sequence(F.lit(0), F.lit(len(features))))
+    sims = sims.select(key, *features, "__w", *[p.alias(f"__at{i}") for i, p in enumerate(places)], steps.alias("__step"))
+    filled = [F.when(F.col(f"__at{i}") <= F.col("__step"), F.col(f)).otherwise(F.col(f"__w.{f}")).alias(f) for i, f in enumerate(features)]
+    scored = score(sims.select(key, "__step", *[f"__at{i}" for i in range(len(features))], *filled))
+    changes = []
+    for i in range(len(features)):
+        at = F.col(f"__at{i}")
+        change = F.when(at == F.col("__step"), F.col("score")).when(at == F.col("__step") + 1, -F.col("score"))
+        changes.append((F.sum(change) / nsim).alias(features[i]))
+    return scored.groupBy(key).agg(*changes).unpivot([key], list(features), "Variable", "attribution")
 
 
 def shap_long(phi: DataFrame, df: DataFrame, features: Sequence[str], key: str = "id", seed: int | None = None) -> DataFrame:

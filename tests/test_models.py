@@ -193,3 +193,75 @@ def test_nine_tables_of_a_run(spark, tables, tmp_path):
         assert not {"donor", "don_id", "id"} & set(df.columns)
     scores = found["prediction"].filter("Id = 'lmm-both'").agg(F.min(F.col("score").cast("double")), F.max(F.col("score").cast("double"))).first()
     assert 0 <= scores[0] <= scores[1] <= 1 and scores[1] > 0
+
+
+def test_numbers_made_in_batches_are_those_of_columns(spark):
+    """Whole numbers, texts of two blocks, texts that aren't ASCII and NULL; more numbers than one batch holds."""
+    from donorflow.operators import numbered, ordered
+
+    keys = spark.createDataFrame([(k,) for k in ("7", "12", "a" * 70, "\u00e9\u4e2d", "", None)], "k string")
+    made = numbered.numbered(keys, "k", 40, "i", 5, {"u": (["a"], ["z"]), "v": ([], [])}, {"e": ["b"]})
+    gaps = [F.abs(F.col("u") - ordered.uniform(5, F.lit("a"), "k", "i", F.lit("z"))), F.abs(F.col("v") - ordered.uniform(5, "k", "i"))]
+    gaps += [F.abs(F.col("e") - ordered.gaussian(5, F.lit("b"), "k", "i"))]
+    one = made.agg(F.count(F.lit(1)), F.countDistinct("i"), *[F.max(g) for g in gaps]).first()
+    assert tuple(one)[:4] == (240, 40, 0.0, 0.0) and one[4] < 1e-12
+    many = numbered.numbered(spark.range(2), "id", numbered.BATCH + 5, "i", 5, {"u": ([], [])})
+    assert many.agg(F.count(F.lit(1)), F.max("i"), F.max(F.abs(F.col("u") - ordered.uniform(5, "id", "i")))).first() == (2 * numbered.BATCH + 10, numbered.BATCH + 5, 0.0)
+
+
+def tasks_of(df):
+    return df.rdd.getNumPartitions()
+
+
+def test_draws_and_simulations_are_dealt_over_tasks(spark, monkeypatch):
+    """A few rows that make many draws or scores are no longer one task's work; results stay those of one task."""
+    draws = spark.createDataFrame([(p, 0.1 * i) for p in ("beta[a]", "sigma_eps", "delta") for i in range(1, 8)], "parameter string, value double")
+    rows = spark.createDataFrame([(i, 0.1 * i, 0.2, 0.3, 0.4) for i in range(40)], "donor int, a double, effect_mean double, effect_var double, Hb_lag double").coalesce(1)
+
+    def score(df):
+        return df.withColumn("score", 2 * F.col("a") - F.col("a") * F.col("Hb_lag"))
+
+    def results():
+        pred = posterior.posterior_predictive(rows, draws, ["a"], n=50)
+        delta = posterior.delta_predictive(rows, draws, ["a"], 0.5, n=50, effect="effect_mean")
+        phi = explain.shap_sampling(score, rows, ["a", "Hb_lag"], "donor", nsim=50)
+        return pred, {k: {tuple(r)[:2]: tuple(r)[2:] for r in df.collect()} for k, df in (("pred", pred), ("delta", delta), ("phi", phi))}
+
+    one, before = results()
+    monkeypatch.setattr(posterior, "TASK_ROWS", 200)
+    monkeypatch.setattr(explain, "SIMULATIONS", 200)
+    more, after = results()
+    assert tasks_of(one) == 1 and tasks_of(more) == 10
+    assert before["pred"] == after["pred"] and len(before["pred"]) == 2000
+    for key, value in before["phi"].items():
+        assert after["phi"][key] == pytest.approx(value, abs=1e-12)
+
+
+def test_shap_scores_each_step_once(spark):
+    """A simulation of three variables needs four scores (before: six), and their changes add up exactly."""
+    rows = spark.createDataFrame([(i, float(i), float(i % 3), float(i * i % 7)) for i in range(12)], "k int, a double, b double, c double")
+    seen = []
+
+    def score(df):
+        out = df.withColumn("score", F.col("a") * F.col("b") + F.col("c"))
+        seen.append(out.count())
+        return out
+
+    phi = explain.shap_sampling(score, rows, ["a", "b", "c"], "k", nsim=20, seed=4)
+    assert seen == [12 * 20 * 4]
+    from donorflow.operators.ordered import uniform
+
+    data = {r.k: (r.a, r.b, r.c) for r in rows.collect()}
+    ranked = {r.row: data[r.k] for r in explain.sample_rows(rows, None, 4, "k").collect()}
+    grid = rows.select("k", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("sim"))
+    turns = grid.select("k", "sim", uniform(4, F.lit("other"), "k", "sim").alias("o"), *[uniform(4, F.lit("turn"), "k", "sim", F.lit(f)).alias(f) for f in "abc"]).collect()
+    want = {(k, f): 0.0 for k in data for f in "abc"}
+    for r in turns:
+        other = ranked[int(r.o * 12) + 1]
+        for i, f in enumerate("abc"):
+            def value(itself):
+                x = [data[r.k][j] if (itself if j == i else r[g] < r[f]) else other[j] for j, g in enumerate("abc")]
+                return x[0] * x[1] + x[2]
+            want[r.k, f] += (value(True) - value(False)) / 20
+    got = {(r.k, r.Variable): r.attribution for r in phi.collect()}
+    assert got == pytest.approx(want, abs=1e-9)
