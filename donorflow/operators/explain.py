@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from donorflow.functions.expr import prettify_variables
 from donorflow.operators.joins import attach_metadata
@@ -32,6 +35,36 @@ def sample_rows(df: DataFrame, n: int | None, seed: int, key: str) -> DataFrame:
     return ranked if n is None else ranked.filter(F.col("row") <= n)
 
 
+def _steps(sims: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
+    """(key, __entered, __next, features): a simulation's row before the first and after each variable has entered.
+
+    Columns of ``sims``: key, own values, those of the other row, and numbers that order the variables.
+    ``__entered`` and ``__next`` are the places of variables among ``features``, -1 for none.
+    """
+    size = len(features)
+    places = [StructField(c, IntegerType()) for c in ("__entered", "__next")]
+    schema = StructType([sims.schema[key], *places, *[StructField(f, DoubleType()) for f in features]])
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(1 + i) for i in range(2 * size)]
+            values = [c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in columns]
+            missing = [c.is_null().to_numpy(zero_copy_only=False) for c in columns]
+            turns = np.column_stack([batch.column(1 + 2 * size + i).to_numpy(zero_copy_only=False) for i in range(size)])
+            order = np.argsort(turns, axis=1, kind="stable").astype(np.int32)
+            none = np.full((len(order), 1), -1, np.int32)
+            order = np.hstack([none, order, none])
+            own = np.zeros((size, len(order)), bool)
+            for step in range(size + 1):
+                if step:
+                    own[order[:, step], np.arange(len(order))] = True
+                row = [pa.array(np.where(own[i], values[i], values[size + i]), mask=np.where(own[i], missing[i], missing[size + i])) for i in range(size)]
+                arrays = [batch.column(0), pa.array(order[:, step]), pa.array(order[:, step + 1]), *row]
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    return sims.mapInArrow(filled, schema)
+
+
 def shap_sampling(
     score: Score, df: DataFrame, features: Sequence[str], key: str = "id", n: int | None = None, nsim: int = 100, seed: int = 1
 ) -> DataFrame:
@@ -50,16 +83,12 @@ def shap_sampling(
     other = (F.floor(F.col("__other") * found) + 1).cast("long")
     reference = rows.select(F.col("row").alias("other"), F.struct(*features).alias("__w"))
     sims = sims.withColumn("other", other).join(looked_up(reference, found), "other")
-    places = [sum((F.col(g) <= F.col(t)).cast("int") for g in turns) for t in turns]
-    steps = F.explode(F.sequence(F.lit(0), F.lit(len(features))))
-    sims = sims.select(key, *features, "__w", *[p.alias(f"__at{i}") for i, p in enumerate(places)], steps.alias("__step"))
-    filled = [F.when(F.col(f"__at{i}") <= F.col("__step"), F.col(f)).otherwise(F.col(f"__w.{f}")).alias(f) for i, f in enumerate(features)]
-    scored = score(sims.select(key, "__step", *[f"__at{i}" for i in range(len(features))], *filled))
+    others = [F.col(f"__w.{f}").alias(f"__w{i}") for i, f in enumerate(features)]
+    scored = score(_steps(sims.select(key, *features, *others, *turns), key, features))
     changes = []
-    for i in range(len(features)):
-        at = F.col(f"__at{i}")
-        change = F.when(at == F.col("__step"), F.col("score")).when(at == F.col("__step") + 1, -F.col("score"))
-        changes.append((F.sum(change) / nsim).alias(features[i]))
+    for i, f in enumerate(features):
+        change = F.when(F.col("__entered") == i, F.col("score")).when(F.col("__next") == i, -F.col("score"))
+        changes.append((F.sum(change) / nsim).alias(f))
     return scored.groupBy(key).agg(*changes).unpivot([key], list(features), "Variable", "attribution")
 
 

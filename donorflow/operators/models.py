@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from donorflow.operators import pruning
+from donorflow.operators.forests import forest_score
 from donorflow.operators.joins import attach_metadata
 from donorflow.operators.ordered import hash_ranks
 from donorflow.operators.ordering import nearest_value
@@ -178,7 +179,9 @@ def random_forest(
     )
     if weight:
         forest = forest.setWeightCol(weight)
-    return _fit_pipeline(numeric_label(train, label), features, forest)
+    fitted = _fit_pipeline(numeric_label(train, label), features, forest)
+    fast = forest_score(fitted.model.stages[-1], features)
+    return Classifier(fitted.model, features, fast) if fast else fitted
 
 
 def weighted_forest(train: DataFrame, features: Sequence[str], weight: str = "weight", **options: Any) -> Classifier:

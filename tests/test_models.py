@@ -265,3 +265,18 @@ def test_shap_scores_each_step_once(spark):
             want[r.k, f] += (value(True) - value(False)) / 20
     got = {(r.k, r.Variable): r.attribution for r in phi.collect()}
     assert got == pytest.approx(want, abs=1e-9)
+
+
+@pytest.mark.parametrize("depth", [0, 3, 5, 6])
+def test_forest_scores_all_trees_at_once_as_spark_does(train, depth):
+    """The same doubles as the model's own, without a plan of vectors; a missing feature is an error in both."""
+    fields = ["previous_Hb", "z", "don_id"]
+    model = models.random_forest(train, fields, trees=30, depth=depth)
+    odd = train.withColumn("z", F.when(F.col("don_id") % 7 == 0, F.lit(float("inf"))).when(F.col("don_id") % 5 == 0, F.col("don_id") - 300.0).otherwise(F.col("z")))
+    fast = model.predict(odd)
+    assert "vectorassembler" not in fast._jdf.queryExecution().toString().lower()
+    slow = models._tree_score(model.model, fields)(odd)
+    assert fast.columns == slow.columns
+    assert {r.don_id: r.score for r in fast.collect()} == {r.don_id: r.score for r in slow.collect()}
+    with pytest.raises(Exception, match="NULL or NaN"):
+        model.predict(train.withColumn("z", F.lit(None).cast("double"))).collect()
