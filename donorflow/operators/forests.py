@@ -15,7 +15,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from donorflow.session import workspace
 
 LEAVES = 64  # of a tree, one bit each
-VALUES = 1 << 17  # masks looked up at a time, which stay in a core's cache
+VALUES = 1 << 18  # masks looked up at a time, which stay in a core's cache
 
 
 def _nodes(model: RandomForestClassificationModel, spark: Any) -> list[dict[int, Any]]:
