@@ -10,11 +10,13 @@ the result is that of comparing all pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,7 @@ from donorflow.session import reliable_checkpoint
 CELL = 512  # points from which a cell is cut again
 WAYS_BITS = 4
 BLOCK = 4096  # points sent to a cell at a time
+TASK_POINTS = 20_000  # points of a task that compares them; Spark would size tasks by their few bytes
 SLACK = 1 + 1e-12  # box distances are rounded as well
 
 
@@ -44,7 +47,8 @@ def cut_space(points: DataFrame, axes: int, cell: int) -> tuple[DataFrame, DataF
     """Points with their ``cell``, and the tree of boxes (node, parent, low, high, wide, leaf).
 
     A node's children are its number shifted by WAYS_BITS; ``wide`` is the diagonal of its
-    parent's box. Each round cuts all large cells into up to 16 at quantiles of their widest axis.
+    parent's box. Each round cuts all large cells at quantiles of their widest axis into 2, 4, 8 or
+    16, no more than it takes, since every cell costs a task some time.
     """
     ways = 1 << WAYS_BITS
     points = reliable_checkpoint(points.withColumn("cell", F.lit(1).cast("long")))
@@ -57,12 +61,16 @@ def cut_space(points: DataFrame, axes: int, cell: int) -> tuple[DataFrame, DataF
         inner.append(large)
         spread = F.zip_with("high", "low", lambda a, b: a - b)
         axis = F.array_position(spread, F.array_max(spread)).cast("int")
-        widest = large.select("cell", axis.alias("axis"))
+        widest = large.select("cell", axis.alias("axis"), F.col("n").alias("points"))
         shares = [i / ways for i in range(1, ways)]
         value = F.element_at("x", F.col("axis"))
-        cuts = points.join(widest, "cell").groupBy("cell", "axis").agg(
+        cuts = points.join(widest, "cell").groupBy("cell", "axis", "points").agg(
             F.percentile_approx(value, shares, 2000).alias("cuts"), F.min(value).alias("least"), F.max(value).alias("most"))
-        inside = F.array_distinct(F.filter("cuts", lambda c: c < F.col("most")))
+        step = reduce(lambda found, w: F.when(F.col("points") <= cell * w, ways // w).otherwise(found), [8, 4, 2], F.lit(1))
+        cuts = cuts.withColumn("step", step)
+        every = F.array_distinct(F.filter("cuts", lambda c: c < F.col("most")))
+        some = F.array_distinct(F.filter("cuts", lambda c, i: (c < F.col("most")) & ((i + 1) % F.col("step") == 0)))
+        inside = F.when(F.size(some) > 0, some).otherwise(every)
         cuts = cuts.select(F.col("cell").alias("of"), "axis", F.when(F.size(inside) > 0, inside).otherwise(F.array("least")).alias("cuts"))
         moved = points.join(cuts, F.col("cell") == F.col("of"), "left")
         child = F.shiftleft("cell", WAYS_BITS) + F.size(F.filter("cuts", lambda c: c < value))
@@ -82,8 +90,8 @@ def _gap(axes: int, low: str, high: str, other_low: str, other_high: str) -> Col
     return F.sqrt(reduce(lambda a, b: a + b, [p * p for p in parts]))
 
 
-def _nearest(x: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int, own: np.ndarray | None = None) -> tuple[list, np.ndarray]:
-    """The k nearest of y for each x, ties to smaller ids, and the k-th distance (infinite: there are fewer)."""
+def _nearest(x: np.ndarray, y: np.ndarray, k: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in y of the k nearest of each x (ties: first places), their distances and the k-th one; infinite: there are fewer."""
     total = np.zeros((len(x), len(y)))
     for i in range(x.shape[1]):
         gap = x[:, i][:, None] - y[:, i]
@@ -91,15 +99,38 @@ def _nearest(x: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int, own: np.ndar
     distance = np.sqrt(total)
     if own is not None:
         distance[np.arange(len(x)), own] = np.inf
-    found, last = [], np.full(len(x), np.inf)
-    by_id = np.argsort(ids, kind="stable")
-    order = by_id[np.argsort(distance[:, by_id], axis=1, kind="stable")[:, :k]]
-    for i, row in enumerate(order):
-        row = row[np.isfinite(distance[i, row])]
-        found.append([{"d": float(distance[i, j]), "pid": ids[j]} for j in row])
-        if len(row) == k:
-            last[i] = distance[i, row[-1]]
-    return found, last
+    if len(y) <= k:
+        place = np.argsort(distance, axis=1, kind="stable")
+    else:
+        place = np.sort(np.argpartition(distance, k - 1, axis=1)[:, :k], axis=1)
+        near = np.take_along_axis(distance, place, axis=1)
+        place = np.take_along_axis(place, np.argsort(near, axis=1, kind="stable"), axis=1)
+        tied = np.flatnonzero((distance <= near.max(axis=1)[:, None]).sum(axis=1) > k)
+        place[tied] = np.argsort(distance[tied], axis=1, kind="stable")[:, :k]
+    far = np.take_along_axis(distance, place, axis=1)
+    last = far[:, -1] if place.shape[1] == k else np.full(len(x), np.inf)
+    return place, far, last
+
+
+def _all_nearest(x: np.ndarray, y: np.ndarray, ids: pa.Array, k: int, own: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """For each x the (d, pid) of its k nearest y, ties to smaller ids, and the k-th distance. own: x are the points y themselves."""
+    by_id = pc.sort_indices(ids).to_numpy()
+    y, place = y[by_id], np.empty(len(by_id), int)
+    place[by_id] = np.arange(len(by_id))
+    parts = [_nearest(x[at:at + CELL], y, k, place[at:at + CELL] if own else None) for at in range(0, len(x), CELL)]
+    places, far, last = (np.concatenate(p) for p in zip(*parts))
+    there = np.isfinite(far)
+    pairs = pa.StructArray.from_arrays([pa.array(far[there]), ids.take(pa.array(by_id[places[there]]))], names=["d", "pid"])
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(there.sum(axis=1))).astype(np.int32)), pairs), last
+
+
+def _whole(table: pa.Table, name: str) -> pa.Array:
+    column = table.column(name).combine_chunks()
+    return column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
+
+
+def _points(table: pa.Table, axes: int) -> np.ndarray:
+    return _whole(table, "x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, axes)
 
 
 def nearest_points(points: DataFrame, axes: int, k: int, cell: int = CELL) -> DataFrame:
@@ -111,22 +142,16 @@ def nearest_points(points: DataFrame, axes: int, k: int, cell: int = CELL) -> Da
     ready = points.join(leaves.select(F.col("node").alias("cell"), "wide"), "cell").select("pid", "x", "cell", "wide", F.size("keys").alias("copies"))
     ready = reliable_checkpoint(ready)
 
-    def inside(group: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(group["x"].to_numpy()).astype(float)
-        ids = group["pid"].to_numpy()
-        found, last = [], []
-        for at in range(0, len(x), CELL):
-            own = np.arange(at, min(at + CELL, len(x)))
-            part, far = _nearest(x[own], x, ids, k, own)
-            found += part
-            last.append(far)
-        last = np.concatenate(last)
-        wide = group["wide"].to_numpy(dtype=float)
+    def inside(group: pa.Table) -> pa.Table:
+        x, ids = _points(group, axes), _whole(group, "pid")
+        found, last = _all_nearest(x, x, ids, k, own=True)
+        wide = group.column("wide").to_numpy().astype(float)
         reach = np.where(np.isfinite(last), last, np.where(np.isnan(wide), -1.0, wide))
-        reach = np.where(group["copies"] > k, -1.0, reach)  # its own copies are enough
-        return pd.DataFrame({"pid": ids, "x": group["x"], "cell": group["cell"], "reach": reach, "found": found})
+        reach = np.where(group.column("copies").to_numpy() > k, -1.0, reach)  # its own copies are enough
+        return pa.table({"pid": ids, "x": group.column("x"), "cell": group.column("cell"), "reach": reach, "found": found})
 
-    first = ready.groupBy("cell").applyInPandas(inside, f"pid {kind}, x array<double>, cell long, reach double, found {found_type}")
+    tasks = max(1, math.ceil(ready.count() / TASK_POINTS))
+    first = ready.repartition(tasks, "cell").groupBy("cell").applyInArrow(inside, f"pid {kind}, x array<double>, cell long, reach double, found {found_type}")
     first = reliable_checkpoint(first)
     # cells that a cell's farthest reach touches: down the tree, level by level
     far = first.groupBy("cell").agg((F.max("reach") * SLACK).alias("reach")).filter("reach >= 0")
@@ -150,14 +175,18 @@ def nearest_points(points: DataFrame, axes: int, k: int, cell: int = CELL) -> Da
         held = ready.select("pid", "x", F.col("cell").alias("other")).join(blocks, "other")
         held = held.select("pid", "x", "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
 
-        def across(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
-            out = pd.DataFrame({"pid": asked["pid"], "found": None})
-            if len(asked) and len(there):
-                y, ids = np.stack(there["x"].to_numpy()).astype(float), there["pid"].to_numpy()
-                out["found"] = _nearest(np.stack(asked["x"].to_numpy()).astype(float), y, ids, k)[0]
-            return out
+        def across(asked: pa.Table, there: pa.Table) -> pa.Table:
+            if not (asked.num_rows and there.num_rows):
+                return pa.table({"pid": _whole(asked, "pid"), "found": pa.nulls(asked.num_rows, pairs_type(asked.column("pid").type))})
+            found, _ = _all_nearest(_points(asked, axes), _points(there, axes), _whole(there, "pid"), k)
+            return pa.table({"pid": _whole(asked, "pid"), "found": found})
+
+        def pairs_type(pid: pa.DataType) -> pa.DataType:
+            return pa.list_(pa.struct([("d", pa.float64()), ("pid", pid)]))
 
-        more = asking.groupBy("other", "block").cogroup(held.groupBy("other", "block")).applyInPandas(across, f"pid {kind}, found {found_type}")
+        tasks = max(1, math.ceil(sent.count() / TASK_POINTS))
+        asking, held = (df.repartition(tasks, "other", "block") for df in (asking, held))
+        more = asking.groupBy("other", "block").cogroup(held.groupBy("other", "block")).applyInArrow(across, f"pid {kind}, found {found_type}")
         merged = merged.unionByName(more)
     best = F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, k)
     return merged.groupBy("pid").agg(best.alias("found"))

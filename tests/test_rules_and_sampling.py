@@ -126,3 +126,22 @@ def test_suspicious_last(spark):
 def test_too_soon_keeps_regular_intervals(spark):
     df = spark.createDataFrame([(61, "male"), (62, "male"), (91, "female"), (92, "female"), (None, "male")], "days_to_previous_fb int, sex string")
     assert rules.drop_too_soon(df).count() == 2
+
+
+def test_space_is_cut_no_finer_than_needed(spark):
+    """A cell slightly too large falls into two, not sixteen: each cell costs a task some time."""
+    from donorflow.operators import neighbors
+
+    points = spark.range(700).selectExpr("id AS pid", "array(CAST(id * 7919 % 700 AS DOUBLE), 0.0D) AS x", "array(id) AS keys")
+    cells, tree = neighbors.cut_space(points, 2, 512)
+    sizes = [r["count"] for r in cells.groupBy("cell").count().collect()]
+    assert sum(sizes) == 700 and len(sizes) == 2 and max(sizes) <= 512
+    assert tree.filter("leaf").count() == 2
+
+
+def test_space_is_cut_where_most_points_share_the_largest_value(spark):
+    from donorflow.operators import neighbors
+
+    points = spark.range(100).selectExpr("id AS pid", "array(CAST(least(id, 20) AS DOUBLE), CAST(id AS DOUBLE) / 1000) AS x", "array(id) AS keys")
+    cells, _ = neighbors.cut_space(points, 2, 20)
+    assert max(r["count"] for r in cells.groupBy("cell").count().collect()) <= 20
