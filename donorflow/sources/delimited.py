@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from donorflow.session import reliable_checkpoint
+from donorflow.session import reliable_checkpoint, side_by_side
 
 # Column names of the two file formats, by position.
 POSITIONAL_DONATIONS = [
@@ -130,16 +130,16 @@ def result_sink(tables: Mapping[str, Mapping[str, DataFrame]], folder: str) -> d
     """
     from donorflow.operators.shape import union_results
 
-    paths, spark = {}, None
-    for kind, frames in tables.items():
-        if not frames:
-            continue
-        union = union_results(frames)
-        spark = union.sparkSession
-        union = union.select(*[f"`{c}`" for c in union.columns if c not in ("donor", "don_id", "id")])
-        paths[kind] = f"{folder}/{kind}"
-        union.write.mode("overwrite").csv(paths[kind], header=True)
-    if spark is not None:
+    unions = {kind: union_results(frames) for kind, frames in tables.items() if frames}
+    paths = {kind: f"{folder}/{kind}" for kind in unions}
+
+    def write(kind: str) -> None:
+        kept = [f"`{c}`" for c in unions[kind].columns if c not in ("donor", "don_id", "id")]
+        unions[kind].select(*kept).write.mode("overwrite").csv(paths[kind], header=True)
+
+    if unions:
+        spark = next(iter(unions.values())).sparkSession
+        side_by_side(spark, write, unions)
         spark.createDataFrame(sorted(paths.items()), "kind string, path string").write.mode("overwrite").csv(f"{folder}/{MANIFEST}", header=True)
     return paths
 

@@ -280,3 +280,39 @@ def test_forest_scores_all_trees_at_once_as_spark_does(train, depth):
     assert {r.don_id: r.score for r in fast.collect()} == {r.don_id: r.score for r in slow.collect()}
     with pytest.raises(Exception, match="NULL or NaN"):
         model.predict(train.withColumn("z", F.lit(None).cast("double"))).collect()
+
+
+def test_a_run_describes_rows_once_and_scores_simulations_once(spark, tables, monkeypatch):
+    """Models of one sex share the description of its rows; attributions are simulated once, though two tables read them."""
+    from donorflow.operators import describe, explain
+    from donorflow.plans import driver
+    from donorflow.plans.features import Settings, whole_series_features
+    from donorflow.sources.delimited import result_sink
+
+    scored = spark.sparkContext.accumulator(0)
+    calls, summary = [], describe.variable_summary
+    monkeypatch.setattr(describe, "variable_summary", lambda *a, **k: calls.append(1) or summary(*a, **k))
+
+    class Counted:
+        features = ["age"]
+
+        def predict(self, df):
+            def step(batches):
+                for b in batches:
+                    scored.add(b.num_rows)
+                    yield b
+
+            out = df.withColumn("score", F.col("age").cast("double") / 100)
+            return out.mapInArrow(step, out.schema)
+
+    features = whole_series_features(tables.raw_donations(), tables.raw_donors(), Settings(), check=False).filter("not first_event")
+    done = driver.fit_models(features, ["a", "b"], "pooled", ["age"], classifiers={n: lambda *_: Counted() for n in "ab"})
+    monkeypatch.setattr(explain, "permutation_importance", lambda *a: spark.range(1).selectExpr("'age' AS Variable", "0.0D AS Importance"))
+    before = scored.value
+    out = driver.result_tables(done, ["age"], replicates=5, nsim=4)
+    rows = done[0].test.count()
+    for kind in ("shap-value", "sizes"):
+        for df in out[kind].values():
+            assert df.count() > 0
+    # each model: predictions of the test rows, and 4 simulations of them with 2 scores each
+    assert rows and scored.value - before == 2 * (rows + rows * 4 * 2) and len(calls) == 1
