@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 from multiprocessing.pool import ThreadPool
 from typing import Any
@@ -168,18 +169,29 @@ def pruned_tree(
     return Classifier(model, features, score), [{"complexity": v, "auroc": float(m), "chosen": float(i == best)} for i, (v, m) in enumerate(zip(values, mean, strict=True))]
 
 
+ROWS_OF_TREES = 2_000_000  # rows times trees from which a fit is dealt over more tasks
+TASKS_A_CORE = 2  # at most, since each task of a fit sends the counts of all its nodes
+
+
+def _dealt(rows: DataFrame, used: Sequence[str], trees: int) -> DataFrame:
+    """The used columns of rows, over tasks by rows times trees: their bytes alone would put a forest into one task."""
+    rows = rows.select(*dict.fromkeys([*used, "label_index"]))
+    work = math.ceil(rows.count() * trees / ROWS_OF_TREES)
+    return rows if work <= 1 else rows.repartition(min(work, max(24, TASKS_A_CORE * rows.sparkSession.sparkContext.defaultParallelism)))
+
+
 def random_forest(
     train: DataFrame, features: Sequence[str], label: str = LABEL, seed: int = 1, trees: int = 500, mtry: int | str = "sqrt",
     min_node: int = 1, split_rule: str = "gini", weight: str | None = None, depth: int = 10, bins: int = 32,
 ) -> Classifier:
-    """Probability forest; split rules other than gini map to entropy."""
+    """Probability forest; split rules other than gini map to entropy. Rows are dealt over tasks by the trees they go through."""
     forest = RandomForestClassifier(
         labelCol="label_index", seed=seed, numTrees=trees, featureSubsetStrategy=str(mtry), minInstancesPerNode=min_node,
         impurity="gini" if split_rule == "gini" else "entropy", maxDepth=depth, maxBins=bins,
     )
     if weight:
         forest = forest.setWeightCol(weight)
-    fitted = _fit_pipeline(numeric_label(train, label), features, forest)
+    fitted = _fit_pipeline(_dealt(numeric_label(train, label), [label, *features, *([weight] if weight else [])], trees), features, forest)
     fast = forest_score(fitted.model.stages[-1], features)
     return Classifier(fitted.model, features, fast) if fast else fitted
 

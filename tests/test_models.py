@@ -282,6 +282,18 @@ def test_forest_scores_all_trees_at_once_as_spark_does(train, depth):
         model.predict(train.withColumn("z", F.lit(None).cast("double"))).collect()
 
 
+def test_rows_of_a_forest_are_dealt_over_tasks(spark, monkeypatch):
+    """A few megabytes that go through many trees are more than one task, whatever their bytes."""
+    train = spark.range(400).selectExpr("id % 3 = 0 AS Hb_deferral", "CAST(id % 17 AS DOUBLE) AS x", "1.0D AS weight").coalesce(1)
+    seen, fit = [], models._fit_pipeline
+    monkeypatch.setattr(models, "_fit_pipeline", lambda rows, *rest: seen.append(rows.rdd.getNumPartitions()) or fit(rows, *rest))
+    models.weighted_forest(train, ["x"], trees=5, depth=2)
+    monkeypatch.setattr(models, "ROWS_OF_TREES", 500)
+    models.weighted_forest(train, ["x"], trees=5, depth=2)
+    models.random_forest(train, ["x"], trees=5, depth=2)
+    assert seen == [1, 4, 4]
+
+
 def test_a_run_describes_rows_once_and_scores_simulations_once(spark, tables, monkeypatch):
     """Models of one sex share the description of its rows; attributions are simulated once, though two tables read them."""
     from donorflow.operators import describe, explain
