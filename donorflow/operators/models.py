@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Mapping, Sequence
-from multiprocessing.pool import ThreadPool
 from typing import Any
 
 import numpy as np
@@ -26,7 +25,7 @@ from donorflow.operators.ordering import nearest_value
 from donorflow.operators.sampling import kfold_by_donor
 from donorflow.operators.scaling import Scale, column_scale, scaled
 from donorflow.operators.shape import axis, union_results
-from donorflow.session import reliable_checkpoint
+from donorflow.session import reliable_checkpoint, side_by_side
 
 LABEL = "Hb_deferral"
 
@@ -247,22 +246,38 @@ def grid_search_cv(
     """
     frame = numeric_label(train, label).filter(F.col("label_index").isNotNull())
     data = VectorAssembler(inputCols=list(features), outputCol="features").transform(_numbers(frame, features))
-    data = data.select(key, row, "features", "label_index")
+    data = reliable_checkpoint(data.select(key, row, "features", "label_index"))  # every repeat reads it
     builder = ParamGridBuilder()
     for name, values in grid.items():
         builder = builder.addGrid(estimator.getParam(name), list(values))
     maps = builder.build()
     estimator.setLabelCol("label_index")
     evaluator = BinaryClassificationEvaluator(labelCol="label_index", rawPredictionCol="rawPrediction", metricName="areaUnderROC")
+
+    def area(scored: DataFrame) -> float:
+        if not isinstance(estimator, DecisionTreeClassifier):
+            return evaluator.evaluate(scored)
+        # a tree has few scores: one aggregate instead of the sort of all rows that the evaluator makes
+        hits = [F.count(F.when(F.col("label_index") == c, 1)).alias(n) for n, c in (("pos", 1.0), ("neg", 0.0))]
+        cells = scored.groupBy(F.get(vector_to_array("rawPrediction"), F.lit(1)).alias("s")).agg(*hits).collect()
+        if any(r["s"] is None for r in cells) or not (sum(r["pos"] for r in cells) and sum(r["neg"] for r in cells)):
+            return evaluator.evaluate(scored)
+        return pruning.ranked_area(*(np.array([r[n] for r in cells], dtype=float) for n in ("s", "pos", "neg")))
+
     sums = np.zeros(len(maps))
+    spark = train.sparkSession
     for r in range(repeats):
         placed, sizes = folded_balance(data, "label_index", key, row, folds, seed + r)
-        for fold in range(folds):
+
+        def areas(fold: int) -> list[float]:
             rows = balanced_without(placed, sizes, fold, "label_index").select("features", "label_index").persist()
             held = placed.filter(F.col("fold") == fold)
-            with ThreadPool(parallelism) as pool:
-                sums += np.array(pool.map(lambda m: evaluator.evaluate(estimator.copy(m).fit(rows).transform(held)), maps))
+            found = [area(estimator.copy(m).fit(rows).transform(held)) for m in maps]
             rows.unpersist()
+            return found
+
+        for found in side_by_side(spark, areas, range(folds), parallelism):
+            sums += np.array(found)
     rows = [{**{p.name: str(v) for p, v in m.items()}, "auroc": float(s / repeats / folds)} for m, s in zip(maps, sums)]
     best = maps[int(np.argmax(sums))]
     return train.sparkSession.createDataFrame(rows), {p.name: v for p, v in best.items()}

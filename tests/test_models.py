@@ -294,6 +294,37 @@ def test_rows_of_a_forest_are_dealt_over_tasks(spark, monkeypatch):
     assert seen == [1, 4, 4]
 
 
+def test_a_grid_reads_its_rows_once(spark):
+    """Repeats and folds start from written rows; the query behind them isn't run again."""
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    plain = spark.range(200).selectExpr("id AS don_id", "id % 40 AS donor", "id % 3 = 0 AS Hb_deferral", "CAST(id % 7 AS DOUBLE) AS x")
+    train = plain.mapInArrow(counted, plain.schema)
+    table, best = models.grid_search_cv(train, ["x"], DecisionTreeClassifier(seed=1), {"maxDepth": [1, 2]}, folds=2, repeats=2)
+    assert read.value == 200 and table.count() == 2 and best["maxDepth"] in (1, 2)
+
+
+def test_area_of_a_tree_is_the_evaluators(spark, monkeypatch):
+    """Counts per score give what the evaluator makes of all rows, with and without both classes in a fold."""
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    plain = spark.range(120).selectExpr("id AS don_id", "id AS donor", "hash(id) % 4 = 0 AS Hb_deferral", "CAST(hash(id, 1) % 9 AS DOUBLE) + IF(hash(id) % 4 = 0, 2, 0) AS x")
+    one = plain.withColumn("Hb_deferral", F.col("Hb_deferral") & (F.col("donor") < 24))
+    for train in (plain, one):
+        found = [r.auroc for r in models.grid_search_cv(train, ["x"], DecisionTreeClassifier(seed=1), {"maxDepth": [1, 3]}, folds=4, repeats=1)[0].orderBy("maxDepth").collect()]
+        with monkeypatch.context() as m:
+            m.setattr(models, "DecisionTreeClassifier", type(None))  # leaves all to the evaluator
+            want = [r.auroc for r in models.grid_search_cv(train, ["x"], DecisionTreeClassifier(seed=1), {"maxDepth": [1, 3]}, folds=4, repeats=1)[0].orderBy("maxDepth").collect()]
+        assert np.allclose(found, want, atol=1e-12)
+
+
 def test_a_run_describes_rows_once_and_scores_simulations_once(spark, tables, monkeypatch):
     """Models of one sex share the description of its rows; attributions are simulated once, though two tables read them."""
     from donorflow.operators import describe, explain
