@@ -173,10 +173,15 @@ TASKS_A_CORE = 2  # at most, since each task of a fit sends the counts of all it
 
 
 def _dealt(rows: DataFrame, used: Sequence[str], trees: int) -> DataFrame:
-    """The used columns of rows, over tasks by rows times trees: their bytes alone would put a forest into one task."""
-    rows = rows.select(*dict.fromkeys([*used, "label_index"]))
+    """Rows dealt over tasks by rows times trees, with the used columns: their bytes alone would put a forest into one task.
+
+    Fewer rows stay as they are, since a forest's draws depend on the order of its rows.
+    """
     work = math.ceil(rows.count() * trees / ROWS_OF_TREES)
-    return rows if work <= 1 else rows.repartition(min(work, max(24, TASKS_A_CORE * rows.sparkSession.sparkContext.defaultParallelism)))
+    if work <= 1:
+        return rows
+    most = max(24, TASKS_A_CORE * rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.select(*dict.fromkeys([*used, "label_index"])).repartition(min(work, most))
 
 
 def random_forest(
