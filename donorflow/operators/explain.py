@@ -81,9 +81,9 @@ def shap_sampling(
     dealt = spread(rows.select(key, *features), found * nsim, SIMULATIONS)
     sims = numbered(dealt, key, nsim, "sim", seed, {"__other": (["other"], []), **turns})
     other = (F.floor(F.col("__other") * found) + 1).cast("long")
-    reference = rows.select(F.col("row").alias("other"), F.struct(*features).alias("__w"))
-    sims = sims.withColumn("other", other).join(looked_up(reference, found), "other")
-    others = [F.col(f"__w.{f}").alias(f"__w{i}") for i, f in enumerate(features)]
+    others = {f"__w{i}": f for i, f in enumerate(features)}
+    reference = rows.select("row", *[F.col(f).alias(w) for w, f in others.items()])
+    sims = looked_up(sims.withColumn("__other", other), "__other", reference, "row", list(others), found * len(others))
     scored = score(_steps(sims.select(key, *features, *others, *turns), key, features))
     changes = []
     for i, f in enumerate(features):

@@ -15,7 +15,8 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 BATCH = 1 << 15  # numbers made at a time; their arrays stay in a core's cache
 TASK_ROWS = 1_000_000  # repeated rows from which a task's work is dealt over more tasks
-BROADCAST_ROWS = 250_000  # counted rows up to which a looked-up table of a few columns is sent to all executors
+PAGE_BITS = 12  # a page holds 1 << PAGE_BITS numbered rows of a looked-up table
+SENT_VALUES = 16_000_000  # counted values, 8 bytes each, up to which a looked-up table is sent to all executors
 ONE_BLOCK = 55  # bytes of the longest text that MD5 takes as one block
 
 _TURNS = [7, 12, 17, 22] * 4 + [5, 9, 14, 20] * 4 + [4, 11, 16, 23] * 4 + [6, 10, 15, 21] * 4
@@ -28,9 +29,24 @@ def spread(df: DataFrame, rows: int, per_task: int) -> DataFrame:
     return df.repartition(math.ceil(rows / per_task)) if rows > per_task else df
 
 
-def looked_up(df: DataFrame, rows: int) -> DataFrame:
-    """A table to meet a larger one: its counted rows say whether it is small, which plans of several joins don't."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def looked_up(frame: DataFrame, at: str, table: DataFrame, number: str, columns: Sequence[str], values: int) -> DataFrame:
+    """``columns`` of the row of ``table`` whose ``number`` (1, 2, 3 ... without gaps) the column ``at`` holds.
+
+    Rows of the table are packed into pages, a page into one array a column, and pages are sent to all
+    executors: many millions of repeated rows then stay where they were made. ``values`` counts
+    what is sent together; above ``SENT_VALUES`` both sides meet by a shuffle.
+    """
+    if values > SENT_VALUES:
+        one = table.select(F.col(number).alias("__number"), *columns)
+        return frame.join(one, F.col(at) == F.col("__number")).drop("__number")
+    place = F.col(number).cast("long") - 1
+    rows = table.select(F.shiftright(place, PAGE_BITS).alias("__page"), F.struct(place.alias("__place"), *columns).alias("__row"))
+    pages = rows.groupBy("__page").agg(F.sort_array(F.collect_list("__row")).alias("__rows"))
+    pages = pages.select("__page", *[F.col(f"__rows.{c}").alias(f"__all_{c}") for c in columns])
+    wanted = F.col(at).cast("long") - 1
+    met = frame.join(F.broadcast(pages), F.shiftright(wanted, PAGE_BITS) == F.col("__page"))
+    inside = wanted.bitwiseAND(F.lit((1 << PAGE_BITS) - 1)).cast("int")
+    return met.select(*frame.columns, *[F.get(F.col(f"__all_{c}"), inside).alias(c) for c in columns])
 
 
 def _bits(words: list[np.ndarray], shape: tuple[int, int]) -> np.ndarray:

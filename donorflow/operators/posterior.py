@@ -208,9 +208,8 @@ def _with_draws(
 
     ``wanted``: column name to (parameter, tag of the choice); ``noises``: column name to tag. Draws are
     numbered by value within their parameter. A repeated row chooses a number by a seeded hash and
-    meets the draw of that number in an equi-join, so neither the draws nor their number is
-    bounded; draws that are counted to be few are broadcast. Rows are dealt over tasks by the
-    draws they make.
+    looks up the draw of that number (``looked_up``), so neither the draws nor their number is
+    bounded. Rows are dealt over tasks by the draws they make.
     """
     ranked = reliable_checkpoint(running(draws.select("parameter", "value"), ["value"], ["parameter"], number=RunSum(F.lit(1).cast("long"))))
     parameters = sorted({p for p, _ in wanted.values()})
@@ -219,11 +218,13 @@ def _with_draws(
     rows = spread(rows, rows.count() * n, TASK_ROWS)
     places = {f"__of{name}": ([tag], []) for name, (_, tag) in wanted.items()}
     frame = numbered(rows, key, n, "draw", seed, places, {name: [tag] for name, tag in noises.items()})
+    counts = {p: sizes[f"n{i}"] for i, p in enumerate(parameters)}
+    together = sum(counts[p] for p, _ in wanted.values())
     for name, (parameter, _) in wanted.items():
-        size = sizes[f"n{parameters.index(parameter)}"]
+        size = counts[parameter]
         frame = frame.withColumn("__chosen", F.floor(F.col(f"__of{name}") * size) + 1 if size else F.raise_error(F.lit(f"no draws of {parameter}")).cast("long"))
-        one = ranked.filter(F.col("parameter") == parameter).select(F.col("number").alias("__number"), F.col("value").alias(name))
-        frame = frame.join(looked_up(one, size), F.col("__chosen") == F.col("__number")).drop("__chosen", "__number")
+        one = ranked.filter(F.col("parameter") == parameter).select("number", F.col("value").alias(name))
+        frame = looked_up(frame, "__chosen", one, "number", [name], together).drop("__chosen")
     return frame.drop(*places)
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from donorflow.operators import explain, models, posterior, scaling
+from donorflow.operators import explain, models, numbered, posterior, scaling
 from donorflow.operators.scaling import Design, Scale
 from donorflow.plans.driver import model_by_sex_driver
 
@@ -197,7 +197,7 @@ def test_nine_tables_of_a_run(spark, tables, tmp_path):
 
 def test_numbers_made_in_batches_are_those_of_columns(spark):
     """Whole numbers, texts of two blocks, texts that aren't ASCII and NULL; more numbers than one batch holds."""
-    from donorflow.operators import numbered, ordered
+    from donorflow.operators import ordered
 
     keys = spark.createDataFrame([(k,) for k in ("7", "12", "a" * 70, "\u00e9\u4e2d", "", None)], "k string")
     made = numbered.numbered(keys, "k", 40, "i", 5, {"u": (["a"], ["z"]), "v": ([], [])}, {"e": ["b"]})
@@ -237,6 +237,36 @@ def test_draws_and_simulations_are_dealt_over_tasks(spark, monkeypatch):
         assert after["phi"][key] == pytest.approx(value, abs=1e-12)
 
 
+def test_many_draws_and_reference_rows_are_looked_up_without_moving_repeated_rows(spark, monkeypatch, capsys):
+    """Above 250,000 draws repeated rows were shuffled once a parameter; NULL draws, page ends and the way by a shuffle agree."""
+    many = spark.range(1, 300_001).select(F.explode(F.array(*[F.lit(p) for p in ("beta[a]", "sigma_eps")])).alias("parameter"), (F.when(F.col("id") % 100 != 0, F.col("id") / 1e5)).alias("value"))
+    delta = spark.range(1, 3 * (1 << numbered.PAGE_BITS) + 1).select(F.lit("delta").alias("parameter"), (F.col("id") / 1e5).alias("value"))
+    draws = many.unionByName(delta).withColumn("value", F.col("value").cast("double"))
+    rows = spark.createDataFrame([(i if i else None, 0.1 * i, 0.2, 0.3, 0.4) for i in [*range(30), 29]], "donor int, a double, effect_mean double, effect_var double, Hb_lag double")
+
+    def results():
+        pred = posterior.posterior_predictive(rows, draws, ["a"], n=50)
+        changed = posterior.delta_predictive(rows, draws, ["a"], 0.5, n=50, effect="effect_mean")
+        phi = explain.shap_sampling(lambda df: df.withColumn("score", F.col("a") * F.col("Hb_lag")), rows.filter("donor < 29"), ["a", "Hb_lag"], "donor", nsim=20)
+        capsys.readouterr()
+        pred.explain()
+        changed.explain()
+        phi.explain()
+        plans = capsys.readouterr().out
+        return plans, sorted(map(repr, pred.collect())), {r.donor: (r.mean, r.p) for r in changed.collect()}, {(r.donor, r.Variable): r.attribution for r in phi.collect()}
+
+    plans, drawn, changed, phi = results()
+    assert "SortMergeJoin" not in plans and plans.count("BroadcastHashJoin") == 6
+    assert len(drawn) == 31 * 50 and 0 < sum("y=None" in r for r in drawn) < 155
+    monkeypatch.setattr(numbered, "SENT_VALUES", 0)
+    other, shuffled, *more = results()
+    assert "SortMergeJoin" in other and drawn == shuffled
+    for now, before in zip(more, (changed, phi)):
+        assert now.keys() == before.keys()
+        for key, value in before.items():
+            assert now[key] == pytest.approx(value, abs=1e-12)
+
+
 def test_shap_scores_each_step_once(spark):
     """A simulation of three variables needs four scores (before: six), and their changes add up exactly."""
     rows = spark.createDataFrame([(i, float(i), float(i % 3), float(i * i % 7)) for i in range(12)], "k int, a double, b double, c double")
