@@ -119,9 +119,11 @@ class Tables:
             (100 + F.col("l_quantity")).alias("original_value"), (110 + F.col("l_extendedprice") / 3000).alias("predicted_value"),
         )
 
-    def draws(self) -> DataFrame:
+    def draws(self, parameters: int | None = None) -> DataFrame:
+        """Draws of all parameters, or of the first ``parameters``."""
         e = self.table("embeddings")
-        return e.select(F.col("vec_id").alias("draw"), F.posexplode("embedding").alias("position", "value")).select(
+        values = F.col("embedding") if parameters is None else F.slice("embedding", 1, parameters)
+        return e.select(F.col("vec_id").alias("draw"), F.posexplode(values).alias("position", "value")).select(
             F.format_string("p%02d", "position").alias("parameter"), "draw", F.col("value").cast("double").alias("value"),
             (F.col("draw") % 2 + 1).cast("int").alias("chain"),
         )

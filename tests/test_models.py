@@ -267,6 +267,17 @@ def test_many_draws_and_reference_rows_are_looked_up_without_moving_repeated_row
             assert now[key] == pytest.approx(value, abs=1e-12)
 
 
+def test_draws_of_the_first_parameters_are_those_of_all(spark, tmp_path):
+    """The first parameters' draws are made without those of all others; short, empty and missing vectors have what they have."""
+    from donorflow.catalog.bindings import Tables
+
+    vectors = [(1, [0.5, -1.5, 2.5]), (2, [0.25]), (3, []), (4, None), (None, [None, 3.0, 4.0]), (1, [0.5, -1.5, 2.5])]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    t = Tables(spark, str(tmp_path))
+    every = t.draws().filter("parameter < 'p02'")
+    assert sorted(map(repr, t.draws(2).collect())) == sorted(map(repr, every.collect())) and every.count() == 7
+
+
 def test_shap_scores_each_step_once(spark):
     """A simulation of three variables needs four scores (before: six), and their changes add up exactly."""
     rows = spark.createDataFrame([(i, float(i), float(i % 3), float(i * i % 7)) for i in range(12)], "k int, a double, b double, c double")
